@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import decontaminate
+from weftgraph.llm import decontaminate, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
