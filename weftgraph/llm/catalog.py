@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import decontaminate, toxicity
+from weftgraph.llm import decontaminate, tiff, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op5_tiff": tiff.op5_tiff,
         "op7_toxicity": toxicity.op7_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
