@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import decontaminate, tiff, toxicity
+from weftgraph.llm import chat, decontaminate, tiff, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op4_chat_format": chat.op4_chat_format,
         "op5_tiff": tiff.op5_tiff,
         "op7_toxicity": toxicity.op7_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -16,4 +17,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_chat_format": chat.ORACLE,
+    }
