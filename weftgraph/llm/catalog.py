@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import chat, decontaminate, tiff, toxicity
+from weftgraph.llm import chat, decontaminate, licenses, tiff, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op4_chat_format": chat.op4_chat_format,
         "op5_tiff": tiff.op5_tiff,
+        "op6_licenses": licenses.op6_licenses,
         "op7_toxicity": toxicity.op7_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
