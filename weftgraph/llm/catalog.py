@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import chat, decontaminate, licenses, tiff, toxicity
+from weftgraph.llm import chat, decontaminate, licenses, neardup, tiff, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_minhash": neardup.op1_minhash,
         "op4_chat_format": chat.op4_chat_format,
         "op5_tiff": tiff.op5_tiff,
         "op6_licenses": licenses.op6_licenses,
