@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import chat, decontaminate, licenses, neardup, tiff, toxicity
+from weftgraph.llm import chat, decontaminate, licenses, linededup, neardup, tiff, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_minhash": neardup.op1_minhash,
+        "op2_line_dedup": linededup.op2_line_dedup,
         "op4_chat_format": chat.op4_chat_format,
         "op5_tiff": tiff.op5_tiff,
         "op6_licenses": licenses.op6_licenses,
@@ -20,5 +21,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": linededup.ORACLE,
         "op4_chat_format": chat.ORACLE,
     }
