@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import chat, decontaminate, licenses, linededup, neardup, tiff, toxicity
+from weftgraph.llm import chat, decontaminate, licenses, linededup, neardup, sentencepieces, tiff, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op5_tiff": tiff.op5_tiff,
         "op6_licenses": licenses.op6_licenses,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op9_sentencepiece": sentencepieces.op9_sentencepiece,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 

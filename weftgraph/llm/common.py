@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multiplier of the rolling hash modulo 2**64, and its inverse.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,5 +95,18 @@ def pieces(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def by_size(batches, name: str, most: int):
+    """The record batches cut so that the texts of a part have about `most` bytes at most."""
+    for batch in batches:
+        start = held = 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
+        for at, size in enumerate(sizes):
+            if at > start and held + size > most:
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += size
+        yield batch.slice(start)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

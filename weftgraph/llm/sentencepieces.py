@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import column, int_lists, pieces
+from weftgraph.llm.common import by_size, column, int_lists, pieces
 from weftgraph.sources.tables import table
 
 #: Where the public tokenizer files lie; any other model file can be named instead.
@@ -47,7 +47,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Words whose ids a task remembers from batch to batch.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
+#: Text encoded together: the more, the more prefixes are shared. A longer text is a batch of its own.
+BATCH_CHARS = 3_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -307,7 +309,7 @@ class Vocabulary:
 def _encoder(shared):
     def run(batches):
         vocabulary, remembered = shared.value, {}
-        for batch in pieces(batches, 128):
+        for batch in by_size(batches, "text", BATCH_CHARS):
             texts = column(batch, "text")
             got = vocabulary.encode(texts, remembered)
             lists = int_lists([np.array(g or [], np.int32) for g in got])
