@@ -78,8 +78,8 @@ def _ranked(scratch: Scratch, rows: DataFrame, by: list[str], level: int) -> Dat
     """The rows whose `by` stands at several places, with the rank of `by` in sorted order."""
     place = F.struct(*PLACE)
     classes = rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*by)
-    # Sorted over all partitions, so the growing id is a rank; written, so that it stays the same.
-    ranks = scratch.put(classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), f"ranks{level}")
+    # Sorted over all partitions by a unique key, so the growing id is a rank, and a task run anew gives it again.
+    ranks = classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
     return scratch.put(rows.join(ranks, by).drop(*by), f"suffixes{level}")
 
 
@@ -122,7 +122,7 @@ def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     found = repeated = None
     for level, rows in suffix_levels(scratch, lines, least):
         repeated = rows if level == 0 else repeated
-        part = scratch.put(_runs_of_level(rows, repeated, level), f"runs{level}")
+        part = _runs_of_level(rows, repeated, level)
         found = part if found is None else found.unionByName(part)
     named = ["n", "r1", "r2"]
     place = F.struct(*PLACE)
