@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import chat, decontaminate, licenses, linededup, neardup, sentencepieces, tiff, toxicity
+from weftgraph.llm import chat, decontaminate, langmodel, licenses, linededup, neardup, sentencepieces, tiff, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_minhash": neardup.op1_minhash,
         "op2_line_dedup": linededup.op2_line_dedup,
+        "op3_langmodel": langmodel.op3_langmodel,
         "op4_chat_format": chat.op4_chat_format,
         "op5_tiff": tiff.op5_tiff,
         "op6_licenses": licenses.op6_licenses,
