@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -46,6 +47,8 @@ MARK = "▁"
 # Kinds of pieces and of models in the public model format.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
+#: Stands for no piece: the start of a word, or a character outside the vocabulary.
+NOTHING = 1 << 31
 #: Words whose ids a task remembers from batch to batch.
 REMEMBERED = 250_000
 #: Text encoded together: the more, the more prefixes are shared. A longer text is a batch of its own.
@@ -114,16 +117,18 @@ class Vocabulary:
         self._unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         out: dict[str, set[int]] = {}
         for t in self.known:
-            out.setdefault(t[-2:], set()).add(len(t))
-        #: Lengths of the pieces that end in these two characters (or are this one), longest first.
+            if len(t) > 1:
+                out.setdefault(t[-2:], set()).add(len(t))
+        #: Lengths of the pieces that end in these two characters, longest first.
         self._lengths = {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
-        self._beside: dict[tuple[str, str], bool] = {}
+        self._beside: dict[int, bool] = {}
         self._halves: dict[str, tuple[str, str] | None] = {}
         ranks: dict[float, list[str]] = {}
         for t, i in self.known.items():
             ranks.setdefault(self.scores[i], []).append(t)
         #: Pieces that share their score with others, such as runs of marks: their merges are replayed.
         self._tied = {t for same in ranks.values() if len(same) > 1 for t in same}
+        self._longest = max(map(len, self.known), default=1)
         self._lowest = min((self.scores[i] for i in self.known.values()), default=0.0) - 10
         self._raw = [bytes((int(t[3:5], 16),)) if k == BYTE else t.replace(MARK, " ").encode() for t, k in zip(self.texts, self.kinds, strict=True)]
         self._line = "\n" if not any("\n" in t for t in self.known) else ""
@@ -194,74 +199,79 @@ class Vocabulary:
                     return False
                 limit, at_limit, b = rank_b, True, halves[0]
 
-    def _fits(self, a: str, b: str) -> bool:
-        """Whether piece b can follow piece a ('' at the start) in a finished encoding."""
-        key = (a, b)
+    def _fits(self, before: int, at: int) -> bool:
+        """Whether a piece can follow another, or stand first or after an unknown character (NOTHING), in a finished encoding."""
         if len(self._beside) > 2_000_000:
             self._beside.clear()
-        if not a or self._tied & {a, b} or a not in self.known:
-            got = self.merge(a + b) == ([a, b] if a else [b])
+        b = self.texts[at]
+        if before == NOTHING:
+            got = self.merge(b) == [b]
         else:
-            got = self._apart(a, b, np.inf)
-        self._beside[key] = got
+            a = self.texts[before]
+            got = self.merge(a + b) == [a, b] if a in self._tied or b in self._tied else self._apart(a, b, np.inf)
+        self._beside[before << 32 | at] = got
         return got
 
-    def _extend_bpe(self, word: str, last: list[str], start: int) -> None:
-        """Fills last[i], the last piece of the encoding of word[:i], for i beyond `start`."""
-        known, lengths, fits = self.known, self._lengths, self._beside
+    def _extend_bpe(self, word: str, last: list[int], sizes: list[int], start: int) -> None:
+        """Appends, for each prefix longer than `start`, the id and length of its encoding's last piece."""
+        known, lengths, fits = self.known.get, self._lengths.get, self._beside.get
         for end in range(start + 1, len(word) + 1):
-            one = word[end - 1]
-            chosen = None
-            for n in (*lengths.get(word[end - 2 : end] if end > 1 else one, ()), 1):
-                if n > end or (n == 1 and end > 1):
-                    continue
-                piece = word[end - n : end]
-                if piece in known:
-                    before = last[end - n]
-                    ok = fits.get((before, piece))
-                    if ok if ok is not None else self._fits(before, piece):
-                        chosen = piece
-                        break
-            last.append(one if chosen is None else chosen)
+            for n in lengths(word[end - 2 : end], ()) if end > 1 else ():
+                if n <= end:
+                    at = known(word[end - n : end])
+                    if at is not None:
+                        before = last[end - n]
+                        ok = fits(before << 32 | at)
+                        if ok or (ok is None and self._fits(before, at)):
+                            break
+            else:  # one piece always fits, so it is the character itself
+                n, at = 1, known(word[end - 1], NOTHING)
+            last.append(at)
+            sizes.append(n)
 
-    def _extend_unigram(self, word: str, states: list[tuple[float, str]], start: int) -> None:
-        """Fills states[i], the best score of word[:i] and its last piece."""
+    def _extend_unigram(self, word: str, last: list[int], sizes: list[int], best: list[float], start: int) -> None:
+        """The same for the sequence of the best score, which `best` holds for each prefix."""
         known, scores = self.known, self.scores
-        longest = max(map(len, known), default=1)
         for end in range(start + 1, len(word) + 1):
-            best = (states[end - 1][0] + self._lowest, word[end - 1]) if word[end - 1] not in known else (-np.inf, "")
-            for n in range(1, min(longest, end) + 1):
-                piece = word[end - n : end]
-                at = known.get(piece)
-                if at is not None and (score := states[end - n][0] + scores[at]) > best[0]:
-                    best = (score, piece)
-            states.append(best)
-
-    def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Ids of sorted distinct words: a depth-first walk of their trie."""
-        bpe = self.model == BPE
-        states: list = [""] if bpe else [(0.0, "")]
+            top, at, n = (best[end - 1] + self._lowest, NOTHING, 1) if word[end - 1] not in known else (-np.inf, NOTHING, 1)
+            for size in range(1, min(self._longest, end) + 1):
+                piece = known.get(word[end - size : end])
+                if piece is not None and (score := best[end - size] + scores[piece]) > top:
+                    top, at, n = score, piece, size
+            last.append(at)
+            sizes.append(n)
+            best.append(top)
+
+    def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids (as 32-bit integers) of sorted distinct words: a depth-first walk of their trie."""
+        last, sizes, best = [NOTHING], [0], [0.0]
         before = ""
         for word in words:
-            shared = 0
-            for x, y in zip(before, word):  # noqa: B905  the shorter one ends the prefix
-                if x != y:
-                    break
-                shared += 1
-            del states[shared + 1 :]
-            (self._extend_bpe if bpe else self._extend_unigram)(word, states, shared)
+            if word.startswith(before):
+                shared = len(before)
+            else:
+                shared = 0
+                for x, y in zip(before, word):  # noqa: B905  they differ before either ends
+                    if x != y:
+                        break
+                    shared += 1
+                del last[shared + 1 :], sizes[shared + 1 :]
+            if self.model == BPE:
+                self._extend_bpe(word, last, sizes, shared)
+            else:
+                del best[shared + 1 :]
+                self._extend_unigram(word, last, sizes, best, shared)
             before = word
             ids: list[int] = []
             end = len(word)
             while end:
-                piece = states[end] if bpe else states[end][1]
-                at = self.known.get(piece)
-                if at is not None:
-                    ids.append(at)
+                if last[end] != NOTHING:
+                    ids.append(last[end])
                 else:
-                    ids.extend(self._bytes.get(b, self._unknown) for b in reversed(piece.encode("utf-8", "surrogatepass")))
-                end -= len(piece)
-            yield word, ids[::-1]
+                    ids.extend(self._bytes.get(b, self._unknown) for b in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
+                end -= sizes[end]
+            ids.reverse()
+            yield word, array("i", ids).tobytes()
 
     # whole texts
 
@@ -279,30 +289,22 @@ class Vocabulary:
             out += self._word.findall(marked if k else MARK + marked)
         return out
 
-    def encode(self, texts: list[str | None], remembered: dict[str, list[int]] | None = None) -> list[list[int] | None]:
+    def encode(self, texts: list[str | None], remembered: dict[str, bytes] | None = None) -> list[np.ndarray | None]:
         """Ids of each text of a batch."""
         remembered = {} if remembered is None else remembered
-        remembered[""] = [self._bytes.get(b, self._unknown) for b in MARK.encode()]
+        remembered[""] = array("i", [self._bytes.get(b, self._unknown) for b in MARK.encode()]).tobytes()
         cut = [None if t is None else self.split(t) for t in texts]
-        new = sorted({w for words in cut if words for w in words if w not in remembered})
+        new = sorted(set().union(*(words for words in cut if words)).difference(remembered))
         remembered.update(self.encode_sorted(new))
-        out: list[list[int] | None] = []
-        for words in cut:
-            ids: list[int] | None = None
-            if words is not None:
-                ids = []
-                for w in words:
-                    ids += remembered[w]
-            out.append(ids)
+        out = [None if words is None else np.frombuffer(b"".join(map(remembered.__getitem__, words)), np.int32) for words in cut]
         if len(remembered) > REMEMBERED:
             remembered.clear()
         return out
 
-    def decode(self, ids: list[int] | None) -> str | None:
+    def decode(self, ids: np.ndarray | list[int] | None) -> str | None:
         if ids is None:
             return None
-        raw = self._raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self._raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -312,8 +314,8 @@ def _encoder(shared):
         for batch in by_size(batches, "text", BATCH_CHARS):
             texts = column(batch, "text")
             got = vocabulary.encode(texts, remembered)
-            lists = int_lists([np.array(g or [], np.int32) for g in got])
-            if None in got:
+            lists = int_lists([np.zeros(0, np.int32) if g is None else g for g in got])
+            if any(g is None for g in got):
                 lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array([g is None for g in got]))
             same = [vocabulary.decode(g) == t for g, t in zip(got, texts, strict=True)]
             sizes = [None if g is None else len(g) for g in got]
