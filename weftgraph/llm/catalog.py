@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import chat, decontaminate, langmodel, licenses, linededup, neardup, sentencepieces, tiff, toxicity
+from weftgraph.llm import chat, decontaminate, langmodel, licenses, linededup, neardup, sentencepieces, tiff, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         "op5_tiff": tiff.op5_tiff,
         "op6_licenses": licenses.op6_licenses,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_urlfilter": urlfilter.op8_urlfilter,
         "op9_sentencepiece": sentencepieces.op9_sentencepiece,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": linededup.ORACLE,
         "op4_chat_format": chat.ORACLE,
+        "op8_urlfilter": urlfilter.ORACLE,
     }
