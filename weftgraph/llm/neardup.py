@@ -148,12 +148,11 @@ class _Search:
         close = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")  # else the sizes alone rule it out
         near = self.scratch.put(pairs.join(side("a"), "a").join(side("b"), "b").where(close).mapInArrow(_pruner(self.percent), "a bigint, b bigint"), "near")
         ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        ids = self.scratch.put(ids, "ids")
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        few = 2 * near.count() <= BROADCAST_IDS
         texts = self.scratch.put(self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
         one, two = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-        links = self.scratch.put(near.join(one, "a").join(two, "b").mapInArrow(_verifier(self.width, self.percent), "a bigint, b bigint").distinct(), "links")
-        self.scratch.drop(near, ids, texts)
+        links = self.scratch.put(near.join(one, "a").join(two, "b").mapInArrow(_verifier(self.width, self.percent), "a bigint, b bigint"), "links")
+        self.scratch.drop(near, texts)
         return links
 
     def residue(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +174,7 @@ class _Search:
         members = self.sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "sum", "xor")
         several = members.groupBy("doc_id").agg(F.min(F.xxhash64("n_shingles", "sum", "xor")).alias("x"), F.max(F.xxhash64("n_shingles", "sum", "xor")).alias("y")).where("x <> y").select("doc_id")
         ties = members.join(several, "doc_id").join(self.classes.select("id", "n_shingles", "sum", "xor"), ["n_shingles", "sum", "xor"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-        links = links.unionByName(ties)
+        links = links.unionByName(self.scratch.put(ties, "ties"))
         groups = self.groups(links)
         rows, total = self.residue(groups)
         for turn in range(PIVOT_ROUNDS):
