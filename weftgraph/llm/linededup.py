@@ -80,7 +80,9 @@ def _ranked(scratch: Scratch, rows: DataFrame, by: list[str], level: int) -> Dat
     classes = rows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*by)
     # Sorted over all partitions by a unique key, so the growing id is a rank, and a task run anew gives it again.
     ranks = classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id())
-    return scratch.put(rows.join(ranks, by).drop(*by), f"suffixes{level}")
+    out = rows.join(ranks, by).drop(*by)
+    # Rows that repeat a document give its lines once more; from level 0 on, a place is there once.
+    return scratch.put(out.dropDuplicates(list(PLACE)) if level == 0 else out, f"suffixes{level}")
 
 
 def suffix_levels(scratch: Scratch, lines: DataFrame, least: int):
@@ -103,16 +105,13 @@ def _runs_of_level(rows: DataFrame, repeated: DataFrame, level: int) -> DataFram
     """
     low = 1 << level
     fits = lambda c: F.col(c).between(low, 2 * low - 1)
-    runs = (
-        rows.where(fits("ahead")).select("d", "h", "pos", F.col("ahead").alias("n"))
-        .unionByName(repeated.where(fits("behind")).select("d", "h", "pos", F.col("behind").alias("n")).withColumn("pos", F.col("pos") - F.col("n") + 1))
-        .distinct()
-    )
+    ahead = rows.where(fits("ahead")).select(*PLACE, F.col("ahead").alias("n"), F.col("rank").alias("r1"))
     if level == 0:
-        return runs.join(rows.select(*PLACE, F.col("rank").alias("r1")).distinct(), list(PLACE)).withColumn("r2", F.col("r1"))
-    heads = rows.select(*PLACE, F.col("rank").alias("r1")).distinct()
-    tails = rows.select("d", "h", F.col("pos").alias("tail"), F.col("rank").alias("r2")).distinct()
-    return runs.join(heads, list(PLACE)).withColumn("tail", F.col("pos") + F.col("n") - low).join(tails, ["d", "h", "tail"]).drop("tail")
+        return ahead.withColumn("r2", F.col("r1"))  # a run of one line reaches as far back as ahead
+    back = repeated.where(fits("behind")).select("d", "h", (F.col("pos") - F.col("behind") + 1).alias("pos"), F.col("behind").alias("n"))
+    runs = ahead.unionByName(back.join(rows.select(*PLACE, F.col("rank").alias("r1")), list(PLACE)))
+    tails = rows.select("d", "h", F.col("pos").alias("tail"), F.col("rank").alias("r2"))
+    return runs.withColumn("tail", F.col("pos") + F.col("n") - low).join(tails, ["d", "h", "tail"]).drop("tail")
 
 
 def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -124,6 +123,7 @@ def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         repeated = rows if level == 0 else repeated
         part = _runs_of_level(rows, repeated, level)
         found = part if found is None else found.unionByName(part)
+    found = scratch.put(found, "runs")
     named = ["n", "r1", "r2"]
     place = F.struct(*PLACE)
     first = found.groupBy(*named).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
