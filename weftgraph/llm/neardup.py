@@ -11,8 +11,11 @@
 4. Components of the verified links are found. A bucket whose members are all in
    one component is done. In the others, every member outside the bucket's
    largest component is compared with every member of another component, so no
-   pair that could join two components is left out. Before that, further pivot
-   rounds shrink buckets that would give many pairs.
+   pair that could join two components is left out. Buckets are dealt to tasks
+   in blocks of bounded size, in which pairs are pruned by the same posterior
+   bounds and verified; only links leave a block, and a pair that shares several
+   buckets is taken in the first. Where buckets would give very many pairs,
+   further pivot rounds shrink them before, as long as that helps.
 
 Banding misses a pair at similarity 0.8 with a probability of about 5e-6, and
 pruning with at most `MISS` per batch.
@@ -46,8 +49,10 @@ PERCENT = 80
 #: Ids that may be broadcast to pick texts out of the table (16 MB); beyond it, a shuffled join does.
 BROADCAST_IDS = 1_000_000
 #: Residual pairs for each bucket row above which another pivot round is taken first, and the most such rounds.
-CROWDED = 8
+CROWDED = 100
 PIVOT_ROUNDS = 4
+#: Rows of a bucket that one block compares with one another: those outside its largest component, and all.
+OUTSIDE_ROWS, ALL_ROWS = 256, 512
 
 MULTIPLIERS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -91,18 +96,55 @@ def least_matches(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
     return out
 
 
+def unpruned(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """Which rows of two signature tables may still reach the threshold, batch after batch."""
+    alive, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for n, least in bounds:
+        equal = equal + (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(axis=1)
+        stays = equal >= least
+        alive, equal = alive[stays], equal[stays]
+    return alive
+
+
 def _pruner(percent: int):
     bounds = least_matches(percent)
 
     def run(batches):
         for batch in pieces(batches, 4096):
             a, b = (np.frombuffer(b"".join(column(batch, c)), np.uint16).reshape(-1, PERMUTATIONS) for c in ("signature_a", "signature_b"))
-            alive, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
-            for n, least in bounds:
-                equal = equal + (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(axis=1)
-                stays = equal >= least
-                alive, equal = alive[stays], equal[stays]
-            yield batch.select(["a", "b"]).take(pa.array(alive, pa.int64()))
+            yield batch.select(["a", "b"]).take(pa.array(unpruned(a, b, bounds), pa.int64()))
+
+    return run
+
+
+def _block(width: int, percent: int):
+    """Links between the rows of a block that lie outside their bucket's largest component and all its rows."""
+    bounds = least_matches(percent)
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, component, largest, size, band = (rows.column(c).to_numpy() for c in ("id", "component", "largest", "n_shingles", "band"))
+        outside = rows.column("outside").to_numpy()
+        signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
+        texts, sets = rows.column("text"), {}
+        get = lambda k: sets[k] if k in sets else sets.setdefault(k, shingle_set(texts[k].as_py(), width))
+        every = np.flatnonzero(~outside)
+        found = []
+        for x in np.flatnonzero(outside).tolist():
+            y = every[(component[every] != component[x]) & ((component[every] == largest[x]) | (ids[every] > ids[x]))]
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            y = y[unpruned(np.broadcast_to(signatures[x], (len(y), PERMUTATIONS)), signatures[y], bounds)]
+            if len(y):
+                shared = (signatures[y] == signatures[x]).reshape(len(y), BANDS, ROWS).all(axis=2)
+                y = y[shared.argmax(axis=1) == band[x]]  # else another bucket has the pair before
+            if not len(y):
+                continue
+            own, others = get(x), [get(k) for k in y.tolist()]
+            at = np.searchsorted(own, joined := np.concatenate(others))
+            at[at == len(own)] = 0
+            common = np.add.reduceat(own[at] == joined, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+            linked = 100 * common >= percent * (len(own) + np.array([len(o) for o in others]) - common)
+            found += [(int(ids[x]), int(ids[k])) for k in y[linked]]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
@@ -135,10 +177,10 @@ class _Search:
         )
         key = ["n_shingles", "sum", "xor"]
         given = self.sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        # Equal sets have equal signatures, so the signature can be part of the key.
+        # Equal sets have equal hashes, so these can be part of the key.
         self.classes = self.scratch.put(given.groupBy(*key, "signature").agg(F.min("doc_id").alias("id")), "classes")
-        band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("signature").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-        bands = self.classes.select("id", "n_shingles", band.alias("bucket"))
+        band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("signature").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
+        bands = self.classes.select("id", "n_shingles", band.alias("band", "bucket"))
         shared = bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("bucket", "pivot")
         self.buckets = self.scratch.put(bands.join(shared, "bucket"), "buckets")
 
@@ -147,19 +189,37 @@ class _Search:
         side = lambda s: self.classes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("signature").alias(f"signature_{s}"))
         close = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")  # else the sizes alone rule it out
         near = self.scratch.put(pairs.join(side("a"), "a").join(side("b"), "b").where(close).mapInArrow(_pruner(self.percent), "a bigint, b bigint"), "near")
-        ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        few = 2 * near.count() <= BROADCAST_IDS
-        texts = self.scratch.put(self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+        texts = self.texts(near.select(F.explode(F.array("a", "b")).alias("doc_id")), 2 * near.count())
         one, two = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
         links = self.scratch.put(near.join(one, "a").join(two, "b").mapInArrow(_verifier(self.width, self.percent), "a bigint, b bigint"), "links")
         self.scratch.drop(near, texts)
         return links
 
+    def texts(self, ids: DataFrame, most: int) -> DataFrame:
+        """Texts of the ids, of which there are `most` at most."""
+        ids = ids.distinct()
+        return self.scratch.put(self.docs.join(F.broadcast(ids) if most <= BROADCAST_IDS else ids, "doc_id", "left_semi"), "texts")
+
+    def verified_in_blocks(self, rows: DataFrame, n: int) -> DataFrame:
+        """Links between components within buckets. rows: the residue, of n rows."""
+        blocks = lambda count, most: F.ceil(F.col(count) / most).cast("int")
+        given = rows.withColumns({"i": blocks("apart", OUTSIDE_ROWS), "j": blocks("all", ALL_ROWS)})
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        dealt = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c)).cast("int")
+        columns = ["bucket", "band", "id", "n_shingles", "component", "largest"]
+        x = given.where("component <> largest").select(*columns, dealt("i", 0).alias("x"), each("j").alias("y"), F.lit(True).alias("outside"))
+        y = given.select(*columns, dealt("j", 1).alias("y"), each("i").alias("x"), F.lit(False).alias("outside"))
+        texts = self.texts(rows.select(F.col("id").alias("doc_id")), n)
+        full = x.unionByName(y).join(self.classes.select("id", "signature"), "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+        links = self.scratch.put(full.groupBy("bucket", "x", "y").applyInArrow(_block(self.width, self.percent), "a bigint, b bigint"), "links")
+        self.scratch.drop(texts)
+        return links
+
     def residue(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of the buckets that hold several components, with each bucket's size and largest component."""
-        rows = self.buckets.join(groups, F.col("id") == F.col("node"), "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        rows = self.buckets.join(groups, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
         sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        split = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1").withColumn("apart", F.col("all") - F.col("most")).drop("parts", "most")
         rows = self.scratch.put(rows.join(split, "bucket"), "residue")
         total = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("component") != F.col("largest"), F.col("all"))), F.lit(0)).alias("pairs")).first()
         return rows, total
@@ -185,14 +245,12 @@ class _Search:
             links = links.unionByName(self.verified(more))
             self.scratch.drop(rows)
             groups = self.groups(links)
+            before = total["pairs"]
             rows, total = self.residue(groups)
+            if total["pairs"] > 0.8 * before:
+                break
         if total["pairs"]:
-            x = rows.where("component <> largest").select("bucket", F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("component_a"), "largest")
-            y = rows.select("bucket", F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("component_b"))
-            apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-            close = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-            rest = x.join(y, "bucket").where(apart & close).select("a", "b").distinct()
-            links = links.unionByName(self.verified(rest))
+            links = links.unionByName(self.verified_in_blocks(rows, total["rows"]))
             groups = self.groups(links)
         return groups.withColumnRenamed("node", "id")
 
