@@ -141,27 +141,46 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     few = runs.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     given = _doc_key(docs)
     joined = given.join(F.broadcast(runs) if few else runs, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")), "left")
-    lines = F.split("text", "\n")
-    filled = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _filled(F.get("_lines", i)))
-    # Between the deleted ranges lie the kept ones: from the end of the range before to the start of the next.
-    gone = F.transform("runs", lambda r: F.struct(F.get("_filled", r["from"]).alias("from"), F.get("_filled", r["to"]).alias("to")))
-    start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("_gone", k - 1)["to"] + 1)
-    stop = lambda k: F.coalesce(F.get("_gone", k)["from"], F.size("_lines"))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda k: F.slice("_lines", start(k) + 1, stop(k) - start(k))))
-    # Nothing is split twice: only rows with a copy go through the arrays.
     changed = F.col("runs").isNotNull()
-    out = (
-        joined.withColumn("_lines", F.when(F.length("text") > 0, lines).otherwise(F.array().cast("array<string>")))
-        .withColumn("_filled", F.when(changed, filled))
-        .withColumn("_gone", F.when(changed, gone))
-        .withColumn("_kept", F.when(changed, kept))
-    )
-    return out.select(
-        *(F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        F.when(changed, F.size("_lines") - F.size("_kept")).otherwise(0).cast("bigint").alias("n_deleted"),
-        F.when(changed, F.exists("_kept", _filled)).otherwise(True).alias("has_text"),
-    )
+    new = F.when(changed, _without(F.col("text"), F.col("runs")))
+    rows = joined.withColumn("_new", new)
+    n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("bigint")
+    return rows.select(
+        *(F.when(changed, F.col("_new.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        n_lines.alias("n_lines"), F.when(changed, n_lines - F.col("_new.n")).otherwise(0).cast("bigint").alias("n_deleted"), F.coalesce("_new.has_text", F.lit(True)).alias("has_text"),
+    )
+
+
+def _let(value: Column, *steps) -> Column:
+    """Applies the steps one after the other. Each one's input is bound as a lambda's variable, so it is computed once
+    even where the optimiser moves the expression, and not once for each place that reads it."""
+    box = F.array(value)
+    for step in steps:
+        box = F.transform(box, step)
+    return F.get(box, 0)
+
+
+def _without(text: Column, runs: Column) -> Column:
+    """text, n (lines) and has_text of a text without the ranges of its non-blank lines."""
+
+    def places(s: Column) -> Column:
+        filled = F.filter(F.sequence(F.lit(0), F.size(s["lines"]) - 1), lambda i: _filled(F.get(s["lines"], i)))
+        return F.struct(s["lines"].alias("lines"), s["runs"].alias("runs"), filled.alias("filled"))
+
+    def gone(s: Column) -> Column:
+        ranges = F.transform(s["runs"], lambda r: F.struct(F.get(s["filled"], r["from"]).alias("from"), F.get(s["filled"], r["to"]).alias("to")))
+        return F.struct(s["lines"].alias("lines"), ranges.alias("gone"))
+
+    def kept(s: Column) -> Column:
+        # Between the deleted ranges lie the kept ones: from the end of the range before to the start of the next.
+        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(s["gone"], k - 1)["to"] + 1)
+        stop = lambda k: F.coalesce(F.get(s["gone"], k)["from"], F.size(s["lines"]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["gone"])), lambda k: F.slice(s["lines"], start(k) + 1, stop(k) - start(k))))
+
+    def joined(lines: Column) -> Column:
+        return F.struct(F.array_join(lines, "\n").alias("text"), F.size(lines).alias("n"), F.exists(lines, _filled).alias("has_text"))
+
+    return _let(F.struct(F.split(text, "\n").alias("lines"), runs.alias("runs")), places, gone, kept, joined)
 
 
 def clean_documents(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
