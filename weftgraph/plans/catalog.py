@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from weftgraph.plans import queries_graph, queries_text, queries_write
+
+_PARTS = (queries_graph, queries_write, queries_text)
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}
