@@ -116,7 +116,8 @@ def repo_in_question(q: Column) -> Column:
 def commit_limit(q: Column) -> Column:
     """The first number of the question, 20 at most; 10 without one."""
     number = F.nullif(F.regexp_extract(q, r"(?U)\b(\d+)\b", 1), F.lit(""))
-    return F.when(F.length(number) > 9, X.RECENT_MOST).otherwise(F.coalesce(F.least(F.try_to_number(number, F.lit("999999999")).cast("int"), F.lit(X.RECENT_MOST)), F.lit(X.RECENT_DEFAULT)))
+    value = F.when(F.length(number) > 9, X.RECENT_MOST).otherwise(F.try_to_number(number, F.lit("999999999")).cast("int"))
+    return F.when(value.isNull(), X.RECENT_DEFAULT).otherwise(F.least(value, F.lit(X.RECENT_MOST)))
 
 
 def shas(q: Column) -> Column:

@@ -229,7 +229,7 @@ _SIGNALS = {
     "commit_gate": _any(router.COMMIT_WORDS),
     "recency": _any(router.RECENT_WORDS),
     "repo_hint": f"nullif(regexp_extract(q, '{_re(router.PAIR)}', 1), '')",
-    "commit_limit": "CAST(coalesce(least(TRY_CAST(nullif(regexp_extract(q, '\\b(\\d+)\\b', 1), '') AS BIGINT), 20), 10) AS INTEGER)",
+    "commit_limit": "CASE WHEN regexp_matches(q, '\\b\\d+\\b') THEN CAST(least(CAST(regexp_extract(q, '\\b(\\d+)\\b', 1) AS BIGINT), 20) AS INTEGER) ELSE 10 END",
     "shas": f"array_to_string(list_filter({_duck_all(router.SHA)}, lambda s, i: list_position({_duck_low(router.SHA)}, lower(s)) = i), '|')",
     "commit_files": f"regexp_matches(q, '{_re(router.COMMIT_FILES)}') AND contains(lower(q), 'commit')",
 }
@@ -360,3 +360,79 @@ def commit_payloads(spark, sf):
 def embeddings_offline(spark, sf):
     """The hash embedding of every document."""
     return table(spark, sf, "documents").select("doc_id", readers.embed(F.col("text")).alias("embedding"))
+
+
+# Whole questions over both graphs
+
+
+def corpus(spark, sf):
+    """The change graph's commits and files beside the text graph's functions, stored once as questions find them."""
+    from weftgraph.plans.materialize import Scratch
+    from weftgraph.plans.retrieve import Corpus
+
+    keep = Scratch(spark, "corpus").put
+    g = change_graph(spark, sf)
+    texts = text_nodes(spark, sf).withColumn("full_name", F.lit(None).cast("string")).drop("doc_id")
+    nodes = g.node_view("File", "Function", "Module").withColumn("embedding", F.lit(None).cast("array<float>")).unionByName(texts)
+    edges = g.edge_view("CALLS", "DEPENDS_ON").select("src", "type", "dst", "is_active").unionByName(text_edges(spark, sf))
+    parts = {"nodes": nodes, "edges": edges, "commits": commit_table(g), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
+    return Corpus(**{name: keep(rows, name) for name, rows in parts.items()})
+
+
+QUESTIONS = (
+    "who changed doc_17?", "show the last 5 commits of AFRICA/NATION_0", "what files did commit e4da3b7 change?", "what depends on Supplier#000000007 if we remove the license field?",
+    "find commits about urgent fixes",
+)
+
+
+@_query()
+def hybrid_retrieve(spark, sf):
+    """Five questions routed, retrieved and put together as text."""
+    from weftgraph.plans import retrieve
+
+    c, vector, out = corpus(spark, sf), _question_vector(spark, sf), None
+    for question in QUESTIONS:
+        one = retrieve.assemble(retrieve.retrieve_rows(c, question, vector=vector)).withColumn("question", F.lit(question))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query()
+def hybrid_rows(spark, sf):
+    """The retrieved rows of the question with the most stages."""
+    from weftgraph.plans import retrieve
+
+    return retrieve.retrieve_rows(corpus(spark, sf), "who changed the last commit that moved package blue?", vector=_question_vector(spark, sf))
+
+
+# Streams: the same results as over the tables at rest
+
+
+def _streamed(spark, sf, run):
+    from weftgraph.plans.materialize import Scratch
+
+    scratch = Scratch(spark, "stream")
+    rows = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")  # a pattern may name a file or a folder
+    return run(rows, scratch.home)
+
+
+@_query("SELECT user_id, arg_min(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def stream_upsert(spark, sf):
+    from weftgraph.streaming import upserts
+
+    def run(rows, home):
+        upserts.run_to_end(lambda: upserts.stream_upsert(rows, f"{home}/table", f"{home}/checkpoint", ["user_id"], ["event_type"], ["value"], "event_id"))
+        return upserts.Versions(spark, f"{home}/table").latest().select("user_id", "event_type", "value")
+
+    return _streamed(spark, sf, run)
+
+
+@_query("SELECT DISTINCT user_id FROM events")
+def stream_incremental(spark, sf):
+    from weftgraph.streaming import upserts
+
+    def run(rows, home):
+        upserts.run_to_end(lambda: upserts.stream_new(rows, f"{home}/table", f"{home}/checkpoint", "user_id"))
+        return upserts.Versions(spark, f"{home}/table").latest().select("user_id")
+
+    return _streamed(spark, sf, run)
