@@ -38,8 +38,13 @@ _NO_ID = -(2**63)
 _BLANK = " \t\r"
 
 
-def _doc_key(df: DataFrame) -> DataFrame:
-    return df.withColumns({"_d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)), "_h": F.xxhash64("text")})
+#: Columns that deduplication adds.
+_MADE = ("_weft_n_lines", "_weft_n_deleted", "_weft_has_text")
+
+
+def _number(doc_id: Column) -> Column:
+    """The doc_id, with null as the least number."""
+    return F.coalesce(doc_id.cast("bigint"), F.lit(_NO_ID))
 
 
 def _filled(line: Column) -> Column:
@@ -61,7 +66,7 @@ def _reach(words: Column, at: Column, least: int, back: bool) -> Column:
 
 def line_table(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """One row per non-blank line: d, h, pos, two hashes of the line, and how far its shortest runs reach."""
-    lines = _doc_key(docs.select("doc_id", "text")).where("text IS NOT NULL").select("_d", "_h", F.filter(F.split("text", "\n"), _filled).alias("lines"))
+    lines = docs.where("text IS NOT NULL").select(_number(F.col("doc_id")).alias("_d"), F.xxhash64("text").alias("_h"), F.filter(F.split("text", "\n"), _filled).alias("lines"))
     spaces = lambda x: (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("bigint")
     counted = lines.select("_d", "_h", "lines", F.transform("lines", spaces).alias("words"))
     entry = F.transform(
@@ -135,22 +140,28 @@ def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return scratch.put(merged.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs")), "copies")
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """The rows with `text` cleaned, and two columns: n_lines, all lines of the text, and n_deleted."""
-    runs = later_copies(docs, least)
+def _dedup(docs: DataFrame, least: int) -> DataFrame:
+    """The rows with `text` cleaned, beside _MADE: all lines of the text, deleted ones, and whether any text is left."""
+    runs = later_copies(docs, least).select(F.col("d").alias("_weft_d"), F.col("h").alias("_weft_h"), F.col("runs").alias("_weft_runs"))
     few = runs.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    given = _doc_key(docs)
-    joined = given.join(F.broadcast(runs) if few else runs, (F.col("_d") == F.col("d")) & (F.col("_h") == F.col("h")), "left")
-    changed = F.col("runs").isNotNull()
-    new = F.when(changed, _without(F.col("text"), F.col("runs")))
-    rows = joined.withColumn("_new", new)
+    key = (_number(F.col("doc_id")) == F.col("_weft_d")) & (F.xxhash64("text") == F.col("_weft_h"))
+    joined = docs.join(F.broadcast(runs) if few else runs, key, "left")
+    changed = F.col("_weft_runs").isNotNull()
+    rows = joined.withColumn("_weft_new", F.when(changed, _without(F.col("text"), F.col("_weft_runs"))))
     n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("bigint")
     return rows.select(
-        *(F.when(changed, F.col("_new.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        n_lines.alias("n_lines"), F.when(changed, n_lines - F.col("_new.n")).otherwise(0).cast("bigint").alias("n_deleted"), F.coalesce("_new.has_text", F.lit(True)).alias("has_text"),
+        *(F.when(changed, F.col("_weft_new.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        n_lines.alias(_MADE[0]), F.when(changed, n_lines - F.col("_weft_new.n")).otherwise(0).cast("bigint").alias(_MADE[1]), F.coalesce("_weft_new.has_text", F.lit(True)).alias(_MADE[2]),
     )
 
 
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """The rows with `text` cleaned, and three columns, in the place of any so named: n_lines, n_deleted, has_text."""
+    names = [m.removeprefix("_weft_") for m in _MADE]
+    out = _dedup(docs, least).drop(*names)
+    return out.withColumnsRenamed(dict(zip(_MADE, names, strict=True)))
+
+
 def _let(value: Column, *steps) -> Column:
     """Applies the steps one after the other. Each one's input is bound as a lambda's variable, so it is computed once
     even where the optimiser moves the expression, and not once for each place that reads it."""
@@ -185,10 +196,10 @@ def _without(text: Column, runs: Column) -> Column:
 
 def clean_documents(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """The documents without repeated runs; those that only copied others go. `n_chars` follows the text."""
-    out = dedup_lines(docs.select([c for c in docs.columns if c not in ("n_lines", "n_deleted", "has_text")]), least).where("has_text")
+    out = _dedup(docs, least).where(F.col(_MADE[2]))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(out[c] if c in out.columns else F.lit(None).alias(c) for c in docs.columns))
+        out = out.withColumn("n_chars", F.when(F.col(_MADE[1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
