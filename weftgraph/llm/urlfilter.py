@@ -70,10 +70,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> D
         (asked["pattern"] == spans["pattern"]) & (asked["month"] == spans["month"])
         & (F.col("fetched_at") >= F.col("active_from").cast("timestamp")) & (F.col("active_to").isNull() | (F.col("fetched_at") < F.col("active_to").cast("timestamp")))
     )
-    met = asked.join(spans, holds, "left")
-    return met.groupBy(key, "url", "fetched_at").agg(
-        (F.count("list") > 0).alias("blocked"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"),
-        F.count("list").alias("n_entries"), F.max("active_from").alias("newest_entry"),
+    met = asked.join(spans, holds, "left").withColumn("entry", F.when(F.col("list").isNotNull(), F.struct("list", asked["pattern"])))
+    hits = met.groupBy(key, "url", "fetched_at").agg(F.collect_set("entry").alias("hits"), F.max("active_from").alias("newest_entry"))
+    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["list"])))
+    return hits.select(
+        key, "url", "fetched_at", (F.size("hits") > 0).alias("blocked"), F.array_join(names, ",").alias("lists"), F.size("hits").cast("bigint").alias("n_entries"), "newest_entry"
     )
 
 
