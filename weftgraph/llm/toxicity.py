@@ -10,7 +10,7 @@ alone never scores: the clause that it stands in does.
 
 Insult stems beyond the seed lexicon are induced from labelled rows: shortest
 word beginnings (or whole words) that stand in enough toxic texts and in nearly
-no other. Event weights are fitted by ridge regression around prior weights.
+no other; seeds that stand mostly in clean texts are dropped. Event weights are fitted by ridge regression around prior weights.
 Both use at most `FIT_ROWS` labelled rows of the training folds, taken in
 the order of a hash of doc_id; rows that are near copies of another count once.
 
@@ -66,7 +66,7 @@ REPORTS = "said says wrote writes called calls claimed claims quoted quotes repo
 CLASSES = ("insult", "threat", "target", "negation", "report", "other")
 EVENTS = tuple(f"{kind}{context}" for kind in ("insult", "threat") for context in ("", "+target", "+negated", "+reported"))
 # Prior weights of the events, in the order of EVENTS.
-PRIOR = (2.6, 3.2, 0.4, 0.8, 0.3, 1.5, 0.1, 0.3)
+PRIOR = (3.6, 4.2, 0.4, 0.8, 0.3, 1.5, 0.1, 0.3)
 PRIOR_BIAS = -2.5
 #: Words after which a negation, and within which a target, still counts.
 REACH = 3
@@ -183,6 +183,7 @@ class Model:
     """Lexicon and weights; everything a task needs to score texts."""
 
     stems: list[str] = field(default_factory=list)
+    dropped: frozenset[str] = frozenset()
     bias: float = PRIOR_BIAS
     weights: tuple[float, ...] = PRIOR
 
@@ -190,11 +191,12 @@ class Model:
         self._ready = False
 
     def _prepare(self) -> None:
-        insults = sorted(set(INSULTS.split()) | set(self.stems))
+        insults = sorted((set(INSULTS.split()) - self.dropped) | set(self.stems))
+        threats = set(THREATS.split()) - self.dropped
         # Only a clause with a hit is read word by word.
-        self._hit = re.compile(r"(?<![^\W\d_])" + _branch(sorted(set(insults) | set(THREATS.split()))))
+        self._hit = re.compile(r"(?<![^\W\d_])" + _branch(sorted(set(insults) | threats)))
         self._insult = re.compile(_branch(insults))
-        self._class = {w: c for c, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS)) for w in words.split()}
+        self._class = {w: c for c, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", " ".join(threats))) for w in words.split()}
         self._grammar = grammar()
         self._ready = True
 
@@ -294,23 +296,24 @@ def _beginnings(batches):
         )
 
 
-def induce_stems(sample: DataFrame) -> list[str]:
-    """Shortest beginnings (starred) and words that mark toxic texts, none covered by another."""
-    rows = (
-        sample.mapInArrow(_beginnings, "stem string, toxic bigint, clean bigint")
-        .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= STEM_SUPPORT) & (F.col("toxic") >= STEM_PURITY * (F.col("toxic") + F.col("clean"))))
-        .orderBy(F.desc("toxic"), "stem").limit(MAX_STEMS).collect()
-    )
+def induce_stems(sample: DataFrame) -> tuple[list[str], frozenset[str]]:
+    """Shortest beginnings (starred) and words that mark toxic texts, none covered by another; and seed words that don't.
+
+    A seed is dropped if it stands in `STEM_SUPPORT` clean texts or more and in more clean than toxic ones.
+    """
+    counted = sample.mapInArrow(_beginnings, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    marks = (F.col("toxic") >= STEM_SUPPORT) & (F.col("toxic") >= STEM_PURITY * (F.col("toxic") + F.col("clean")))
+    against = F.col("stem").isin(*INSULTS.split(), *THREATS.split()) & (F.col("clean") >= STEM_SUPPORT) & (F.col("clean") > F.col("toxic"))
+    rows = counted.where(marks | against).withColumn("marks", marks).orderBy(F.col("marks"), F.desc("toxic"), "stem").limit(MAX_STEMS).collect()
     stems: list[str] = []
     beginnings: set[str] = set()
-    for stem in sorted((r["stem"] for r in rows), key=lambda s: (len(s.rstrip("*")), not s.endswith("*"), s)):
+    for stem in sorted((r["stem"] for r in rows if r["marks"]), key=lambda s: (len(s.rstrip("*")), not s.endswith("*"), s)):
         word = stem.rstrip("*")
         if not any(word[:n] in beginnings for n in range(1, len(word) + 1)):
             stems.append(stem)
             if stem.endswith("*"):
                 beginnings.add(word)
-    return stems
+    return stems, frozenset(r["stem"] for r in rows if not r["marks"])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, tuple[float, ...]]:
@@ -347,7 +350,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT
     sketches = [(r["doc_id"], r["keys"]) for r in labelled.mapInArrow(_sketches, "doc_id bigint, keys array<bigint>").collect()]  # of `rows` rows at most
     ids = spark.createDataFrame([(i,) for i in one_of_each(sketches)], "doc_id bigint")
     sample = scratch.put(labelled.join(F.broadcast(ids), "doc_id"), "sample")
-    model = Model(stems=induce_stems(sample))
+    model = Model(*induce_stems(sample))
     got = sample.mapInArrow(_features(spark.sparkContext.broadcast(model)), "toxic int, x array<double>").collect()
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(EVENTS))
     model.bias, model.weights = fit_weights(x, np.array([float(r["toxic"] > 0) for r in got]))
