@@ -49,8 +49,12 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Stands for no piece: the start of a word, or a character outside the vocabulary.
 NOTHING = 1 << 31
-#: Words whose ids a task remembers from batch to batch.
-REMEMBERED = 250_000
+#: Pairs of pieces of which a task remembers whether they can be neighbours.
+MOST_PAIRS = 500_000
+#: Steps of the automaton that are kept beside those of its trie.
+MOST_SHORTCUTS = 200_000
+#: Words after which a task begins to forget those not used since.
+REMEMBERED = 100_000
 #: Text encoded together: the more, the more prefixes are shared. A longer text is a batch of its own.
 BATCH_CHARS = 3_000_000
 
@@ -84,6 +88,19 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
+@dataclass
+class Memory:
+    """Ids of words that earlier batches had: those used of late, and those of the time before."""
+
+    known: dict[str, bytes] = field(default_factory=dict)
+    before: dict[str, bytes] = field(default_factory=dict)
+
+    def turn(self) -> None:
+        """Forgets what was used in neither time."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+
+
 @dataclass
 class Vocabulary:
     """Pieces, scores and kind of a model, with the tables of the forward pass."""
@@ -115,12 +132,8 @@ class Vocabulary:
         self.known = {t: i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self._bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
         self._unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
-        out: dict[str, set[int]] = {}
-        for t in self.known:
-            if len(t) > 1:
-                out.setdefault(t[-2:], set()).add(len(t))
-        #: Lengths of the pieces that end in these two characters, longest first.
-        self._lengths = {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
+        self._shortcuts: set[tuple[int, str]] = set()
+        self._automaton()
         self._beside: dict[int, bool] = {}
         self._halves: dict[str, tuple[str, str] | None] = {}
         ranks: dict[float, list[str]] = {}
@@ -135,6 +148,40 @@ class Vocabulary:
         stop = f"{MARK}{self._line}"
         self._word = re.compile(f"{MARK}*[^{stop}]+|{MARK}+" + (f"|{self._line}" if self._line else ""))
 
+    def _automaton(self) -> None:
+        """States that know which pieces of two characters or more end at a character, longest first."""
+        self._next: list[dict[str, int]] = [{}]
+        self._ends: list[tuple[tuple[int, int], ...]] = [()]
+        self._back = [0]
+        for text, at in self.known.items():
+            node = 0
+            for ch in text:
+                if ch not in self._next[node]:
+                    self._next[node][ch] = len(self._next)
+                    self._next.append({})
+                    self._ends.append(())
+                    self._back.append(0)
+                node = self._next[node][ch]
+            if len(text) > 1:
+                self._ends[node] = ((len(text), at),)
+        level = list(self._next[0].values())
+        while level:  # shorter ends come from the state of the longest proper suffix
+            deeper = []
+            for node in level:
+                self._ends[node] += self._ends[self._back[node]]
+                for ch, child in self._next[node].items():
+                    self._back[child] = self._step(self._back[node], ch)
+                    deeper.append(child)
+            level = deeper
+
+    def _step(self, node: int, ch: str) -> int:
+        """The state after one more character; what is found on the way back is kept."""
+        got = self._next[node].get(ch)
+        while got is None and node:
+            node = self._back[node]
+            got = self._next[node].get(ch)
+        return got or 0
+
     # BPE: merges and compatible neighbours
 
     def merge(self, text: str) -> list[str]:
@@ -201,7 +248,7 @@ class Vocabulary:
 
     def _fits(self, before: int, at: int) -> bool:
         """Whether a piece can follow another, or stand first or after an unknown character (NOTHING), in a finished encoding."""
-        if len(self._beside) > 2_000_000:
+        if len(self._beside) > MOST_PAIRS:
             self._beside.clear()
         b = self.texts[at]
         if before == NOTHING:
@@ -212,22 +259,30 @@ class Vocabulary:
         self._beside[before << 32 | at] = got
         return got
 
-    def _extend_bpe(self, word: str, last: list[int], sizes: list[int], start: int) -> None:
+    def _extend_bpe(self, word: str, last: list[int], sizes: list[int], nodes: list[int], start: int) -> None:
         """Appends, for each prefix longer than `start`, the id and length of its encoding's last piece."""
-        known, lengths, fits = self.known.get, self._lengths.get, self._beside.get
+        single, fits, after, ends = self.known.get, self._beside.get, self._next, self._ends
+        node = nodes[start]
         for end in range(start + 1, len(word) + 1):
-            for n in lengths(word[end - 2 : end], ()) if end > 1 else ():
+            ch = word[end - 1]
+            then = after[node].get(ch)
+            if then is None:
+                then = self._step(node, ch)
+                if len(self._shortcuts) < MOST_SHORTCUTS:
+                    self._shortcuts.add((node, ch))
+                    after[node][ch] = then
+            node = then
+            for n, at in ends[node]:
                 if n <= end:
-                    at = known(word[end - n : end])
-                    if at is not None:
-                        before = last[end - n]
-                        ok = fits(before << 32 | at)
-                        if ok or (ok is None and self._fits(before, at)):
-                            break
+                    before = last[end - n]
+                    ok = fits(before << 32 | at)
+                    if ok or (ok is None and self._fits(before, at)):
+                        break
             else:  # one piece always fits, so it is the character itself
-                n, at = 1, known(word[end - 1], NOTHING)
+                n, at = 1, single(ch, NOTHING)
             last.append(at)
             sizes.append(n)
+            nodes.append(node)
 
     def _extend_unigram(self, word: str, last: list[int], sizes: list[int], best: list[float], start: int) -> None:
         """The same for the sequence of the best score, which `best` holds for each prefix."""
@@ -244,7 +299,7 @@ class Vocabulary:
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """The ids (as 32-bit integers) of sorted distinct words: a depth-first walk of their trie."""
-        last, sizes, best = [NOTHING], [0], [0.0]
+        last, sizes, nodes, best = [NOTHING], [0], [0], [0.0]
         before = ""
         for word in words:
             if word.startswith(before):
@@ -255,9 +310,9 @@ class Vocabulary:
                     if x != y:
                         break
                     shared += 1
-                del last[shared + 1 :], sizes[shared + 1 :]
+                del last[shared + 1 :], sizes[shared + 1 :], nodes[shared + 1 :]
             if self.model == BPE:
-                self._extend_bpe(word, last, sizes, shared)
+                self._extend_bpe(word, last, sizes, nodes, shared)
             else:
                 del best[shared + 1 :]
                 self._extend_unigram(word, last, sizes, best, shared)
@@ -289,16 +344,18 @@ class Vocabulary:
             out += self._word.findall(marked if k else MARK + marked)
         return out
 
-    def encode(self, texts: list[str | None], remembered: dict[str, bytes] | None = None) -> list[np.ndarray | None]:
+    def encode(self, texts: list[str | None], memory: Memory | None = None) -> list[np.ndarray | None]:
         """Ids of each text of a batch."""
-        remembered = {} if remembered is None else remembered
-        remembered[""] = array("i", [self._bytes.get(b, self._unknown) for b in MARK.encode()]).tobytes()
+        memory = memory or Memory()
+        known = memory.known
+        known[""] = array("i", [self._bytes.get(b, self._unknown) for b in MARK.encode()]).tobytes()
         cut = [None if t is None else self.split(t) for t in texts]
-        new = sorted(set().union(*(words for words in cut if words)).difference(remembered))
-        remembered.update(self.encode_sorted(new))
-        out = [None if words is None else np.frombuffer(b"".join(map(remembered.__getitem__, words)), np.int32) for words in cut]
-        if len(remembered) > REMEMBERED:
-            remembered.clear()
+        new = set().union(*(words for words in cut if words)).difference(known)
+        again = new & memory.before.keys()
+        known.update((w, memory.before[w]) for w in again)
+        known.update(self.encode_sorted(sorted(new - again)))
+        out = [None if words is None else np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
+        memory.turn()
         return out
 
     def decode(self, ids: np.ndarray | list[int] | None) -> str | None:
@@ -310,10 +367,10 @@ class Vocabulary:
 
 def _encoder(shared):
     def run(batches):
-        vocabulary, remembered = shared.value, {}
+        vocabulary, memory = shared.value, Memory()
         for batch in by_size(batches, "text", BATCH_CHARS):
             texts = column(batch, "text")
-            got = vocabulary.encode(texts, remembered)
+            got = vocabulary.encode(texts, memory)
             lists = int_lists([np.zeros(0, np.int32) if g is None else g for g in got])
             if any(g is None for g in got):
                 lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array([g is None for g in got]))
