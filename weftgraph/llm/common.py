@@ -93,6 +93,7 @@ def pieces(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
 
 def by_size(batches, name: str, most: int):
@@ -106,6 +107,7 @@ def by_size(batches, name: str, most: int):
                 start, held = at, 0
             held += size
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
