@@ -271,10 +271,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The documents without the near copies of an earlier doc_id, all columns kept."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_weft_gone")).distinct()
     gone = Scratch(docs.sparkSession, "neardup-gone").put(gone, "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_weft_gone"), "left_anti")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

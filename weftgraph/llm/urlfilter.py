@@ -103,7 +103,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page of the table against the entries active at its fetch time."""
     pages = table(spark, sf_dir, "pages")
-    return evaluate(captures_of(pages), entries_of(pages)).withColumn("fetched_at", F.col("fetched_at").cast("string"))
+    return evaluate(captures_of(pages), entries_of(pages)).withColumns({c: F.col(c).cast("string") for c in ("fetched_at", "newest_entry")})
 
 
 _DUCK_HEX = lambda a, n: f"CAST('0x' || substr(digest, {a}, {n}) AS INTEGER)"
@@ -131,6 +131,6 @@ WITH parsed AS (
   ON p.pattern = s.pattern AND p.fetched_at >= s.active_from AND (s.active_to IS NULL OR p.fetched_at < s.active_to)
 )
 SELECT p.page_id, p.url, strftime(p.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, count(m.list) > 0 AS blocked,
-  coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists, count(m.list) AS n_entries, max(m.active_from) AS newest_entry
+  coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists, count(m.list) AS n_entries, CAST(max(m.active_from) AS VARCHAR) AS newest_entry
 FROM parsed p LEFT JOIN met m ON p.page_id = m.page_id GROUP BY ALL
 """
