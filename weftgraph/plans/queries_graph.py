@@ -275,11 +275,11 @@ def hunk_overlap(spark, sf):
 # Row shapes and predicates
 
 
-@_query(_with("SELECT id, label, 'OWNER_' || upper(label) AS tag, CAST([] AS VARCHAR[]) AS connected FROM node WHERE label IN ('File', 'Module')"))
+@_query(_with("SELECT id, label, 'OWNER_' || upper(label) AS tag, CAST(0 AS INTEGER) AS n_connected FROM node WHERE label IN ('File', 'Module')"))
 def projections(spark, sf):
     """Labels, ids, prefixed tags and empty lists as columns."""
     nodes = _impact_graph(spark, sf)[0].where(F.col("label").isin("File", "Module"))
-    return nodes.select("id", "label", F.concat(F.lit("OWNER_"), F.upper("label")).alias("tag"), F.array().cast("array<string>").alias("connected"))
+    return nodes.select("id", "label", F.concat(F.lit("OWNER_"), F.upper("label")).alias("tag"), F.size(F.array().cast("array<string>")).alias("n_connected"))
 
 
 @_query(_with("SELECT type, count(*) AS n, count(DISTINCT src) AS sources FROM edge GROUP BY type"))

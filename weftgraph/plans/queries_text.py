@@ -279,8 +279,8 @@ def generic_imports(spark, sf):
     return imports.imports(imports.source_lines(files_, ["path"]), ["path"])
 
 
-@_query("""SELECT 'a' || n_nationkey || '.go' AS path, unnest(['fmt', 'github.com/x/y' || n_nationkey, 'os']) AS target_module, unnest([0, 1, 2]) AS ord FROM nation
-  UNION ALL SELECT 'm' || n_nationkey || '/go.mod', unnest(['github.com/a/b', 'github.com/c/d' || n_nationkey, 'github.com/e/f', '../local']), unnest([0, 1, 2, 3]) FROM nation""")
+@_query("""SELECT 'a' || n_nationkey || '.go' AS path, unnest(['fmt', 'github.com/x/y' || n_nationkey, 'os']) AS target_module, CAST(unnest([0, 1, 2]) AS BIGINT) AS ord FROM nation
+  UNION ALL SELECT 'm' || n_nationkey || '/go.mod', unnest(['github.com/a/b', 'github.com/c/d' || n_nationkey, 'github.com/e/f', '../local']), CAST(unnest([0, 1, 2, 3]) AS BIGINT) FROM nation""")
 def go_imports(spark, sf):
     """Imports and module requirements of made Go files, one of each kind per nation."""
     key = F.col("n_nationkey").cast("string")

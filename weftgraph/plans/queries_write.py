@@ -230,7 +230,7 @@ def _diff_files(spark, sf):
 @_query(f"WITH {_DIFF} SELECT sha, filename, status, additions, deletions, changes, rank, length(patch) AS patch_chars, md5(patch) AS patch_md5 FROM compact")
 def compact_diff(spark, sf):
     rows = patches.compact_diff(_diff_files(spark, sf))
-    return rows.select("sha", "filename", "status", "additions", "deletions", "changes", "rank", F.length("patch").alias("patch_chars"), F.md5("patch").alias("patch_md5"))
+    return rows.select("sha", "filename", "status", "additions", "deletions", "changes", F.col("rank").cast("bigint").alias("rank"), F.length("patch").cast("bigint").alias("patch_chars"), F.md5("patch").alias("patch_md5"))
 
 
 @_query(f"""WITH {_DIFF} SELECT sha, md5(string_agg('File: ' || filename || chr(10) || 'Status: ' || status || chr(10) || 'Additions: ' || additions || chr(10) || 'Deletions: ' || deletions || chr(10) || 'Patch:' || chr(10) || patch, chr(10) || chr(10) ORDER BY rank)) AS text_md5 FROM compact GROUP BY sha""")
