@@ -209,7 +209,7 @@ def path_parts(spark, sf):
 
 # Diffs: an order is a commit, its lines are the changed files.
 
-_PATCH = "repeat('+' || l_returnflag || chr(10), CAST(floor(l_quantity) AS INT) * 60)"
+_PATCH = "repeat('+' || l_returnflag || chr(10), CAST(floor(l_quantity) AS INT) * 30)"
 _DIFF = f"""ranked AS (SELECT md5(CAST(l_orderkey AS VARCHAR)) AS sha, 'src/' || l_partkey || '_' || l_suppkey || '.py' AS filename, CASE WHEN l_linestatus = 'O' THEN 'modified' ELSE 'added' END AS status,
   CAST(floor(l_quantity) AS INT) AS additions, l_linenumber AS deletions, CAST(floor(l_quantity) AS INT) + l_linenumber AS changes,
   CASE WHEN length({_PATCH}) > 4000 THEN substr({_PATCH}, 1, 4000) || chr(10) || '... [truncated]' ELSE {_PATCH} END AS patch,
@@ -222,7 +222,7 @@ def _diff_files(spark, sf):
     return items.select(
         F.md5(F.col("l_orderkey").cast("string")).alias("sha"), (F.col("l_suppkey") * 100000 + F.col("l_partkey")).alias("pos"),
         F.concat(F.lit("src/"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("filename"), F.lit(None).cast("string").alias("path"),
-        F.when(F.col("l_linestatus") == "O", "modified").otherwise("added").alias("status"), F.expr("repeat(concat('+', l_returnflag, '\\n'), q * 60)").alias("patch"),
+        F.when(F.col("l_linestatus") == "O", "modified").otherwise("added").alias("status"), F.expr("repeat(concat('+', l_returnflag, '\\n'), q * 30)").alias("patch"),
         F.col("q").alias("additions"), F.col("l_linenumber").alias("deletions"), (F.col("q") + F.col("l_linenumber")).alias("changes"),
     )
 
