@@ -131,6 +131,19 @@ def test_questions(spark):
     assert "1 commits total" in top["context"] or "blame" in top["path"]
 
 
+@pytest.mark.parametrize("bound", [100, 0])
+def test_cross_repo_impact(spark, monkeypatch, bound):
+    monkeypatch.setattr(traverse, "BROADCAST_CALLERS", bound)
+    edge = "src string, dst string"
+    changes, calls = spark.createDataFrame([("c", "fn:g")], edge), spark.createDataFrame([("fn:f", "fn:g"), ("fn:h", "fn:g")], edge)
+    uses = traverse.cross_repo_links(spark.createDataFrame([("x.py", "My-Helper-lib"), ("y.py", "helper"), ("z.py", "json")], edge), "o/helper")
+    functions = spark.createDataFrame([("fn:f", "f", "x.py"), ("fn:h", "h", "w.py")], "id string, name string, filepath string")
+    ask = lambda sha, **k: {tuple(r) for r in traverse.cross_repo_impact(sha, "o/helper", changes, uses, calls, functions, **k).select("file_path", "function_name").collect()}
+    assert ask("c") == {(f, n) for f in ("x.py", "y.py") for n in ("f", "h")}
+    assert ask("unknown") == {("x.py", None), ("y.py", None)}
+    assert ask("c", correlated=True) == {("x.py", "f"), ("y.py", None)}
+
+
 def test_bm25_prefix(spark):
     docs = spark.createDataFrame([(n, "apple " * n + "pear") for n in range(1, 9)], "id int, t string")
     k = lambda n: [r["id"] for r in search.search(docs, "id", F.col("t"), "apple", n).collect()]

@@ -15,6 +15,9 @@ from weftgraph import schema as X
 from weftgraph.operators.filters import active_only, contains_any_ci, contains_ci, in_repos
 
 SUBJECT = "SUBJECT (being moved/refactored)"
+#: Callers of one commit's changes that may be broadcast, and parts into which files are dealt beyond that.
+BROADCAST_CALLERS = 100_000
+DEALT = 64
 
 
 def first_n(df: DataFrame, per: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -187,12 +190,18 @@ def cross_repo_impact(sha: str, helper: str, changes: DataFrame, uses: DataFrame
     """Files that use a helper repository beside functions that call what a commit changed.
 
     Files and functions stand side by side, tied only with `correlated`, then by
-    path. Without a caller the files stay. The tie-less form is bounded: callers
-    of one commit's changes are counted and must be few.
+    path. Without a caller the files stay. Up to `BROADCAST_CALLERS` callers, counted
+    first, are broadcast to the files; more are dealt, so that each of `DEALT` parts
+    of the files meets all of them.
     """
     changed = changes.where(F.col("src") == sha).select(F.col("dst").alias("dst"))
     callers = calls.join(changed, "dst", "left_semi").select(F.col("src").alias("id")).distinct().join(functions, "id").select(F.col("name").alias("function_name"), F.col("filepath").alias("function_path"))
     files = uses.where(F.col("dst") == helper).select(F.col("src").alias("file_path")).distinct()
     if correlated:
         return files.join(callers, F.col("file_path") == F.col("function_path"), "left").distinct()
-    return files.join(callers, F.lit(True), "left").distinct()
+    callers = callers.distinct()
+    if callers.limit(BROADCAST_CALLERS + 1).count() <= BROADCAST_CALLERS:
+        return files.join(F.broadcast(callers), F.lit(True), "left")
+    part = F.pmod(F.xxhash64("file_path"), F.lit(DEALT)).cast("int")
+    everywhere = callers.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    return files.withColumn("part", part).join(everywhere, "part", "left").drop("part")
