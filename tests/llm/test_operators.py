@@ -242,6 +242,37 @@ def test_langmodel_distribution_sums_to_one():
         assert mass + p[-1] + lower * total == pytest.approx(1.0)
 
 
+def test_langmodel_keeps_every_ngram_at_any_share(spark):
+    """Scores equal the model of all n-grams in memory, however few of the tokens an n-gram makes up."""
+    rng = random.Random(6)
+    vocabulary = [f"t{int(rng.paretovariate(0.8)) % 60}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 60)))) for i in range(150)]
+    fold = [langmodel.fold(i) for i, _ in rows]
+    learnt = [k for k, f in enumerate(fold) if f != langmodel.HELD_OUT]
+    codes, of = langmodel.sequences([rows[k][1] for k in learnt])
+    gone = np.array([fold[k] == langmodel.DELETED for k in learnt])
+    deleted = gone[of]
+    words_ = langmodel.Table(*langmodel._sum_by(codes, ~deleted, deleted))
+    model = langmodel.Model(words_, (int((~gone).sum()), int(gone.sum())), (int((~deleted).sum()), int(deleted.sum())), len(words_.keys))
+    for _ in range(2):
+        got, at = model.candidates(codes, of)
+        k, a, b = langmodel._sum_by(got, ~deleted[at], deleted[at])
+        model.grams.append(langmodel.Table(k.astype(np.uint64), a, b))
+    langmodel.finish(model, np.array([]), np.array([]))
+    want = {}
+    for i, text in rows:
+        c, o = langmodel.sequences([text])
+        word, contexts, found = model.places(c, o)
+        p = np.where(word >= 0, model.probability[word], (1 - model.unigram_weight) / (model.distinct + 1))
+        for w, r, ctx, gram in zip(model.weights, model.ratios, contexts, found, strict=True):
+            share = np.where(ctx >= 0, w[ctx], 0.0)
+            p = share * np.where(gram >= 0, r[gram], 0.0) + (1 - share) * p
+        want[i] = float(np.log10(p).sum())
+    for share in (1e-6, 0.02):
+        got = {r["doc_id"]: r["score"] for r in langmodel.score_documents(docs(spark, rows), share).collect()}
+        assert got == pytest.approx(want, rel=1e-4)
+
+
 def test_em_finds_the_mixture():
     got = langmodel._learn(np.zeros(1, int), np.array([1.0]), np.array([1e-9]), np.array([30.0]), np.bincount([0], [100.0], langmodel.BUCKETS))
     assert got[0] == pytest.approx(0.3, abs=1e-6)

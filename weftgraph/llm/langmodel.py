@@ -10,16 +10,20 @@ its context's frequency (powers of two):
     P2(w | v)   = b P_ML(w | v) + (1 - b) P1(w)
     P1(w)       = m c(w) / N + (1 - m) / (V + 1)
 
-All words are counted exactly. An n-gram of order 2 or 3 is kept if it makes up
-`SHARE` of all training tokens or more, so at most 1 / SHARE of each order are
-kept at any input size; an n-gram can only reach this if its parts do, which
-leaves few to count. Estimates are relative to what is kept of a context.
+All words and n-grams of all orders are counted exactly, at any input size, and
+divided by the full counts of their contexts.
 
-Words that reach the share are scored where the text is read. All other tokens
-are dealt by word to buckets, as many as the input has partitions, in packed
-arrays; there their counts are summed and their part of each row's score is
-sent back. No such word can fill a bucket, as all its tokens are less than SHARE
-of the whole.
+Texts are read once and dealt to blocks of about `FLUSH` tokens. A block asks for
+the counts of its distinct n-grams, each of which stands once in the request, so
+that no n-gram, however frequent, can fill a bucket. Requests are dealt by n-gram
+to buckets in packed arrays, there summed, and the counts sent back to the blocks.
+Blocks with counts are a written table, from which the weights are learnt order by
+order, and then the rows are scored. N-grams are told apart by hashes of `KEY_BITS`
+bits. Expectation-maximisation reads tokens of the deleted fold only by the ratio
+of the two estimates; what reaches the driver is the number of tokens and the mean
+ratio for each context bucket and 1/32 of a power of two of that ratio.
+
+`Model` and `finish` are the same fit in memory, which tests hold this one against.
 
 Cases: a null or empty text is one end token; a row with a null doc_id is not
 learnt from and not held out; repeated rows are learnt from and scored one by
@@ -38,18 +42,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import by_size, column, mix, word_hashes
+from weftgraph.llm.common import BASE, by_size, column, mix, word_hashes
 from weftgraph.plans.materialize import Scratch
 from weftgraph.sources.tables import table
 
-#: Least share of all training tokens for an n-gram to be kept.
+#: Still taken by `score_documents`; all n-grams are kept at any value.
 SHARE = 1e-6
 ORDERS = 3
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 BITS = 20
-#: Tokens that a task gathers before it writes packed counts.
+#: Tokens of a block, and tokens a bucket gets on average.
 FLUSH = 2_000_000
 BATCH_BYTES = 2_000_000
+KEY_BITS = 60
+BINS = 32
+START = np.uint64(0x14057B7EF767814F)
 END = np.uint64(0x5851F42D4C957F2D)
 EM_ROUNDS = 60
 MOST_WEIGHT = 1 - 1e-6
@@ -80,7 +87,7 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Kept n-grams of one order: sorted keys, and counts without and within the deleted fold."""
+    """N-grams of one order: sorted keys, and counts without and within the deleted fold."""
 
     keys: np.ndarray
     main: np.ndarray
@@ -93,7 +100,7 @@ class Table:
 
 @dataclass
 class Model:
-    """Kept n-grams and, once fitted, weights and probabilities."""
+    """All n-grams in memory and, once fitted, weights and probabilities."""
 
     words: Table
     starts: tuple[int, int]
@@ -135,81 +142,11 @@ class Model:
         return before[at] << BITS | word[at], at
 
 
-def _pack(keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> list[tuple]:
-    """(bucket, bytes of keys, bytes of each column) for the buckets that get anything."""
-    bucket = (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order])) + 1
-    return [(int(bucket[part[0]]), keys[part].tobytes(), *(c[part].tobytes() for c in columns)) for part in np.split(order, edges) if len(part)]
-
-
 def _sum_by(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     unique, where = np.unique(keys, return_inverse=True)
     return unique, *(np.bincount(where, w, len(unique)).astype(np.int64) for w in weights)
 
 
-PACKED = "bucket bigint, k binary, main binary, deleted binary"
-
-
-def _counter(shared, buckets: int):
-    """Counts of words (shared is None) or of the next order's n-grams, packed by bucket."""
-
-    def run(batches):
-        keys: list[np.ndarray] = []
-        deleted: list[np.ndarray] = []
-        held = 0
-
-        def flush():
-            nonlocal keys, deleted, held
-            gone = np.concatenate(deleted).astype(np.float64)
-            unique, main, of_gone = _sum_by(np.concatenate(keys), 1 - gone, gone)
-            rows = _pack(unique.astype(np.uint64), [main.astype(np.uint32), of_gone.astype(np.uint32)], buckets)
-            keys, deleted, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["bucket", "k", "main", "deleted"])
-
-        for batch in by_size(batches, "text", BATCH_BYTES):
-            ids, texts = column(batch, "doc_id"), column(batch, "text")
-            folds = np.array([fold(i) for i in ids])
-            learnt = np.flatnonzero((folds >= 0) & (folds != HELD_OUT))
-            codes, of = sequences([texts[i] for i in learnt])
-            is_deleted = folds[learnt][of] == DELETED if len(of) else np.zeros(0, bool)
-            if shared is not None:
-                codes, at = shared.value.candidates(codes, of)
-                is_deleted = is_deleted[at]
-            if len(codes):
-                keys.append(codes.astype(np.uint64))
-                deleted.append(is_deleted)
-                held += len(codes)
-            if held >= FLUSH:
-                yield flush()
-        if held:
-            yield flush()
-
-    return run
-
-
-def _merger(least: float):
-    """Sums the packed counts of one bucket; only keys of `least` tokens or more are given on."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        keys, main, deleted = _sum_by(_joined(rows, "k", np.uint64), _joined(rows, "main", np.uint32), _joined(rows, "deleted", np.uint32))
-        stays = main + deleted >= least
-        return pa.table({"k": pa.array(keys[stays].view(np.int64)), "main": pa.array(main[stays]), "deleted": pa.array(deleted[stays])})
-
-    return run
-
-
-COUNTS = "k bigint, main bigint, deleted bigint"
-
-
-def _kept(rows: DataFrame) -> Table:
-    """At most 1 / SHARE rows, as arrays sorted by key."""
-    got = rows.toArrow()
-    keys = got.column("k").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return Table(keys[order], got.column("main").to_numpy()[order], got.column("deleted").to_numpy()[order])
-
-
 def _bucket_of(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.log2(np.maximum(count, 1)).astype(np.int64), 0)
 
@@ -217,9 +154,9 @@ def _bucket_of(count: np.ndarray) -> np.ndarray:
 def _learn(bucket: np.ndarray, higher: np.ndarray, lower: np.ndarray, times: np.ndarray, events: np.ndarray) -> np.ndarray:
     """Weights per context bucket by expectation-maximisation.
 
-    Rows are kept n-grams, seen `times` in the deleted fold, with both estimates;
+    Rows are n-grams, seen `times` in the deleted fold, with both estimates;
     `events` are all tokens of the fold after a context of the bucket. A token
-    whose n-gram is not kept can only come from the lower order.
+    whose n-gram is not among them can only come from the lower order.
     """
     weights = np.full(BUCKETS, 0.5)
     for _ in range(EM_ROUNDS):
@@ -244,15 +181,16 @@ def _learn_unigram(main: np.ndarray, deleted: np.ndarray, total: int, distinct:
 def _context_counts(model: Model, order: int, part: str) -> np.ndarray:
     """How often each context of an order stands before a token: words and the start for order 2, then n-grams."""
     if order == 2:
-        return np.append(getattr(model.words, part), model.starts[0 if part == "main" else 1])
+        return np.append(getattr(model.words, part), {"main": model.starts[0], "deleted": model.starts[1], "count": sum(model.starts)}[part])
     return getattr(model.grams[order - 3], part)
 
 
-def _ratios(model: Model, order: int, count: np.ndarray) -> np.ndarray:
-    """Estimates of the kept n-grams, relative to what is kept of their contexts."""
-    context = model.grams[order - 2].keys >> np.uint64(BITS)
-    kept = np.bincount(context.astype(np.int64), count, len(_context_counts(model, order, "main")))
-    return np.divide(count, kept[context.astype(np.int64)], out=np.zeros(len(count)), where=count > 0)
+def _ratios(model: Model, order: int, part: str) -> np.ndarray:
+    """Maximum-likelihood estimates of the n-grams: their counts by the full counts of their contexts."""
+    grams = model.grams[order - 2]
+    count = getattr(grams, part)
+    whole = _context_counts(model, order, part)[(grams.keys >> np.uint64(BITS)).astype(np.int64)]
+    return np.divide(count, whole, out=np.zeros(len(count)), where=count > 0)
 
 
 def finish(model: Model, rare_main: np.ndarray, rare_deleted: np.ndarray) -> Model:
@@ -271,7 +209,7 @@ def finish(model: Model, rare_main: np.ndarray, rare_deleted: np.ndarray) -> Mod
         grams = model.grams[order - 2]
         context, last = (grams.keys >> np.uint64(BITS)).astype(np.int64), (grams.keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
         below = lower[last] if order == 2 else lower[_suffix(model, order, context, last)]
-        higher = _ratios(model, order, grams.main)
+        higher = _ratios(model, order, "main")
         events = np.bincount(_bucket_of(_context_counts(model, order, "main")), _context_events(model, order), BUCKETS)
         bucket = _bucket_of(_context_counts(model, order, "main"))[context]
         weights = _learn(bucket, higher, below, grams.deleted.astype(float), events)
@@ -280,7 +218,7 @@ def finish(model: Model, rare_main: np.ndarray, rare_deleted: np.ndarray) -> Mod
         final = _context_counts(model, order, "main") + _context_counts(model, order, "deleted")
         has = np.bincount(context, grams.count, len(final)) > 0
         model.weights.append(np.where(has, weights[_bucket_of(final)], 0.0))
-        model.ratios.append(_ratios(model, order, grams.count))
+        model.ratios.append(_ratios(model, order, "count"))
     model.probability = m * words.count / max(everything, 1) + floor
     model.base = np.log10((words.count + 0.5) / (everything + 0.5 * (model.distinct + 1)))
     return model
@@ -304,133 +242,311 @@ def _context_events(model: Model, order: int) -> np.ndarray:
     return out
 
 
-ROWS = "kind int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, bucket bigint, k binary, at binary, times binary"
+def _squeeze(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes, with their number."""
+    planes = np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def _loose(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(packed[8:], n * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(np.int64)
+
+
+def _squeeze_keys(keys: np.ndarray) -> bytes:
+    """Of sorted keys."""
+    return _squeeze(np.diff(keys.astype(np.int64), prepend=0))
+
+
+def _loose_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_loose(packed)).astype(np.uint64)
+
+
+def _short(codes: np.ndarray) -> np.ndarray:
+    return codes >> np.uint64(64 - KEY_BITS)
+
+
+def _record(rows: list[tuple], schema: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(schema)], [name for name, _ in schema])
+
+
+def _ddl(schema: list[tuple]) -> str:
+    return ", ".join(f"{n} {'array<bigint>' if k == pa.list_(pa.int64()) else 'binary' if k == pa.binary() else 'double' if k == pa.float64() else 'boolean' if k == pa.bool_() else 'bigint'}" for n, k in schema)
+
 
+#: Rows of documents in order: learnt tokens and documents without and within the deleted fold, ids, tokens per document, sorted words and how often each stands, each token's place in the words by frequency.
+BLOCK = [*((n, pa.int64()) for n in ("block", "main", "deleted", "docs_main", "docs_deleted")), ("ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("sizes", "words", "times", "at"))]
+REQUEST = [("block", pa.int64()), ("bucket", pa.int64()), ("k", pa.binary()), ("main", pa.binary()), ("deleted", pa.binary())]
+#: Counts of what a request asked, beyond its own; in a row of block -1, how many different words were learnt.
+REPLY = [("block", pa.int64()), ("bucket", pa.int64()), ("main", pa.binary()), ("deleted", pa.binary()), ("n_distinct", pa.int64())]
+#: All counts of each token's word and n-grams; `m*`: those without the deleted fold, of its tokens.
+COUNTED = [("block", pa.int64()), ("n_distinct", pa.int64()), ("ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("sizes", "c1", "c2", "c3", "m1", "m2", "m3"))]
 
-def _scorer(shared, buckets: int):
-    """Two kinds of rows: 0, a document with the part of its score known here; 1, packed rare words."""
-    names = [f.split()[0] for f in ROWS.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    def rare_rows(codes, rows, times):
-        got = _pack(np.concatenate(codes), [np.concatenate(rows), np.concatenate(times)], buckets)
-        n = len(got)
-        cols = [[1] * n, *[[None] * n] * 7, *([r[i] for r in got] for i in range(4))]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+def _by_frequency(times: np.ndarray) -> np.ndarray:
+    return np.argsort(-times, kind="stable")
 
+
+def _blocks(batches):
+    """Texts as packed blocks."""
+    place = TaskContext.get().partitionId() << 36
+    ids: list = []
+    codes: list[np.ndarray] = []
+    held = 0
+
+    def flush():
+        nonlocal ids, codes, held, place
+        sizes = np.array([len(c) for c in codes])
+        words, at = np.unique(np.concatenate(codes), return_inverse=True)
+        times = np.bincount(at)
+        rank = np.empty(len(words), np.int64)
+        rank[_by_frequency(times)] = np.arange(len(words))  # mostly small numbers, which compress well
+        folds = np.array([fold(i) for i in ids])
+        is_main, is_deleted = (folds >= 0) & (folds != HELD_OUT) & (folds != DELETED), folds == DELETED
+        row = (place, int(sizes[is_main].sum()), int(sizes[is_deleted].sum()), int(is_main.sum()), int(is_deleted.sum()), ids, _squeeze(sizes), _squeeze_keys(words), _squeeze(times), _squeeze(rank[at]))
+        place += 1
+        ids, codes, held = [], [], 0
+        return _record([row], BLOCK)
+
+    for batch in by_size(batches, "text", BATCH_BYTES):
+        for i, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
+            ids.append(i)
+            codes.append(_short(np.append(word_hashes(text), END)))
+            held += len(codes[-1])
+            if held >= FLUSH:
+                yield flush()
+    if ids:
+        yield flush()
+
+
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    first = np.zeros(int(sizes.sum()), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    return first
+
+
+def _before(values: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """Of each token, the value of the token before it in its text."""
+    return np.where(first, values.dtype.type(start), np.roll(values, 1))
+
+
+def _grams(row: dict):
+    """Per order, a block's sorted n-grams, their counts without and within the deleted fold, each token's place in them (-1: none)."""
+    sizes, words = _loose(row["sizes"]), _loose_keys(row["words"])
+    at = _by_frequency(_loose(row["times"]))[_loose(row["at"])]
+    first = _firsts(sizes)
+    folds = np.repeat(np.array([fold(i) for i in row["ids"]]), sizes)
+    is_main, is_deleted = (folds >= 0) & (folds != HELD_OUT) & (folds != DELETED), folds == DELETED
+    codes, has = words[at], np.ones(len(at), bool)
+    keys, where, long = words, at, codes
+    for order in range(1, ORDERS + 1):
+        if order > 1:
+            if order > 2:
+                has = ~first
+            long = mix(_before(long, first, START) * BASE + codes)
+            keys, found = np.unique(_short(long)[has], return_inverse=True)
+            where = np.full(len(at), -1, np.int64)
+            where[has] = found
+        yield keys, *(np.bincount(where[has & x], minlength=len(keys)) for x in (is_main, is_deleted)), where
+
+
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts in sorted keys: a bucket is a range of keys."""
+    bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _asker(buckets: int):
     def run(batches):
-        model = shared.value
-        place = TaskContext.get().partitionId() << 36
-        held: tuple[list, list, list] = ([], [], [])
-        for batch in by_size(batches, "text", BATCH_BYTES):
-            ids = column(batch, "doc_id")
-            n = len(ids)
-            codes, of = sequences(column(batch, "text"))
-            word, contexts, found = model.places(codes, of)
-            known = word >= 0
-            p = np.where(known, model.probability[word] if len(model.probability) else 1.0, 1.0)
-            for weights, ratios, context, gram in zip(model.weights, model.ratios, contexts, found, strict=True):
-                a = np.where(context >= 0, weights[context] if len(weights) else 0.0, 0.0)
-                high = np.where(gram >= 0, ratios[gram] if len(ratios) else 0.0, 0.0)
-                p = a * high + (1 - a) * p  # for a rare word `high` is 0: what is left is the factor before its unigram
-            base = np.where(known, model.base[word] if len(model.base) else 0.0, 0.0)
-            sums = [np.bincount(of, x, n) for x in (np.ones(len(of)), known, base, np.log10(p))]
-            rows = np.arange(place, place + n, dtype=np.int64)
-            place += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, np.int32)), pa.array(rows), pa.array(ids, pa.int64()), pa.array([fold(i) == HELD_OUT for i in ids], pa.bool_()),
-                 pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), *(pa.nulls(n, k) for k in kinds[8:])], names)
-            learnt = np.array([fold(i) not in (-1, HELD_OUT) for i in ids])
-            rare = np.flatnonzero(~known)
-            if len(rare):
-                # A word's tokens of a row are one entry; the last bit tells whether the row is learnt from.
-                order = np.lexsort((of[rare], codes[rare]))
-                c, r = codes[rare][order], of[rare][order]
-                new = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (r[1:] != r[:-1])))
-                held[0].append(c[new])
-                held[1].append(rows[r[new]] << 1 | learnt[r[new]])
-                held[2].append(np.diff(np.append(new, len(c))).astype(np.uint32))
-            if sum(map(len, held[0])) >= FLUSH // 2:
-                yield rare_rows(*held)
-                held = ([], [], [])
-        if held[0]:
-            yield rare_rows(*held)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                for order, (keys, main, deleted, _) in enumerate(_grams(row)):
+                    edges = _edges(keys, buckets)
+                    parts = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
+                    yield _record([(row["block"], b * ORDERS + order, _squeeze_keys(keys[x]), _squeeze(main[x]), _squeeze(deleted[x])) for b, x in parts], REQUEST)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-BACK = "block bigint, row binary, known binary, more_base binary, more_score binary"
+def _answer(rows: pa.Table) -> pa.Table:
+    """Of one bucket of one order: sums over all requests."""
+    blocks, bucket = rows.column("block").to_pylist(), rows.column("bucket")[0].as_py()
+    asked = [_loose_keys(x) for x in rows.column("k").to_pylist()]
+    edges = np.cumsum([0, *map(len, asked)])
+    keys, where = np.unique(np.concatenate(asked), return_inverse=True)
+    del asked
+    others, sums = [], []
+    for name in ("main", "deleted"):
+        own = np.concatenate([_loose(x) for x in rows.column(name).to_pylist()])
+        total = np.bincount(where, own, len(keys)).astype(np.int64)
+        sums.append(total)
+        others.append(total[where] - own)
+    out = [(b, bucket, *(_squeeze(x[edges[i] : edges[i + 1]]) for x in others), None) for i, b in enumerate(blocks)]
+    if bucket % ORDERS == 0:
+        out.append((-1, bucket, None, None, int((sums[0] + sums[1] > 0).sum())))
+    return pa.Table.from_batches([_record(out, REPLY)])
+
+
+def _collect(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+    """Of one block: the counts of its tokens."""
+    if not blocks.num_rows:
+        return pa.Table.from_batches([_record([(-1, sum(replies.column("n_distinct").to_pylist()), *[None] * 8)], COUNTED)])
+    row = blocks.to_pylist()[0]
+    sizes = _loose(row["sizes"])
+    of_deleted = np.repeat(np.array([fold(i) == DELETED for i in row["ids"]], bool), sizes)
+    got: list[dict] = [{} for _ in range(ORDERS)]
+    for bucket, main, deleted in zip(*(replies.column(n).to_pylist() for n in ("bucket", "main", "deleted")), strict=True):
+        got[bucket % ORDERS][bucket] = main, deleted
+    counts, mains = [], []
+    for parts, (keys, main, deleted, where) in zip(got, _grams(row), strict=True):
+        if parts:
+            main, deleted = (own + np.concatenate([_loose(parts[b][i]) for b in sorted(parts)]) for i, own in enumerate((main, deleted)))
+        # A place of -1 takes the zero at the end.
+        counts.append(_squeeze(np.append(main + deleted, 0)[where]))
+        mains.append(_squeeze(np.append(main, 0)[where[of_deleted]]))
+    return pa.Table.from_batches([_record([(row["block"], None, row["ids"], row["sizes"], *counts, *mains)], COUNTED)])
+
+
+@dataclass
+class Fit:
+    """What the whole corpus gives: documents, tokens and words learnt from, and the weights once known."""
 
+    starts: int
+    total: int
+    distinct: int
+    unigram_weight: float = 0.5
+    weights: list[np.ndarray] = field(default_factory=list)
 
-def _joined(rows: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()])
+    def orders(self, counts: list[np.ndarray], first: np.ndarray):
+        """Per order: the estimate, the estimate of the order below, the context's count, and where there is a context."""
+        m = self.unigram_weight
+        flat = np.full(len(first), 1 / (self.distinct + 1))
+        alone = counts[0] / max(self.total, 1)
+        yield alone, flat, np.full(len(first), 1), np.ones(len(first), bool)
+        p = m * alone + (1 - m) * flat
+        for order in range(2, ORDERS + 1):
+            context = _before(counts[order - 2], first, self.starts if order == 2 else 0)
+            has = np.ones(len(first), bool) if order == 2 else ~first
+            ratio = np.divide(counts[order - 1], context, out=np.zeros(len(first)), where=context > 0)
+            yield ratio, p, context, has
+            if len(self.weights) < order - 1:
+                return
+            a = np.where(has, self.weights[order - 2][_bucket_of(context)], 0.0)
+            p = a * ratio + (1 - a) * p
+
+    def probabilities(self, counts: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        p = None
+        for order, (ratio, below, context, has) in enumerate(self.orders(counts, first), 1):
+            a = self.unigram_weight if order == 1 else np.where(has & (context > 0), self.weights[order - 2][_bucket_of(context)], 0.0)
+            p = a * ratio + (1 - a) * (below if order == 1 else p)
+        return p
+
+
+HISTOGRAM = [("bucket", pa.int64()), ("bin", pa.int64()), ("n", pa.int64()), ("ratio", pa.float64())]
+NOT_SEEN = 1 << 40
+
+
+def _histogram(fit: Fit, order: int):
+    """Tokens of the deleted fold by context bucket and by the ratio of the order's two estimates."""
 
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                sizes = _loose(row["sizes"])[[fold(i) == DELETED for i in row["ids"]]]
+                for n, (higher, lower, context, has) in enumerate(fit.orders([_loose(row[f"m{i}"]) for i in range(1, ORDERS + 1)], _firsts(sizes)), 1):
+                    if n < order:
+                        continue
+                    seen = higher > 0
+                    ratio = np.divide(lower, higher, out=np.ones(len(higher)), where=seen)
+                    bins = np.where(seen, np.round(np.log2(ratio) * BINS).astype(np.int64), NOT_SEEN)
+                    pairs = np.stack((_bucket_of(context), bins), 1)[has]
+                    key, where = np.unique(pairs[:, 0] << 48 | pairs[:, 1] + (1 << 46), return_inverse=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key >> 48), pa.array((key & ((1 << 48) - 1)) - (1 << 46)), pa.array(np.bincount(where, minlength=len(key)).astype(np.int64)), pa.array(np.bincount(where, ratio[has], len(key)))],
+                        [name for name, _ in HISTOGRAM])
+                    break
+
+    return run
 
-def _rare_scorer(unigram_weight: float, total: int, distinct: int, blocks: int):
-    """Of one bucket: per row, how many of its rare words are known, and their part of both scores, packed by block of rows."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        codes, at, times = _joined(rows, "k", np.uint64), _joined(rows, "at", np.int64), _joined(rows, "times", np.uint32).astype(np.float64)
-        _, where = np.unique(codes, return_inverse=True)
-        count = np.bincount(where, times * (at & 1))[where]
-        base = times * np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
-        score = times * np.log10(unigram_weight * count / max(total, 1) + (1 - unigram_weight) / (distinct + 1))
-        row, of = np.unique(at >> 1, return_inverse=True)
-        sums = [np.bincount(of, x, len(row)) for x in (times * (count > 0), base, score)]
-        packed = _pack(row.astype(np.uint64), [sums[0].astype(np.int64), sums[1], sums[2]], blocks)
-        kinds = [pa.int64(), *[pa.binary()] * 4]
-        return pa.table({n: pa.array([r[i] for r in packed], kinds[i]) for i, n in enumerate(("block", "row", "known", "more_base", "more_score"))})
+def _weights(counted: DataFrame, fit: Fit, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights per context bucket, and how many tokens of the deleted fold each has."""
+    rows = counted.mapInArrow(_histogram(fit, order), _ddl(HISTOGRAM)).groupBy("bucket", "bin").agg(F.sum("n").alias("n"), F.sum("ratio").alias("ratio")).toArrow()
+    bucket, bins, n, ratio = (rows.column(c).to_numpy() for c, _ in HISTOGRAM)
+    at = np.lexsort((bins, bucket))
+    bucket, bins, n, ratio = bucket[at].astype(np.int64), bins[at], n[at].astype(float), ratio[at]
+    events = np.bincount(bucket, n, BUCKETS)
+    seen = bins != NOT_SEEN
+    return _learn(bucket[seen], np.ones(int(seen.sum())), ratio[seen] / n[seen], n[seen], events), events
+
+
+def _scorer(fit: Fit):
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                sizes = _loose(row["sizes"])
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                counts = [_loose(row[f"c{i}"]) for i in range(1, ORDERS + 1)]
+                score = np.log10(fit.probabilities(counts, _firsts(sizes)))
+                base = np.log10((counts[0] + 0.5) / (fit.total + 0.5 * (fit.distinct + 1)))
+                known, base, score = (np.bincount(of, x, len(sizes)) for x in (counts[0] > 0, base, score))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["ids"], pa.int64()), pa.array([fold(i) == HELD_OUT for i in row["ids"]], pa.bool_()), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), fit.total, np.int64)), pa.array(base), pa.array(score)],
+                    [name for name, _ in SCORED])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _add_up(rows: pa.Table) -> pa.Table:
-    """Of one block of rows: the sums over all buckets."""
-    row, of = np.unique(_joined(rows, "row", np.int64), return_inverse=True)
-    known, base, score = (np.bincount(of, _joined(rows, n, k), len(row)) for n, k in (("known", np.int64), ("more_base", np.float64), ("more_score", np.float64)))
-    return pa.table({"row": pa.array(row), "known": pa.array(known.astype(np.int64)), "more_base": pa.array(base), "more_score": pa.array(score)})
-
-
-def train(scratch: Scratch, docs: DataFrame, buckets: int, share: float = SHARE) -> Model:
-    """Counts, kept n-grams and weights from the training documents."""
-    spark = docs.sparkSession
-    counted = docs.mapInArrow(_counter(None, buckets), PACKED).groupBy("bucket").applyInArrow(_merger(1), COUNTS)
-    words = scratch.put(counted, "words")
-    row = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("main"), F.lit(0)).alias("main"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted")).first()
-    total = row["main"] + row["deleted"]
-    least = max(1.0, share * total)
-    starts = words.where(F.col("k") == int(END.astype(np.int64))).agg(F.coalesce(F.sum("main"), F.lit(0)).alias("main"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted")).first()
-    model = Model(_kept(words.where(F.col("main") + F.col("deleted") >= least)), (starts["main"], starts["deleted"]), (row["main"], row["deleted"]), row["v"])
-    # Exact below 1000; above it, counts of one power of 1.02 are averaged, so the rows that reach the driver stay few.
-    size = F.when(F.col("main") < 1000, F.col("main")).otherwise(1000 + F.floor(F.log(F.col("main") / 1000) / F.log(F.lit(1.02))))
-    rare = words.where((F.col("main") + F.col("deleted") < least) & (F.col("deleted") > 0)).groupBy(size.alias("size")).agg(F.avg("main").alias("main"), F.sum("deleted").alias("deleted")).collect()
-    for order in range(2, ORDERS + 1):
-        shared = spark.sparkContext.broadcast(model)
-        counted = docs.mapInArrow(_counter(shared, buckets), PACKED).groupBy("bucket").applyInArrow(_merger(least), COUNTS)
-        model.grams.append(_kept(counted))
-    scratch.drop(words)
-    return finish(model, np.array([r["main"] for r in rare]), np.array([r["deleted"] for r in rare], float))
+SCORED = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+
+
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _put_and_clean(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
+    """A written table whose shuffle files, the largest of the operator, go as soon as it stands."""
+    conf = scratch.spark.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        return scratch.put(df, name)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
 
 
 def score_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "langmodel")
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    `share` has no effect: no n-gram is left out at any share.
+    """
+    scratch = Scratch(docs.sparkSession, "langmodel")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    buckets = max(8, docs._jdf.queryExecution().toRdd().getNumPartitions())
-    model = train(scratch, docs, buckets, share)
-    total = sum(model.totals)
-    rows = scratch.put(docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model), buckets), ROWS), "rows")
-    rare = (
-        rows.where("kind = 1").select("bucket", "k", "at", "times").groupBy("bucket")
-        .applyInArrow(_rare_scorer(model.unigram_weight, total, model.distinct, buckets), BACK)
-        .groupBy("block").applyInArrow(_add_up, "row bigint, known bigint, more_base double, more_score double")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.where("kind = 0").drop("kind", "bucket", "k", "at", "times").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"),
-    )
+    blocks = scratch.put(docs.mapInArrow(_blocks, _ddl(BLOCK)), "blocks")
+    whole = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("main", "deleted", "docs_main", "docs_deleted"))).first()
+    buckets = max(8, docs._jdf.queryExecution().toRdd().getNumPartitions(), -(-(whole["main"] + whole["deleted"]) // FLUSH))
+    replies = blocks.mapInArrow(_asker(buckets), _ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer, _ddl(REPLY))
+    replies = _put_and_clean(scratch, replies, "replies")
+    counted = scratch.put(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_collect, _ddl(COUNTED)), "counted")
+    scratch.drop(blocks, replies)
+    distinct = counted.where("block = -1").agg(F.coalesce(F.sum("n_distinct"), F.lit(0)).alias("n")).first()["n"]
+    counted = counted.where("block >= 0")
+    learnt = Fit(whole["docs_main"], whole["main"], distinct)
+    for order in range(1, ORDERS + 1):
+        weights, events = _weights(counted, learnt, order)
+        if order > 1:
+            learnt.weights.append(weights)
+        elif events[0] and whole["main"]:
+            learnt.unigram_weight = max(float(weights[0]), 1e-6)
+    final = Fit(whole["docs_main"] + whole["docs_deleted"], whole["main"] + whole["deleted"], distinct, learnt.unigram_weight, learnt.weights)
+    return counted.mapInArrow(_scorer(final), _ddl(SCORED))
 
 
 def op3_langmodel(spark: SparkSession, sf_dir: str) -> DataFrame:
