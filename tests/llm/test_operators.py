@@ -403,6 +403,25 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_query_finds_wrapped_notices(spark, tmp_path):
+    """A notice broken over lines, at any width and with comment marks, has the label of the unbroken one."""
+    rows = []
+    for k, (_, template) in enumerate(licenses.TEMPLATES):
+        w = template.split()
+        for width in (2, 3, 4, 5, 9):
+            rows.append((k * 100 + width, "x\n" * 5 + "\n".join("# " + " ".join(w[i : i + width]) for i in range(0, len(w), width)) + "\ny"))
+    rows.append((9001, "licensed under\nCC BY 4.0\nz\nlicensed under CC BY-SA 4.0"))
+    rows.append((9002, "licensed under CC BY-SA\n4.0 licensed under CC BY-SA 4.0"))
+    rows.append((9000, "all of these\nwords have rights and\nsome are reserved"))
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in licenses.op6_licenses(spark, str(tmp_path)).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in got[k * 100 + width]["labels"].split(",") for width in (2, 3, 4, 5, 9)), label
+    assert got[9000]["labels"] == ""
+    assert got[9001]["labels"] == "cc-by,cc-by-4.0,cc-by-sa-4.0"
+    assert got[9002]["labels"] == "cc-by,cc-by-sa-4.0"
+
+
 # 7
 
 

@@ -2,7 +2,10 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased. A text block is a line, or, for long templates, a window of lines
-(see `WINDOW_LINES`). A block matches a template if the share of the template's
+(see `WINDOW_LINES`). With `wrapped`, as in the query, blocks of the other templates
+are also all runs of words of the whole text that are as long as the template, or
+1 / threshold as long at most, so that line breaks do not hide a notice; a template
+whose tokens are a proper part of another's needs a run outside that one's runs. A block matches a template if the share of the template's
 distinct tokens that it holds reaches the threshold.
 
 The join: the tokens of all templates are counted over the whole corpus, which
@@ -12,7 +15,7 @@ these prefixes are indexed. A block of fewer than m tokens is passed over
 (length filter), and so is a candidate whose rarest shared token stands so late
 in the template's order that too few are left after it (positional filter).
 What remains is verified on the full sets. Of the templates that one block holds,
-those whose tokens are a proper part of another's give way to it.
+those whose tokens are a proper part of another's give way to it, but for runs of their own.
 
 Beside it, exact phrases are found as runs of consecutive words.
 
@@ -120,6 +123,11 @@ class Index:
                 prefix.setdefault(code, []).append((t, place))
         return cls(rank, ordered, prefix, min(needed(len(x), threshold) for x in ordered), threshold)
 
+    def short(self, tokens: set[int]) -> list[int]:
+        """Templates of at most LONG tokens that a text of these vocabulary tokens may hold."""
+        near = {t for code in tokens for t, _ in self.prefix.get(code, ())}
+        return sorted(t for t in near if len(self.ordered[t]) <= LONG and sum(code in tokens for code in self.ordered[t]) >= needed(len(self.ordered[t]), self.threshold))
+
     def matches(self, tokens: set[int], long: bool) -> list[tuple[int, float]]:
         """(template, containment) of each template that a block of these vocabulary tokens holds."""
         if len(tokens) < self.least:
@@ -140,7 +148,36 @@ class Index:
         return [(t, share) for t, share in out if not any(set(self.ordered[t]) < set(self.ordered[u]) for u, _ in out)]
 
 
-def scan(text: str | None, index: Index) -> dict:
+#: Words of each template.
+LENGTHS = [len(words(lowered(t))) for _, t in TEMPLATES]
+
+
+def runs(codes: np.ndarray, template: int, index: Index) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts of the runs of words that hold a template, the share of its tokens in each, and their length."""
+    tokens = index.ordered[template]
+    width = min(len(codes), int(LENGTHS[template] / index.threshold + 1e-9))
+    held = np.zeros(len(codes) - width + 1, np.int64)
+    for code in tokens:
+        before = np.concatenate(([0], np.cumsum(codes == code)))
+        held += before[width:] > before[:-width]
+    starts = np.flatnonzero(held >= needed(len(tokens), index.threshold))
+    return starts, held[starts] / len(tokens), width
+
+
+def apart(codes: np.ndarray, template: int, starts: np.ndarray, width: int) -> list[int]:
+    """Of the runs that hold a template, some that do not overlap: those in the template's word order first."""
+    n = LENGTHS[template]
+    in_order = np.array([VOCABULARY[w] for w in words(lowered(TEMPLATES[template][1]))])
+    out: list[int] = []
+    used = np.zeros(len(codes), bool)
+    for start in sorted(starts.tolist(), key=lambda s: (not np.array_equal(codes[s : s + n], in_order), s)):
+        if not used[start : start + width].any():
+            used[start : start + width] = True
+            out.append(start)
+    return out
+
+
+def scan(text: str | None, index: Index, wrapped: bool = False) -> dict:
     """Words, phrase places and template matches of one whole text."""
     raw = lowered(text)
     found = words(raw)
@@ -167,6 +204,19 @@ def scan(text: str | None, index: Index) -> dict:
         for top in range(0, max(1, len(lines) - WINDOW_LINES // 2), WINDOW_LINES // 2):
             for t, share in index.matches(set().union(*lines[top : top + WINDOW_LINES]), True):
                 hits[t] = max(share, hits.get(t, 0))
+        if wrapped:
+            present = set(codes.tolist())
+            found_runs = {t: got for t in index.short(present) if len((got := runs(codes, t, index))[0])}
+            for t, (starts, shares, width) in found_runs.items():
+                taken = np.zeros(len(codes) + 1, np.int64)  # words of notices that hold all of this one's tokens
+                for u in found_runs:
+                    if set(index.ordered[t]) < set(index.ordered[u]):
+                        for start in apart(codes, u, found_runs[u][0], found_runs[u][2]):
+                            taken[start : start + found_runs[u][2]] = 1
+                before = np.concatenate(([0], np.cumsum(taken)))
+                own = before[starts + width] == before[starts]
+                if own.any():
+                    hits[t] = max(float(shares[own].max()), hits.get(t, 0))
     labels = base | {TEMPLATES[t][0] for t in hits}
     return {
         "n_words": len(found), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
@@ -190,25 +240,25 @@ def corpus_counts(docs: DataFrame) -> dict[int, int]:
     return {r["code"]: r["n"] for r in rows}
 
 
-def _scanner(index: Index):
+def _scanner(index: Index, wrapped: bool):
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates"]
     kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32())]
 
     def run(batches):
         for batch in pieces(batches):
-            rows = [scan(t, index) for t in column(batch, "text")]
+            rows = [scan(t, index, wrapped) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True))], ["doc_id", *names])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """One row per document: word and phrase counts, labels, best containment and matched templates."""
     index = Index.build(corpus_counts(docs), threshold)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return given.mapInArrow(_scanner(index), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, templates array<int>")
+    return given.mapInArrow(_scanner(index, wrapped), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, templates array<int>")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of the table against every template and phrase."""
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), wrapped=True)
