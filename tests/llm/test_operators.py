@@ -471,6 +471,20 @@ def test_toxicity_learns_hidden_stems(spark):
     assert toxicity.score(spark, docs(spark, []), empty).count() == 0
 
 
+def test_toxicity_sample_keeps_rows_that_share_a_footer():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    footer = " ".join(words(rng, 25, 10_000))
+    texts = [f"{' '.join(words(rng, 40, 10_000))} {footer}" for _ in range(30)]
+    texts += [texts[0] + " more", texts[1]]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "toxic": [0] * 31 + [1], "text": texts})
+    got = next(iter(toxicity._sketches([batch])))
+    rows = list(zip(got.column(0).to_pylist(), got.column(got.num_columns - 1).to_pylist(), strict=True))
+    assert toxicity.one_of_each(rows) == list(range(30))  # the near and the exact copy go
+    assert toxicity.one_of_each_label([(i, int(i == 31), keys) for i, keys in rows]) == [*range(30), 31]  # its label is another
+
+
 # 8
 
 
