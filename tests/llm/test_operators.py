@@ -353,6 +353,15 @@ def test_tiff_broken_files(spark):
     assert tiff.explode_pages(frame.limit(0), "key", "media").count() == 0
 
 
+def test_tiff_goes_on_after_a_page_that_cannot_be_read():
+    raw = tiff.encode([np.full((2, 64), k, np.uint8) for k in range(3)])
+    entry = b"\x03\x01\x03\x00\x01\x00\x00\x00"
+    second = raw.index(entry, raw.index(entry) + 1) + len(entry)
+    got = tiff.pages(raw[:second] + b"\x63" + raw[second + 1 :])  # an unknown compression
+    assert [(p["page"], p["error"] is None) for p in got] == [(0, True), (1, False), (2, True)]
+    assert got[2]["pixels"] == bytes([2]) * 128
+
+
 def test_tiff_query_equals_the_payload(spark, tmp_path):
     texts = [(1, "abc"), (2, None), (3, ""), (4, "é" * 500), (5, "x" * 70_000), (6, "abc"), (None, "z")]
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")

@@ -249,14 +249,17 @@ def feature(pixels: bytes, width: int, height: int) -> str:
 
 
 def pages(raw: bytes | None) -> list[dict]:
-    """The pages of a file; a page that can't be read ends the list with its `error`."""
+    """The pages of a file; one that can't be read has its `error`, and a broken chain of directories ends the list with one."""
     out: list[dict] = []
     if not raw:
         return out
     try:
         for order, tags in _directories(raw):
-            page = _page(raw, order, tags)
-            out.append(page | {"page": len(out), "feature": feature(page["pixels"], page["width"], page["height"]), "error": None})
+            try:
+                page = _page(raw, order, tags)
+                out.append(page | {"page": len(out), "feature": feature(page["pixels"], page["width"], page["height"]), "error": None})
+            except BadTiff as e:
+                out.append({"page": len(out), "error": str(e)})
     except BadTiff as e:
         out.append({"page": len(out), "error": str(e)})
     return out
