@@ -637,3 +637,14 @@ def test_decontamination(spark, monkeypatch):
     assert [(t["doc_start"], t["item_start"], t["length"]) for t in three["tiles"]] == [(0, 15, 15), (16, 0, 15)]
     assert decontaminate.find_leaks(spark, frame, benchmark.limit(0)).count() == 0
     assert decontaminate.find_leaks(spark, frame.limit(0), benchmark).count() == 0
+
+
+def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Too short"), (2, "short"), (3, "法国的首都是哪一座城市"), (4, "ประเทศไทยอยู่ที่ไหน"), (5, "首都")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "it is too, SHORT and too short"), (2, "too long, not short"), (3, "shorter"), (4, "请问法国的首都是哪一座城市吗"), (5, "ก่อน ประเทศไทยอยู่ที่ไหน หลัง"), (6, "日本語の文章です"), (7, "a_b"), (8, None)]
+    got = sorted((r["doc_id"], r["item_id"], r["matched_tokens"], r["item_tokens"]) for r in decontaminate.find_leaks(spark, docs(spark, rows), benchmark).collect())
+    assert [x[:2] for x in got] == [(1, 1), (1, 2), (2, 2), (4, 3), (4, 5), (5, 4)]
+    assert all(m == n for _, _, m, n in got)
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(spark, docs(spark, rows), benchmark).collect()) == [3, 6, 7, 8]
+    assert decontaminate.tokens("ab_c 1漢字é") == ["ab", "c", "1", "漢", "字", "é"]

@@ -1,19 +1,21 @@
 """Benchmark decontamination by greedy string tiling (operator 10).
 
-Tokens are runs of Unicode letters and digits, lower-cased. A document is a
+Tokens are runs of Unicode letters and digits, lower-cased; of scripts written without
+spaces, single characters. A document is a
 candidate for a benchmark item if both hold the same window of `min_match`
 tokens. For each candidate, the longest matches between unmarked tokens are
 marked again and again, found by running Karp-Rabin hashing at a shrinking
 length, until no match of `min_match` tokens is left. The item counts as leaked
 if the marked share of its tokens reaches `coverage`; as tiles may lie in any
-order, a passage whose sentences were swapped is caught as well.
+order, a passage whose sentences were swapped is caught as well. An item of fewer than
+`min_match` tokens leaks where all of them stand in one run, of which the first is its tile.
 
 The benchmark is taken in blocks of at most `BLOCK_TOKENS` tokens, each
 broadcast to one map-side pass over the documents, so its size is no limit.
 
 Cases: a null or empty text has no tokens and leaks nothing; a null doc_id is
 reported with its null; repeated rows are reported once per row; an item that
-is null, empty or shorter than `min_match` tokens matches nothing; repeated
+is null or has no token matches nothing; repeated
 items match alike, each under its own id; extra columns are not read; empty
 tables give no rows.
 """
@@ -36,7 +38,9 @@ MIN_MATCH = 4
 COVERAGE = 0.5
 #: Tokens of benchmark text broadcast at once: about 50 MB with the index.
 BLOCK_TOKENS = 500_000
-TOKEN = re.compile(r"[^\W_]+")
+# Thai, Lao, Myanmar, Khmer, the Tai scripts, kana and Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[^\W_{UNSPACED}]+|(?!_)\w")
 SCHEMA = "doc_id bigint, item_id bigint, matched_tokens int, item_tokens int, coverage double, tiles array<struct<doc_start:int, item_start:int, length:int>>"
 
 
@@ -108,6 +112,8 @@ class Block:
     seeds: np.ndarray
     owners: list[tuple[int, ...]]
     min_match: int
+    #: By length: items of fewer than `min_match` tokens, by their window.
+    short: dict[int, dict[int, list[int]]]
 
     @classmethod
     def build(cls, rows: list[tuple[int | None, list[str]]], min_match: int) -> Block:
@@ -117,17 +123,34 @@ class Block:
         for at, (_, codes) in enumerate(items):
             for seed in windows(np.array(codes, np.uint64), min_match).tolist():
                 owners[seed].add(at)
+        short: dict[int, dict[int, list[int]]] = {}
+        for at, (_, codes) in enumerate(items):
+            if 0 < len(codes) < min_match:
+                seed = int(windows(np.array(codes, np.uint64), len(codes))[0])
+                short.setdefault(len(codes), {}).setdefault(seed, []).append(at)
         order = sorted(owners)
-        return cls(vocabulary, items, np.array(order, np.uint64), [tuple(sorted(owners[s])) for s in order], min_match)
+        return cls(vocabulary, items, np.array(order, np.uint64), [tuple(sorted(owners[s])) for s in order], min_match, short)
 
     def leaks(self, text: str | None, coverage: float) -> list[tuple[int | None, int, int, list[tuple[int, int, int]]]]:
         """(item id, tokens matched, tokens of the item, tiles) of each item that the text leaks."""
-        if not len(self.seeds):
-            return []
         look = self.vocabulary.get
         codes = np.array([look(w, -1) for w in tokens(text)], np.int64)
+        out = [*self._short_leaks(codes), *self._tiled_leaks(codes, coverage)]
+        return sorted(out, key=lambda x: (x[0] is None, x[0]))
+
+    def _short_leaks(self, codes: np.ndarray) -> Iterator[tuple[int | None, int, int, list[tuple[int, int, int]]]]:
+        for length, owners in self.short.items():
+            seeds, first = np.unique(windows(codes.view(np.uint64), length), return_index=True)
+            wanted = np.array(list(owners), np.uint64)
+            for place in sorted(first[np.isin(seeds, wanted)].tolist()):
+                for item in owners[int(windows(codes[place : place + length].view(np.uint64), length)[0])]:
+                    key, want = self.items[item]
+                    if codes[place : place + length].tolist() == want:
+                        yield key, length, length, [(place, 0, length)]
+
+    def _tiled_leaks(self, codes: np.ndarray, coverage: float) -> list[tuple[int | None, int, int, list[tuple[int, int, int]]]]:
         seeds = windows(codes.view(np.uint64), self.min_match)
-        if not len(seeds):
+        if not len(self.seeds) or not len(seeds):
             return []
         at = np.searchsorted(self.seeds, seeds)
         at[at == len(self.seeds)] = 0
@@ -150,7 +173,7 @@ class Block:
             matched = sum(size for _, _, size in tiles)
             if matched >= coverage * len(want):
                 out.append((key, matched, len(want), [(int(real[d]), i, size) for d, i, size in tiles]))
-        return sorted(out, key=lambda x: (x[0] is None, x[0]))
+        return out
 
 
 def blocks(benchmark: DataFrame, min_match: int = MIN_MATCH, block_tokens: int = BLOCK_TOKENS) -> Iterator[Block]:
@@ -158,7 +181,7 @@ def blocks(benchmark: DataFrame, min_match: int = MIN_MATCH, block_tokens: int =
     rows, held = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = tokens(row["text"])
-        if len(words) < min_match:
+        if not words:
             continue
         if rows and held + len(words) > block_tokens:
             yield Block.build(rows, min_match)
