@@ -431,6 +431,13 @@ def test_license_query_finds_wrapped_notices(spark, tmp_path):
     assert got[9002]["labels"] == "cc-by,cc-by-sa-4.0"
 
 
+def test_license_query_keeps_a_notice_beside_a_larger_one(spark, tmp_path):
+    rows = [(1, "licensed under CC BY 4.0 and licensed under CC BY-SA 4.0"), (2, "licensed under CC BY-SA 4.0 licensed under CC BY 4.0"), (3, "licensed under CC BY-NC-SA 4.0, licensed under CC BY-SA 4.0")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["labels"] for r in licenses.op6_licenses(spark, str(tmp_path)).collect()}
+    assert got == {1: "cc-by,cc-by-4.0,cc-by-sa-4.0", 2: "cc-by,cc-by-4.0,cc-by-sa-4.0", 3: "cc-by,cc-by-nc-sa-4.0,cc-by-sa-4.0"}
+
+
 # 7
 
 
