@@ -1,18 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 7).
 
 A text is cut into clauses. Each word of a clause that holds a hit is read by a
-lexical transducer, which writes a class: insult, threat, target, negation,
-report or other. Small transducers over these classes are composed: one tracks
-negation, one reported speech, one whether a target is near; the composition
-writes an event for each insult or threat, marked with that context, and adds
-up its weight. The score is a logistic function of the event counts, so a word
-alone never scores: the clause that it stands in does.
-
-Insult stems beyond the seed lexicon are induced from labelled rows: shortest
-word beginnings (or whole words) that stand in enough toxic texts and in nearly
-no other; seeds that stand mostly in clean texts are dropped. Event weights are fitted by ridge regression around prior weights.
-Both use at most `FIT_ROWS` labelled rows of the training folds, taken in
-the order of a hash of doc_id; rows that are near copies of another with the same label count once.
+lexical transducer, which writes a class (insult, threat, target, negation, report
+or other) with the weight that the lexicon gives the word. Small transducers over
+these classes are composed into two, as in a bimachine. One reads a clause from its
+end: it marks what a report near the end or a negation at the end comes after
+("you idiot, she said", "an idiot you are not") and what a target follows. The
+other reads it from the start: it marks what follows a target or a negation, and what
+follows a report anywhere in the clause, and writes an event for each insult or threat
+with a learnt weight for that context. Weights along a path add up: an event weighs
+what its word and its context do.
+
+A text's weight is the sum of its events' weights, by kind of event 0 at least. The
+score is a logistic function of the logarithms of the weight and of the weight per
+hundred words, so one marked word in a long text says less than in a short one.
+
+Words beyond the seed lexicon are induced from labelled rows: words and word
+beginnings that stand in toxic texts far more often than chance has it (a G-test), by
+texts that hold them at all, or in two different words. A word weighs the logarithm of
+the ratio of its rates in toxic and in other texts, drawn towards a prior; seeds whose
+ratio is against them are dropped. The context weights and the logistic function are
+fitted together, with a ridge around prior values. All use at most `FIT_ROWS` labelled
+rows of the training folds, taken in the order of a hash of doc_id; rows that are near
+copies of another with the same label count once.
 
 Cases: a null or empty text has no clause and gets the intercept's score; a
 null doc_id has no fold and is not held out; repeated rows are scored one by
@@ -27,7 +37,9 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +52,17 @@ from weftgraph.sources.tables import table
 
 #: Labelled rows used for the fit.
 FIT_ROWS = 12_000
-#: A stem must stand in so many toxic texts, with this share of all texts that hold it.
-STEM_SUPPORT = 8
-STEM_PURITY = 0.9
-STEM_LENGTHS = range(4, 11)
-MAX_STEMS = 4000
+#: A stem must stand in so many toxic texts, with this share of all texts that hold it, and so far from chance (G).
+STEM_SUPPORT = 3
+STEM_PURITY = 0.8
+STEM_G = 13.0
+STEM_LENGTHS = range(3, 11)
 SKETCHES = 8
 #: Equal min-hashes of near copies: 0.94 of pairs at a similarity of 0.8 have so many, and 0.0004 at 0.1.
 SAME = 5
-RIDGE = 2.0
 THRESHOLD = 0.7
+#: Weight of a seed before any is counted (induced words have none), so many counts that it stands for, and the largest weight.
+WORD_PRIOR, WORD_PRIOR_COUNT, MOST_WORD = 3.0, 4.0, 6.0
 
 # The seed lexicon. A star marks a beginning of words.
 INSULTS = (
@@ -67,14 +80,20 @@ REPORTS = "said says wrote writes called calls claimed claims quoted quotes repo
 
 CLASSES = ("insult", "threat", "target", "negation", "report", "other")
 EVENTS = tuple(f"{kind}{context}" for kind in ("insult", "threat") for context in ("", "+target", "+negated", "+reported"))
-# Prior weights of the events, in the order of EVENTS.
-PRIOR = (3.6, 4.2, 0.4, 0.8, 0.3, 1.5, 0.1, 0.3)
-PRIOR_BIAS = -2.5
-#: Words after which a negation, and within which a target, still counts.
+# Prior weights of the contexts, in the order of EVENTS, and of the logistic function.
+PRIOR = (0.6, 1.2, -2.6, -2.2, -2.7, -1.5, -2.9, -2.7)
+PRIOR_LINE = (-5.0, 2.0, 2.0)
+#: How firmly the fit holds to the priors.
+RIDGE_CONTEXT, RIDGE_LINE = 2.0, (0.1, 1.0, 1.0)
+#: Words after which a negation, and within which a target, still counts; words at a clause's end in which a report counts for what stands before it.
 REACH = 3
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE_END = re.compile(r"[.!?;:\n]+")
+CLAUSE_END = re.compile(r"[.!?;\n]+")
+TAGS = ("target", "negated", "reported")
+MARKED = ("insult", "threat")
+#: Classes, and insults and threats with any tags.
+SYMBOLS = (*CLASSES, *("+".join((kind, *tags)) for kind in MARKED for n in range(1, len(TAGS) + 1) for tags in combinations(TAGS, n)))
 
 
 class Transducer:
@@ -103,61 +122,74 @@ class Transducer:
                     todo.append((a2, b2))
         return Transducer(start, arcs)
 
-    def run(self, symbols: list[str]) -> tuple[list[str], float]:
-        state, out, weight = self.start, [], 0.0
-        for symbol in symbols:
+    def run(self, symbols: list[str], weights: list[float]) -> tuple[list[str], list[float]]:
+        """What is written for each symbol, and its weight with that of its arc."""
+        state, out, total = self.start, [], []
+        for symbol, weight in zip(symbols, weights, strict=True):
             state, written, w = self.arcs[state, symbol]
             out.append(written)
-            weight += w
-        return out, weight
+            total.append(weight + w)
+        return out, total
 
 
-def _mark(kinds: tuple[str, ...], trigger: str, tag: str, reach: int | None) -> Transducer:
-    """Tags insults and threats that follow `trigger` within `reach` words (None: anywhere later in the clause).
+def _tagged(symbol: str, tag: str) -> str:
+    kind, *tags = symbol.split("+")
+    return "+".join((kind, *(t for t in TAGS if t == tag or t in tags)))
+
+
+def _mark(trigger: str, tag: str, then) -> Transducer:
+    """Tags insults and threats read in a state above 0; `then(state, triggers)` is the next state, from -1 at the start."""
+    arcs, todo, seen = {}, [-1], {-1}
+    while todo:
+        state = todo.pop()
+        for symbol in SYMBOLS:
+            kind = symbol.split("+")[0]
+            after = then(state, kind == trigger)
+            arcs[(state,), symbol] = ((after,), _tagged(symbol, tag) if state > 0 and kind in MARKED else symbol, 0.0)
+            if after not in seen:
+                seen.add(after)
+                todo.append(after)
+    return Transducer((-1,), arcs)
+
+
+def _within(state: int, triggers: bool) -> int:
+    """For REACH words after the trigger."""
+    return REACH if triggers else max(0, state - 1)
+
+
+def _ever(state: int, triggers: bool) -> int:
+    """From the trigger on."""
+    return int(triggers or state > 0)
+
+
+def _near_start(state: int, triggers: bool) -> int:
+    """From the trigger on, if it is among the first REACH words: states below 0 count them, -9 is too late."""
+    if state > 0 or triggers and state != -9:
+        return 1
+    return -9 if state in (-9, -REACH) else state - 1
 
-    Symbols are a class with the tags put on so far, such as insult+target.
-    """
-    arcs = {}
-    far = reach or 1
-    for left in range(far + 1):
-        for symbol in kinds:
-            base = symbol.split("+")[0]
-            written = f"{symbol}+{tag}" if left and base in ("insult", "threat") else symbol
-            then = far if base == trigger else left if reach is None else max(0, left - 1)
-            arcs[(left,), symbol] = ((then,), written, 0.0)
-    return Transducer((0,), arcs)
-
-
-def _events(kinds: tuple[str, ...]) -> Transducer:
-    """Writes one event per insult or threat: reported speech outweighs negation, and that a target."""
-    arcs = {}
-    for symbol in kinds:
-        base, *tags = symbol.split("+")
-        if base not in ("insult", "threat"):
-            arcs[(), symbol] = ((), "", 0.0)
-            continue
-        context = next((f"+{t}" for t in ("reported", "negated", "target") if t in tags), "")
-        event = base + context
-        arcs[(), symbol] = ((), event, PRIOR[EVENTS.index(event)])
-    return Transducer((), arcs)
 
+def _only_first(state: int, triggers: bool) -> int:
+    """For REACH words after the trigger, if that is the first word."""
+    return REACH if triggers and state == -1 else max(0, state - 1)
 
-def _tagged(kinds: tuple[str, ...], tag: str) -> tuple[str, ...]:
-    return (*kinds, *(f"{k}+{tag}" for k in kinds if k.split("+")[0] in ("insult", "threat")))
 
+def from_end() -> Transducer:
+    """Marks by what comes after, read from the end of a clause."""
+    return _mark("target", "target", _within).compose(_mark("negation", "negated", _only_first)).compose(_mark("report", "reported", _near_start))
 
-def grammar() -> Transducer:
-    """Target, negation and report transducers composed with the event writer."""
-    one = CLASSES
-    two = _tagged(one, "target")
-    three = _tagged(two, "negated")
-    four = _tagged(three, "reported")
-    return (
-        _mark(one, "target", "target", REACH)
-        .compose(_mark(two, "negation", "negated", REACH))
-        .compose(_mark(three, "report", "reported", None))
-        .compose(_events(four))
-    )
+
+def event_of(symbol: str) -> str:
+    """Reported speech outweighs negation, and that a target."""
+    kind, *tags = symbol.split("+")
+    return kind + next((f"+{t}" for t in reversed(TAGS) if t in tags), "")
+
+
+def from_start(contexts: tuple[float, ...]) -> Transducer:
+    """Marks by what came before, and writes one event per insult or threat with its context's weight."""
+    arcs = {((), s): ((), event_of(s), contexts[EVENTS.index(event_of(s))]) if s.split("+")[0] in MARKED else ((), "", 0.0) for s in SYMBOLS}
+    marks = _mark("target", "target", _within).compose(_mark("negation", "negated", _within)).compose(_mark("report", "reported", _ever))
+    return marks.compose(Transducer((), arcs))
 
 
 def _branch(words: list[str]) -> str:
@@ -180,39 +212,57 @@ def _branch(words: list[str]) -> str:
     return write(trie)
 
 
+def _prior_lexicon() -> dict[str, float]:
+    return dict.fromkeys((*INSULTS.split(), *THREATS.split()), WORD_PRIOR)
+
+
 @dataclass
 class Model:
     """Lexicon and weights; everything a task needs to score texts."""
 
-    stems: list[str] = field(default_factory=list)
-    dropped: frozenset[str] = frozenset()
-    bias: float = PRIOR_BIAS
-    weights: tuple[float, ...] = PRIOR
+    #: Weights of words, and of beginnings with a star.
+    lexicon: dict[str, float] = field(default_factory=_prior_lexicon)
+    contexts: tuple[float, ...] = PRIOR
+    line: tuple[float, ...] = PRIOR_LINE
 
     def __post_init__(self) -> None:
         self._ready = False
 
     def _prepare(self) -> None:
-        insults = sorted((set(INSULTS.split()) - self.dropped) | set(self.stems))
-        threats = set(THREATS.split()) - self.dropped
+        threats = set(THREATS.split())
         # Only a clause with a hit is read word by word.
-        self._hit = re.compile(r"(?<![^\W\d_])" + _branch(sorted(set(insults) | threats)))
-        self._insult = re.compile(_branch(insults))
-        self._class = {w: c for c, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", " ".join(threats))) for w in words.split()}
-        self._grammar = grammar()
+        self._hit = re.compile(r"(?<![^\W\d_])" + _branch(sorted(self.lexicon))) if self.lexicon else None
+        self._class = {w: c for c, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS)) for w in words.split()}
+        self._class |= {w: "threat" for w in threats & self.lexicon.keys()}
+        self._lengths = sorted({len(s) - 1 for s in self.lexicon if s.endswith("*")}, reverse=True)
+        self._back, self._forth = from_end(), from_start(self.contexts)
         self._ready = True
 
-    def classes(self, clause: str) -> list[str]:
-        """What the lexical transducer writes for the words of a lower-cased clause."""
-        return [self._class.get(w) or ("insult" if self._insult.fullmatch(w.split("'")[0]) else "other") for w in WORD.findall(clause)]
+    def stem(self, word: str) -> str | None:
+        """The lexicon's entry for a lower-cased word: itself, or its longest beginning."""
+        word = word.split("'")[0]
+        if word in self.lexicon:
+            return word
+        return next((word[:n] + "*" for n in self._lengths if word[:n] + "*" in self.lexicon), None)
 
-    def counts(self, text: str | None) -> Counter:
-        """Events of a whole text."""
-        out: Counter = Counter()
-        if not text:
-            return out
+    def read(self, clause: str) -> tuple[list[str], list[float]]:
+        """What the lexical transducer writes for the words of a lower-cased clause."""
+        kinds, weights = [], []
+        for word in WORD.findall(clause):
+            kind, stem = self._class.get(word), None
+            if kind in (None, "threat"):
+                stem = self.stem(word)
+                kind = kind or ("insult" if stem else "other")
+            kinds.append(kind)
+            weights.append(self.lexicon[stem] if stem else 0.0)
+        return kinds, weights
+
+    def clauses(self, text: str | None) -> Iterator[str]:
+        """The lower-cased clauses that hold a hit."""
         if not self._ready:
             self._prepare()
+        if not text or self._hit is None:
+            return
         low, done = text.lower(), 0
         for hit in self._hit.finditer(low):
             if hit.start() < done:
@@ -224,17 +274,36 @@ class Model:
                 start = end.end()
             stop = CLAUSE_END.search(low, hit.start())
             done = stop.end() if stop else len(low)
-            events, _ = self._grammar.run(self.classes(low[start:done]))
-            out.update(e for e in events if e)
-        return out
-
-    def features(self, text: str | None) -> list[float]:
-        counts = self.counts(text)
-        return [math.log1p(counts[e]) / math.log(2) for e in EVENTS]
+            yield low[start:done]
+
+    def events(self, clause: str) -> list[tuple[str, float]]:
+        """Events of a clause with their path weights."""
+        kinds, weights = self.read(clause)
+        kinds, weights = self._back.run(kinds[::-1], weights[::-1])
+        return [(e, w) for e, w in zip(*self._forth.run(kinds[::-1], weights[::-1]), strict=True) if e]
+
+    def sums(self, text: str | None) -> tuple[list[float], list[int]]:
+        """By kind of event, the path weights' sum and the number of events."""
+        weights, counts = [0.0] * len(EVENTS), [0] * len(EVENTS)
+        for clause in self.clauses(text):
+            for event, weight in self.events(clause):
+                k = EVENTS.index(event)
+                weights[k] += weight
+                counts[k] += 1
+        return weights, counts
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        total = sum(max(0.0, w) for w in self.sums(text)[0])
+        return float(_logistic(np.array(self.line), np.array([total]), np.array([n_words(text)]))[0])
+
+
+def n_words(text: str | None) -> int:
+    return len(text.split()) if text else 0
+
+
+def _logistic(line: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    z = line[0] + line[1] * np.log1p(total) + line[2] * np.log1p(total / (1 + words / 100))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fold(doc_id) -> int:
@@ -284,65 +353,136 @@ def one_of_each_label(sketches: list[tuple[int, int, list[int]]]) -> list[int]:
 
 
 def _beginnings(batches):
-    """Per batch: in how many toxic and other texts each word and word beginning stands."""
+    """Per batch: in how many toxic and other texts each word and word beginning stands, and in two different words."""
     for batch in pieces(batches):
         seen: dict[str, list[int]] = {}
         for toxic, text in zip(column(batch, "toxic"), column(batch, "text"), strict=True):
-            keys = set()
+            held: Counter = Counter()
             for w in set(WORD.findall((text or "").lower())):
-                keys.add(w)
-                keys.update(w[:n] + "*" for n in STEM_LENGTHS if n <= len(w))
-            for k in keys:
-                seen.setdefault(k, [0, 0])[int(toxic > 0)] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())],
-            ["stem", "toxic", "clean"],
-        )
+                held[w] += 1
+                for n in STEM_LENGTHS:
+                    if n <= len(w):
+                        held[w[:n] + "*"] += 1
+            for k, times in held.items():
+                row = seen.setdefault(k, [0, 0, 0, 0])
+                row[int(toxic > 0)] += 1
+                row[2 + int(toxic > 0)] += times > 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (1, 0, 3, 2))], ["stem", "toxic", "clean", "toxic2", "clean2"])
+
+
+def _g(toxic: F.Column, clean: F.Column, all_toxic: int, all_clean: int) -> F.Column:
+    """The G statistic of a stem against the labels."""
+    n = all_toxic + all_clean
+    cells = ((toxic, all_toxic, toxic + clean), (clean, all_clean, toxic + clean), (all_toxic - toxic, all_toxic, n - toxic - clean), (all_clean - clean, all_clean, n - toxic - clean))
+    return 2 * sum((F.when(seen > 0, seen * F.log(seen * n / (side * held))).otherwise(0.0) for seen, side, held in cells), F.lit(0.0))
+
+
+def induce_stems(sample: DataFrame) -> list[str]:
+    """Words and beginnings (starred) that mark toxic texts, the surest first; of equal ones the longest. One that another
+    covers is left out, and one that covers others needs `STEM_SUPPORT` more toxic texts than each of them."""
+    sides = {r["t"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("t")).agg(F.count("*").alias("n")).collect()}
+    counted = sample.mapInArrow(_beginnings, "stem string, toxic bigint, clean bigint, toxic2 bigint, clean2 bigint").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "toxic2", "clean2")))
+
+    def sure(toxic: str, clean: str) -> F.Column:
+        t, c = F.col(toxic), F.col(clean)
+        g = _g(t, c, sides.get(1, 0), sides.get(0, 0))
+        return F.when((t >= STEM_SUPPORT) & (t >= STEM_PURITY * (t + c)) & (g >= STEM_G), F.struct(g.alias("g"), t.alias("n")))
+
+    # As many rows at most as the sample, which is bounded, has words and beginnings.
+    rows = counted.select("stem", F.greatest(sure("toxic", "clean"), sure("toxic2", "clean2")).alias("best")).where("best IS NOT NULL").collect()
+    stems: dict[str, int] = {}
+    for r in sorted(rows, key=lambda r: (-round(r["best"]["g"], 6), -len(r["stem"].rstrip("*")), r["stem"])):
+        stem, n = r["stem"], r["best"]["n"]
+        word = stem.rstrip("*")
+        if any(word[:k] + "*" in stems for k in range(1, len(word) + 1)):
+            continue
+        if stem.endswith("*") and any(s.startswith(word) and n < m + STEM_SUPPORT for s, m in stems.items()):
+            continue
+        stems[stem] = n
+    return list(stems)
+
+
+def _occurrences(shared):
+    """Per batch: how often each entry of the lexicon stands in toxic and in other texts; `''` counts all words."""
+
+    def run(batches):
+        model = shared.value
+        model._prepare()
+        for batch in pieces(batches):
+            seen: dict[str, list[int]] = {}
+            for toxic, text in zip(column(batch, "toxic"), column(batch, "text"), strict=True):
+                found = Counter(s for clause in model.clauses(text) for w in WORD.findall(clause) if (s := model.stem(w)))
+                found[""] = n_words(text)
+                for k, times in found.items():
+                    seen.setdefault(k, [0, 0])[int(toxic > 0)] += times
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (1, 0))], ["stem", "toxic", "clean"])
+
+    return run
+
+
+def word_weight(toxic: int, clean: int, all_toxic: int, all_clean: int, prior: float) -> float:
+    """The logarithm of the ratio of a word's rates, drawn towards the prior."""
+    seen = toxic + clean
+    ratio = math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
+    return min(MOST_WORD, (seen * ratio + WORD_PRIOR_COUNT * prior) / (seen + WORD_PRIOR_COUNT))
 
 
-def induce_stems(sample: DataFrame) -> tuple[list[str], frozenset[str]]:
-    """Shortest beginnings (starred) and words that mark toxic texts, none covered by another; and seed words that don't.
+def weigh(sample: DataFrame, stems: list[str]) -> dict[str, float]:
+    """The lexicon: seeds and stems with their weights, without those that speak against toxicity."""
+    lexicon = dict.fromkeys(stems, 0.0) | _prior_lexicon()
+    shared = sample.sparkSession.sparkContext.broadcast(Model(lexicon))
+    rows = sample.mapInArrow(_occurrences(shared), "stem string, toxic bigint, clean bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    seen = {r["stem"]: (r["toxic"], r["clean"]) for r in rows}
+    weights = {s: word_weight(*seen.get(s, (0, 0)), *seen.get("", (0, 0)), prior) for s, prior in lexicon.items()}
+    return {s: w for s, w in sorted(weights.items()) if w > 0}
 
-    A seed is dropped if it stands in `STEM_SUPPORT` clean texts or more and in more clean than toxic ones.
+
+def fit_weights(weights: np.ndarray, counts: np.ndarray, words: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """(contexts, line) of least logistic loss with a ridge around the priors, by a quasi-Newton search.
+
+    Rows are texts, with lexical weights and numbers of events by kind, and numbers of words.
     """
-    counted = sample.mapInArrow(_beginnings, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    marks = (F.col("toxic") >= STEM_SUPPORT) & (F.col("toxic") >= STEM_PURITY * (F.col("toxic") + F.col("clean")))
-    against = F.col("stem").isin(*INSULTS.split(), *THREATS.split()) & (F.col("clean") >= STEM_SUPPORT) & (F.col("clean") > F.col("toxic"))
-    rows = counted.where(marks | against).withColumn("marks", marks).orderBy(F.col("marks"), F.desc("toxic"), "stem").limit(MAX_STEMS).collect()
-    stems: list[str] = []
-    beginnings: set[str] = set()
-    for stem in sorted((r["stem"] for r in rows if r["marks"]), key=lambda s: (len(s.rstrip("*")), not s.endswith("*"), s)):
-        word = stem.rstrip("*")
-        if not any(word[:n] in beginnings for n in range(1, len(word) + 1)):
-            stems.append(stem)
-            if stem.endswith("*"):
-                beginnings.add(word)
-    return stems, frozenset(r["stem"] for r in rows if not r["marks"])
-
-
-def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, tuple[float, ...]]:
-    """Newton's method for a logistic regression with a ridge around the prior weights."""
-    prior = np.array([PRIOR_BIAS, *PRIOR])
-    w = prior.copy()
-    if not len(y):
-        return float(w[0]), tuple(w[1:])
-    full = np.column_stack([np.ones(len(y)), x])
-    ridge = np.diag([0.1, *[RIDGE] * len(PRIOR)])
+    prior = np.array([*PRIOR, *PRIOR_LINE])
+    ridge = np.array([*[RIDGE_CONTEXT] * len(PRIOR), *RIDGE_LINE])
+    k, hundreds = len(PRIOR), 1 + words / 100
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        by_kind = weights + counts * w[:k]
+        total = np.maximum(by_kind, 0).sum(axis=1)
+        p = _logistic(w[k:], total, words)
+        slope = (w[k + 1] / (1 + total) + w[k + 2] / (hundreds + total)) * (p - y)
+        parts = [(slope[:, None] * counts * (by_kind > 0)).sum(axis=0), [(p - y).sum(), ((p - y) * np.log1p(total)).sum(), ((p - y) * np.log1p(total / hundreds)).sum()]]
+        value = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + (ridge * (w - prior) ** 2).sum() / 2
+        return value, np.concatenate(parts) + ridge * (w - prior)
+
+    w, inverse = prior.copy(), np.eye(len(prior)) / (1 + len(y) / 10)
+    value, slope = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        step = np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) + ridge, full.T @ (y - p) - ridge @ (w - prior))
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        step = -inverse @ slope
+        size = 1.0
+        while size > 1e-6 and (new := loss(w + size * step))[0] > value + 1e-4 * size * (slope @ step):
+            size /= 2
+        if size <= 1e-6:
             break
-    return float(w[0]), tuple(float(v) for v in w[1:])
+        moved, turned = size * step, new[1] - slope
+        w, value, slope = w + moved, *new
+        along = moved @ turned
+        if along > 1e-12:
+            side = np.eye(len(w)) - np.outer(moved, turned) / along
+            inverse = side @ inverse @ side.T + np.outer(moved, moved) / along
+        if np.abs(moved).max() < 1e-8:
+            break
+    return tuple(float(v) for v in w[:k]), tuple(float(v) for v in w[k:])
 
 
 def _features(shared):
+    """Lexical weights and counts by kind of event: the contexts of the shared model weigh nothing."""
+
     def run(batches):
         model = shared.value
         for batch in pieces(batches):
-            rows = [model.features(t) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")).cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
+            rows = [[*weights, *counts, n_words(t)] for t in column(batch, "text") for weights, counts in (model.sums(t),)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)).cast(pa.int64()) for n in ("doc_id", "toxic")), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
     return run
 
@@ -354,10 +494,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT
     sketches = [(r["doc_id"], r["toxic"], r["keys"]) for r in labelled.mapInArrow(_sketches, "doc_id bigint, toxic bigint, keys array<bigint>").collect()]  # of `rows` rows at most
     ids = spark.createDataFrame([(i,) for i in one_of_each_label(sketches)], "doc_id bigint")
     sample = scratch.put(labelled.join(F.broadcast(ids), "doc_id"), "sample")
-    model = Model(*induce_stems(sample))
-    got = sample.mapInArrow(_features(spark.sparkContext.broadcast(model)), "toxic int, x array<double>").collect()
-    x = np.array([r["x"] for r in got], float).reshape(len(got), len(EVENTS))
-    model.bias, model.weights = fit_weights(x, np.array([float(r["toxic"] > 0) for r in got]))
+    model = Model(weigh(sample, induce_stems(sample)))
+    plain = spark.sparkContext.broadcast(Model(model.lexicon, (0.0,) * len(EVENTS)))
+    got = sorted(sample.mapInArrow(_features(plain), "doc_id bigint, toxic bigint, x array<double>").collect(), key=lambda r: r["doc_id"])
+    x = np.array([r["x"] for r in got], float).reshape(len(got), 2 * len(EVENTS) + 1)
+    k = len(EVENTS)
+    model.contexts, model.line = fit_weights(x[:, :k], x[:, k : 2 * k], x[:, -1], np.array([float(r["toxic"] > 0) for r in got]))
     scratch.drop(labelled, sample)
     return model
 
