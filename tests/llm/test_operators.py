@@ -363,6 +363,49 @@ def test_tiff_goes_on_after_a_page_that_cannot_be_read():
     assert got[2]["pixels"] == bytes([2]) * 128
 
 
+def tiff_with(tags, data=b"\0" * 256):
+    """A little-endian file of one page: the data from byte 8 on, then the given (tag, kind, number, value bytes)."""
+    import struct
+
+    at = 8 + len(data)
+    body = b"".join(struct.pack("<HHI", t, k, n) + v.ljust(4, b"\0") for t, k, n, v in tags)
+    return b"II*\0" + struct.pack("<I", at) + data + struct.pack("<H", len(tags)) + body + b"\0\0\0\0"
+
+
+def test_tiff_malformed_tags_give_an_error_row():
+    import struct
+
+    short, long = lambda *v: struct.pack(f"<{len(v)}H", *v), lambda v: struct.pack("<I", v)
+    good = {256: (3, 1, short(16)), 257: (3, 1, short(16)), 258: (3, 1, short(8)), 259: (3, 1, short(1)), 273: (4, 1, long(8)), 277: (3, 1, short(1)), 278: (3, 1, short(16)), 279: (4, 1, long(256))}
+    make = lambda changes, data=b"\0" * 256: tiff.pages(tiff_with([(t, *v) for t, v in sorted((good | changes).items()) if v], data))
+    assert [p["error"] for p in make({})] == [None]
+    bomb = zlib.compress(b"\0" * 3_000_000)
+    for changes in (
+        {278: (3, 1, short(0))}, {256: (3, 0, b"")}, {256: (2, 1, b"a")}, {256: (3, 1, short(0))}, {257: (3, 1, short(0))}, {277: (3, 1, short(0))},
+        {273: (4, 0, b"")}, {279: (2, 2, b"ab")}, {258: (3, 2, short(8, 16))}, {256: (9, 1, struct.pack("<i", -4))}, {256: None}, {273: None},
+        {256: (4, 1, long(2**31)), 257: (4, 1, long(2**31)), 278: (4, 1, long(2**31))}, {256: (4, 1, long(60000)), 257: (4, 1, long(30000)), 278: (4, 1, long(30000))},
+        {322: (3, 1, short(0)), 323: (3, 1, short(16)), 324: (4, 1, long(8)), 325: (4, 1, long(256))}, {322: (4, 1, long(2**30)), 323: (4, 1, long(2**30)), 324: (4, 1, long(8)), 325: (4, 1, long(256))},
+        {259: (3, 1, short(8)), 279: (4, 1, long(len(bomb) + 10**6))}, {279: (4, 1, long(255))}, {273: (5, 1, long(0))},
+    ):
+        got = make(changes)
+        assert len(got) == 1 and got[0]["error"] and "pixels" not in got[0], changes
+    page = make({259: (3, 1, short(8)), 279: (4, 1, long(len(bomb)))}, bomb)[0]  # no more is decoded than the page takes
+    assert page["error"] is None and page["pixels"] == b"\0" * 256
+    assert tiff._inflate(bomb, 100) == b"\0" * 100 and len(tiff.unpack_bits(b"\x81a" * 50, 100)) < 300 and len(tiff.unpack_lzw(tiff.pack_lzw(b"a" * 5000), 100)) < 300
+
+
+def test_tiff_never_raises():
+    rng = random.Random(8)
+    images = [np.random.default_rng(2).integers(0, 4, (40, 24, 3)).astype(np.uint8), np.zeros((3, 5), np.uint8)]
+    files = [tiff.encode(images, scheme, 2, 16, tile) for scheme in tiff.PACK for tile in (None, (16, 16))]
+    for _ in range(3000):
+        raw = bytearray(rng.choice(files))
+        for _ in range(rng.randrange(1, 6)):
+            raw[rng.choice((rng.randrange(len(raw)), max(0, len(raw) - rng.randrange(1, 200))))] = rng.choice((0, 1, 2, 255, rng.randrange(256)))
+        raw = bytes(raw[: rng.choice((len(raw), rng.randrange(len(raw))))])
+        assert all((p["error"] is None) == ("pixels" in p) for p in tiff.pages(raw))
+
+
 def test_tiff_query_equals_the_payload(spark, tmp_path):
     texts = [(1, "abc"), (2, None), (3, ""), (4, "é" * 500), (5, "x" * 70_000), (6, "abc"), (None, "z")]
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")

@@ -7,7 +7,10 @@ per page. `encode` writes what the query stores: pages of 8-bit samples.
 
 Cases: null or empty media gives no page; media that is no TIFF, is cut short
 or names an unknown scheme gives one row with page 0, no samples and the reason
-in `error`; later pages of a chain that breaks are reported the same way; a
+in `error`, and so does a page with empty, zero or mistyped tags, or one that claims
+more samples than its strips can hold (known from their sizes before anything is
+decoded; no strip is decoded beyond what the page takes from it) or than a binary value
+can (`MOST_BYTES`); later pages of a chain that breaks are reported the same way; a
 chain that returns to a directory ends there; repeated rows give their pages
 once per row; extra columns are not read; an empty table gives no rows.
 """
@@ -17,13 +20,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import column, pieces
+from weftgraph.llm.common import by_size, column, pieces
 from weftgraph.sources.tables import table
 
 # Tag numbers, compression schemes and field sizes of the public TIFF 6.0 text.
@@ -36,6 +40,12 @@ FIELD = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("
 #: Samples in a row of the stored payload, and rows in a strip.
 ROW = 64
 STRIP_ROWS = 256
+#: Bytes of a page's samples at most, what one binary value holds; bytes of media and of samples that a task works on at once.
+MOST_BYTES = 2**31 - 64
+BATCH_BYTES = 16_000_000
+INTEGERS = {1, 3, 4, 6, 8, 9, 13, 16, 17, 18}
+#: Samples' bytes that a byte of each scheme can stand for at most, from the public descriptions of the schemes.
+MOST_GAIN = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
 PAGE_SCHEMA = "key bigint, page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, feature string, error string"
 
 
@@ -43,9 +53,9 @@ class BadTiff(ValueError):
     """The bytes break the format or use a part of it that is not read."""
 
 
-def unpack_bits(raw: bytes) -> bytes:
+def unpack_bits(raw: bytes, most: int = MOST_BYTES) -> bytes:
     out, at = bytearray(), 0
-    while at < len(raw):
+    while at < len(raw) and len(out) < most:
         head = raw[at]
         at += 1
         if head < 128:
@@ -76,10 +86,10 @@ def pack_bits(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(raw: bytes) -> bytes:
+def unpack_lzw(raw: bytes, most: int = MOST_BYTES) -> bytes:
     """Most significant bit first; code widths grow one code early, as TIFF has it."""
     words = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, held, bits, width, last = [], 0, 0, 9, None
+    out, held, bits, width, last, size = [], 0, 0, 9, None, 0
     for byte in raw:
         held = held << 8 | byte
         bits += 8
@@ -98,8 +108,9 @@ def unpack_lzw(raw: bytes) -> bytes:
             word = words[code] if code < 256 else None
         elif code < len(words):
             word = words[code]
-            words.append(last + word[:1])
-        elif code == len(words):
+            if len(words) < 4096:
+                words.append(last + word[:1])
+        elif code == len(words) < 4096:
             word = last + last[:1]
             words.append(word)
         else:
@@ -107,6 +118,9 @@ def unpack_lzw(raw: bytes) -> bytes:
         if word is None:
             raise BadTiff("LZW code out of range")
         out.append(word)
+        size += len(word)
+        if size >= most:
+            break
         last = word
         width = min(12, max(9, (len(words) + 1).bit_length()))
     return b"".join(out)
@@ -154,14 +168,14 @@ def pack_lzw(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def _inflate(raw: bytes) -> bytes:
+def _inflate(raw: bytes, most: int = MOST_BYTES) -> bytes:
     try:
-        return zlib.decompress(raw)
+        return zlib.decompressobj().decompress(raw, max(1, most))
     except zlib.error as e:
         raise BadTiff(f"deflate: {e}") from e
 
 
-UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
+UNPACK = {NONE: lambda raw, most: raw[:most], LZW: unpack_lzw, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
 PACK = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda raw: zlib.compress(raw, 4), PACKBITS: pack_bits}
 
 
@@ -172,10 +186,9 @@ def _directories(raw: bytes):
     order = "<" if raw[:2] == b"II" else ">"
 
     def read(kind: str, at: int) -> tuple:
-        try:
-            return struct.unpack_from(order + kind, raw, at)
-        except struct.error as e:
-            raise BadTiff("cut short") from e
+        if at + struct.calcsize(order + kind) > len(raw):
+            raise BadTiff("cut short")
+        return struct.unpack_from(order + kind, raw, at)
 
     (magic,) = read("H", 2)
     if magic not in (42, 43):
@@ -195,40 +208,52 @@ def _directories(raw: bytes):
             if kind not in FIELD:
                 continue
             form, width = FIELD[kind]
-            if n * width > room:
-                (value_at,) = read("Q" if big else "I", value_at)
             if n * width > len(raw):
                 raise BadTiff("cut short")
-            tags[tag] = read(form * n if len(form) > 1 else f"{n}{form}", value_at)
+            if n * width > room:
+                (value_at,) = read("Q" if big else "I", value_at)
+            tags[tag] = kind, read(form * n if len(form) > 1 else f"{n}{form}", value_at)
         yield order, tags
         (at,) = read("Q" if big else "I", at)
 
 
 def _page(raw: bytes, order: str, tags: dict) -> dict:
-    def first(tag: int, default: int | None = None) -> int:
-        if tag not in tags and default is None:
-            raise BadTiff(f"tag {tag} is missing")
-        return tags[tag][0] if tag in tags else default
+    def every(tag: int, default: tuple[int, ...]) -> tuple[int, ...]:
+        kind, values = tags.get(tag, (3, default))
+        if not values or kind not in INTEGERS or min(values) < 0:
+            raise BadTiff(f"tag {tag} is missing or has no number")
+        return values
+
+    def first(tag: int, *default: int) -> int:
+        return every(tag, default)[0]
 
     width, height, per = first(WIDTH), first(HEIGHT), first(SAMPLES, 1)
-    bits, scheme, predictor = first(BITS, 1), first(COMPRESSION, NONE), first(PREDICTOR, 1)
-    if scheme not in UNPACK or bits not in (8, 16) or predictor not in (1, 2) or first(PLANAR, 1) != 1 or not width or not height:
-        raise BadTiff(f"not read: compression {scheme}, {bits} bits, predictor {predictor}, planes {first(PLANAR, 1)}")
+    bits, scheme, predictor, planes = first(BITS, 1), first(COMPRESSION, NONE), first(PREDICTOR, 1), first(PLANAR, 1)
+    if scheme not in UNPACK or bits not in (8, 16) or any(b != bits for b in every(BITS, (1,))) or predictor not in (1, 2) or planes != 1:
+        raise BadTiff(f"not read: compression {scheme}, {bits} bits, predictor {predictor}, planes {planes}")
     kind = np.dtype(np.uint8 if bits == 8 else np.uint16).newbyteorder(order)
     tiled = TILE_OFFSETS in tags
-    offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
+    offsets, counts = every(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), every(TILE_COUNTS if tiled else STRIP_COUNTS, ())
     w, h = (first(TILE_WIDTH), first(TILE_HEIGHT)) if tiled else (width, min(height, first(ROWS_PER_STRIP, height)))
+    if not (width and height and per and w and h):
+        raise BadTiff("a page, strip or tile has no size")
+    if width * height * per * kind.itemsize > MOST_BYTES:
+        raise BadTiff("the page is larger than a binary value")
     across, down = -(-width // w), -(-height // h)
     if len(offsets) != across * down or len(counts) != len(offsets):
         raise BadTiff("the strips or tiles don't cover the page")
-    out = np.zeros((height, width, per), kind)
-    for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
+    heights = [h if tiled else min(h, height - k // across * h) for k in range(len(offsets))]
+    for at, size, rows in zip(offsets, counts, heights, strict=True):
         if at + size > len(raw):
             raise BadTiff("cut short")
+        if rows * w * per * kind.itemsize > size * MOST_GAIN[scheme]:
+            raise BadTiff("a strip or tile holds too little")
+    out = np.zeros((height, width, per), kind)
+    for k, (at, size, rows) in enumerate(zip(offsets, counts, heights, strict=True)):
         top, left = k // across * h, k % across * w
-        rows = h if tiled else min(h, height - top)
-        block = UNPACK[scheme](raw[at : at + size])
-        if len(block) < rows * w * per * kind.itemsize:
+        want = rows * w * per * kind.itemsize
+        block = UNPACK[scheme](raw[at : at + size], want)
+        if len(block) < want:
             raise BadTiff("a strip or tile holds too little")
         part = np.frombuffer(block, kind, rows * w * per).reshape(rows, w, per)
         if predictor == 2:
@@ -248,21 +273,26 @@ def feature(pixels: bytes, width: int, height: int) -> str:
     return f"{width}x{height};mean={mean:.4f};sd={deviation:.4f};distinct={(counts > 0).sum()};entropy={-(share * np.log2(share)).sum() + 0.0:.4f}"
 
 
-def pages(raw: bytes | None) -> list[dict]:
-    """The pages of a file; one that can't be read has its `error`, and a broken chain of directories ends the list with one."""
-    out: list[dict] = []
+def walk(raw: bytes | None) -> Iterator[dict]:
+    """The pages of a file; one that can't be read has its `error`, and a broken chain of directories ends with one."""
     if not raw:
-        return out
+        return
+    number = 0
     try:
         for order, tags in _directories(raw):
             try:
                 page = _page(raw, order, tags)
-                out.append(page | {"page": len(out), "feature": feature(page["pixels"], page["width"], page["height"]), "error": None})
+                page |= {"feature": feature(page["pixels"], page["width"], page["height"]), "error": None}
             except BadTiff as e:
-                out.append({"page": len(out), "error": str(e)})
+                page = {"error": str(e)}
+            yield page | {"page": number}
+            number += 1
     except BadTiff as e:
-        out.append({"page": len(out), "error": str(e)})
-    return out
+        yield {"page": number, "error": str(e)}
+
+
+def pages(raw: bytes | None) -> list[dict]:
+    return list(walk(raw))
 
 
 def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip_rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None) -> bytes:
@@ -337,15 +367,23 @@ def _walker(key: str, media: str, carry: list[str]):
     names = ["page", "width", "height", "samples", "bits", "compression", "predictor", "pixels", "feature", "error"]
     kinds = [*[pa.int32()] * 7, pa.binary(), pa.string(), pa.string()]
 
+    def table_of(batch: pa.RecordBatch, source: list[int], rows: list[dict]) -> pa.RecordBatch:
+        kept = batch.select([key, *carry]).take(pa.array(source, pa.int64()))
+        return pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True))], [key, *carry, *names])
+
     def run(batches):
-        for batch in pieces(batches):
-            rows, source = [], []
-            for at, raw in enumerate(column(batch, media)):
-                got = pages(raw)
-                rows += got
-                source += [at] * len(got)
-            kept = batch.select([key, *carry]).take(pa.array(source, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True))], [key, *carry, *names])
+        for batch in by_size(batches, media, BATCH_BYTES):
+            rows, source, held = [], [], 0
+            at_media = batch.schema.get_field_index(media)
+            for at in range(batch.num_rows):
+                for page in walk(batch.column(at_media)[at].as_py()):
+                    rows.append(page)
+                    source.append(at)
+                    held += len(page.get("pixels", b""))
+                    if held >= BATCH_BYTES:
+                        yield table_of(batch, source, rows)
+                        rows, source, held = [], [], 0
+            yield table_of(batch, source, rows)
 
     return run
 
