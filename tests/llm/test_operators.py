@@ -422,8 +422,7 @@ def test_tiff_query_equals_the_payload(spark, tmp_path):
 
 
 def brute_licenses(text):
-    import re
-
+    """Every block of words against every template, with sets."""
     low = licenses.lowered(text)
     all_words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     places, labels = [], set()
@@ -433,13 +432,25 @@ def brute_licenses(text):
             if all_words[k : k + len(p)] == p:
                 places.append(k)
                 labels.add(label)
-    sets = [set(licenses.words(licenses.lowered(t))) for _, t in licenses.TEMPLATES]
-    lines = [set(licenses.words(x)) for x in low.split(b"\n")]
-    windows = [set().union(*lines[k : k + licenses.WINDOW_LINES]) for k in range(0, max(1, len(lines) - licenses.WINDOW_LINES // 2), licenses.WINDOW_LINES // 2)]
+    orders = [licenses.words(licenses.lowered(t)) for _, t in licenses.TEMPLATES]
+    blocks = {}
+    for t, order in enumerate(orders):
+        width = min(len(all_words), int(len(order) / 0.95 + 1e-9))
+        hit = [k for k in range(len(all_words) - width + 1) if len(set(order) & set(all_words[k : k + width])) >= 0.95 * len(set(order)) - 1e-9]
+        if hit and width:
+            blocks[t] = width, hit
     found = set()
-    for block, long in [*((x, False) for x in lines), *((x, True) for x in windows)]:
-        hits = [t for t, s in enumerate(sets) if (len(s) > licenses.LONG) == long and len(s & block) >= licenses.needed(len(s))]
-        found |= {t for t in hits if not any(sets[t] < sets[u] for u in hits)}
+    for t, (width, hit) in blocks.items():
+        taken = set()
+        for u, (wide, starts) in blocks.items():
+            if set(orders[t]) < set(orders[u]):
+                used = set()
+                for k in sorted(starts, key=lambda k: (all_words[k : k + len(orders[u])] != orders[u], k)):  # noqa: B023
+                    if not used & set(range(k, k + wide)):
+                        used |= set(range(k, k + wide))
+                taken |= used
+        if any(not taken & set(range(k, k + width)) for k in hit):
+            found.add(t)
     return len(all_words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {licenses.TEMPLATES[t][0] for t in found})), sorted(found)
 
 
@@ -449,6 +460,12 @@ def test_licenses_equal_brute_force(spark):
     for label, template in licenses.TEMPLATES:
         w = template.split()
         texts += [template, "x y\n" + template.upper() + "\nz", " ".join(rng.sample(w, len(w))), " ".join(w[: len(w) * 3 // 4]), "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)), "\n" * 40 + template]
+        cut = [x for k, x in enumerate(w) if k != len(w) // 2]
+        texts += ["a b c " + " ".join(cut), "\n".join(w), " ".join(f"{x} filler" for x in w), " ".join([*w[:3], "and", "so", *w[3:]]), template + " " + rng.choice(licenses.TEMPLATES)[1]]
+    pool = [x for _, t in licenses.TEMPLATES for x in t.split()]
+    texts += [" ".join(rng.choice(pool) for _ in range(400)) for _ in range(10)]
+    texts.append("Licensed " + "x " * 20 + "under CC " + "y " * 20 + "BY 4.0")
+    assert brute_licenses(texts[-1])[6] == [] and brute_licenses("Licensed under the Apache License,\nVersion 2.0")[6] == [0]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "licensed under cc by 4.0"), (1, "")]
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "templates")
     got = sorted((str(r["doc_id"]), str(tuple(r[n] for n in names))) for r in licenses.scan_licenses(docs(spark, rows)).collect())

@@ -1,21 +1,22 @@
 """License scans by an exact set-similarity join (operator 6).
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
-lower-cased. A text block is a line, or, for long templates, a window of lines
-(see `WINDOW_LINES`). With `wrapped`, as in the query, blocks of the other templates
-are also all runs of words of the whole text that are as long as the template, or
-1 / threshold as long at most, so that line breaks do not hide a notice; a template
-whose tokens are a proper part of another's needs a run outside that one's runs. A block matches a template if the share of the template's
-distinct tokens that it holds reaches the threshold.
+lower-cased. The text blocks of a template are all runs of consecutive words of the
+whole text, over line ends, that are as long as the template, or 1 / threshold as long
+where that is more words (the whole text, if it is shorter). A block matches the
+template if the share of the template's distinct tokens that it holds reaches the
+threshold. So a notice is found however its lines are broken, and its words scattered
+over a longer stretch are not one.
 
 The join: the tokens of all templates are counted over the whole corpus, which
 gives one global order, rarest first. For a template of n tokens that needs m
 of them, a matching block holds at least one of the n - m + 1 rarest: only
-these prefixes are indexed. A block of fewer than m tokens is passed over
-(length filter), and so is a candidate whose rarest shared token stands so late
-in the template's order that too few are left after it (positional filter).
-What remains is verified on the full sets. Of the templates that one block holds,
-those whose tokens are a proper part of another's give way to it, but for runs of their own.
+these prefixes are indexed, and only blocks around the places of such a token are
+looked at. A text of fewer than m words is passed over (length filter), and so is a
+candidate whose rarest token in the text stands so late in the template's order that
+too few are left after it (positional filter). What remains is verified on the full
+sets, block by block. A template whose tokens are a proper part of another's that the
+text holds as well needs a block outside the other's.
 
 Beside it, exact phrases are found as runs of consecutive words.
 
@@ -43,10 +44,6 @@ from weftgraph.sources.tables import table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 THRESHOLD = 0.95
-#: Templates of more distinct tokens are sought in windows of lines, which overlap by half.
-LONG = 24
-WINDOW_LINES = 32
-
 # Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -106,7 +103,6 @@ class Index:
     rank: list[int]
     ordered: list[list[int]]
     prefix: dict[int, list[tuple[int, int]]]
-    least: int
     threshold: float = THRESHOLD
 
     @classmethod
@@ -121,31 +117,21 @@ class Index:
         for t, tokens in enumerate(ordered):
             for place, code in enumerate(tokens[: len(tokens) - needed(len(tokens), threshold) + 1]):
                 prefix.setdefault(code, []).append((t, place))
-        return cls(rank, ordered, prefix, min(needed(len(x), threshold) for x in ordered), threshold)
-
-    def short(self, tokens: set[int]) -> list[int]:
-        """Templates of at most LONG tokens that a text of these vocabulary tokens may hold."""
-        near = {t for code in tokens for t, _ in self.prefix.get(code, ())}
-        return sorted(t for t in near if len(self.ordered[t]) <= LONG and sum(code in tokens for code in self.ordered[t]) >= needed(len(self.ordered[t]), self.threshold))
+        return cls(rank, ordered, prefix, threshold)
 
-    def matches(self, tokens: set[int], long: bool) -> list[tuple[int, float]]:
-        """(template, containment) of each template that a block of these vocabulary tokens holds."""
-        if len(tokens) < self.least:
-            return []
+    def candidates(self, tokens: set[int], n_words: int) -> list[int]:
+        """Templates that a text of these vocabulary tokens and so many words may hold."""
         first: dict[int, int] = {}
-        for code in sorted(tokens, key=self.rank.__getitem__):
-            for t, place in self.prefix.get(code, ()):
+        for code in sorted(tokens & self.prefix.keys(), key=self.rank.__getitem__):
+            for t, place in self.prefix[code]:
                 first.setdefault(t, place)
         out = []
         for t, place in first.items():
             size = len(self.ordered[t])
             need = needed(size, self.threshold)
-            if (size > LONG) != long or len(tokens) < need or size - place < need:
-                continue
-            shared = sum(code in tokens for code in self.ordered[t])
-            if shared >= need:
-                out.append((t, shared / size))
-        return [(t, share) for t, share in out if not any(set(self.ordered[t]) < set(self.ordered[u]) for u, _ in out)]
+            if n_words >= need and size - place >= need and sum(code in tokens for code in self.ordered[t]) >= need:
+                out.append(t)
+        return sorted(out)
 
 
 #: Words of each template.
@@ -153,15 +139,25 @@ LENGTHS = [len(words(lowered(t))) for _, t in TEMPLATES]
 
 
 def runs(codes: np.ndarray, template: int, index: Index) -> tuple[np.ndarray, np.ndarray, int]:
-    """Starts of the runs of words that hold a template, the share of its tokens in each, and their length."""
+    """Starts of the blocks of words that hold a template, the share of its tokens in each, and their length."""
     tokens = index.ordered[template]
+    need = needed(len(tokens), index.threshold)
     width = min(len(codes), int(LENGTHS[template] / index.threshold + 1e-9))
-    held = np.zeros(len(codes) - width + 1, np.int64)
+    # Only blocks that hold a token of the prefix: they start at most a block's length before one.
+    rare = np.cumsum(np.concatenate(([0], np.isin(codes, tokens[: len(tokens) - need + 1]))))
+    starts = np.flatnonzero(rare[width:] > rare[:-width])
+    near = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(near, starts, 1)
+    np.add.at(near, starts + width, -1)
+    near = np.cumsum(near[:-1]) > 0
+    words_near = codes[near]
+    at = (np.cumsum(near) - 1)[starts]
+    held = np.zeros(len(starts), np.int64)
     for code in tokens:
-        before = np.concatenate(([0], np.cumsum(codes == code)))
-        held += before[width:] > before[:-width]
-    starts = np.flatnonzero(held >= needed(len(tokens), index.threshold))
-    return starts, held[starts] / len(tokens), width
+        before = np.concatenate(([0], np.cumsum(words_near == code)))
+        held += before[at + width] > before[at]
+    hit = held >= need
+    return starts[hit], held[hit] / len(tokens), width
 
 
 def apart(codes: np.ndarray, template: int, starts: np.ndarray, width: int) -> list[int]:
@@ -177,7 +173,7 @@ def apart(codes: np.ndarray, template: int, starts: np.ndarray, width: int) -> l
     return out
 
 
-def scan(text: str | None, index: Index, wrapped: bool = False) -> dict:
+def scan(text: str | None, index: Index) -> dict:
     """Words, phrase places and template matches of one whole text."""
     raw = lowered(text)
     found = words(raw)
@@ -196,27 +192,18 @@ def scan(text: str | None, index: Index, wrapped: bool = False) -> dict:
             places += at.tolist()
             base.add(label)
     hits: dict[int, float] = {}
-    if len(codes) and set(codes.tolist()) & index.prefix.keys():
-        lines = [{c for w in words(line) if (c := look(w, -1)) >= 0} for line in raw.split(b"\n")]
-        for tokens in lines:
-            for t, share in index.matches(tokens, False):
-                hits[t] = max(share, hits.get(t, 0))
-        for top in range(0, max(1, len(lines) - WINDOW_LINES // 2), WINDOW_LINES // 2):
-            for t, share in index.matches(set().union(*lines[top : top + WINDOW_LINES]), True):
-                hits[t] = max(share, hits.get(t, 0))
-        if wrapped:
-            present = set(codes.tolist())
-            found_runs = {t: got for t in index.short(present) if len((got := runs(codes, t, index))[0])}
-            for t, (starts, shares, width) in found_runs.items():
-                taken = np.zeros(len(codes) + 1, np.int64)  # words of notices that hold all of this one's tokens
-                for u in found_runs:
-                    if set(index.ordered[t]) < set(index.ordered[u]):
-                        for start in apart(codes, u, found_runs[u][0], found_runs[u][2]):
-                            taken[start : start + found_runs[u][2]] = 1
-                before = np.concatenate(([0], np.cumsum(taken)))
-                own = before[starts + width] == before[starts]
-                if own.any():
-                    hits[t] = max(float(shares[own].max()), hits.get(t, 0))
+    present = set(codes.tolist())
+    found_runs = {t: got for t in index.candidates(present, len(codes)) if len((got := runs(codes, t, index))[0])}
+    for t, (starts, shares, width) in found_runs.items():
+        taken = np.zeros(len(codes) + 1, np.int64)  # words of notices that hold all of this one's tokens
+        for u in found_runs:
+            if set(index.ordered[t]) < set(index.ordered[u]):
+                for start in apart(codes, u, found_runs[u][0], found_runs[u][2]):
+                    taken[start : start + found_runs[u][2]] = 1
+        before = np.concatenate(([0], np.cumsum(taken)))
+        own = before[starts + width] == before[starts]
+        if own.any():
+            hits[t] = float(shares[own].max())
     labels = base | {TEMPLATES[t][0] for t in hits}
     return {
         "n_words": len(found), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
@@ -240,25 +227,25 @@ def corpus_counts(docs: DataFrame) -> dict[int, int]:
     return {r["code"]: r["n"] for r in rows}
 
 
-def _scanner(index: Index, wrapped: bool):
+def _scanner(index: Index):
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates"]
     kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32())]
 
     def run(batches):
         for batch in pieces(batches):
-            rows = [scan(t, index, wrapped) for t in column(batch, "text")]
+            rows = [scan(t, index) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True))], ["doc_id", *names])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: word and phrase counts, labels, best containment and matched templates."""
     index = Index.build(corpus_counts(docs), threshold)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return given.mapInArrow(_scanner(index, wrapped), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, templates array<int>")
+    return given.mapInArrow(_scanner(index), "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, templates array<int>")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of the table against every template and phrase."""
-    return scan_licenses(table(spark, sf_dir, "documents"), wrapped=True)
+    return scan_licenses(table(spark, sf_dir, "documents"))
