@@ -761,11 +761,11 @@ def brute_tiles(doc, item, least):
 
 def test_tiling_equals_brute_force():
     rng = random.Random(12)
-    for _ in range(300):
-        kinds = rng.choice((2, 4, 20))
+    for _ in range(600):
+        kinds = rng.choice((2, 3, 4, 20))
         doc, item = ([rng.randrange(kinds) for _ in range(rng.randrange(1, 30))] for _ in range(2))
         got, want = decontaminate.tile(doc, item, 3), brute_tiles(doc, item, 3)
-        assert sum(t[2] for t in got) == sum(t[2] for t in want) or max((t[2] for t in got), default=0) == max((t[2] for t in want), default=0)
+        assert got == want
         for d, i, n in got:
             assert doc[d : d + n] == item[i : i + n] and n >= 3
         spots = [k for d, _, n in got for k in range(d, d + n)]
@@ -781,19 +781,25 @@ def test_decontamination(spark, monkeypatch):
     rows = [(1, noise(50)), (2, f"{noise(20)} {items[0][1].upper()}, {noise(20)}"), (3, swapped(items[1][1])), (4, " ".join(items[2][1].split()[:10])), (5, noise(9000) + " " + items[3][1]), (6, "SAME words in here again!"), *ODD, (2, items[0][1])]
     frame = docs(spark, rows)
     want = [(2, 0), (2, 0), (3, 1), (5, 3), (6, 23), (6, 24)]
-    for block in (decontaminate.BLOCK_TOKENS, 40):  # one block, and several
-        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (decontaminate.MIN_MATCH, block))
+    rows += [(7, f"{noise(3)} {items[4][1]} {noise(9)} {items[5][1]}"), (None, items[6][1]), (8, items[7][1] + " " + "same words in here again " * 3)]
+    frame = docs(spark, rows)
+    want = sorted([*want, (7, 4), (7, 5), (8, 7), (8, 23), (8, 24), (None, 6)], key=str)
+    for most, docs_bound in ((decontaminate.BLOCK_BYTES, 0), (0, 10**6), (0, 0)):  # broadcast, and joined with or without a broadcast of keys
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", most)
+        monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", docs_bound)
         got = decontaminate.find_leaks(spark, frame, benchmark).collect()
-        assert sorted((r["doc_id"], r["item_id"]) for r in got) == want
+        assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == want
         kept = decontaminate.drop_leaks(spark, frame, benchmark)
-        assert kept.columns == frame.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] not in (2, 3, 5, 6))
+        assert kept.columns == frame.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] not in (2, 3, 5, 6, 7, 8) and (r[0] is not None or r[1] != items[6][1]))
     three = next(r for r in got if r["doc_id"] == 3)
     assert [(t["doc_start"], t["item_start"], t["length"]) for t in three["tiles"]] == [(0, 15, 15), (16, 0, 15)]
     assert decontaminate.find_leaks(spark, frame, benchmark.limit(0)).count() == 0
     assert decontaminate.find_leaks(spark, frame.limit(0), benchmark).count() == 0
 
 
-def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
+@pytest.mark.parametrize("most", [decontaminate.BLOCK_BYTES, 0])
+def test_decontamination_of_short_items_and_scripts_without_spaces(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", most)
     items = [(1, "Too short"), (2, "short"), (3, "法国的首都是哪一座城市"), (4, "ประเทศไทยอยู่ที่ไหน"), (5, "首都")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     rows = [(1, "it is too, SHORT and too short"), (2, "too long, not short"), (3, "shorter"), (4, "请问法国的首都是哪一座城市吗"), (5, "ก่อน ประเทศไทยอยู่ที่ไหน หลัง"), (6, "日本語の文章です"), (7, "a_b"), (8, None)]
@@ -802,3 +808,17 @@ def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
     assert all(m == n for _, _, m, n in got)
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(spark, docs(spark, rows), benchmark).collect()) == [3, 6, 7, 8]
     assert decontaminate.tokens("ab_c 1漢字é") == ["ab", "c", "1", "漢", "字", "é"]
+
+
+def test_decontamination_by_join_equals_the_broadcast(spark, monkeypatch):
+    """Frequent windows are left out of the join, and no leak with them."""
+    rng = random.Random(21)
+    pool = [" ".join(words(rng, rng.choice((4, 5, 8)), 30)) for _ in range(25)]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    benchmark = spark.createDataFrame([(k % 37 or None, text(rng.randrange(1, 9))) for k in range(40)], "item_id long, text string")
+    frame = docs(spark, [(k, text(rng.randrange(0, 12))) for k in range(120)] + ODD)
+    found = []
+    for most in (decontaminate.BLOCK_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", most)
+        found.append(sorted(map(str, decontaminate.find_leaks(spark, frame, benchmark).collect())))
+    assert found[0] == found[1] and len(found[0]) > 100
