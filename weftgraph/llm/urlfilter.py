@@ -6,7 +6,8 @@ it is added up to the day it is removed. A pattern is a domain, which covers its
 subdomains, or a host with leading path segments. The as-of join evaluates every
 capture against the entries that were active when it was fetched: a capture's
 patterns meet the intervals by pattern and month, and the interval must hold the
-fetch time. A month of one pattern is small even if the pattern is in very many
+fetch time. Only months in which anything was captured count, so a date that lies far
+off makes no rows but its own. A month of one pattern is small even if the pattern is in very many
 captures, and a skewed join splits those.
 
 Cases: a null or unusable URL has no pattern and is not blocked; a null fetch
@@ -61,10 +62,10 @@ def _month(day: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
     """key, url, fetched_at, blocked, lists (sorted), n_entries, newest_entry of each capture."""
     given = captures.select(key, "url", "fetched_at")
-    # An open interval reaches to the last month of any capture.
-    last = F.lit(given.agg(F.max("fetched_at").cast("date")).first()[0]).cast("date")
-    ends = F.least(F.coalesce(F.date_sub("active_to", 1), last), last)
-    spans = intervals(entries).where(F.col("active_from") <= last).withColumn("month", F.explode(F.sequence(_month(F.col("active_from")), _month(ends))))
+    # An interval stands under each month of its days in which anything was captured; there are 12 for each year at most.
+    months = F.lit(given.agg(F.sort_array(F.collect_set(_month(F.col("fetched_at"))))).first()[0]).cast("array<int>")
+    first, last = _month(F.col("active_from")), _month(F.date_sub("active_to", 1))
+    spans = intervals(entries).withColumn("month", F.explode(F.filter(months, lambda m: (m >= first) & (last.isNull() | (m <= last)))))
     asked = given.withColumn("month", _month(F.col("fetched_at"))).withColumn("pattern", F.explode_outer(patterns_of(F.col("url"))))
     holds = (
         (asked["pattern"] == spans["pattern"]) & (asked["month"] == spans["month"])
