@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import binary_column, column, mix, pieces, shingle_set
+from weftgraph.llm.common import binary_column, by_size, column, mix, pieces, shingle_set
 from weftgraph.plans.components import components
 from weftgraph.plans.materialize import Scratch
 from weftgraph.sources.tables import table
@@ -53,6 +53,10 @@ CROWDED = 100
 PIVOT_ROUNDS = 4
 #: Rows of a bucket that one block compares with one another: those outside its largest component, and all.
 OUTSIDE_ROWS, ALL_ROWS = 256, 512
+#: Shingles of the same, of which each stands for some six bytes of text: a block holds few long texts.
+OUTSIDE_SHINGLES, ALL_SHINGLES = 1_000_000, 2_000_000
+#: Bytes of text that a task compares at once.
+BATCH_BYTES = 8_000_000
 
 MULTIPLIERS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -67,7 +71,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sketcher(width: int):
     def run(batches):
-        for batch in pieces(batches):
+        for batch in by_size(batches, "text", BATCH_BYTES):
             sizes, sums, xors, signatures = [], [], [], []
             for text in column(batch, "text"):
                 shingles = shingle_set(text, width)
@@ -151,7 +155,7 @@ def _block(width: int, percent: int):
 
 def _verifier(width: int, percent: int):
     def run(batches):
-        for batch in pieces(batches):
+        for batch in by_size(batches, "text_a", BATCH_BYTES):
             keep, known = [], {}
             for b, text_a, text_b in zip(column(batch, "b"), column(batch, "text_a"), column(batch, "text_b"), strict=True):
                 one = shingle_set(text_a, width)
@@ -202,8 +206,8 @@ class _Search:
 
     def verified_in_blocks(self, rows: DataFrame, n: int) -> DataFrame:
         """Links between components within buckets. rows: the residue, of n rows."""
-        blocks = lambda count, most: F.ceil(F.col(count) / most).cast("int")
-        given = rows.withColumns({"i": blocks("apart", OUTSIDE_ROWS), "j": blocks("all", ALL_ROWS)})
+        blocks = lambda count, most, size, most_size: F.greatest(F.ceil(F.col(count) / most), F.ceil(F.col(size) / most_size)).cast("int")
+        given = rows.withColumns({"i": blocks("apart", OUTSIDE_ROWS, "size_apart", OUTSIDE_SHINGLES), "j": blocks("all", ALL_ROWS, "size_all", ALL_SHINGLES)})
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         dealt = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c)).cast("int")
         columns = ["bucket", "band", "id", "n_shingles", "component", "largest"]
@@ -218,8 +222,11 @@ class _Search:
     def residue(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of the buckets that hold several components, with each bucket's size and largest component."""
         rows = self.buckets.join(groups, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-        sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1").withColumn("apart", F.col("all") - F.col("most")).drop("parts", "most")
+        sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+        split = (
+            sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "size")).alias("most"), F.sum("n").alias("all"), F.sum("size").alias("size_all"), F.count("*").alias("parts")).where("parts > 1")
+            .select("bucket", "all", "size_all", F.col("most.component").alias("largest"), (F.col("all") - F.col("most.n")).alias("apart"), (F.col("size_all") - F.col("most.size")).alias("size_apart"))
+        )
         rows = self.scratch.put(rows.join(split, "bucket"), "residue")
         total = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("component") != F.col("largest"), F.col("all"))), F.lit(0)).alias("pairs")).first()
         return rows, total
