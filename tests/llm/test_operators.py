@@ -91,10 +91,12 @@ def near_copies(rng, n_groups=25, loose=40):
     return rows
 
 
-@pytest.mark.parametrize("blocks", [(256, 512), (3, 5)])
+@pytest.mark.parametrize("blocks", [(256, 512, 1_000_000), (3, 5, 1_000_000), (256, 512, 150)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(neardup, "OUTSIDE_ROWS", blocks[0])
     monkeypatch.setattr(neardup, "ALL_ROWS", blocks[1])
+    monkeypatch.setattr(neardup, "OUTSIDE_SHINGLES", blocks[2])
+    monkeypatch.setattr(neardup, "ALL_SHINGLES", 2 * blocks[2])
     rows = near_copies(random.Random(blocks[0]))
     got = {r["doc_id"]: r for r in neardup.near_duplicates(docs(spark, rows), 4).collect()}
     want = brute_groups(rows, 4, 80)
@@ -184,94 +186,92 @@ def test_line_dedup_shuffled_join_and_odd_rows(spark, monkeypatch):
 # 3
 
 
-def test_langmodel_base_and_probabilities(spark):
+def plain_language_model(rows):
+    """log10 scores by id, and the probability function of (context tuple, word), by loops over tokens."""
+    cut = lambda t: [*(w.lower() for w in (t or "").encode().split()), b"\n"]
+    part = {i: -1 if i is None else zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+
+    def count(ids):
+        grams = [Counter(), Counter(), Counter()]
+        starts = 0
+        for i, text in rows:
+            if part[i] in ids:
+                line = [b"", *cut(text)]
+                starts += 1
+                for k in range(1, len(line)):
+                    for order in range(1, 4):
+                        if k - order + 1 >= 0:
+                            grams[order - 1][tuple(line[k - order + 1 : k + 1])] += 1
+        return grams, starts, sum(grams[0].values())
+
+    everything, main = count({0, 2, 3, 4}), count({2, 3, 4})
+    flat = 1 / (len(everything[0][0]) + 1)
+    weights = [{}, {}, {}]
+
+    def context_count(counts, context):
+        grams, starts, total = counts
+        return total if not context else starts if context == (b"",) else grams[len(context) - 1][context]
+
+    bucket = lambda counts, context: math.floor(math.log2(context_count(counts, context))) if context else 0
+
+    def p(counts, context, word, order):
+        if order == 0:
+            return flat
+        below = p(counts, context, word, order - 1)
+        of = context[len(context) - order + 1 :]
+        if len(of) < order - 1 or not context_count(counts, of):
+            return below
+        a = weights[order - 1].get(bucket(counts, of), 0.0)
+        return a * counts[0][order - 1][(*of, word)] / context_count(counts, of) + (1 - a) * below
+
+    for order in range(1, 4):
+        events = {}
+        for i, text in rows:
+            line = [b"", *cut(text)]
+            for k in range(1, len(line)) if part[i] == 0 else ():
+                of = tuple(line[max(0, k - order + 1) : k])
+                if len(of) == order - 1 and context_count(main, of):
+                    events.setdefault(bucket(main, of), []).append((main[0][order - 1][(*of, line[k])] / context_count(main, of), p(main, tuple(line[max(0, k - 2) : k]), line[k], order - 1)))
+        for b, seen in events.items():
+            a = 0.5
+            for _ in range(60):
+                a = min(1 - 1e-6, sum(a * high / (a * high + (1 - a) * low) for high, low in seen if high) / len(seen))
+            weights[order - 1][b] = a
+        if order == 1:
+            weights[0].setdefault(0, 0.5)
+            weights[0][0] = max(weights[0][0], 1e-6)
+    score = lambda t: sum(math.log10(p(everything, tuple([b"", *cut(t)][max(0, k - 2) : k]), [b"", *cut(t)][k], 3)) for k in range(1, len(cut(t)) + 1))
+    return [(i, score(t)) for i, t in rows], lambda context, word: p(everything, context, word, 3), everything
+
+
+def test_langmodel_base_counts(spark):
     rng = random.Random(2)
     vocabulary = [f"t{int(rng.paretovariate(0.8)) % 60}" for _ in range(3000)]
     rows = [*ODD[1:], (None, "t1 t1 t2")] + [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 60)))) for i in range(120)]
     tokens = lambda t: [*((t or "").encode().lower().split()), None]
     learnt = Counter(w for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 1 for w in tokens(r[1]))
     n, v = sum(learnt.values()), len(learnt)
-    by_share = {}
-    for share in (1e-6, 0.02):  # the second one sends most words through the buckets
-        got = langmodel.score_documents(docs(spark, rows), share).collect()
-        assert len(got) == len(rows)
-        want = sorted((-1 if i is None else i, len(tokens(t)), sum(learnt[w] > 0 for w in tokens(t)), round(sum(math.log10((learnt[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 6)) for i, t, *_ in rows)
-        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-        assert {r["train_tokens"] for r in got} == {n}
-        assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in got)
-        assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
-        by_share[share] = sum(r["score"] for r in got if r["held_out"])
+    got = langmodel.score_documents(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = sorted((-1 if i is None else i, len(tokens(t)), sum(learnt[w] > 0 for w in tokens(t)), round(sum(math.log10((learnt[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 6)) for i, t, *_ in rows)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
+    assert {r["train_tokens"] for r in got} == {n}
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in got)
     assert langmodel.score_documents(docs(spark, [])).count() == 0
 
 
-def test_langmodel_distribution_sums_to_one():
-    """Over all words and one unknown, the mixture is a distribution after any context."""
-    rng = np.random.default_rng(4)
-    words_ = [rng.integers(0, 12, rng.integers(3, 30)) for _ in range(200)]
-    texts = [" ".join(f"w{k}" for k in t) for t in words_]
-    codes, of = langmodel.sequences(texts)
-    deleted = of % 4 == 0
-    keys, main, gone = langmodel._sum_by(codes, ~deleted, deleted)
-    n = len(texts)
-    model = langmodel.Model(langmodel.Table(keys, main, gone), (sum(i % 4 != 0 for i in range(n)), sum(i % 4 == 0 for i in range(n))), (int((~deleted).sum()), int(deleted.sum())), len(keys))
-    for _ in range(2):
-        got, at = model.candidates(codes, of)
-        k, a, b = langmodel._sum_by(got, ~deleted[at], deleted[at])
-        model.grams.append(langmodel.Table(k.astype(np.uint64), a, b))
-    langmodel.finish(model, np.array([]), np.array([]))
-    for context in ("", "w3", "w3 w5"):
-        total = (1 - model.unigram_weight) / (model.distinct + 1)  # what an unknown word gets before the higher orders
-        ends = [*(f"{context} w{k}".strip() for k in range(12))]
-        mass, lower = 0.0, None
-        for text in ends:
-            c, o = langmodel.sequences([text])
-            word, contexts, found = model.places(c, o)
-            p = model.probability[word]
-            left = np.ones(len(p))
-            for w, r, ctx, gram in zip(model.weights, model.ratios, contexts, found, strict=True):
-                share = np.where(ctx >= 0, w[ctx], 0.0)
-                p = share * np.where(gram >= 0, r[gram], 0.0) + (1 - share) * p
-                left = (1 - share) * left
-            mass += p[-2]
-            lower = left[-2]
-        c, o = langmodel.sequences([context])
-        word, contexts, found = model.places(c, o)
-        p = model.probability[word]
-        for w, r, ctx, gram in zip(model.weights, model.ratios, contexts, found, strict=True):
-            share = np.where(ctx >= 0, w[ctx], 0.0)
-            p = share * np.where(gram >= 0, r[gram], 0.0) + (1 - share) * p
-        assert mass + p[-1] + lower * total == pytest.approx(1.0)
-
-
-def test_langmodel_keeps_every_ngram_at_any_share(spark):
-    """Scores equal the model of all n-grams in memory, however few of the tokens an n-gram makes up."""
+@pytest.mark.parametrize("block_tokens", [langmodel.FLUSH, 40])
+def test_langmodel_scores_equal_a_plain_version(spark, block_tokens):
+    """In one block, and in very many blocks and buckets."""
     rng = random.Random(6)
     vocabulary = [f"t{int(rng.paretovariate(0.8)) % 60}" for _ in range(3000)]
-    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 60)))) for i in range(150)]
-    fold = [langmodel.fold(i) for i, _ in rows]
-    learnt = [k for k, f in enumerate(fold) if f != langmodel.HELD_OUT]
-    codes, of = langmodel.sequences([rows[k][1] for k in learnt])
-    gone = np.array([fold[k] == langmodel.DELETED for k in learnt])
-    deleted = gone[of]
-    words_ = langmodel.Table(*langmodel._sum_by(codes, ~deleted, deleted))
-    model = langmodel.Model(words_, (int((~gone).sum()), int(gone.sum())), (int((~deleted).sum()), int(deleted.sum())), len(words_.keys))
-    for _ in range(2):
-        got, at = model.candidates(codes, of)
-        k, a, b = langmodel._sum_by(got, ~deleted[at], deleted[at])
-        model.grams.append(langmodel.Table(k.astype(np.uint64), a, b))
-    langmodel.finish(model, np.array([]), np.array([]))
-    want = {}
-    for i, text in rows:
-        c, o = langmodel.sequences([text])
-        word, contexts, found = model.places(c, o)
-        p = np.where(word >= 0, model.probability[word], (1 - model.unigram_weight) / (model.distinct + 1))
-        for w, r, ctx, gram in zip(model.weights, model.ratios, contexts, found, strict=True):
-            share = np.where(ctx >= 0, w[ctx], 0.0)
-            p = share * np.where(gram >= 0, r[gram], 0.0) + (1 - share) * p
-        want[i] = float(np.log10(p).sum())
-    for share in (1e-6, 0.02):
-        got = {r["doc_id"]: r["score"] for r in langmodel.score_documents(docs(spark, rows), share).collect()}
-        assert got == pytest.approx(want, rel=1e-4)
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 60)))) for i in range(150)] + [(None, "t1 t2 new t1"), (3, "t1 T1 t2")]
+    want, probability, (grams, _, total) = plain_language_model(rows)
+    got = langmodel.score_documents(docs(spark, rows, block_tokens == 40), block_tokens).collect()
+    assert [x for _, x in sorted((str(r["doc_id"]), r["score"]) for r in got)] == pytest.approx([x for _, x in sorted((str(i), x) for i, x in want)], rel=1e-4)
+    assert {r["train_tokens"] for r in got} == {total}
+    for context in ((b"",), (b"", b"t1"), (b"t1", b"t2"), (b"t5", b"never")):  # over all words and one unknown it is a distribution
+        assert sum(probability(context, w) for (w,) in grams[0]) + probability(context, b"unknown") == pytest.approx(1.0)
 
 
 def test_em_finds_the_mixture():
@@ -688,6 +688,10 @@ def test_url_filters_equal_brute_force(spark):
     for r in got:
         hits = [] if r["fetched_at"] is None else [n for n in ("ads", "bad") for p in patterns(r["url"]) if active(n, p, r["fetched_at"])]
         assert (r["blocked"], r["lists"], r["n_entries"]) == (bool(hits), ",".join(sorted(set(hits))), len(hits))
+    far = frame.unionByName(frame.limit(1).withColumns({"page_id": F.lit(-1).cast("long"), "fetched_at": F.lit("9998-12-31 05:00:00").cast("timestamp")}))
+    open_log = log.unionByName(spark.createDataFrame([("ads", f"open{k}.com", "add", day(0)) for k in range(300)] + [("ads", "x.com", "add", dt.date(1, 1, 1))], log.schema))
+    again = urlfilter.evaluate(far, open_log)
+    assert sorted(map(str, again.where("page_id IS NULL OR page_id >= 0").collect())) == sorted(map(str, got))
     assert urlfilter.evaluate(frame.limit(0), log).count() == 0
     assert urlfilter.evaluate(frame, log.limit(0)).where("blocked").count() == 0
 

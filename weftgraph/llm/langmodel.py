@@ -23,7 +23,7 @@ bits. Expectation-maximisation reads tokens of the deleted fold only by the rati
 of the two estimates; what reaches the driver is the number of tokens and the mean
 ratio for each context bucket and 1/32 of a power of two of that ratio.
 
-`Model` and `finish` are the same fit in memory, which tests hold this one against.
+A context that was never seen has no weight, neither when weights are learnt nor when texts are scored.
 
 Cases: a null or empty text is one end token; a row with a null doc_id is not
 learnt from and not held out; repeated rows are learnt from and scored one by
@@ -46,11 +46,8 @@ from weftgraph.llm.common import BASE, by_size, column, mix, word_hashes
 from weftgraph.plans.materialize import Scratch
 from weftgraph.sources.tables import table
 
-#: Still taken by `score_documents`; all n-grams are kept at any value.
-SHARE = 1e-6
 ORDERS = 3
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
-BITS = 20
 #: Tokens of a block, and tokens a bucket gets on average.
 FLUSH = 2_000_000
 BATCH_BYTES = 2_000_000
@@ -67,86 +64,6 @@ def fold(doc_id) -> int:
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
 
 
-def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Token codes of all texts in a row, each with its end, and which text each belongs to."""
-    codes = [np.append(word_hashes(t), END) for t in texts]
-    if not codes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of the wanted values in sorted keys, -1 where missing."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    wanted = wanted.astype(keys.dtype)  # mixed kinds would be compared as floats
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1).astype(np.int64)
-
-
-@dataclass
-class Table:
-    """N-grams of one order: sorted keys, and counts without and within the deleted fold."""
-
-    keys: np.ndarray
-    main: np.ndarray
-    deleted: np.ndarray
-
-    @property
-    def count(self) -> np.ndarray:
-        return self.main + self.deleted
-
-
-@dataclass
-class Model:
-    """All n-grams in memory and, once fitted, weights and probabilities."""
-
-    words: Table
-    starts: tuple[int, int]
-    totals: tuple[int, int]
-    distinct: int
-    grams: list[Table] = field(default_factory=list)
-    unigram_weight: float = 0.5
-    probability: np.ndarray | None = None
-    base: np.ndarray | None = None
-    weights: list[np.ndarray] = field(default_factory=list)
-    ratios: list[np.ndarray] = field(default_factory=list)
-
-    def places(self, codes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """For each token its word's place, and per order from 2 the places of its context and of its n-gram."""
-        word = find(self.words.keys, codes)
-        first = np.ones(len(codes), bool)
-        first[1:] = texts[1:] != texts[:-1]
-        before = np.where(first, len(self.words.keys), np.roll(word, 1))
-        contexts, found, gram = [], [], word
-        for k, kept in enumerate(self.grams):
-            if k:
-                before = np.where(first, -1, np.roll(gram, 1))
-            fits = (before >= 0) & (gram >= 0)
-            now = np.full(len(codes), -1, np.int64)
-            now[fits] = find(kept.keys, before[fits] << BITS | word[fits])
-            contexts.append(before)
-            found.append(now)
-            gram = now
-        return word, contexts, found
-
-    def candidates(self, codes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the next order's n-grams whose parts are kept, and their tokens' places."""
-        word, _, found = self.places(codes, texts)
-        gram = found[-1] if found else word
-        first = np.ones(len(codes), bool)
-        first[1:] = texts[1:] != texts[:-1]
-        before = np.where(first, -1 if found else len(self.words.keys), np.roll(gram, 1))
-        at = np.flatnonzero((before >= 0) & (gram >= 0))
-        return before[at] << BITS | word[at], at
-
-
-def _sum_by(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    unique, where = np.unique(keys, return_inverse=True)
-    return unique, *(np.bincount(where, w, len(unique)).astype(np.int64) for w in weights)
-
-
 def _bucket_of(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.log2(np.maximum(count, 1)).astype(np.int64), 0)
 
@@ -167,81 +84,6 @@ def _learn(bucket: np.ndarray, higher: np.ndarray, lower: np.ndarray, times: np.
     return weights
 
 
-def _learn_unigram(main: np.ndarray, deleted: np.ndarray, total: int, distinct: int) -> float:
-    m = 0.5
-    seen = deleted.sum()
-    if not seen or not total:
-        return 0.5
-    for _ in range(EM_ROUNDS):
-        high = m * main / total
-        m = min(MOST_WEIGHT, float((deleted * high / (high + (1 - m) / (distinct + 1))).sum() / seen))
-    return max(m, 1e-6)
-
-
-def _context_counts(model: Model, order: int, part: str) -> np.ndarray:
-    """How often each context of an order stands before a token: words and the start for order 2, then n-grams."""
-    if order == 2:
-        return np.append(getattr(model.words, part), {"main": model.starts[0], "deleted": model.starts[1], "count": sum(model.starts)}[part])
-    return getattr(model.grams[order - 3], part)
-
-
-def _ratios(model: Model, order: int, part: str) -> np.ndarray:
-    """Maximum-likelihood estimates of the n-grams: their counts by the full counts of their contexts."""
-    grams = model.grams[order - 2]
-    count = getattr(grams, part)
-    whole = _context_counts(model, order, part)[(grams.keys >> np.uint64(BITS)).astype(np.int64)]
-    return np.divide(count, whole, out=np.zeros(len(count)), where=count > 0)
-
-
-def finish(model: Model, rare_main: np.ndarray, rare_deleted: np.ndarray) -> Model:
-    """Learns the weights from the deleted fold and sets the probabilities from all training counts.
-
-    `rare_*`: of words below the share, tokens of the deleted fold by the count outside it.
-    """
-    total, gone = model.totals
-    everything = total + gone
-    words = model.words
-    model.unigram_weight = _learn_unigram(np.append(words.main, rare_main), np.append(words.deleted, rare_deleted).astype(float), total, model.distinct)
-    m, floor = model.unigram_weight, (1 - model.unigram_weight) / (model.distinct + 1)
-    lower_all = m * words.main / max(total, 1) + floor
-    lower = lower_all
-    for order in range(2, ORDERS + 1):
-        grams = model.grams[order - 2]
-        context, last = (grams.keys >> np.uint64(BITS)).astype(np.int64), (grams.keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        below = lower[last] if order == 2 else lower[_suffix(model, order, context, last)]
-        higher = _ratios(model, order, "main")
-        events = np.bincount(_bucket_of(_context_counts(model, order, "main")), _context_events(model, order), BUCKETS)
-        bucket = _bucket_of(_context_counts(model, order, "main"))[context]
-        weights = _learn(bucket, higher, below, grams.deleted.astype(float), events)
-        a = weights[bucket]
-        lower = a * higher + (1 - a) * below
-        final = _context_counts(model, order, "main") + _context_counts(model, order, "deleted")
-        has = np.bincount(context, grams.count, len(final)) > 0
-        model.weights.append(np.where(has, weights[_bucket_of(final)], 0.0))
-        model.ratios.append(_ratios(model, order, "count"))
-    model.probability = m * words.count / max(everything, 1) + floor
-    model.base = np.log10((words.count + 0.5) / (everything + 0.5 * (model.distinct + 1)))
-    return model
-
-
-def _suffix(model: Model, order: int, context: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Where the n-gram without its first word stands in the order below; its parts are kept, so it does."""
-    below = model.grams[order - 3]
-    middle = (below.keys[context] & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    return np.maximum(find(below.keys, (middle << BITS | last).astype(np.uint64)), 0)
-
-
-def _context_events(model: Model, order: int) -> np.ndarray:
-    """Tokens of the deleted fold that follow each context; nothing follows an end."""
-    out = _context_counts(model, order, "deleted").astype(float)
-    end = find(model.words.keys, np.array([END]))[0]
-    if order == 2:
-        out[end] = 0 if end >= 0 else out[end]
-    else:
-        out[(model.grams[order - 3].keys & np.uint64((1 << BITS) - 1)).astype(np.int64) == end] = 0
-    return out
-
-
 def _squeeze(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes, with their number."""
     planes = np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
@@ -290,7 +132,7 @@ def _by_frequency(times: np.ndarray) -> np.ndarray:
     return np.argsort(-times, kind="stable")
 
 
-def _blocks(batches):
+def _blocks(batches, block_tokens: int):
     """Texts as packed blocks."""
     place = TaskContext.get().partitionId() << 36
     ids: list = []
@@ -316,7 +158,7 @@ def _blocks(batches):
             ids.append(i)
             codes.append(_short(np.append(word_hashes(text), END)))
             held += len(codes[-1])
-            if held >= FLUSH:
+            if held >= block_tokens:
                 yield flush()
     if ids:
         yield flush()
@@ -431,7 +273,7 @@ class Fit:
         p = m * alone + (1 - m) * flat
         for order in range(2, ORDERS + 1):
             context = _before(counts[order - 2], first, self.starts if order == 2 else 0)
-            has = np.ones(len(first), bool) if order == 2 else ~first
+            has = context > 0 if order == 2 else ~first & (context > 0)
             ratio = np.divide(counts[order - 1], context, out=np.zeros(len(first)), where=context > 0)
             yield ratio, p, context, has
             if len(self.weights) < order - 1:
@@ -442,7 +284,7 @@ class Fit:
     def probabilities(self, counts: list[np.ndarray], first: np.ndarray) -> np.ndarray:
         p = None
         for order, (ratio, below, context, has) in enumerate(self.orders(counts, first), 1):
-            a = self.unigram_weight if order == 1 else np.where(has & (context > 0), self.weights[order - 2][_bucket_of(context)], 0.0)
+            a = self.unigram_weight if order == 1 else np.where(has, self.weights[order - 2][_bucket_of(context)], 0.0)
             p = a * ratio + (1 - a) * (below if order == 1 else p)
         return p
 
@@ -468,7 +310,7 @@ def _histogram(fit: Fit, order: int):
                     pairs = np.stack((_bucket_of(context), bins), 1)[has]
                     key, where = np.unique(pairs[:, 0] << 48 | pairs[:, 1] + (1 << 46), return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key >> 48), pa.array((key & ((1 << 48) - 1)) - (1 << 46)), pa.array(np.bincount(where, minlength=len(key)).astype(np.int64)), pa.array(np.bincount(where, ratio[has], len(key)))],
+                        [pa.array(x, kind) for x, (_, kind) in zip((key >> 48, (key & ((1 << 48) - 1)) - (1 << 46), np.bincount(where, minlength=len(key)), np.bincount(where, ratio[has], len(key)).astype(float)), HISTOGRAM, strict=True)],
                         [name for name, _ in HISTOGRAM])
                     break
 
@@ -522,16 +364,16 @@ def _put_and_clean(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
         conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
 
 
-def score_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, block_tokens: int = FLUSH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    `share` has no effect: no n-gram is left out at any share.
+    `block_tokens` are the tokens of a block, and of a bucket on average; results do not depend on them.
     """
     scratch = Scratch(docs.sparkSession, "langmodel")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    blocks = scratch.put(docs.mapInArrow(_blocks, _ddl(BLOCK)), "blocks")
+    blocks = scratch.put(docs.mapInArrow(lambda batches: _blocks(batches, block_tokens), _ddl(BLOCK)), "blocks")
     whole = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("main", "deleted", "docs_main", "docs_deleted"))).first()
-    buckets = max(8, docs._jdf.queryExecution().toRdd().getNumPartitions(), -(-(whole["main"] + whole["deleted"]) // FLUSH))
+    buckets = max(8, docs._jdf.queryExecution().toRdd().getNumPartitions(), -(-(whole["main"] + whole["deleted"]) // block_tokens))
     replies = blocks.mapInArrow(_asker(buckets), _ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer, _ddl(REPLY))
     replies = _put_and_clean(scratch, replies, "replies")
     counted = scratch.put(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_collect, _ddl(COUNTED)), "counted")
