@@ -147,7 +147,7 @@ def brute_lines(rows, least):
         for a in range(len(lines[k])):
             for b in range(a, len(lines[k])):
                 run = tuple(x for _, x in lines[k][a : b + 1])
-                if sum(x.count(" ") + 1 for x in run) >= least:
+                if sum(len(re.findall("[^ \t\r]+", x)) for x in run) >= least:
                     if first.setdefault(run, (k, a)) != (k, a):
                         gone[k].update(range(a, b + 1))
     out = {}
@@ -159,10 +159,13 @@ def brute_lines(rows, least):
     return out
 
 
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(3)
-    pool = [" ".join(words(rng, n)) for n in (1, 2, 3, 4, 5, 6, 8, 12)]
-    for _ in range(3):
+@pytest.mark.parametrize(("hot", "most"), [(64, 100_000), (1, 100_000), (1, 3)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hot, most):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "BROADCAST_RUNS", most)
+    rng = random.Random(hot + most)
+    pool = [rng.choice((" ", " ", "\t", "  ", " \t")).join(words(rng, n)) for n in (1, 2, 3, 4, 5, 6, 8, 12)] + [" a b\t", "c\td\r"]
+    for _ in range(2):
         rows = [(i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randrange(1, 14)))) for i in range(25)]
         got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, rows, False), 10).collect()}
         assert got == brute_lines(rows, 10)

@@ -6,15 +6,19 @@ level j + 1 orders the pairs (rank j here, rank j 2**j lines on), so that after
 level j suffixes are sorted by their first 2**j lines. A suffix that shares them
 with no other place is settled and leaves; only repeated text stays.
 
-An interval of suffixes with a common prefix of n lines is a repeated run. Runs
-are judged by words: each place's shortest run of at least `MIN_WORDS` words,
-forwards and backwards, covers any line of any repeated run that is long enough,
-and two overlapping ranks of the level below n tell all such runs of n lines
-apart. The first place of a run, by doc_id, text hash and line, stays; the lines
-of its later copies are deleted, with blank lines between them. What one maximal
-repeated run covers is thus deleted as a whole.
+Suffixes with a common prefix of n lines are an interval of this order. Two
+overlapping ranks of the level below n, at the run's start and before its end, name
+the interval of a run of n lines, whatever n is. Runs are judged by words: each
+place's shortest run of at least `MIN_WORDS` words, forwards and backwards, is looked
+up, and what these cover is what all maximal runs that are long enough cover, as any
+such run is the union of its shortest ones. The first place of an interval, by doc_id,
+text hash and line, stays; the lines of its later copies are deleted, with blank
+lines between them, so that overlapping copies join to maximal runs and go as a whole.
 
-Words of a line are counted as its spaces plus one.
+The first places of the most frequent intervals, `BROADCAST_RUNS` at most, are
+broadcast; an interval that is not among them has only a small share of all places.
+
+Words of a line are its runs of characters other than space, tab and carriage return.
 
 Cases: a null text stays null, an empty one empty, both without lines; a null
 doc_id comes before all others; rows equal in doc_id and text count as one
@@ -34,6 +38,9 @@ from weftgraph.sources.tables import table
 MIN_WORDS = 30
 #: Documents with deletions that may be broadcast to the final pass; beyond it, a shuffled join does.
 BROADCAST_DOCS = 200_000
+#: Runs whose first places are broadcast: the most frequent ones of those at more places than `HOT`.
+BROADCAST_RUNS = 100_000
+HOT = 64
 _NO_ID = -(2**63)
 _BLANK = " \t\r"
 
@@ -64,11 +71,16 @@ def _reach(words: Column, at: Column, least: int, back: bool) -> Column:
     return F.when(F.get(words, at) >= least, F.lit(1)).otherwise(F.when(folded["sum"] >= least, folded["n"]).otherwise(F.lit(0)))
 
 
+def _words(line: Column) -> Column:
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    odd = line.contains("\t") | line.contains("\r") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.regexp_count(line, F.lit(f"[^{_BLANK}]+"))).otherwise(spaces + 1).cast("bigint")
+
+
 def line_table(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """One row per non-blank line: d, h, pos, two hashes of the line, and how far its shortest runs reach."""
     lines = docs.where("text IS NOT NULL").select(_number(F.col("doc_id")).alias("_d"), F.xxhash64("text").alias("_h"), F.filter(F.split("text", "\n"), _filled).alias("lines"))
-    spaces = lambda x: (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("bigint")
-    counted = lines.select("_d", "_h", "lines", F.transform("lines", spaces).alias("words"))
+    counted = lines.select("_d", "_h", "lines", F.transform("lines", _words).alias("words"))
     entry = F.transform(
         "lines",
         lambda x, i: F.struct(F.xxhash64(x).alias("l1"), F.hash(x).alias("l2"), _reach(F.col("words"), i, least, False).alias("ahead"), _reach(F.col("words"), i, least, True).alias("behind")),
@@ -119,6 +131,20 @@ def _runs_of_level(rows: DataFrame, repeated: DataFrame, level: int) -> DataFram
     return runs.withColumn("tail", F.col("pos") + F.col("n") - low).join(tails, ["d", "h", "tail"]).drop("tail")
 
 
+def _later(scratch: Scratch, found: DataFrame) -> DataFrame:
+    """The runs without the first place of each."""
+    named = ["n", "r1", "r2"]
+    place = F.struct(*PLACE)
+    first = found.groupBy(*named).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("places")).where("first <> last").drop("last")
+    first = scratch.put(first, "first")
+    often = scratch.put(first.where(F.col("places") > HOT).orderBy(F.desc("places"), *named).limit(BROADCAST_RUNS).select(*named, F.col("first").alias("often")), "often")
+    marked = found.join(F.broadcast(often), named, "left")
+    by_broadcast = marked.where(F.col("often").isNotNull() & (place != F.col("often"))).drop("often")
+    rest = marked.where("often IS NULL").drop("often")
+    by_join = rest.join(first.select(*named, "first"), named).where(place != F.col("first")).drop("first")
+    return by_broadcast.unionByName(by_join)
+
+
 def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """d, h and `runs`, the merged ranges (from, to) of non-blank lines that copy an earlier place."""
     scratch = Scratch(docs.sparkSession, "linededup")
@@ -130,9 +156,7 @@ def later_copies(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         found = part if found is None else found.unionByName(part)
     found = scratch.put(found, "runs")
     named = ["n", "r1", "r2"]
-    place = F.struct(*PLACE)
-    first = found.groupBy(*named).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    copies = found.join(first, named).where(place != F.col("first")).select(*PLACE, (F.col("pos") + F.col("n") - 1).alias("to"))
+    copies = _later(scratch, found).select(*PLACE, (F.col("pos") + F.col("n") - 1).alias("to"))
     order = Window.partitionBy("d", "h").orderBy("pos", "to")
     before = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = copies.withColumn("new", F.coalesce((F.col("pos") > before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
@@ -214,7 +238,7 @@ WITH split AS (
   SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS ln FROM split
 ), filled AS (
   SELECT doc_id, line, ln, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS pos,
-    length(line) - length(replace(line, ' ', '')) + 1 AS words
+    len(regexp_extract_all(line, '[^ \\t\\r]+')) AS words
   FROM numbered WHERE length(trim(line, ' ' || chr(9) || chr(13))) > 0
 ), packed AS (
   SELECT doc_id, list(line ORDER BY pos) AS l, list(words ORDER BY pos) AS w FROM filled GROUP BY doc_id
