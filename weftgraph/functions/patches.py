@@ -36,13 +36,14 @@ def compact_diff(files: DataFrame, max_files: int = X.DIFF_FILES, chars: int = X
     """Per sha, the `max_files` files with most changes that are no noise and have a patch.
 
     files: sha, pos, filename, path, status, patch, additions, deletions, changes. Adds `rank` from 1.
+    Patches are cut before the files are ranked, so whole ones never move between tasks.
     """
     named = files.withColumn("filename", F.coalesce(blank_to_null(F.col("filename")), blank_to_null(F.col("path")), F.lit("unknown"))).drop("path")
-    kept = named.where(~is_noise(F.col("filename")) & (F.length("patch") > 0))
+    kept = named.where(~is_noise(F.col("filename")) & (F.octet_length("patch") > 0)).withColumn("patch", truncate(F.col("patch"), chars))
     order = Window.partitionBy("sha").orderBy(F.coalesce("changes", F.lit(0)).desc(), "pos")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_files)
     filled = {c: F.coalesce(c, F.lit(0)) for c in ("additions", "deletions", "changes")}
-    return ranked.withColumns({"patch": truncate(F.col("patch"), chars), "status": F.coalesce("status", F.lit("modified")), **filled})
+    return ranked.withColumns({"status": F.coalesce("status", F.lit("modified")), **filled})
 
 
 def diff_text(compact: DataFrame) -> DataFrame:
@@ -68,6 +69,19 @@ def summaries(commits: DataFrame, compact: DataFrame) -> DataFrame:
     return commits.join(listed, "sha", "left").select("sha", F.when(F.col("files").isNull(), short).otherwise(full).alias("summary_text"))
 
 
+#: Characters of a diff that a summary's prompt holds.
+PROMPT_CHARS = 20_000
+
+
+def prompts(commits: DataFrame, texts: DataFrame) -> DataFrame:
+    """sha and the prompt of a summary: repository, message and the first part of the diff's text. texts: sha, diff_text."""
+    parts = F.concat(
+        F.lit("Summarise this commit in two or three sentences: what changes, where and why.\n\nRepository: "), "repo", F.lit("\nMessage: "), F.coalesce("message", F.lit("")),
+        F.lit("\n\nDiff:\n"), F.substring(F.coalesce("diff_text", F.lit("")), 1, PROMPT_CHARS),
+    )
+    return commits.join(texts, "sha", "left").select("sha", parts.alias("prompt"))
+
+
 def hunks(patches: DataFrame) -> DataFrame:
     """Per hunk header of a patch, the first line and number of lines on the new side. Empty hunks are left out."""
     lines = patches.select("sha", "path", F.explode(F.split("patch", "\n")).alias("line")).where(F.col("line").startswith("@@"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
+from weftgraph.operators.search import TextIndex, text_index
 
 VIEW = ("id", "label", "name", "path", "full_name", "filepath", "repo", "code")
 
@@ -23,6 +24,7 @@ class Graph:
     spark: SparkSession
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, DataFrame] = field(default_factory=dict)
+    texts: dict[str, TextIndex] = field(default_factory=dict)
 
     def label(self, name: str) -> DataFrame:
         return self.nodes.get(name) if name in self.nodes else self.spark.createDataFrame([], X.NODES[name])
@@ -62,8 +64,16 @@ class Graph:
     def repos(self) -> DataFrame:
         return self.label("Repository").where("full_name <> ''").select("full_name").orderBy("full_name")
 
+    def index_texts(self) -> TextIndex:
+        """The text index of the commits, made once and stored with the graph; a changed graph drops it."""
+        if "Commit" not in self.texts:
+            self.texts["Commit"] = text_index(self.label("Commit"), "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"))
+        return self.texts["Commit"]
+
     def save(self, path: str) -> None:
-        """Writes a snapshot: a table per label and edge type. The path must be new."""
+        """Writes a snapshot: a table per label and edge type, and the text index. The path must be new."""
+        if "Commit" in self.nodes:
+            self.index_texts().save(f"{path}/texts/Commit")
         for name, rows in self.nodes.items():
             rows.write.parquet(f"{path}/nodes/{name}")
         for kind, rows in self.edges.items():
@@ -84,4 +94,6 @@ class Graph:
             for name in names:
                 if there(f"{path}/{group}/{name}"):
                     box[name] = spark.read.parquet(f"{path}/{group}/{name}")
+        if there(f"{path}/texts/Commit/totals"):
+            out.texts["Commit"] = TextIndex.load(spark, f"{path}/texts/Commit", "sha")
         return out

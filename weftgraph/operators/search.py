@@ -1,35 +1,46 @@
 """Vector top-k with expansion, and ranked full-text search.
 
-Vectors are scanned exactly: the product runs in the JVM and a top-k keeps k rows
-per task. The text index is a table of (term, doc, tf) that is built once.
+Vectors are scanned exactly: nodes keep them scaled to length 1, so a score is one
+product, and a top-k keeps k rows per task. The text index is built once: a table of
+(term, key, tf, length), laid out in folders by the term's hash, of which a question
+reads those of its words, and one row of totals. It is stored with the graph.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
 from weftgraph.operators.filters import in_repos
 
 K1, B = 1.2, 0.75
+#: Folders of a stored text index.
+FOLDERS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """(1 + cosine) / 2; null for a vector of length 0."""
-    return (1 + dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))) / 2
+def unit(vector: Column) -> Column:
+    """The vector scaled to length 1, in doubles; null for one of length 0, without numbers or null."""
+    length = F.sqrt(dot(vector, vector))
+    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
 
 
 def top_k(nodes: DataFrame, vector: Sequence[float], k: int = X.TOP_K, key: str = "id") -> DataFrame:
-    """The k nodes nearest to a vector with their score, ties by key."""
-    query = F.array(*(F.lit(float(v)) for v in vector))
-    return nodes.where(F.size("embedding") > 0).withColumn("score", similarity(F.col("embedding"), query)).orderBy(F.desc_nulls_last("score"), key).limit(k)
+    """The k nodes nearest to a vector with their score, (1 + cosine) / 2, ties by key.
+
+    nodes: `unit`, the scaled vectors; a node without an embedding has none.
+    """
+    length = sum(float(v) ** 2 for v in vector) ** 0.5
+    query = F.array(*(F.lit(float(v) / length if length else None).cast("double") for v in vector))
+    return nodes.where(F.size("embedding") > 0).withColumn("score", (1 + dot(F.col("unit"), query)) / 2).drop("unit").orderBy(F.desc_nulls_last("score"), key).limit(k)
 
 
 def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame, repos: Sequence[str] | None = None, most: int = X.CONNECTED_MOST) -> DataFrame:
@@ -58,31 +69,63 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def text_index(docs: DataFrame, key: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf) of all texts, and (key, length)."""
-    cut = docs.select(key, terms_of(F.coalesce(text, F.lit(""))).alias("terms"))
-    lengths = cut.select(key, F.size("terms").cast("bigint").alias("length"))
-    return cut.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")), lengths
+@dataclass
+class TextIndex:
+    """postings: term, key, tf and the text's length; totals: n and average length, one row; `key` names the texts' key."""
+
+    postings: DataFrame
+    totals: DataFrame
+    key: str
+
+    def save(self, path: str) -> None:
+        folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS))
+        # A frequent term's texts go to several files; rows stand by term, so that a reader skips what it doesn't ask.
+        dealt = self.postings.withColumn("folder", folder).repartition("folder", F.pmod(F.xxhash64(self.key), F.lit(8)))
+        dealt.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        self.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, key: str) -> TextIndex:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"), key)
+
+    def of(self, terms: Sequence[str]) -> DataFrame:
+        """The postings of the terms, from their folders only where the index is stored."""
+        rows = self.postings
+        if "folder" in rows.columns:
+            spark = rows.sparkSession
+            asked = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).alias("f")).distinct().collect()
+            rows = rows.where(F.col("folder").isin(*(r["f"] for r in asked)))
+        return rows.where(F.col("term").isin(*terms)).select("term", self.key, "tf", "length")
+
 
+def text_index(docs: DataFrame, key: str, text: Column) -> TextIndex:
+    """The index of all texts. Terms are counted per text within its task before anything moves."""
+    cut = docs.select(key, terms_of(F.coalesce(text, F.lit(""))).alias("terms")).withColumn("length", F.size("terms").cast("bigint"))
+    postings = cut.select(key, "length", F.explode("terms").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf")).select("term", key, "tf", "length")
+    return TextIndex(postings, cut.agg(F.count("*").alias("n"), F.avg("length").alias("average")), key)
 
-def bm25(index: DataFrame, lengths: DataFrame, key: str, terms: Sequence[str], limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
+
+def bm25(index: TextIndex, terms: Sequence[str], limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
     """Texts that hold any of the terms, ranked; ties by key."""
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
-    n, average = totals["n"], totals["avg"] or 1.0
-    posts = index.where(F.col("term").isin(*dict.fromkeys(terms)))
+    totals = index.totals.first()
+    n, average = totals["n"], totals["average"] or 1.0
+    terms = list(dict.fromkeys(terms))
+    posts = index.of(terms)
     weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
     # As many rows as there are terms in the question.
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    scored = posts.join(F.broadcast(df), "term").join(lengths, key).groupBy(key).agg(F.round(F.sum(weight * share), 6).alias("score"))
-    ranked = scored.orderBy(F.desc("score"), key)
+    scored = posts.join(F.broadcast(df), "term").groupBy(index.key).agg(F.round(F.sum(weight * share), 6).alias("score"))
+    ranked = scored.orderBy(F.desc("score"), index.key)
     return ranked if limit is None else ranked.limit(limit)
 
 
-def search(docs: DataFrame, key: str, text: Column, question: str, limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
+def ask(index: TextIndex, question: str, limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
     """Ranked search for the plain words of a question."""
-    import re
-
     words = [w for w in re.split("[^a-z0-9]+", question.lower()) if w]
-    index, lengths = text_index(docs, key, text)
-    return bm25(index, lengths, key, words or [""], limit)
+    return bm25(index, words or [""], limit)
+
+
+def search(docs: DataFrame, key: str, text: Column, question: str, limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
+    """The same over texts that have no stored index."""
+    return ask(text_index(docs, key, text), question, limit)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import schema as X
 from weftgraph.operators.filters import active_only, contains_any_ci, contains_ci, in_repos
+from weftgraph.plans.materialize import Scratch
 
 SUBJECT = "SUBJECT (being moved/refactored)"
 #: Callers of one commit's changes that may be broadcast, and parts into which files are dealt beyond that.
@@ -100,27 +101,44 @@ def commit_targets(commits: DataFrame, changes: DataFrame, targets: DataFrame, h
 def impact_seeds(nodes: DataFrame, subjects: DataFrame, n: int = X.SEED_LIMIT, fallback: int = X.FALLBACK_LIMIT) -> DataFrame:
     """Nodes whose name, path or full name holds a subject, n per subject; a subject without any gets files by path.
 
-    subjects: pos, subject (those of one question). Returns pos, subject, seed, seed_name, seed_path, seed_label.
+    subjects: pos, subject (those of one question). Returns pos, subject, seed, seed_name, seed_path, seed_label,
+    as a written table of `n` rows a subject at most.
     """
+    scratch = Scratch(nodes.sparkSession, "seeds")
     low = subjects.select("pos", F.lower("subject").alias("subject"))
     kinds = nodes.where(F.col("label").isin("Module", "Package", "File", "Function"))
     found = kinds.join(F.broadcast(low), contains_any_ci([F.col("name"), F.col("path"), F.col("full_name")], F.col("subject"))).select(
         "pos", "subject", F.col("id").alias("seed"), F.coalesce("name", "path", "full_name").alias("seed_name"), F.coalesce("path", "filepath", "full_name", F.lit("")).alias("seed_path"), F.col("label").alias("seed_label"),
     )
-    seeds = first_n(found, ["pos"], [F.col("seed")], n)
+    seeds = scratch.put(first_n(found, ["pos"], [F.col("seed")], n), "seeds")
+    has = {r["pos"] for r in seeds.select("pos").distinct().collect()}
+    bare = [r["pos"] for r in subjects.select("pos").collect() if r["pos"] not in has]
+    if not bare:
+        return seeds
+    low = low.where(F.col("pos").isin(*bare))
     # A file's path is among the columns above, so the second search finds nothing more unless those are bare.
     files = kinds.where("label = 'File'").join(F.broadcast(low), contains_ci(F.col("path"), F.col("subject"))).select("pos", "subject", F.col("id").alias("seed"), F.col("path").alias("seed_name"), F.col("path").alias("seed_path"), F.lit("File").alias("seed_label"))
-    rest = first_n(files.join(seeds.select("pos").distinct(), "pos", "left_anti"), ["pos"], [F.col("seed")], fallback)
-    return seeds.unionByName(rest)
+    return scratch.put(seeds.unionByName(first_n(files, ["pos"], [F.col("seed")], fallback)), "all")
 
 
-def impact_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, out: bool, n: int, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
-    """Consumers of the seeds, or (out) what they use: at most n per seed, by type and id."""
+def impact_walk(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
+    """Both kinds of neighbours of all seeds, in one pass over the edges; `out` tells what the seeds use."""
     ends = in_repos(nodes.where(F.col("label").isin("File", "Function", "Module")), repos)
-    hop = one_hop(edges.join(seeds.select(F.col("seed").alias("src" if out else "dst")).distinct(), "src" if out else "dst", "left_semi"), ends, X.OUTBOUND_TYPES if out else X.CONSUMER_TYPES, out, only_active)
-    kept = first_n(hop, ["seed"], [F.col("type"), F.col("id")], n)
-    kind = F.concat(F.lit("OUTBOUND_"), "type") if out else F.col("type")
-    return kept.select("seed", "id", F.coalesce(F.nullif("name", F.lit("")), F.lit("<unknown>")).alias("name"), F.coalesce("filepath", "path", F.lit("")).alias("filepath"), F.coalesce("repo", F.lit("")).alias("repo"), kind.alias("rel_type"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("name", F.lit("None")).alias("raw_name"))
+    types = sorted({*X.CONSUMER_TYPES, *X.OUTBOUND_TYPES})
+    inward = F.when(F.col("type").isin(*X.CONSUMER_TYPES), F.struct(F.col("dst").alias("seed"), F.col("src").alias("id"), F.lit(False).alias("out")))
+    outward = F.when(F.col("type").isin(*X.OUTBOUND_TYPES), F.struct(F.col("src").alias("seed"), F.col("dst").alias("id"), F.lit(True).alias("out")))
+    ways = active_only(edges.where(F.col("type").isin(*types)), only_active).select("type", F.explode(F.array_compact(F.array(inward, outward))).alias("way")).select("type", "way.*")
+    # A question has few subjects, and each some tens of seeds at most.
+    hop = ways.join(F.broadcast(seeds.select("seed").distinct()), "seed").join(ends, "id")
+    rank = F.row_number().over(Window.partitionBy("seed", "out").orderBy("type", "id"))
+    kept = hop.withColumn("_n", rank).where(F.col("_n") <= max(X.CONSUMER_LIMIT, X.OUTBOUND_LIMIT)).where(F.col("_n") <= F.when(F.col("out"), X.OUTBOUND_LIMIT).otherwise(X.CONSUMER_LIMIT))
+    kind = F.when(F.col("out"), F.concat(F.lit("OUTBOUND_"), "type")).otherwise(F.col("type"))
+    return kept.select("seed", "id", F.coalesce(F.nullif("name", F.lit("")), F.lit("<unknown>")).alias("name"), F.coalesce("filepath", "path", F.lit("")).alias("filepath"), F.coalesce("repo", F.lit("")).alias("repo"), kind.alias("rel_type"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("name", F.lit("None")).alias("raw_name"), "out")
+
+
+def impact_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, out: bool, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
+    """Consumers of the seeds, or (out) what they use: a limited number per seed, by type and id."""
+    return impact_walk(seeds, nodes, edges, repos, only_active).where(F.col("out") == out).drop("out")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
@@ -131,10 +149,8 @@ def impact(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, repos: Seque
     seeds = impact_seeds(nodes, subjects)
     place = seeds.select("seed", "pos")
     own = seeds.select("pos", "seed", F.lit(0).alias("kind"), F.col("seed").alias("id"), F.col("seed_name").alias("name"), F.col("seed_path").alias("filepath"), F.lit("").alias("repo"), F.lit(SUBJECT).alias("rel_type"), F.lit("").alias("code"), F.col("seed_name").alias("raw_name"))
-    parts = [own]
-    for kind, out, n in ((1, False, X.CONSUMER_LIMIT), (2, True, X.OUTBOUND_LIMIT)):
-        parts.append(impact_neighbours(seeds, nodes, edges, out, n, repos, only_active).join(place, "seed").withColumn("kind", F.lit(kind)))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    near = impact_walk(seeds, nodes, edges, repos, only_active).join(F.broadcast(place), "seed").withColumn("kind", F.when(F.col("out"), 2).otherwise(1)).drop("out")
+    rows = own.unionByName(near)
     once = first_seen(rows, ["filepath", "raw_name"], ["pos", "seed", "kind", "rel_type", "id"])
     return once.select(F.col("pos").alias("ord_pos"), F.col("seed").alias("ord_seed"), F.col("kind").alias("ord_kind"), F.col("id").alias("ord_id"), "name", "filepath", "repo", "rel_type", "code")
 

@@ -1,7 +1,7 @@
 """MERGE-style upserts as folds over ordered change logs.
 
 A batch of writes is a DataFrame with a `seq` column, the order in which its
-writes apply. What is stored already takes part with the lowest seq. One grouping
+writes apply. What is stored already takes part before all of them. One grouping
 by key, with map-side partial aggregation, gives the new state; a key with very
 many writes is reduced before the shuffle.
 """
@@ -15,28 +15,29 @@ from pyspark.sql import functions as F
 
 from weftgraph import schema as X
 
-STORED = -(2**62)
-
-
 def merge_node(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Get or create by key: the keys of both, once each."""
     return existing.select(*keys).unionByName(batch.select(*keys)).distinct()
 
 
-def upsert(existing: DataFrame | None, batch: DataFrame, keys: Sequence[str], first: Sequence[str] = (), last: Sequence[str] = (), seq: str = "seq") -> DataFrame:
+def upsert(existing: DataFrame | None, batch: DataFrame, keys: Sequence[str], first: Sequence[str] = (), last: Sequence[str] = (), seq: str | Sequence[str] = "seq") -> DataFrame:
     """The state after a batch: `first` columns keep the first write's values, `last` columns take the last one's.
 
-    Values of one write stay together; a null that a deciding write set is kept.
+    `seq` names the column or columns whose values order the writes of a key. Values of
+    one write stay together; a null that a deciding write set is kept.
     """
     columns = [*keys, *first, *last]
-    log = batch.select(*columns, F.col(seq).cast("bigint").alias("seq"))
+    order = F.struct(F.lit(1).alias("t"), *(F.col(c) for c in ([seq] if isinstance(seq, str) else seq)))
+    log = batch.select(*columns, order.alias("_at"))
     if existing is not None:
-        log = existing.select(*columns).withColumn("seq", F.lit(STORED)).unionByName(log)
+        # What is stored comes before any write.
+        none = F.struct(F.lit(0).alias("t"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema["_at"].dataType.fields[1:]))
+        log = existing.select(*columns, none.alias("_at")).unionByName(log)
     parts = []
     if first:
-        parts.append(F.min_by(F.struct(*first), "seq").alias("_first"))
+        parts.append(F.min_by(F.struct(*first), "_at").alias("_first"))
     if last:
-        parts.append(F.max_by(F.struct(*last), "seq").alias("_last"))
+        parts.append(F.max_by(F.struct(*last), "_at").alias("_last"))
     if not parts:
         return log.select(*keys).distinct()
     return log.groupBy(*keys).agg(*parts).select(*keys, *(F.col(f"_first.{c}").alias(c) for c in first), *(F.col(f"_last.{c}").alias(c) for c in last))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
@@ -40,12 +41,13 @@ class Engine:
     def corpus(self) -> retrieve.Corpus:
         g = self.graph
         nodes = g.node_view(*(x for x in ("File", "Function", "Module") if x in g.nodes))
-        vectors = g.label("Function").select(F.concat_ws("::", F.lit("Function"), "id").alias("id"), "embedding")
+        vectors = g.label("Function").select(F.concat_ws("::", F.lit("Function"), "id").alias("id"), "embedding", "unit")
         bare = lambda c: F.expr(f"substring({c}, instr({c}, '::') + 2)")
         repo = g.edge("BELONGS_TO").select(bare("src").alias("sha"), bare("dst").alias("repo"))
         return retrieve.Corpus(
             nodes.join(vectors, "id", "left"), g.edge_view("CALLS", "DEPENDS_ON"), g.label("Commit").join(repo, "sha", "left"),
             g.edge("AUTHORED").select(bare("src").alias("src"), bare("dst").alias("dst")), g.edge("MODIFIED").select(bare("src").alias("src"), "dst"),
+            g.index_texts() if "Commit" in g.nodes else None,
         )
 
     def retrieve(self, question: str, repos: Sequence[str] | None = None, top_k: int = X.TOP_K) -> str:
@@ -55,9 +57,29 @@ class Engine:
     def chat(self, question: str, repos: Sequence[str] | None = None, top_k: int = X.TOP_K, model: Callable[[str], str] | None = None) -> dict:
         return retrieve.answer(self.retrieve(question, repos, top_k), question, model)
 
-    def bootstrap(self, repo: str, inputs: Sequence[str], **options) -> None:
-        """Ingests a repository from folders of JSON lines (tree, contents, commit list, commit details)."""
-        ingest.bootstrap(self.graph, repo, **ingest.load_repos(inputs, self.graph), **options)
+    def bootstrap(self, repo: str, inputs: Sequence[str], **options) -> dict[str, int]:
+        """Ingests a repository from folders of JSON lines (tree, contents, commit list, commit details); the run's counters."""
+        return ingest.bootstrap(self.graph, repo, **ingest.load_repos(inputs, self.graph), **options)
+
+    def fetch(self, repo: str, fetch: readers.Fetch, most: int = 200, **options) -> dict[str, int]:
+        """The same from a hosting service's answers."""
+        return ingest.bootstrap(self.graph, repo, **ingest.fetch_repo(self.spark, repo, fetch, most), most=most, **options)
 
     def save(self, path: str) -> None:
         self.graph.save(path)
+
+
+#: Engines that are kept open at once.
+OPEN_ENGINES = 16
+_OPEN: OrderedDict[tuple[str, str], Engine] = OrderedDict()
+
+
+def engine_at(spark: SparkSession, path: str) -> Engine:
+    """The engine of a stored graph, opened once; the one that was asked longest ago is closed for a new one."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _OPEN:
+        _OPEN[key] = Engine(spark, path=path)
+        if len(_OPEN) > OPEN_ENGINES:
+            _OPEN.popitem(last=False)
+    _OPEN.move_to_end(key)
+    return _OPEN[key]

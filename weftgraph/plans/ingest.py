@@ -1,24 +1,30 @@
 """Bootstrap of a graph from a file tree, contents and commits, in three phases of set-based steps.
 
-Each phase turns its inputs into node and edge batches with an order, folds them
-onto what is stored, and returns the new graph. Nothing loops over rows.
+Each phase turns its inputs into node and edge batches with an order, and folds them
+onto what is stored. What a phase reads more than once (parsed sources, commits, diffs)
+and the tables that it changes are written before the next one, so a source is parsed,
+embedded and fetched once. Nothing loops over rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
 from weftgraph.functions import imports, patches, syntax
 from weftgraph.functions.paths import function_id, is_entry_point, is_noise, is_source, is_utility_dir, parent_of
 from weftgraph.graph import Graph
-from weftgraph.operators import traverse, upsert
+from weftgraph.operators import search, traverse, upsert
+from weftgraph.plans.materialize import Scratch
 from weftgraph.sources import readers
 
 INITIAL = "initial_scan"
+#: Commits that a page of a listing holds.
+PAGE = 100
 
 
 def _path_id(label: str, path: str = "path") -> Column:
@@ -29,6 +35,7 @@ def _merge(graph: Graph, label: str, batch: DataFrame) -> None:
     columns = {f.name: F.col(f.name) if f.name in batch.columns else F.lit(None) for f in X.NODES[label]}
     typed = batch.select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in X.NODES[label]), F.col("seq"))
     graph.nodes[label] = upsert.upsert_label(label, graph.nodes.get(label), typed)
+    graph.texts.pop(label, None)
 
 
 def _link(graph: Graph, kind: str, rows: DataFrame) -> None:
@@ -36,6 +43,18 @@ def _link(graph: Graph, kind: str, rows: DataFrame) -> None:
     graph.edges[kind] = upsert.merge_edges(graph.edges.get(kind), rows.select("src", F.lit(kind).alias("type"), "dst"))
 
 
+def settle(graph: Graph, scratch: Scratch, before: dict[str, DataFrame]) -> None:
+    """Writes the tables that changed since `before`, a copy of nodes and edges by name."""
+    for box in (graph.nodes, graph.edges):
+        for name, rows in box.items():
+            if before.get(name) is not rows:
+                box[name] = scratch.put(rows, name)
+
+
+def _tables(graph: Graph) -> dict[str, DataFrame]:
+    return graph.nodes | graph.edges
+
+
 def set_status(graph: Graph, repo: str, status: str, detail: str = "", commits: int = 0, scanned: int = 0, at: str | None = None) -> None:
     """The progress record of a repository; the last one stays."""
     row = graph.spark.createDataFrame([(repo, status, detail, commits, scanned, at)], X.NODES["BootstrapStatus"])
@@ -53,7 +72,8 @@ def scan_tree(graph: Graph, tree: DataFrame) -> DataFrame:
     repos = tree.select(F.col("repo").alias("full_name")).distinct().withColumns({"name": F.substring_index("full_name", "/", -1), "url": F.lit(None), "seq": F.lit(0)})
     _merge(graph, "Repository", repos)
     _merge(graph, "Directory", dirs)
-    _merge(graph, "File", files)
+    # A stored file keeps what is known of it, so that a scanned one is not read again.
+    _merge(graph, "File", files.join(graph.label("File").select("path", "repo"), ["path", "repo"], "left_anti"))
     _link(graph, "CONTAINS_DIR", dirs.select(F.concat_ws("::", F.lit("Repository"), "repo").alias("src"), _path_id("Directory").alias("dst")))
     _link(graph, "CONTAINS_FILE", files.select(F.concat_ws("::", F.lit("Repository"), "repo").alias("src"), _path_id("File").alias("dst")))
     named = dirs.withColumn("label", F.lit("Directory")).select("repo", "path", "label").unionByName(files.withColumn("label", F.lit("File")).select("repo", "path", "label"))
@@ -74,13 +94,15 @@ def scan_contents(graph: Graph, sources: DataFrame, contents: DataFrame, embed:
 
     contents: repo, path, content (base64). A file without a body stays unscanned.
     """
-    texts = sources.join(contents, ["repo", "path"]).withColumn("text", readers.decode_content(F.col("content"))).where("text IS NOT NULL").drop("content")
-    parsed = syntax.parse_sources(texts).join(texts.select("repo", "path", "pos"), ["repo", "path"])
+    scratch = Scratch(graph.spark, "contents")
+    texts = scratch.put(sources.join(contents, ["repo", "path"]).withColumn("text", readers.decode_content(F.col("content"))).where("text IS NOT NULL").drop("content"), "texts")
+    parsed = scratch.put(syntax.parse_sources(texts).join(texts.select("repo", "path", "pos"), ["repo", "path"]), "parsed")
     functions = parsed.where("kind = 'function'").select(
-        function_id(F.col("repo"), F.col("path"), F.col("name")).alias("id"), "name", F.col("path").alias("filepath"), "repo", "code", "walk_pos", F.col("pos").cast("bigint").alias("seq"), embed(F.col("code")).alias("embedding")
+        function_id(F.col("repo"), F.col("path"), F.col("name")).alias("id"), "name", F.col("path").alias("filepath"), "repo", "code", "walk_pos", F.col("pos").cast("bigint").alias("seq")
     )
     # Of equal names in a file, the first of the walk counts.
-    first = traverse.first_n(functions, ["id"], [F.col("walk_pos")], 1)
+    first = traverse.first_n(functions, ["id"], [F.col("walk_pos")], 1).withColumn("embedding", embed(F.col("code")))
+    first = scratch.put(first.withColumn("unit", search.unit(F.col("embedding"))), "functions")
     _merge(graph, "Function", first)
     fn = F.concat_ws("::", F.lit("Function"), "id")
     _link(graph, "DECLARES", first.select(F.concat_ws("::", F.lit("File"), "filepath", "repo").alias("src"), fn.alias("dst")).unionByName(first.select(F.concat_ws("::", F.lit("Repository"), "repo").alias("src"), fn.alias("dst"))))
@@ -89,16 +111,21 @@ def scan_contents(graph: Graph, sources: DataFrame, contents: DataFrame, embed:
     _link(graph, "CALLS", traverse.resolve_calls(calls, known.select("repo", fn.alias("id"), "name", "scan_pos"), order_dependent))
     found = imports.imports(imports.source_lines(texts, ["repo", "path"]), ["repo", "path"])
     log = found.select(_path_id("File").alias("src"), F.concat_ws("::", F.lit("Module"), "target_module").alias("dst"), F.lit("add").alias("op"), F.lit(INITIAL).alias("sha"), F.lit(0).cast("bigint").alias("seq"), "target_module")
-    add_dependencies(graph, log)
+    add_dependencies(graph, scratch.put(log, "log"), embed)
     read = texts.select("repo", "path")
     scanned = read.withColumns({"entry_point": F.lit(None).cast("boolean"), "content_scanned": F.lit(True), "seq": F.lit(1)})
     _merge(graph, "File", scanned)
     return read
 
 
-def add_dependencies(graph: Graph, log: DataFrame) -> None:
-    """Folds additions and removals (src, dst, op, sha, seq, target_module) onto the dependency edges."""
-    modules = log.where("op = 'add'").select(F.col("target_module").alias("name")).distinct().withColumns({"embedding": F.lit(None), "seq": F.lit(0)})
+def add_dependencies(graph: Graph, log: DataFrame, embed: Callable[[Column], Column] = readers.embed) -> None:
+    """Folds additions and removals (src, dst, op, sha, seq, target_module) onto the dependency edges.
+
+    Modules that are new get a vector, computed once for each name.
+    """
+    names = log.where("op = 'add'").select(F.col("target_module").alias("name")).distinct()
+    fresh = upsert.without_known(names, graph.label("Module"), "name")
+    modules = readers.embed_distinct(fresh, "name", embed).withColumns({"unit": search.unit(F.col("embedding")), "seq": F.lit(0)})
     _merge(graph, "Module", modules)
     stored = graph.edges.get("DEPENDS_ON")
     graph.edges["DEPENDS_ON"] = upsert.temporal_edges(log, ("src", "dst"), stored).withColumn("type", F.lit("DEPENDS_ON"))
@@ -106,21 +133,27 @@ def add_dependencies(graph: Graph, log: DataFrame) -> None:
 
 def ingest_commits(
     graph: Graph, repo: str, listed: DataFrame, details: DataFrame, history: DataFrame | None = None, as_of: Column | None = None, most: int = 200,
-    force: bool = False, listing_order: bool = False, summarize: Callable[[DataFrame, DataFrame], DataFrame] = patches.summaries,
+    force: bool = False, listing_order: bool = False, model: Callable[[list[str]], list[str]] | None = None, embed: Callable[[Column], Column] = readers.embed,
 ) -> DataFrame:
     """Phase 3: commits, authors, changed files and functions, and what the diffs add and remove. Returns the new commits.
 
     listed: repo, pos, sha, newest first; details: as `readers.flatten_details` gives them;
     history: repo, sha, path, content of recent commits' files. Dependencies apply
-    oldest first, or as listed with `listing_order`.
+    oldest first, or as listed with `listing_order`. `model` answers batches of prompts;
+    a commit without an answer, or all without a model, gets the summary made of its files.
     """
+    scratch = Scratch(graph.spark, "commits")
     new = upsert.without_known(listed.where((F.col("repo") == repo) & (F.col("pos") < most)), graph.label("Commit"), "sha", force)
-    commits = new.join(details, "sha")
-    compact = patches.compact_diff(readers.exploded_files(commits))
+    commits = scratch.put(new.join(details, "sha"), "commits")
+    compact = scratch.put(patches.compact_diff(readers.exploded_files(commits)), "compact")
     texts = patches.diff_text(compact)
-    notes = summarize(commits.select("sha", "repo", "message"), compact)
+    notes = patches.summaries(commits.select("sha", "repo", "message"), compact)
+    if model is not None:
+        answers = readers.summarize_each(patches.prompts(commits.select("sha", "repo", "message"), texts), model).select("sha", F.col("summary_text").alias("answer"))
+        notes = notes.join(answers, "sha", "left").select("sha", F.coalesce("answer", "summary_text").alias("summary_text"))
     seq = (F.col("pos") if listing_order else -F.col("pos")).cast("bigint")
-    rows = commits.join(texts, "sha", "left").join(notes, "sha", "left").withColumn("diff_text", F.coalesce("diff_text", F.lit(""))).withColumn("seq", seq)
+    rows = commits.drop("files").join(texts, "sha", "left").join(notes, "sha", "left").withColumn("diff_text", F.coalesce("diff_text", F.lit(""))).withColumn("seq", seq)
+    rows = scratch.put(rows, "described")  # a model is asked once
     _merge(graph, "Repository", graph.spark.createDataFrame([(repo, repo.rsplit("/", 1)[-1], None, 0)], "full_name string, name string, url string, seq int"))
     _merge(graph, "Commit", rows)
     _merge(graph, "User", commits.select(F.col("author").alias("login"), F.lit(0).alias("seq")))
@@ -137,7 +170,7 @@ def ingest_commits(
     log = deps.withColumn("repo", F.lit(repo)).select(
         _path_id("File").alias("src"), F.concat_ws("::", F.lit("Module"), "target_module").alias("dst"), F.when(F.col("sign") == "+", "add").otherwise("remove").alias("op"), "sha", order.cast("bigint").alias("seq"), "target_module"
     )
-    add_dependencies(graph, log)
+    add_dependencies(graph, scratch.put(log, "log"), embed)
     if history is not None:
         recent = commits.where(patches.within_window(F.col("timestamp"), as_of if as_of is not None else F.current_timestamp())).select("sha")
         _link(graph, "MODIFIED", modified_functions(repo, changed.join(recent, "sha", "left_semi"), history))
@@ -154,28 +187,48 @@ def modified_functions(repo: str, changed: DataFrame, history: DataFrame) -> Dat
     return met.select(F.concat_ws("::", F.lit("Commit"), "sha").alias("src"), F.col("id").alias("dst"))
 
 
-def clean_orphans(graph: Graph) -> None:
-    """Deletes files, directories and functions without a repository, with their edges."""
+def clean_orphans(graph: Graph) -> dict[str, int]:
+    """Deletes files, directories and functions without a repository, with their edges; how many of each."""
+    deleted = {}
     for label in ("File", "Directory", "Function"):
         rows = graph.label(label).withColumn("_id", F.concat_ws("::", F.lit(label), *X.KEYS[label]))
         doomed = F.col("repo").isNull()
+        deleted[label] = rows.where(doomed).count()
+        if not deleted[label]:
+            continue
         for kind in list(graph.edges):
             graph.edges[kind] = upsert.detach_delete(rows, graph.edges[kind], doomed, "_id")[1]
         graph.nodes[label] = rows.where(~doomed).drop("_id")
-
-
-def bootstrap(graph: Graph, repo: str, tree: DataFrame, contents: DataFrame, listed: DataFrame, details: DataFrame, at: Callable[[], str] | None = None, **options) -> Graph:
-    """All phases for one repository, resuming where an earlier run stopped; status records in between."""
-    stamp = at or (lambda: None)
-    if graph.nodes:
-        clean_orphans(graph)
-    set_status(graph, repo, "scanning", "tree", at=stamp())
-    sources = scan_tree(graph, tree.where(F.col("repo") == repo))
-    scan_contents(graph, unscanned(graph, sources), contents)
-    set_status(graph, repo, "scanning", "commits", at=stamp())
-    ingest_commits(graph, repo, listed, details, **options)
-    set_status(graph, repo, "complete", at=stamp())
-    return graph
+    return deleted
+
+
+def bootstrap(
+    graph: Graph, repo: str, tree: DataFrame, contents: DataFrame, listed: DataFrame, details: DataFrame, at: Callable[[], str] | None = None,
+    embed: Callable[[Column], Column] = readers.embed, **options,
+) -> dict[str, int]:
+    """All phases for one repository, resuming where an earlier run stopped, with status records in between. Returns the run's counters."""
+    stamp = at or (lambda: datetime.now(timezone.utc).replace(tzinfo=None).isoformat())
+    scratch = Scratch(graph.spark, "graph")
+    run = {f"deleted_{k.lower()}s": n for k, n in clean_orphans(graph).items()} if graph.nodes else {}
+
+    def phase(status: str, detail: str, work: Callable[[], DataFrame] | None = None) -> DataFrame | None:
+        before = _tables(graph)
+        out = work() if work else None
+        out = None if out is None else scratch.put(out, "phase")
+        run.setdefault("commits_processed", 0)
+        set_status(graph, repo, status, detail.format(n=0 if out is None else out.count()), run["commits_processed"], run.get("files_scanned", 0), stamp())
+        settle(graph, scratch, before)
+        return out
+
+    phase("in_progress", "reading the file tree")
+    sources = phase("in_progress", "{n} source files in the tree", lambda: scan_tree(graph, tree.where(F.col("repo") == repo)))
+    run["source_files"] = sources.count()
+    read = phase("in_progress", "{n} files scanned", lambda: scan_contents(graph, unscanned(graph, sources), contents, embed))
+    run["files_scanned"] = read.count()
+    commits = phase("in_progress", "{n} commits read", lambda: ingest_commits(graph, repo, listed, details, embed=embed, **options))
+    run["commits_processed"] = commits.count()
+    phase("completed", f"{run['files_scanned']} files scanned, {run['commits_processed']} commits ingested")
+    return run
 
 
 def load_repos(paths: Sequence[str], graph: Graph) -> dict[str, DataFrame]:
@@ -183,3 +236,27 @@ def load_repos(paths: Sequence[str], graph: Graph) -> dict[str, DataFrame]:
     spark = graph.spark
     tree, contents, listed, details = paths
     return {"tree": readers.repo_tree(spark, tree), "contents": spark.read.schema(X.CONTENTS).json(contents), "listed": readers.commit_list(spark, listed), "details": readers.commit_details(spark, details)}
+
+
+def fetch_repo(spark: SparkSession, repo: str, fetch: readers.Fetch, most: int = 200, ref: str = "HEAD", partitions: int = 8) -> dict[str, DataFrame]:
+    """The four inputs of a bootstrap from a hosting service's REST answers, each fetched once.
+
+    Keys are paths below the service's base: the tree, the source files' contents, the
+    pages of the commit list and the listed commits. What can't be fetched is left out.
+    """
+    scratch = Scratch(spark, "fetched")
+
+    def answers(keys: DataFrame, shape: str, name: str) -> DataFrame:
+        got = scratch.put(readers.fetch_each(keys, "key", fetch, partitions), name)
+        return keys.join(got.where("payload IS NOT NULL"), "key").withColumn("body", F.from_json("payload", shape)).drop("payload")
+
+    base = f"repos/{repo}"
+    root = spark.createDataFrame([(f"{base}/git/trees/{ref}?recursive=1",)], "key string")
+    tree = answers(root, "tree array<struct<path: string, type: string>>", "tree").select(F.posexplode("body.tree").alias("pos", "e")).select(F.lit(repo).alias("repo"), "pos", "e.path", "e.type")
+    wanted = tree.where((F.col("type") == "blob") & ~is_noise(F.col("path")) & is_source(F.col("path"))).select("path", F.concat(F.lit(f"{base}/contents/"), "path").alias("key"))
+    contents = answers(wanted, "content string", "contents").select(F.lit(repo).alias("repo"), "path", F.col("body.content").alias("content"))
+    pages = spark.createDataFrame([(n, f"{base}/commits?per_page={PAGE}&page={n + 1}") for n in range(-(-most // PAGE))], "page int, key string")
+    listed = answers(pages, "array<struct<sha: string>>", "pages").select("page", F.posexplode("body").alias("k", "c")).select(F.lit(repo).alias("repo"), (F.col("page") * PAGE + F.col("k")).alias("pos"), "c.sha")
+    listed = scratch.put(listed.where(F.col("pos") < most), "listed")
+    details = scratch.put(readers.fetch_each(listed.select(F.concat(F.lit(f"{base}/commits/"), "sha").alias("key")), "key", fetch, partitions), "details")
+    return {"tree": scratch.put(tree, "files"), "contents": contents, "listed": listed, "details": readers.parse_details(details.where("payload IS NOT NULL"))}

@@ -17,7 +17,7 @@ _LOCAL_ROOT: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set."""
+    """The shared folder of the session; in local mode one of our own where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
@@ -26,10 +26,10 @@ def scratch_root(spark: SparkSession) -> str:
         if app not in _LOCAL_ROOT:
             _LOCAL_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="weft-")
         return _LOCAL_ROOT[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_weft_scratch"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -58,10 +58,10 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            _delete(self.spark, df._weft_path)
+            delete(self.spark, df._weft_path)
 
     def _close(self) -> None:
         try:
-            _delete(self.spark, self.home)
+            delete(self.spark, self.home)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             pass

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
+from weftgraph.operators.search import unit
 from weftgraph.sources.tables import table
 
 
@@ -99,13 +100,13 @@ def commit_table(graph: Graph) -> DataFrame:
 
 
 def text_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as function nodes: id, label, name, path, filepath, repo, code, embedding."""
+    """Documents as function nodes: id, label, name, path, filepath, repo, code, embedding, unit."""
     docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
     rows = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     number = F.col("doc_id").cast("string")
     return rows.select(
         F.concat(F.lit("doc_"), number).alias("id"), F.lit("Function").alias("label"), F.concat(F.lit("doc_"), number).alias("name"), F.lit(None).cast("string").alias("path"),
-        F.concat_ws("/", "source", "lang", number).alias("filepath"), F.col("source").alias("repo"), F.col("text").alias("code"), "embedding", "doc_id",
+        F.concat_ws("/", "source", "lang", number).alias("filepath"), F.col("source").alias("repo"), F.col("text").alias("code"), "embedding", unit(F.col("embedding")).alias("unit"), "doc_id",
     )
 
 

@@ -166,13 +166,13 @@ def impact_seeds(spark, sf):
 @_query(_with(f", {_SEEDS}, {_CONSUMERS} SELECT {_HOP.format('type')} FROM consumers"))
 def impact_consumers(spark, sf):
     nodes, edges = _impact_graph(spark, sf)
-    return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, False, X.CONSUMER_LIMIT).drop("raw_name")
+    return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, False).drop("raw_name")
 
 
 @_query(_with(f""", {_SEEDS}, {_OUTBOUND} SELECT {_HOP.format("'OUTBOUND_' || type")} FROM outbound"""))
 def impact_outbound(spark, sf):
     nodes, edges = _impact_graph(spark, sf)
-    return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, True, X.OUTBOUND_LIMIT).drop("raw_name")
+    return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, True).drop("raw_name")
 
 
 _FULL = f""", {_SEEDS}, {_CONSUMERS}, {_OUTBOUND}, walk AS (
@@ -193,13 +193,13 @@ def impact_full(spark, sf):
 def impact_active_only(spark, sf):
     """Consumers over edges that are not soft-deleted."""
     nodes, edges = _impact_graph(spark, sf)
-    return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, False, X.CONSUMER_LIMIT, only_active=True).drop("raw_name")
+    return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, False, only_active=True).drop("raw_name")
 
 
 @_query(_with(f", {_SEEDS}, {_CONSUMERS.replace('JOIN node n ON n.id = e.src', f'''JOIN node n ON n.id = e.src AND n.repo = '{REPO}' ''')} SELECT {_HOP.format('type')} FROM consumers"))
 def impact_repo_filtered(spark, sf):
     nodes, edges = _impact_graph(spark, sf)
-    return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, False, X.CONSUMER_LIMIT, [REPO]).drop("raw_name")
+    return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, False, [REPO]).drop("raw_name")
 
 
 @_query(_with(_FULL.replace(" WHERE r = 1", " WHERE r = 1 AND (starts_with(rel_type, 'SUBJECT') OR contains(lower(repo) || chr(10) || lower(filepath), 'nation_0') OR contains(lower(repo) || chr(10) || lower(filepath), 'promo'))")))

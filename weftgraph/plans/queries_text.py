@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftgraph import schema as X
 from weftgraph.functions import imports, patches, render, router, syntax
 from weftgraph.operators import search, traverse
+from weftgraph.plans.materialize import Scratch
 from weftgraph.plans.projection import SQL as GRAPH
 from weftgraph.plans.projection import change_graph, commit_table, files, text_edges, text_nodes
 from weftgraph.sources import readers
@@ -31,6 +32,27 @@ def _query(sql: str | None = None):
     return add
 
 
+#: What an application stores once and asks again, by application, tables and name.
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def _stored(spark, sf, name, make):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = make(Scratch(spark, name))
+    return _STORED[key]
+
+
+def _document_index(spark, sf):
+    """The stored text index of the documents."""
+
+    def make(scratch):
+        search.text_index(table(spark, sf, "documents"), "doc_id", F.col("text")).save(f"{scratch.home}/index")
+        return search.TextIndex.load(spark, f"{scratch.home}/index", "doc_id")
+
+    return _stored(spark, sf, "documents-index", make)
+
+
 def _with(body: str) -> str:
     return f"WITH {GRAPH.rstrip()}{body if body.startswith(',') else ' ' + body}"
 
@@ -49,7 +71,8 @@ _IN = "(" + ", ".join(f"'{r}'" for r in REPOS) + ")"
 
 @_query(_with(f", {_SCORED} SELECT id, round(score, 6) AS score FROM {_TOP.format('')}"))
 def vector_topk(spark, sf):
-    return search.top_k(text_nodes(spark, sf), _question_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
+    vectors = _stored(spark, sf, "vectors", lambda scratch: scratch.put(text_nodes(spark, sf).select("id", "embedding", "unit"), "vectors"))
+    return search.top_k(vectors, _question_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
 def _searched(spark, sf, repos=None, prefilter=False):
@@ -87,20 +110,19 @@ def _terms(question):
 
 @_query(f"WITH corpus AS (SELECT doc_id AS key, {_TERMS} AS terms FROM documents), {_BM25.format(_terms(SEARCH))} SELECT key AS doc_id, score FROM ranked ORDER BY score DESC, key LIMIT 10")
 def bm25_topk(spark, sf):
-    return search.search(table(spark, sf, "documents"), "doc_id", F.col("text"), SEARCH)
+    return search.ask(_document_index(spark, sf), SEARCH)
 
 
 @_query(f"WITH corpus AS (SELECT doc_id AS key, {_TERMS} AS terms FROM documents), {_BM25.format(_terms(SEARCH))} SELECT key AS doc_id, score FROM ranked")
 def bm25_all(spark, sf):
     """Every document that holds a term of the question, with its score."""
-    return search.search(table(spark, sf, "documents"), "doc_id", F.col("text"), SEARCH, None)
+    return search.ask(_document_index(spark, sf), SEARCH, None)
 
 
 @_query(f"WITH corpus AS (SELECT doc_id AS key, {_TERMS} AS terms FROM documents) SELECT term, count(DISTINCT key) AS df, count(*) AS n FROM (SELECT key, unnest(terms) AS term FROM corpus) GROUP BY term")
 def fulltext_index(spark, sf):
     """The inverted index, summed up per term."""
-    index, _ = search.text_index(table(spark, sf, "documents"), "doc_id", F.col("text"))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    return _document_index(spark, sf).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 @_query(_with(f", corpus AS (SELECT sha AS key, {_TERMS.replace('text', 'message')} AS terms FROM commits), {_BM25.format(_terms('urgent f'))}, top AS (SELECT key FROM ranked ORDER BY score DESC, key LIMIT 3) SELECT left(key, 12) AS hint, path FROM top JOIN modified ON sha = key JOIN file USING (p_partkey)"))
@@ -147,12 +169,12 @@ _RULE = "chr(10) || repeat('─', 60)"
 _BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
 
-@_query(_with(f""", r AS (SELECT *, doc_id % 50 AS g, trim(code, {_BLANK}) AS body FROM textnode)
+@_query(_with(f""", r AS (SELECT *, doc_id // 20 AS g, trim(code, {_BLANK}) AS body FROM textnode)
   SELECT g, md5('[Source: vector-search]' || chr(10) || string_agg({_RULE} || chr(10) || 'Function : ' || name || chr(10) || 'File     : ' || filepath || chr(10) || 'Repo     : ' || repo || chr(10) || 'Code     :' || chr(10) || body, chr(10) ORDER BY doc_id)) AS block_md5 FROM r WHERE length(body) > 0 GROUP BY g"""))
 def context_block(spark, sf):
-    """All texts as blocks of fifty groups."""
+    """All texts as blocks of twenty each."""
     rows = text_nodes(spark, sf).select(
-        (F.col("doc_id") % 50).alias("g"), F.col("doc_id").alias("ord"), F.lit("vector-search").alias("source"), "name", F.lit(None).cast("string").alias("func_name"), "filepath", "repo",
+        F.floor(F.col("doc_id") / 20).alias("g"), F.col("doc_id").alias("ord"), F.lit("vector-search").alias("source"), "name", F.lit(None).cast("string").alias("func_name"), "filepath", "repo",
         F.lit(None).cast("string").alias("rel_type"), "code", F.array().cast(X.CONNECTED).alias("connected"),
     )
     return render.context_block(rows, ["g"]).select("g", F.md5("block").alias("block_md5"))
@@ -367,13 +389,12 @@ def embeddings_offline(spark, sf):
 
 def corpus(spark, sf):
     """The change graph's commits and files beside the text graph's functions, stored once as questions find them."""
-    from weftgraph.plans.materialize import Scratch
     from weftgraph.plans.retrieve import Corpus
 
     keep = Scratch(spark, "corpus").put
     g = change_graph(spark, sf)
     texts = text_nodes(spark, sf).withColumn("full_name", F.lit(None).cast("string")).drop("doc_id")
-    nodes = g.node_view("File", "Function", "Module").withColumn("embedding", F.lit(None).cast("array<float>")).unionByName(texts)
+    nodes = g.node_view("File", "Function", "Module").withColumns({"embedding": F.lit(None).cast("array<float>"), "unit": F.lit(None).cast("array<double>")}).unionByName(texts)
     edges = g.edge_view("CALLS", "DEPENDS_ON").select("src", "type", "dst", "is_active").unionByName(text_edges(spark, sf))
     parts = {"nodes": nodes, "edges": edges, "commits": commit_table(g), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
     return Corpus(**{name: keep(rows, name) for name, rows in parts.items()})
@@ -409,8 +430,6 @@ def hybrid_rows(spark, sf):
 
 
 def _streamed(spark, sf, run):
-    from weftgraph.plans.materialize import Scratch
-
     scratch = Scratch(spark, "stream")
     rows = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")  # a pattern may name a file or a folder
     return run(rows, scratch.home)

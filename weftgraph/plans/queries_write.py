@@ -31,26 +31,24 @@ def _with(body: str) -> str:
 
 
 def _writes(spark, sf):
-    """Events as writes to users' records, in the order of time and id."""
-    return table(spark, sf, "events").select("user_id", "event_type", "value", F.row_number().over(_by_time()).alias("seq"), "event_id")
+    """Events as writes to users' records, ordered by time and id."""
+    return table(spark, sf, "events").select("user_id", "event_type", "value", "ts", "event_id")
 
 
-def _by_time():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+#: The columns that order them.
+BY_TIME = ("ts", "event_id")
 
 
 @_query("SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def upsert_first_write(spark, sf):
     """Values that only the first write of a key sets."""
-    return upsert.upsert(None, _writes(spark, sf), ["user_id"], first=["event_type", "event_id"])
+    return upsert.upsert(None, _writes(spark, sf), ["user_id"], first=["event_type", "event_id"], seq=BY_TIME)
 
 
 @_query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def upsert_last_write(spark, sf):
     """Values that every write of a key overwrites."""
-    return upsert.upsert(None, _writes(spark, sf), ["user_id"], last=["event_type", "event_id"])
+    return upsert.upsert(None, _writes(spark, sf), ["user_id"], last=["event_type", "event_id"], seq=BY_TIME)
 
 
 @_query("""SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'stored' ELSE arg_min(event_type, (ts, event_id)) END AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id""")
@@ -58,7 +56,7 @@ def upsert_onto_existing(spark, sf):
     """A batch of writes onto stored keys: first writes of stored keys stay."""
     batch = _writes(spark, sf)
     stored = batch.where("user_id % 2 = 0").select("user_id").distinct().withColumns({"event_type": F.lit("stored"), "event_id": F.lit(-1).cast("bigint")})
-    return upsert.upsert(stored, batch, ["user_id"], first=["event_type"], last=["event_id"])
+    return upsert.upsert(stored, batch, ["user_id"], first=["event_type"], last=["event_id"], seq=BY_TIME)
 
 
 @_query("SELECT DISTINCT user_id FROM events")

@@ -26,9 +26,10 @@ STAGES = ("dependency-impact", "vector-search", "path-hint-boost", "recent-commi
 class Corpus:
     """What a question is asked of.
 
-    nodes: id, label, name, path, full_name, filepath, repo, code, embedding; edges:
+    nodes: id, label, name, path, full_name, filepath, repo, code, embedding, unit; edges:
     src, type, dst, is_active; commits: sha, timestamp, message, summary_text,
-    diff_text, repo; authored: login to sha; changes: sha to node id.
+    diff_text, repo; authored: login to sha; changes: sha to node id; texts: the
+    stored text index of the commits, if there is one.
     """
 
     nodes: DataFrame
@@ -36,6 +37,7 @@ class Corpus:
     commits: DataFrame
     authored: DataFrame
     changes: DataFrame
+    texts: search.TextIndex | None = None
 
 
 def _rows(df: DataFrame, stage: int, order: Sequence[Column]) -> DataFrame:
@@ -85,8 +87,8 @@ def recency_stage(c: Corpus, s: Row, repos: Sequence[str] | None) -> DataFrame:
 
 
 def fulltext_hits(c: Corpus, s: Row) -> DataFrame:
-    text = F.concat_ws(" ", "summary_text", "message", "diff_text")
-    found = search.search(c.commits, "sha", text, s["search_terms"])
+    index = c.texts or search.text_index(c.commits, "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"))
+    found = search.ask(index, s["search_terms"])
     return found.join(c.commits.select("sha", F.coalesce("summary_text", "message", "diff_text", F.lit("")).alias("code")), "sha")
 
 
@@ -129,6 +131,11 @@ def blame_stage(c: Corpus, s: Row, paths: Sequence[str], repos: Sequence[str] |
     return _rows(rows, 6, [F.col("pos"), F.col("kind"), F.desc_nulls_first("committed_at"), F.col("commit_sha"), F.col("func_name")])
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """A stage's rows, of which its limits leave few, on the driver: read again without running the stage again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def retrieve_rows(c: Corpus, question: str, repos: Sequence[str] | None = None, top_k: int = X.TOP_K, vector: Sequence[float] | None = None) -> DataFrame:
     """The rows of every stage that the question needs, in stage order. `vector`: of the question; [] for none."""
     spark = c.nodes.sparkSession
@@ -138,15 +145,15 @@ def retrieve_rows(c: Corpus, question: str, repos: Sequence[str] | None = None,
     paths: list[str] = []
     found = False
     if s["impact"] and s["subjects"]:
-        parts.append(impact_stage(c, s, repos).persist())
+        parts.append(_held(impact_stage(c, s, repos)))
         found = not parts[-1].isEmpty()
     if len(vector):
-        hits = vector_stage(c, vector, top_k, repos).persist()
+        hits = _held(vector_stage(c, vector, top_k, repos))
         paths = list(dict.fromkeys(r["filepath"] for r in hits.select("filepath").collect() if r["filepath"]))  # top_k rows
         parts.append(hits)
         found = found or bool(paths)
     if s["path_hints"]:
-        parts.append(path_stage(c, s["path_hints"], repos).persist())
+        parts.append(_held(path_stage(c, s["path_hints"], repos)))
         found = found or not parts[-1].isEmpty()
     hits = None
     if s["commit_gate"] or not found:

@@ -6,6 +6,8 @@ from pyspark.sql import types as T
 
 S, B, I, L = T.StringType(), T.BooleanType(), T.IntegerType(), T.LongType()
 VECTOR = T.ArrayType(T.FloatType())
+#: A vector scaled to length 1, which is what searches read.
+UNIT = T.ArrayType(T.DoubleType())
 
 
 def _table(**columns: T.DataType) -> T.StructType:
@@ -17,8 +19,8 @@ NODES = {
     "Repository": _table(full_name=S, name=S, url=S),
     "Directory": _table(path=S, repo=S, utility=B),
     "File": _table(path=S, repo=S, entry_point=B, content_scanned=B),
-    "Function": _table(id=S, name=S, filepath=S, repo=S, code=S, embedding=VECTOR),
-    "Module": _table(name=S, embedding=VECTOR),
+    "Function": _table(id=S, name=S, filepath=S, repo=S, code=S, embedding=VECTOR, unit=UNIT),
+    "Module": _table(name=S, embedding=VECTOR, unit=UNIT),
     "Commit": _table(sha=S, timestamp=S, summary_text=S, diff_text=S, message=S, url=S),
     "User": _table(login=S),
     "BootstrapStatus": _table(repo=S, status=S, detail=S, commits_processed=I, files_scanned=I, updated_at=S),
@@ -31,8 +33,8 @@ KEYS = {
 }
 #: Properties that the first write sets; all others follow the last write.
 FIRST_WRITE = {
-    "Repository": ["name", "url"], "Directory": ["utility"], "File": ["entry_point"], "Function": ["name", "filepath", "repo", "code", "embedding"],
-    "Module": ["embedding"],
+    "Repository": ["name", "url"], "Directory": ["utility"], "File": ["entry_point"], "Function": ["name", "filepath", "repo", "code", "embedding", "unit"],
+    "Module": ["embedding", "unit"],
 }
 EDGE = _table(src=S, type=S, dst=S, added_in_commit=S, deleted_in_commit=S, is_active=B)
 EDGE_TYPES = ("DECLARES", "CALLS", "MODIFIED", "AUTHORED", "BELONGS_TO", "CONTAINS_FILE", "CONTAINS_DIR", "CONTAINS", "DEPENDS_ON", "USES_REPO")

@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 from weftgraph import schema as X
 from weftgraph.functions.patches import author_of
 
-RETRY_STATUS = (429, 500, 502, 503)
+# Answers that are tried again, tries, and seconds that a spent rate limit waits.
+RETRY_STATUS = (429, 500, 502, 503, 504)
 TRIES = 5
+RATE_LIMIT_PAUSE = 60.0
 #: Length of the offline vectors.
 VECTOR_SIZE = 64
 
@@ -79,23 +81,59 @@ def exploded_files(details: DataFrame) -> DataFrame:
     return details.select("sha", F.posexplode("files").alias("pos", "f")).select("sha", "pos", "f.*")
 
 
-def with_retries(fetch: Callable[[str], tuple[int, str | None]], key: str, wait: Callable[[float], None] = time.sleep) -> str | None:
-    """What `fetch` (status, body) gives for a key; tried again with growing pauses on busy and failing answers."""
+#: What a fetch gives: the status and body of an answer, and its headers if it has any.
+Fetch = Callable[[str], tuple]
+
+
+def http_fetch(base: str, token: str | None = None, accept: str = "application/json", timeout: float = 30.0) -> Fetch:
+    """Fetches `base` and the key below it over HTTP, with a token in the headers where there is one."""
+    headers = {"Accept": accept} | ({"Authorization": f"Bearer {token}"} if token else {})
+
+    def fetch(key: str) -> tuple:
+        from urllib.error import HTTPError, URLError
+        from urllib.request import Request, urlopen
+
+        try:
+            with urlopen(Request(f"{base.rstrip('/')}/{key}", headers=headers), timeout=timeout) as answer:  # noqa: S310  the base is the caller's
+                return answer.status, answer.read().decode("utf-8", "replace"), dict(answer.headers)
+        except HTTPError as e:
+            return e.code, None, dict(e.headers or {})
+        except URLError as e:
+            raise TimeoutError(str(e)) from e
+
+    return fetch
+
+
+def pause_of(status: int, headers: dict, turn: int) -> float | None:
+    """Seconds until the next try; None if there is none. An answer's own `Retry-After` counts; a spent rate limit waits long."""
+    low = {str(k).lower(): v for k, v in headers.items()}
+    limited = status == 403 and (str(low.get("x-ratelimit-remaining")) == "0" or "retry-after" in low)
+    if status not in RETRY_STATUS and not limited:
+        return None
+    try:
+        return max(0.0, float(low["retry-after"]))
+    except (KeyError, ValueError):
+        return RATE_LIMIT_PAUSE if limited else 2.0**turn
+
+
+def with_retries(fetch: Fetch, key: str, wait: Callable[[float], None] = time.sleep) -> str | None:
+    """What `fetch` gives for a key; tried again after a pause on busy, limited and failing answers and on time-outs."""
     for turn in range(TRIES):
         try:
-            status, body = fetch(key)
+            status, body, *rest = fetch(key)
         except TimeoutError:
-            status, body = 503, None
+            status, body, rest = 503, None, []
         if status == 200:
             return body
-        if status not in RETRY_STATUS:
+        pause = pause_of(status, rest[0] if rest else {}, turn)
+        if pause is None:
             return None
         if turn + 1 < TRIES:
-            wait(2.0**turn)
+            wait(pause)
     return None
 
 
-def fetch_each(keys: DataFrame, column: str, fetch: Callable[[str], tuple[int, str | None]], partitions: int = 8) -> DataFrame:
+def fetch_each(keys: DataFrame, column: str, fetch: Fetch, partitions: int = 8) -> DataFrame:
     """`column` and `payload` for each key, fetched by `partitions` tasks at once; null where fetching failed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,11 +171,15 @@ def embed_distinct(df: DataFrame, column: str, model: Callable[[Column], Column]
 
 
 def summarize_each(commits: DataFrame, model: Callable[[list[str]], list[str]], column: str = "prompt") -> DataFrame:
-    """Adds `summary_text` from a text model that answers a batch of prompts; commits without an answer get null."""
+    """Adds `summary_text` from a text model that answers a batch of prompts; null where the answer is blank or the model fails."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(summary_text=model(pdf[column].tolist()))
+            try:
+                answers = [(a or "").strip() or None for a in model(pdf[column].tolist())]
+            except Exception:  # noqa: BLE001  any failure of the outside model leaves the summary to the fallback
+                answers = [None] * len(pdf)
+            yield pdf.assign(summary_text=answers)
 
     return commits.mapInPandas(run, T.StructType([*commits.schema.fields, T.StructField("summary_text", T.StringType())]))
 
