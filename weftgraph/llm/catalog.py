@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": neardup.ORACLE,
         "op2_line_dedup": linededup.ORACLE,
         "op4_chat_format": chat.ORACLE,
         "op8_urlfilter": urlfilter.ORACLE,

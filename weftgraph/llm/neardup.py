@@ -287,3 +287,27 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the whole table, over four-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), linked AS (
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * common >= {PERCENT} * (x.n + y.n - common)
+), ways AS (
+  SELECT a AS x, b AS y FROM linked UNION SELECT b, a FROM linked
+), reached(doc_id, r) AS (
+  SELECT x, y FROM ways UNION SELECT doc_id, y FROM reached JOIN ways ON x = r
+), least AS (
+  SELECT doc_id, min(r) AS r FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(d.doc_id, r), d.doc_id) AS component_id, d.doc_id = coalesce(least(d.doc_id, r), d.doc_id) AS kept
+FROM documents d LEFT JOIN sized USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
