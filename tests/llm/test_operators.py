@@ -714,6 +714,14 @@ def test_sentencepiece_equals_the_library():
         assert v.decode(ids) == text
 
 
+def test_sentencepiece_known_ids():
+    """Ids that the library gave for these texts, but for the bytes of the mark."""
+    v = sentencepieces.Vocabulary.load()
+    texts = ["Hello world, the quick brown fox!", "naïve café ▁ 漢字 😀\n\tdone  x"]
+    want = [[22557, 1526, 28725, 272, 2936, 9060, 285, 1142, 28808], [1879, 28920, 333, 28345, 28705, 229, 153, 132, 28705, 233, 191, 165, 29031, 28705, 30575, 13, 12, 10381, 28705, 1318]]
+    assert [x.tolist() for x in v.encode(texts)] == want and [v.decode(x) for x in want] == texts
+
+
 def test_sentencepiece_unigram_is_the_best_sequence():
     pieces_ = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab"]
     scores = [0.0, -3.0, -2.0, -2.5, -2.2, -3.1, -3.6, -4.0, -5.5]
