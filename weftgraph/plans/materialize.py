@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +40,17 @@ class Scratch:
     """The written tables of one query run, in a folder of their own.
 
     `put` writes a table and returns the reread one; `drop` deletes a table that
-    no later step reads. What is left goes when the driver ends.
+    no later step reads, `release` all tables of the runs that began after a `mark`.
+    What is left goes when the driver ends.
     """
 
+    _open: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.home = f"{scratch_root(spark)}/weft/{label}-{uuid.uuid4().hex}"
         self._made = 0
-        atexit.register(self._close)
+        self._open.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self._made += 1
@@ -60,8 +64,22 @@ class Scratch:
         for df in tables:
             delete(self.spark, df._weft_path)
 
-    def _close(self) -> None:
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._open)
+
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Deletes the tables of the runs that began since the mark, once nothing reads them any more."""
+        while len(cls._open) > since:
+            run = cls._open.pop()
+            delete(run.spark, run.home)
+
+
+@atexit.register
+def _close() -> None:
+    for run in Scratch._open:
         try:
-            delete(self.spark, self.home)
+            delete(run.spark, run.home)
         except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
+            return
