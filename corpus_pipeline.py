@@ -57,8 +57,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each through a written table in the shared folder."""
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        start = Scratch.mark()
         docs = scratch.put(stage(spark, docs, sf_dir), name)
+        # The stage's own tables and its input are read no more.
+        Scratch.release(start)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

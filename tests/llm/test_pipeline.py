@@ -1,6 +1,7 @@
 """The pipeline's stages against plain versions, on tables with every kind of case."""
 
 import itertools
+from pathlib import Path
 import random
 
 import corpus_pipeline
@@ -91,6 +92,8 @@ def test_run_registered_and_empty(spark, tables):
     path, frame, _ = tables
     out = corpus_pipeline.run(spark, path)
     assert out.columns == ["doc_id", "ids", "n_pieces", "round_trip"] and out.where("NOT round_trip").count() == 0
+    left = [p.name for p in Path(out._weft_path.removeprefix("file://")).parent.iterdir()]
+    assert len(left) == 1 and left[0].endswith("sentencepiece")  # only the last stage's table is kept
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     empty = frame.limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -195,10 +195,11 @@ def _grams(row: dict):
         yield keys, *(np.bincount(where[has & x], minlength=len(keys)) for x in (is_main, is_deleted)), where
 
 
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts in sorted keys: a bucket is a range of keys."""
+def _ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """The buckets of sorted keys and where each stands: a bucket is a range of keys. Only buckets with keys are looked at."""
     bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
-    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    first = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+    return [(b, slice(x, y)) for b, x, y in zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=len(keys) > 0)]
 
 
 def _asker(buckets: int):
@@ -207,9 +208,9 @@ def _asker(buckets: int):
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 for order, (keys, main, deleted, _) in enumerate(_grams(row)):
-                    edges = _edges(keys, buckets)
-                    parts = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
-                    yield _record([(row["block"], b * ORDERS + order, _squeeze_keys(keys[x]), _squeeze(main[x]), _squeeze(deleted[x])) for b, x in parts], REQUEST)
+                    parts = _ranges(keys, buckets)
+                    for at in range(0, len(parts), 4096):
+                        yield _record([(row["block"], b * ORDERS + order, _squeeze_keys(keys[x]), _squeeze(main[x]), _squeeze(deleted[x])) for b, x in parts[at : at + 4096]], REQUEST)
         pa.default_memory_pool().release_unused()
 
     return run
