@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.patches import blank_to_null
 
+# The texts of the blocks below, here and in their functions.
 RULE = "\n" + "─" * 60
 
 

@@ -53,6 +53,10 @@ FIELD_NAME = r"(?U)\b([A-Z][a-z]+|[a-z][a-z0-9]+)\s+[Ff]ield\b"
 FIELD_STOP = ("the", "a", "this", "that", "some", "any")
 REPO_NAME = r"(?iU)\b([\w][\w\-]+)\s+(?:repo|repository|codebase|service|module)\b"
 SHA = r"(?iU)\b([0-9a-f]{7,40})\b"
+SEARCH_SIGNS = r"[/\\?*~^\[\]{}()!]"
+PATH_PAIR = r"(?U)[\w\-]+/[\w\-]+"
+GO_FILE = r"(?iU)\b([\w\-]+)\.go\b"
+NUMBER = r"(?U)\b(\d+)\b"
 
 
 def _all(q: Column, pattern: str, group: int = 1) -> Column:
@@ -74,12 +78,12 @@ def _any_of(low: Column, words: tuple[str, ...]) -> Column:
 
 def sanitize(q: Column) -> Column:
     """The question without the signs of the search syntax; itself if nothing is left."""
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(q, r"[/\\?*~^\[\]{}()!]", " "), r"\s+", " ")), F.lit("")), q)
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(q, SEARCH_SIGNS, " "), r"\s+", " ")), F.lit("")), q)
 
 
 def path_hints(q: Column) -> Column:
-    pairs = F.transform(_all(q, r"(?U)[\w\-]+/[\w\-]+", 0), lambda p: F.lower(F.substring_index(p, "/", -1)))
-    files = _lower(_all(q, r"(?iU)\b([\w\-]+)\.go\b"))
+    pairs = F.transform(_all(q, PATH_PAIR, 0), lambda p: F.lower(F.substring_index(p, "/", -1)))
+    files = _lower(_all(q, GO_FILE))
     words = F.filter(F.array(*map(F.lit, COMPONENT_WORDS)), lambda w: F.rlike(F.lower(q), F.concat(F.lit(r"(?U)\b"), w, F.lit(r"\b"))))
     return F.array_distinct(F.concat(pairs, files, words))
 
@@ -115,7 +119,7 @@ def repo_in_question(q: Column) -> Column:
 
 def commit_limit(q: Column) -> Column:
     """The first number of the question, 20 at most; 10 without one."""
-    number = F.nullif(F.regexp_extract(q, r"(?U)\b(\d+)\b", 1), F.lit(""))
+    number = F.nullif(F.regexp_extract(q, NUMBER, 1), F.lit(""))
     value = F.when(F.length(number) > 9, X.RECENT_MOST).otherwise(F.try_to_number(number, F.lit("999999999")).cast("int"))
     return F.when(value.isNull(), X.RECENT_DEFAULT).otherwise(F.least(value, F.lit(X.RECENT_MOST)))
 

@@ -15,6 +15,7 @@ from weftgraph import schema as X
 from weftgraph.operators.filters import active_only, contains_any_ci, contains_ci, in_repos
 from weftgraph.plans.materialize import Scratch
 
+# Fixed value: the relation of a subject to itself.
 SUBJECT = "SUBJECT (being moved/refactored)"
 #: Callers of one commit's changes that may be broadcast, and parts into which files are dealt beyond that.
 BROADCAST_CALLERS = 100_000

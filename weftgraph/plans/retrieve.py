@@ -18,6 +18,7 @@ from weftgraph.operators import search, traverse
 from weftgraph.operators.filters import in_repos, with_repo_hint
 from weftgraph.sources.readers import hash_vector
 
+# What is said where nothing is found, and the names of the stages.
 NOTHING = "No relevant context found in the knowledge graph."
 STAGES = ("dependency-impact", "vector-search", "path-hint-boost", "recent-commits", "fulltext-commits", "commit-file-lookup", "blame-traversal")
 
