@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import column, mix, pieces, windows, word_hashes
+from weftgraph.llm.common import by_size, column, mix, pieces, windows, word_hashes
 from weftgraph.plans.materialize import Scratch
 from weftgraph.sources.tables import table
 
@@ -57,6 +57,8 @@ STEM_SUPPORT = 3
 STEM_PURITY = 0.8
 STEM_G = 13.0
 STEM_LENGTHS = range(3, 11)
+#: Bytes of text whose words and beginnings a task counts at once.
+BATCH_BYTES = 2_000_000
 SKETCHES = 8
 #: Equal min-hashes of near copies: 0.94 of pairs at a similarity of 0.8 have so many, and 0.0004 at 0.1.
 SAME = 5
@@ -354,7 +356,7 @@ def one_of_each_label(sketches: list[tuple[int, int, list[int]]]) -> list[int]:
 
 def _beginnings(batches):
     """Per batch: in how many toxic and other texts each word and word beginning stands, and in two different words."""
-    for batch in pieces(batches):
+    for batch in by_size(batches, "text", BATCH_BYTES):
         seen: dict[str, list[int]] = {}
         for toxic, text in zip(column(batch, "toxic"), column(batch, "text"), strict=True):
             held: Counter = Counter()
