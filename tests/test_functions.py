@@ -62,6 +62,22 @@ def test_compact_diff_order_noise_and_defaults(spark):
     assert got[1]["status"] == "modified"
 
 
+def test_compact_files_equal_the_rows(spark):
+    import random
+
+    from weftgraph import schema as X
+    from weftgraph.sources import readers
+
+    rng = random.Random(4)
+    pick = lambda *v: rng.choice(v)
+    files = lambda n: [(pick(f"src/{k}.py", "yarn.lock", "", None), pick(None, f"p{k}.go"), pick(None, "added"), pick(None, "", "+x\n" * pick(1, 9)), pick(None, k), 1, pick(None, k % 5)) for k in range(n)]
+    details = spark.createDataFrame([(f"s{k}", files(rng.randrange(0, 30)) if k else None) for k in range(40)], "sha string, files " + X.COMMIT_FILES.simpleString())
+    got, want = patches.compact_files(details, 5, 10), patches.compact_diff(readers.exploded_files(details), 5, 10)
+    rows = lambda df: sorted(map(str, df.select(*sorted(want.columns)).collect()))
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want) and got.count() > 100
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_summaries(spark):
     kind = "sha string, pos int, filename string, path string, status string, patch string, additions int, deletions int, changes int"
     compact = patches.compact_diff(spark.createDataFrame([("a", n, f"f{n}", None, "added", "+", 1, 2, 0) for n in range(7)], kind))

@@ -46,6 +46,24 @@ def compact_diff(files: DataFrame, max_files: int = X.DIFF_FILES, chars: int = X
     return ranked.withColumns({"status": F.coalesce("status", F.lit("modified")), **filled})
 
 
+def compact_files(details: DataFrame, max_files: int = X.DIFF_FILES, chars: int = X.PATCH_CHARS) -> DataFrame:
+    """`compact_diff` of commits that hold their files as an array, as payloads do: within each row, so nothing moves.
+
+    details: sha, files (as in the payloads).
+    """
+
+    def filled(f: Column, pos: Column) -> Column:
+        name = F.coalesce(blank_to_null(f["filename"]), blank_to_null(f["path"]), F.lit("unknown"))
+        number = lambda c: F.coalesce(f[c], F.lit(0)).alias(c)
+        # In the order of the fields, the first two are the rank.
+        return F.struct((-F.coalesce(f["changes"], F.lit(0))).alias("less"), pos.alias("pos"), name.alias("filename"), F.coalesce(f["status"], F.lit("modified")).alias("status"), f["patch"].alias("patch"), number("additions"), number("deletions"), number("changes"))
+
+    kept = F.filter(F.transform("files", filled), lambda f: ~is_noise(f["filename"]) & (F.octet_length(f["patch"]) > 0))
+    best = details.select("sha", F.slice(F.array_sort(kept), 1, max_files).alias("best"))
+    rows = best.select("sha", F.posexplode("best").alias("rank", "f")).select("sha", (F.col("rank") + 1).alias("rank"), "f.*").drop("less")
+    return rows.withColumn("patch", truncate(F.col("patch"), chars))
+
+
 def diff_text(compact: DataFrame) -> DataFrame:
     """Per sha, the compact diff as one text, a section per file."""
     section = F.concat(

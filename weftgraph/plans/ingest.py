@@ -145,7 +145,7 @@ def ingest_commits(
     scratch = Scratch(graph.spark, "commits")
     new = upsert.without_known(listed.where((F.col("repo") == repo) & (F.col("pos") < most)), graph.label("Commit"), "sha", force)
     commits = scratch.put(new.join(details, "sha"), "commits")
-    compact = scratch.put(patches.compact_diff(readers.exploded_files(commits)), "compact")
+    compact = scratch.put(patches.compact_files(commits), "compact")
     texts = patches.diff_text(compact)
     notes = patches.summaries(commits.select("sha", "repo", "message"), compact)
     if model is not None:
