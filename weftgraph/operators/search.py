@@ -81,7 +81,7 @@ class TextIndex:
         folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS))
         # A frequent term's texts go to several files; rows stand by term, so that a reader skips what it doesn't ask.
         dealt = self.postings.withColumn("folder", folder).repartition("folder", F.pmod(F.xxhash64(self.key), F.lit(8)))
-        dealt.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        dealt.sortWithinPartitions("folder", "term", self.key).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
         self.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
     @classmethod
