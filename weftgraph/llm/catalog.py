@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from weftgraph.llm import chat, decontaminate, langmodel, licenses, linededup, neardup, sentencepieces, tiff, toxicity, urlfilter
+from weftgraph.llm import chat, convrepair, decontaminate, exactdedup, filteraudit, langmodel, licenses, linededup, neardup, sentencepieces, tiff, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable]:
         "op8_urlfilter": urlfilter.op8_urlfilter,
         "op9_sentencepiece": sentencepieces.op9_sentencepiece,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_conversation_repair": convrepair.op11_conversation_repair,
+        "op12_filter_audit": filteraudit.op12_filter_audit,
+        "op13_exact_dedup": exactdedup.op13_exact_dedup,
     }
 
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": linededup.ORACLE,
         "op4_chat_format": chat.ORACLE,
         "op8_urlfilter": urlfilter.ORACLE,
+        "op11_conversation_repair": convrepair.ORACLE,
+        "op12_filter_audit": filteraudit.ORACLE,
+        "op13_exact_dedup": exactdedup.ORACLE,
     }
