@@ -8,8 +8,12 @@ outside any executor, so a lost executor costs a rerun of its tasks only.
 from __future__ import annotations
 
 import atexit
+import itertools
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +26,7 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_ROOT:
             _LOCAL_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="weft-")
@@ -40,16 +44,19 @@ class Scratch:
     """The written tables of one query run, in a folder of their own.
 
     `put` writes a table and returns the reread one; `drop` deletes a table that
-    no later step reads, `release` all tables of the runs that began after a `mark`.
-    What is left goes when the driver ends.
+    no later step reads, `release` all tables of the runs that the same thread began
+    after a `mark`, so that runs of other threads keep theirs. What is left goes when
+    the driver ends.
     """
 
     _open: ClassVar[list[Scratch]] = []
+    _serials: ClassVar[Iterator[int]] = itertools.count()
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.home = f"{scratch_root(spark)}/weft/{label}-{uuid.uuid4().hex}"
         self._made = 0
+        self._owner, self._serial = threading.get_ident(), next(self._serials)
         self._open.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -66,13 +73,13 @@ class Scratch:
 
     @classmethod
     def mark(cls) -> int:
-        return len(cls._open)
+        return next(cls._serials)
 
     @classmethod
     def release(cls, since: int) -> None:
-        """Deletes the tables of the runs that began since the mark, once nothing reads them any more."""
-        while len(cls._open) > since:
-            run = cls._open.pop()
+        """Deletes the tables of the runs that this thread began since the mark, once nothing reads them any more."""
+        for run in [x for x in cls._open if x._serial > since and x._owner == threading.get_ident()]:
+            cls._open.remove(run)
             delete(run.spark, run.home)
 
 
