@@ -313,13 +313,14 @@ def fold(doc_id) -> int:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, toxic, text) of at most `rows` labelled documents of the training folds."""
+    """(doc_id, toxic, text) of at most `rows` labelled documents of the training folds; of a doc_id's texts the one of the least hash."""
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
         .groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of `rows` rows at most
+    known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of `rows` rows at most
+    return known.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("doc_id", "toxic", "least.text")
 
 
 def _sketches(batches):
@@ -492,7 +493,7 @@ def _features(shared):
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model learnt from labelled rows outside the held-out fold."""
     scratch = Scratch(spark, "toxicity")
-    labelled = scratch.put(training_rows(docs, labels, rows).dropDuplicates(["doc_id"]), "labelled")
+    labelled = scratch.put(training_rows(docs, labels, rows), "labelled")
     sketches = [(r["doc_id"], r["toxic"], r["keys"]) for r in labelled.mapInArrow(_sketches, "doc_id bigint, toxic bigint, keys array<bigint>").collect()]  # of `rows` rows at most
     ids = spark.createDataFrame([(i,) for i in one_of_each_label(sketches)], "doc_id bigint")
     sample = scratch.put(labelled.join(F.broadcast(ids), "doc_id"), "sample")
