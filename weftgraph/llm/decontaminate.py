@@ -13,7 +13,7 @@ order, a passage whose sentences were swapped is caught as well. An item of fewe
 A benchmark of at most `BLOCK_BYTES` bytes of text, which are counted first, is broadcast
 with its windows to one map-side pass. A larger one is joined by its windows: hashes of
 the windows of both sides meet in an equi join, and the items found for a document are
-tiled with it in one task. Of the documents' windows only those go into the join that a
+dealt into parts of about `PART_BYTES` bytes, each of which is tiled with it apart. Of the documents' windows only those go into the join that a
 bitmap of fixed size over the items' windows has. An item's most frequent windows are
 left out of the join as far as a leak must hold one of the others: tiles that mark
 `coverage` of n tokens hold at least coverage * n / min_match of its windows.
@@ -52,6 +52,8 @@ BITMAP = 1 << 27
 #: Documents with candidates that may be broadcast to fetch their texts; beyond it, a shuffled join does.
 BROADCAST_DOCS = 200_000
 BATCH_BYTES = 4_000_000
+#: Bytes of candidate items that are tiled with a document at once.
+PART_BYTES = 1_000_000
 # Thai, Lao, Myanmar, Khmer, the Tai scripts, kana and Han.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"[^\W_{UNSPACED}]+|(?!_)\w")
@@ -334,10 +336,13 @@ def _leaking(coverage: float, min_match: int):
     return run
 
 
-def joined_candidates(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, text and `items` (item_id, text) of each row that shares a window with an item that it may leak."""
+def joined_candidates(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, text and `items` (item_id, text) of each row that shares a window with an item that it may leak.
+
+    A row with many such items stands once for each part of them.
+    """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = scratch.put(benchmark.select(F.monotonically_increasing_id().alias("n"), F.col("item_id").cast("bigint").alias("item_id"), "text").where("length(text) > 0"), "items")
+    items = scratch.put(benchmark.select(F.monotonically_increasing_id().alias("n"), F.col("item_id").cast("bigint").alias("item_id"), "text", F.octet_length("text").alias("size")).where("length(text) > 0"), "items")
     seeds = scratch.put(items.mapInArrow(_item_seeds(min_match, coverage), "n bigint, seed bigint, places bigint, spare bigint, width bigint"), "seeds")
     widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # `min_match` numbers at most
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
@@ -346,10 +351,13 @@ def joined_candidates(docs: DataFrame, benchmark: DataFrame, min_match: int = MI
     often = seeds.join(held.groupBy("seed").agg(F.count("*").alias("docs")), "seed")
     so_far = F.sum("places").over(Window.partitionBy("n").orderBy(F.desc("docs"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = often.withColumn("so_far", so_far).where("so_far > spare").select("n", "seed")
-    pairs = held.join(kept, "seed").select("d", "h", "n").distinct()
-    listed = scratch.put(pairs.join(items, "n").groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "text")).alias("items")), "listed")
-    few = listed.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    keys = listed.select("d", "h")
+    pairs = scratch.put(held.join(kept, "seed").select("d", "h", "n").distinct().join(items.select("n", "size"), "n"), "pairs")
+    # Parts are dealt by the items' hashes, so that a document's items are never in one place.
+    parts = pairs.groupBy("d", "h").agg(F.ceil(F.sum("size") / part_bytes).alias("parts"))
+    dealt = pairs.select("d", "h", "n").join(scratch.put(parts, "parts"), ["d", "h"]).withColumn("part", F.pmod(F.xxhash64("n"), "parts"))
+    listed = scratch.put(dealt.join(items, "n").groupBy("d", "h", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items")), "listed")
+    keys = listed.select("d", "h").distinct()
+    few = keys.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     texts = given.join(F.broadcast(keys) if few else keys, ["d", "h"], "left_semi")
     return texts.join(listed, ["d", "h"]).select("doc_id", "text", "items")
 
