@@ -12,7 +12,8 @@ more samples than its strips can hold (known from their sizes before anything is
 decoded; no strip is decoded beyond what the page takes from it) or than a binary value
 can (`MOST_BYTES`); later pages of a chain that breaks are reported the same way; a
 chain that returns to a directory ends there; repeated rows give their pages
-once per row; extra columns are not read; an empty table gives no rows.
+once per row; extra columns are not read, and `explode_pages` refuses to carry one that is named like
+a column of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ INTEGERS = {1, 3, 4, 6, 8, 9, 13, 16, 17, 18}
 #: Samples' bytes that a byte of each scheme can stand for at most, from the public descriptions of the schemes.
 MOST_GAIN = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
 PAGE_SCHEMA = "key bigint, page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, feature string, error string"
+PAGE_COLUMNS = [field.split()[0] for field in PAGE_SCHEMA.split(", ")[1:]]
 
 
 class BadTiff(ValueError):
@@ -364,7 +366,7 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def _walker(key: str, media: str, carry: list[str]):
-    names = ["page", "width", "height", "samples", "bits", "compression", "predictor", "pixels", "feature", "error"]
+    names = PAGE_COLUMNS
     kinds = [*[pa.int32()] * 7, pa.binary(), pa.string(), pa.string()]
 
     def table_of(batch: pa.RecordBatch, source: list[int], rows: list[dict]) -> pa.RecordBatch:
@@ -389,7 +391,13 @@ def _walker(key: str, media: str, carry: list[str]):
 
 
 def explode_pages(df: DataFrame, key: str, media: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per page of the files in column `media`, with the key and the carried columns."""
+    """One row per page of the files in column `media`, with the key and the carried columns.
+
+    A key or carried column named like one of a page's own columns is refused.
+    """
+    clash = {key, *carry} & set(PAGE_COLUMNS)
+    if clash or len({key, *carry}) <= len(carry):
+        raise ValueError(f"columns that would stand twice: {', '.join(sorted(clash)) or 'the key or a carried one'}; rename them")
     given = df.select(key, *carry, media)
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
     tail = PAGE_SCHEMA.split(", ", 1)[1]
