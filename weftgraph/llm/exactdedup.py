@@ -6,11 +6,12 @@ directory from each possible prefix to its bucket. Buckets start as one; one tha
 holds more keys or bytes than a bucket may is split at its next bit, and when a
 split goes deeper than the directory, that doubles: a counting pass over the keys
 decides `STEP` doublings at once, and only as many passes are made as the fullest
-bucket needs. A task merges the copies among its own rows before anything moves;
-then each bucket has one owner task, which gets the merged rows of its range of
-keys, sorts them, and chains the different texts of a key by their bytes, so that
-neither a bucket nor a key can grow with the number of copies. Rows find their
-entry by the key, and by the text itself where a chain is longer than one.
+bucket needs. Each bucket has one owner task, which gets the rows of its range of
+keys, merges the copies by comparing their bytes, and chains the different texts of a
+key. Keys of very many rows, of which there can be `HOT_KEYS` at most, are merged by
+the tasks that read them before they move, so that no owner's share grows with the
+number of copies. Rows find their entry by the key, and by the text itself where a
+chain is longer than one.
 
 `insert` adds a batch: buckets that it touches are rewritten in a new version,
 split where they overflow, and all others stay as they are.
@@ -41,6 +42,9 @@ BUCKET_BYTES = 16 << 20
 MAX_DEPTH = 28
 STEP = 7
 BROADCAST_SLOTS = 1 << 16
+#: A key is hot that more than one of so many rows has, and more than so many rows.
+HOT_KEYS = 1 << 16
+HOT_ROWS = 64
 
 _LEAST = -(2**63)
 
@@ -87,10 +91,24 @@ def with_bucket(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("slot", slot).join(found, "slot").drop("slot")
 
 
-def _chained(merged: DataFrame) -> DataFrame:
-    """What the owners of the buckets do: one task for each, its keys in order, the texts of a key numbered by their bytes."""
-    chain = Window.partitionBy("bucket", "key")
-    owned = merged.repartition("bucket")
+def _keys(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.put(rows.groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n")), "keys")
+
+
+def _single(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """bucket, key, text, n, keep_id, keep_row: a row as it is, or those of a task with the same hot text as one."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(keys.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select("key"))
+    order = F.coalesce("id", F.lit(_LEAST))
+    many = rows.join(hot, "key", "left_semi").groupBy("bucket", "key", "text").agg(F.count("*").alias("n"), F.max("id").alias("keep_id"), F.max_by("row", order).alias("keep_row"))
+    few = rows.join(hot, "key", "left_anti").select("bucket", "key", "text", F.lit(1).cast("bigint").alias("n"), F.col("id").alias("keep_id"), F.col("row").alias("keep_row"))
+    return few.unionByName(many)
+
+
+def _chained(rows: DataFrame) -> DataFrame:
+    """What the owners of the buckets do: copies merged, keys in order, the texts of a key numbered by their bytes."""
+    chain, order = Window.partitionBy("bucket", "key"), F.coalesce("keep_id", F.lit(_LEAST))
+    owned = rows.repartition("bucket").groupBy("bucket", "key", "text").agg(F.sum("n").alias("n"), F.max("keep_id").alias("keep_id"), F.max_by("keep_row", order).alias("keep_row"))
     linked = owned.withColumn("link", F.row_number().over(chain.orderBy("text"))).withColumn("links", F.count("*").over(chain))
     return linked.withColumn("sha256", F.sha2("text", 256)).sortWithinPartitions("bucket", "key", "link")
 
@@ -113,19 +131,19 @@ class ExactIndex:
     @classmethod
     def build(cls, rows: DataFrame, scratch: Scratch, hashed: Callable[[Column], Column] = _key, most_keys: int = BUCKET_KEYS, most_bytes: int = BUCKET_BYTES) -> ExactIndex:
         """rows: id, row, key, size, text, a written table."""
-        slots, depth = directory(rows.groupBy("key").agg(F.max("size").alias("size")), scratch, most_keys, most_bytes)
-        entries = scratch.put(_chained(_merge_rows(with_bucket(rows, slots, depth))), "entries")
+        keys = _keys(rows.select("key", "size", F.lit(1).alias("n")), scratch)
+        slots, depth = directory(keys, scratch, most_keys, most_bytes)
+        entries = scratch.put(_chained(_single(with_bucket(rows, slots, depth), keys)), "entries")
         return cls(entries, slots, depth, hashed, most_keys, most_bytes)
 
     def insert(self, rows: DataFrame, scratch: Scratch) -> ExactIndex:
         """The index with a further batch. Entries of buckets that the batch doesn't meet are not rewritten."""
-        both = self.entries.select("key", F.octet_length("text").cast("bigint").alias("size")).unionByName(rows.select("key", "size"))
-        slots, depth = directory(both.groupBy("key").agg(F.max("size").alias("size")), scratch, self.most_keys, self.most_bytes)
-        met = scratch.put(with_bucket(rows.select("key").distinct(), self.slots, self.depth).select("bucket").distinct(), "met")
+        own = _keys(rows.select("key", "size", F.lit(1).alias("n")), scratch)
+        both = self.entries.select("key", F.octet_length("text").cast("bigint").alias("size"), "n").unionByName(own)
+        slots, depth = directory(_keys(both, scratch), scratch, self.most_keys, self.most_bytes)
+        met = scratch.put(with_bucket(own.select("key"), self.slots, self.depth).select("bucket").distinct(), "met")
         old = self.entries.join(met, "bucket", "left_semi").select("key", "text", "n", "keep_id", "keep_row")
-        new = _merge_rows(rows.withColumn("bucket", F.lit(0).cast("bigint"))).drop("bucket")
-        order = F.coalesce("keep_id", F.lit(_LEAST))
-        merged = with_bucket(old.unionByName(new), slots, depth).groupBy("bucket", "key", "text").agg(F.sum("n").alias("n"), F.max("keep_id").alias("keep_id"), F.max_by("keep_row", order).alias("keep_row"))
+        merged = with_bucket(old, slots, depth).unionByName(_single(with_bucket(rows, slots, depth), own))
         touched = scratch.put(_chained(merged), "entries")
         return ExactIndex(self.entries.join(met, "bucket", "left_anti").unionByName(touched), slots, depth, self.hashed, self.most_keys, self.most_bytes)
 
@@ -139,11 +157,6 @@ class ExactIndex:
         return plain.unionByName(rows.drop("size").join(chained.select(*got, "text"), ["key", "text"]).drop("text"))
 
 
-def _merge_rows(rows: DataFrame) -> DataFrame:
-    """Copies as one row, within each task before the shuffle: bucket, key, text, n, keep_id, keep_row."""
-    return rows.groupBy("bucket", "key", "text").agg(F.count("*").alias("n"), F.max("id").alias("keep_id"), F.max_by("row", F.coalesce("id", F.lit(_LEAST))).alias("keep_row"))
-
-
 def keyed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = _key) -> DataFrame:
     """id, row (a number of the row's own), key, size in bytes and text, written once."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
