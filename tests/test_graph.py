@@ -213,8 +213,8 @@ def test_bootstrap(spark, tmp_path):
     again = Engine(spark, path=path)
     assert again.check() and again.repos() == ["o/r"] and again.stats() == stats
     assert engine_at(spark, path) is engine_at(spark, path)
-    asked = search.ask(again.graph.index_texts(), "m old")
-    assert "folder" in again.graph.texts["Commit"].postings.columns and [r["sha"] for r in asked.collect()] == ["old", "new"]
+    asked = again.graph.index_texts().ask("m old")
+    assert again.graph.texts["Commit"].store.folders[0].endswith("/texts/Commit") and [r["sha"] for r in asked.collect()] == ["old", "new"]
     plan = asked._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "explode" not in plan  # no text is cut into words for a question
     again.graph.nodes["File"] = again.graph.label("File").unionByName(spark.createDataFrame([("lost", None, None, None)], X.NODES["File"]))

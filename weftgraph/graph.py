@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
-from weftgraph.operators.search import TextIndex, text_index
+from weftgraph.operators.search import TextIndex
+from weftgraph.operators.segments import exists
+from weftgraph.operators.substrings import SubstringIndex
+from weftgraph.operators.vectors import VectorIndex
+from weftgraph.plans.materialize import Scratch
 
 VIEW = ("id", "label", "name", "path", "full_name", "filepath", "repo", "code")
+#: Labels that questions look for by substrings, and the fields of theirs that are indexed.
+FOUND = ("File", "Function", "Module")
+FOUND_BY = ("name", "path", "full_name", "filepath", "code")
 
 
 def node_id(label: str) -> F.Column:
@@ -19,12 +26,26 @@ def node_id(label: str) -> F.Column:
     return F.concat_ws("::", F.lit(label), *X.KEYS[label])
 
 
+def commit_text() -> F.Column:
+    """What a ranked search reads of a commit."""
+    return F.concat_ws(" ", "summary_text", "message", "diff_text")
+
+
+def as_shas(commits: DataFrame) -> DataFrame:
+    """Commits as rows of a substring index."""
+    return commits.select(F.col("sha").alias("id"), F.lit("Commit").alias("label"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("code"), "sha")
+
+
 @dataclass
 class Graph:
     spark: SparkSession
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, DataFrame] = field(default_factory=dict)
     texts: dict[str, TextIndex] = field(default_factory=dict)
+    vectors: dict[str, VectorIndex] = field(default_factory=dict)
+    grams: dict[str, SubstringIndex] = field(default_factory=dict)
+    #: Keys that were written since the indexes were brought up to date, by label.
+    written: dict[str, list[DataFrame]] = field(default_factory=dict)
 
     def label(self, name: str) -> DataFrame:
         return self.nodes.get(name) if name in self.nodes else self.spark.createDataFrame([], X.NODES[name])
@@ -40,7 +61,7 @@ class Graph:
     def node_view(self, *labels: str) -> DataFrame:
         """All nodes of the labels (all labels if none is named) with the properties that traversals read."""
         parts = []
-        for name in labels or self.nodes:
+        for name in labels or list(self.nodes):
             rows = self.label(name)
             have = set(rows.columns)
             key = F.col("node_id") if "node_id" in have else node_id(name)
@@ -64,16 +85,66 @@ class Graph:
     def repos(self) -> DataFrame:
         return self.label("Repository").where("full_name <> ''").select("full_name").orderBy("full_name")
 
+    def _folder(self, name: str) -> str:
+        return f"{Scratch(self.spark, 'index').home}/{name}"
+
     def index_texts(self) -> TextIndex:
-        """The text index of the commits, made once and stored with the graph; a changed graph drops it."""
+        """The text index of the commits: written when it is first asked for, stored with the graph, and kept up by `follow`."""
         if "Commit" not in self.texts:
-            self.texts["Commit"] = text_index(self.label("Commit"), "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"))
+            self.texts["Commit"] = TextIndex.build(self.label("Commit"), "sha", commit_text(), self._folder("texts"))
         return self.texts["Commit"]
 
+    def index_vectors(self, label: str = "Function") -> VectorIndex:
+        """The vectors of the functions or modules, by node id; made and kept likewise."""
+        if label not in self.vectors:
+            self.vectors[label] = VectorIndex.build(self._units(self.label(label), label), self._folder("vectors"))
+        return self.vectors[label]
+
+    def index_grams(self, name: str = "Node") -> SubstringIndex:
+        """The substrings of files, functions and modules by node id ("Node"), or of commits' shas by sha ("Commit")."""
+        if name not in self.grams:
+            rows, fields = (self.node_view(*FOUND), FOUND_BY) if name == "Node" else (as_shas(self.label("Commit")), ("sha",))
+            self.grams[name] = SubstringIndex.build(rows, fields, self._folder("grams"))
+        return self.grams[name]
+
+    def _units(self, rows: DataFrame, label: str) -> DataFrame:
+        return rows.select(node_id(label).alias("id"), "unit")
+
+    def follow(self, label: str, keys: DataFrame, before: DataFrame | None) -> None:
+        """Brings the indexes that exist up to date with a label's table after a batch. keys: those that the batch wrote."""
+        of = lambda rows: rows.join(keys.distinct(), X.KEYS[label], "left_semi")
+        if label == "Commit" and "Commit" in self.texts:
+            self.texts["Commit"].add(of(self.label(label)), commit_text(), self._folder("texts"), None if before is None else of(before))
+            self.texts = {k: v.save(self._folder("texts")) if v.store.many else v for k, v in self.texts.items()}
+        # Properties that the others read are set by a node's first write.
+        fresh = of(self.label(label)) if before is None else of(self.label(label)).join(before.select(X.KEYS[label]), X.KEYS[label], "left_anti")
+        if label in self.vectors:
+            self.vectors[label].add(self._units(fresh, label), self._folder("vectors"))
+            self.vectors[label] = self.vectors[label].save(self._folder("vectors")) if self.vectors[label].store.many else self.vectors[label]
+        name = "Commit" if label == "Commit" else "Node" if label in FOUND else None
+        if name in self.grams:
+            rows = as_shas(fresh) if label == "Commit" else Graph(self.spark, {label: fresh}).node_view(label)
+            self.grams[name].add(rows, ("sha",) if label == "Commit" else FOUND_BY, self._folder("grams"))
+            self.grams[name] = self.grams[name].save(self._folder("grams")) if self.grams[name].store.many else self.grams[name]
+
+    def forget(self, label: str, gone: DataFrame) -> None:
+        """Hides deleted nodes of a label from its indexes."""
+        ids = gone.select(node_id(label).alias("id"))
+        if label in self.vectors:
+            self.vectors[label].add(ids.withColumn("unit", F.lit(None).cast("array<double>")), self._folder("vectors"))
+        if label in FOUND and "Node" in self.grams:
+            self.grams["Node"].remove(ids, self._folder("grams"))
+
     def save(self, path: str) -> None:
-        """Writes a snapshot: a table per label and edge type, and the text index. The path must be new."""
+        """Writes a snapshot: a table per label and edge type, and the indexes, each as one segment. The path must be new."""
         if "Commit" in self.nodes:
-            self.index_texts().save(f"{path}/texts/Commit")
+            self.texts["Commit"] = self.index_texts().save(f"{path}/texts/Commit")
+            self.grams["Commit"] = self.index_grams("Commit").save(f"{path}/grams/Commit")
+        for label in ("Function", "Module"):
+            if label in self.nodes:
+                self.vectors[label] = self.index_vectors(label).save(f"{path}/vectors/{label}")
+        if any(x in self.nodes for x in FOUND):
+            self.grams["Node"] = self.index_grams().save(f"{path}/grams/Node")
         for name, rows in self.nodes.items():
             rows.write.parquet(f"{path}/nodes/{name}")
         for kind, rows in self.edges.items():
@@ -82,18 +153,17 @@ class Graph:
     @classmethod
     def load(cls, spark: SparkSession, path: str, labels: tuple[str, ...] = tuple(X.NODES), kinds: tuple[str, ...] = X.EDGE_TYPES) -> Graph:
         """Reads the tables of a snapshot that exist."""
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-        def there(p: str) -> bool:
-            target = jvm.org.apache.hadoop.fs.Path(p)
-            return target.getFileSystem(conf).exists(target)
-
         out = cls(spark)
         for group, names, box in (("nodes", labels, out.nodes), ("edges", kinds, out.edges)):
             for name in names:
-                if there(f"{path}/{group}/{name}"):
+                if exists(spark, f"{path}/{group}/{name}"):
                     box[name] = spark.read.parquet(f"{path}/{group}/{name}")
-        if there(f"{path}/texts/Commit/totals"):
+        if exists(spark, f"{path}/texts/Commit/totals"):
             out.texts["Commit"] = TextIndex.load(spark, f"{path}/texts/Commit", "sha")
+        for label in ("Function", "Module"):
+            if exists(spark, f"{path}/vectors/{label}/centroids"):
+                out.vectors[label] = VectorIndex.load(spark, f"{path}/vectors/{label}")
+        for name in ("Node", "Commit"):
+            if exists(spark, f"{path}/grams/{name}/keys"):
+                out.grams[name] = SubstringIndex.load(spark, f"{path}/grams/{name}")
         return out

@@ -1,36 +1,39 @@
 """Vector top-k with expansion, and ranked full-text search.
 
-Vectors are scanned exactly: nodes keep them scaled to length 1, so a score is one
-product, and a top-k keeps k rows per task. The text index is built once: a table of
-(term, key, tf, length), laid out in folders by the term's hash, of which a question
-reads those of its words, and one row of totals. It is stored with the graph.
+Vectors are asked of an approximate index (`vectors`) or scanned exactly: nodes keep them
+scaled to length 1, so a score is one product, and a top-k keeps k rows per task.
+
+The text index holds the postings in blocks. Texts are dealt into lots of about `LOT_TEXTS`
+texts of like length; a block is what one lot has of one term, with the largest count
+of the term and the least length of a text, which bound the term's weight for the whole
+block. A ranked question reads the bounds of its terms' blocks first, then the texts of the
+`FIRST_LOTS` most promising lots, and after that only lots whose bound reaches the worst
+score among the best so far. Postings lie in folders by the term's hash. A batch of texts
+is a segment with its own blocks and totals, and with what the texts that it replaces had
+held, so that all numbers equal those of an index made anew.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
 from weftgraph.operators.filters import in_repos
+from weftgraph.operators.segments import Segments
+from weftgraph.operators.vectors import VectorIndex, dot, unit  # noqa: F401  `unit` belongs to the surface of this module
 
 K1, B = 1.2, 0.75
-#: Folders of a stored text index.
+#: Folders of a stored text index, texts of a lot, lots that a ranked question reads before it knows a bound.
 FOLDERS = 64
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def unit(vector: Column) -> Column:
-    """The vector scaled to length 1, in doubles; null for one of length 0, without numbers or null."""
-    length = F.sqrt(dot(vector, vector))
-    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
+LOT_TEXTS = 128
+FIRST_LOTS = 32
+#: Scores are rounded to six places; a bound may miss by less than this.
+SLACK = 1e-6
 
 
 def top_k(nodes: DataFrame, vector: Sequence[float], k: int = X.TOP_K, key: str = "id") -> DataFrame:
@@ -44,88 +47,204 @@ def top_k(nodes: DataFrame, vector: Sequence[float], k: int = X.TOP_K, key: str
 
 
 def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame, repos: Sequence[str] | None = None, most: int = X.CONNECTED_MOST) -> DataFrame:
-    """Adds `connected`: at most `most` distinct called or used nodes with code, in the order of name, path and code."""
+    """Adds `connected`: at most `most` distinct called or used nodes with code, in the order of name, path and code.
+
+    They are cut to `most` within each task before anything is collected.
+    """
     ends = in_repos(nodes.where(F.col("label").isin("Function", "File") & F.col("code").isNotNull()), repos)
     near = (
         hits.select(F.col("id").alias("src")).join(edges.where(F.col("type").isin("CALLS", "DEPENDS_ON")).select("src", "dst"), "src")
         .join(ends.select(F.col("id").alias("dst"), "name", F.coalesce("filepath", "path").alias("path"), "code"), "dst")
-        .groupBy("src").agg(F.slice(F.array_sort(F.collect_set(F.struct("name", "path", "code"))), 1, most).alias("connected"))
+        .withColumn("_n", F.dense_rank().over(Window.partitionBy("src").orderBy("name", "path", "code"))).where(F.col("_n") <= most)
+        .select("src", "name", "path", "code").distinct()
+        .groupBy("src").agg(F.array_sort(F.collect_list(F.struct("name", "path", "code"))).alias("connected"))
     )
     return hits.join(near, hits["id"] == near["src"], "left").drop("src").withColumn("connected", F.coalesce("connected", F.array().cast(X.CONNECTED)))
 
 
-def vector_search(nodes: DataFrame, edges: DataFrame, vector: Sequence[float], k: int = X.TOP_K, repos: Sequence[str] | None = None, prefilter: bool = False) -> DataFrame:
+def vector_search(
+    nodes: DataFrame, edges: DataFrame, vector: Sequence[float], k: int = X.TOP_K, repos: Sequence[str] | None = None, prefilter: bool = False, index: VectorIndex | None = None,
+) -> DataFrame:
     """The k nearest functions, then the repository filter, then their neighbours; best first.
 
-    As the filter comes after the top k, fewer may be left; `prefilter` puts it before.
+    As the filter comes after the top k, fewer may be left; `prefilter` puts it before, and then
+    all vectors are scanned. With an `index` of the functions, nodes need no vectors.
     """
     functions = nodes.where("label = 'Function'")
-    hits = top_k(in_repos(functions, repos) if prefilter else functions, vector, k)
+    if index is None or (prefilter and repos):
+        hits = top_k(in_repos(functions, repos) if prefilter else functions, vector, k)
+    else:
+        found = index.top_k(vector, k).collect()  # k rows
+        scores = nodes.sparkSession.createDataFrame(found, "id string, score double")
+        hits = functions.where(F.col("id").isin([r["id"] for r in found])).join(F.broadcast(scores), "id")
     return expand(in_repos(hits.where("code IS NOT NULL"), repos), nodes, edges, repos).orderBy(F.desc("score"), "id")
 
 
 def terms_of(text: Column) -> Column:
-    """Runs of ASCII letters and digits in lower case."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    """Runs of letters, marks and digits of any script, in lower case."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
+
+
+def words_of(question: str) -> list[str]:
+    """The same of a question, each word once."""
+    return list(dict.fromkeys("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in question.lower()).split()))
+
+
+def _counted(docs: DataFrame, text: Column) -> DataFrame:
+    """key, length and terms of each text."""
+    return docs.select("key", terms_of(F.coalesce(text, F.lit(""))).alias("terms")).withColumn("length", F.size("terms").cast("bigint"))
+
+
+def _postings(counted: DataFrame) -> DataFrame:
+    """term, key, tf and length; counted per text within its task before anything moves."""
+    return counted.select("key", "length", F.explode("terms").alias("term")).groupBy("term", "key", "length").agg(F.count("*").alias("tf"))
+
+
+def _share(tf: Column, length: Column, average: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
+
+
+def _weight(n: int, df: Column) -> Column:
+    return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
+
+
+def _like_length(length: Column) -> Column:
+    """Texts of like length: two classes for each doubling."""
+    return F.floor(2 * F.log2(length + 1))
+
+
+def _folder(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
 @dataclass
 class TextIndex:
-    """postings: term, key, tf and the text's length; totals: n and average length, one row; `key` names the texts' key."""
+    """Blocks of postings (term, lot, n, most, least, texts), and the totals of each segment. `key` names the texts' key."""
 
-    postings: DataFrame
-    totals: DataFrame
     key: str
+    store: Segments
 
-    def save(self, path: str) -> None:
-        folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS))
-        # A frequent term's texts go to several files; rows stand by term, so that a reader skips what it doesn't ask.
-        dealt = self.postings.withColumn("folder", folder).repartition("folder", F.pmod(F.xxhash64(self.key), F.lit(8)))
-        dealt.sortWithinPartitions("folder", "term", self.key).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-        self.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    @property
+    def _shapes(self) -> dict[str, str]:
+        return {
+            "blocks": f"term string, lot bigint, n bigint, most bigint, least bigint, texts array<struct<key: {self.store.key}, tf: bigint, length: bigint>>, folder int",
+            "totals": "n bigint, length bigint", "lost": "term string, n bigint, folder int",
+        }
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, key: str) -> TextIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"), key)
-
-    def of(self, terms: Sequence[str]) -> DataFrame:
-        """The postings of the terms, from their folders only where the index is stored."""
-        rows = self.postings
-        if "folder" in rows.columns:
-            spark = rows.sparkSession
-            asked = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).alias("f")).distinct().collect()
-            rows = rows.where(F.col("folder").isin(*(r["f"] for r in asked)))
-        return rows.where(F.col("term").isin(*terms)).select("term", self.key, "tf", "length")
-
-
-def text_index(docs: DataFrame, key: str, text: Column) -> TextIndex:
-    """The index of all texts. Terms are counted per text within its task before anything moves."""
-    cut = docs.select(key, terms_of(F.coalesce(text, F.lit(""))).alias("terms")).withColumn("length", F.size("terms").cast("bigint"))
-    postings = cut.select(key, "length", F.explode("terms").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf")).select("term", key, "tf", "length")
-    return TextIndex(postings, cut.agg(F.count("*").alias("n"), F.avg("length").alias("average")), key)
-
-
-def bm25(index: TextIndex, terms: Sequence[str], limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
-    """Texts that hold any of the terms, ranked; ties by key."""
-    totals = index.totals.first()
-    n, average = totals["n"], totals["average"] or 1.0
-    terms = list(dict.fromkeys(terms))
-    posts = index.of(terms)
-    weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
-    # As many rows as there are terms in the question.
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    scored = posts.join(F.broadcast(df), "term").groupBy(index.key).agg(F.round(F.sum(weight * share), 6).alias("score"))
-    ranked = scored.orderBy(F.desc("score"), index.key)
-    return ranked if limit is None else ranked.limit(limit)
+    def build(cls, docs: DataFrame, key: str, text: Column, folder: str) -> TextIndex:
+        """An index of all texts in a new folder; texts with a null key are left out."""
+        out = cls(key, Segments(docs.sparkSession, docs.schema[key].dataType.simpleString()))
+        out.add(docs, text, folder)
+        return out
+
+    def add(self, docs: DataFrame, text: Column, folder: str, replaced: DataFrame | None = None) -> None:
+        """A segment of texts in a new folder. replaced: the rows that these replace, as they were indexed."""
+        given = docs.withColumn("key", F.col(self.key)).where("key IS NOT NULL")
+        counted = _counted(given, text)
+        counted.write.option("compression", "zstd").parquet(f"{folder}/terms")  # a text is cut into words once
+        counted = self.store.spark.read.schema(counted.schema).parquet(f"{folder}/terms")
+        tables = self._tables(_postings(counted), counted.select("key", "length"))
+        if replaced is not None:
+            old = _counted(replaced.withColumn("key", F.col(self.key)), text)
+            lost = old.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+            size = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).select((-F.col("n")).alias("n"), (-F.col("length")).alias("length"))
+            tables["lost"] = (lost.withColumn("folder", _folder(F.col("term"))).repartition("folder"), ["folder"])
+            tables["totals"] = (tables["totals"][0].unionByName(size), [])
+        else:
+            tables["lost"] = (self.store.spark.createDataFrame([], self._shapes["lost"]), ["folder"])
+        self.store.write(folder, tables, None if replaced is None else replaced.select(F.col(self.key).alias("key")))
+
+    def _tables(self, postings: DataFrame, texts: DataFrame) -> dict[str, tuple[DataFrame, Sequence[str]]]:
+        """Postings in blocks. texts: key and length of every text."""
+        classes = texts.groupBy(_like_length(F.col("length")).alias("class")).agg(F.ceil(F.count("*") / LOT_TEXTS).alias("lots"))
+        # As many classes as a length has doublings, twice.
+        placed = postings.withColumn("class", _like_length(F.col("length"))).join(F.broadcast(classes), "class").withColumn("lot", F.shiftleft("class", 40) + F.pmod(F.xxhash64("key"), "lots"))
+        held = F.struct("key", F.col("tf").cast("bigint").alias("tf"), "length")
+        blocks = placed.groupBy("term", "lot").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.array_sort(F.collect_list(held)).alias("texts"))
+        # A frequent term's blocks go to several files; rows stand by term, so that a reader skips what it doesn't ask.
+        dealt = blocks.withColumn("folder", _folder(F.col("term"))).repartition("folder", F.pmod(F.xxhash64("lot"), F.lit(8))).sortWithinPartitions("folder", "term", "lot")
+        totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+        return {"blocks": (dealt, ["folder"]), "totals": (totals.coalesce(1), [])}
+
+    def postings(self) -> DataFrame:
+        """term, key, tf and length of the live texts."""
+        rows = self.store.table("blocks", self._shapes["blocks"]).select("seg", "term", F.inline("texts"))
+        return self.store.live(rows).select("term", "key", "tf", "length")
+
+    def save(self, folder: str) -> TextIndex:
+        """A copy in a new folder, all segments in one; nothing is cut into words again."""
+        postings = self.postings()
+        out = TextIndex(self.key, Segments(self.store.spark, self.store.key))
+        tables = out._tables(postings, postings.select("key", "length").distinct())
+        totals = self.store.table("totals", self._shapes["totals"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+        out.store.write(folder, tables | {"totals": (totals.coalesce(1), []), "lost": (self.store.spark.createDataFrame([], self._shapes["lost"]), ["folder"])})
+        return out
 
-
-def ask(index: TextIndex, question: str, limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
-    """Ranked search for the plain words of a question."""
-    words = [w for w in re.split("[^a-z0-9]+", question.lower()) if w]
-    return bm25(index, words or [""], limit)
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, key: str, kind: str = "string") -> TextIndex:
+        return cls(key, Segments(spark, kind, [folder], [False]))
+
+    def _of(self, terms: Sequence[str], name: str) -> DataFrame:
+        """The rows of some terms, from their folders only."""
+        folders = self.store.spark.createDataFrame([(t,) for t in terms], "term string").select(_folder(F.col("term")).alias("f")).distinct().collect()
+        return self.store.table(name, self._shapes[name]).where(F.col("folder").isin(*(r["f"] for r in folders)) & F.col("term").isin(*terms))
+
+    def _known(self, terms: Sequence[str]) -> tuple[DataFrame, int, float]:
+        """df of each term, the number of texts and their average length."""
+        total = self.store.table("totals", self._shapes["totals"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+        seen = self._of(terms, "blocks").select("term", "n").unionByName(self._of(terms, "lost").select("term", (-F.col("n")).alias("n")))
+        df = seen.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0").collect()  # a row per word of the question
+        return self.store.spark.createDataFrame(df, "term string, df bigint"), total["n"], total["length"] / total["n"] if total["n"] and total["length"] else 1.0
+
+    def _scores(self, blocks: DataFrame, weights: DataFrame, average: float) -> DataFrame:
+        """key and score of the texts of blocks. weights: term and its weight."""
+        rows = self.store.live(blocks.select("seg", "term", F.inline("texts"))).join(F.broadcast(weights), "term")
+        return rows.groupBy(F.col("key").alias(self.key)).agg(F.round(F.sum(F.col("weight") * _share(F.col("tf"), F.col("length"), average)), 6).alias("score"))
+
+    def _bounds(self, blocks: DataFrame, weights: DataFrame, average: float) -> DataFrame:
+        """The most that a text of each lot can score."""
+        return blocks.select("seg", "term", "lot", "most", "least").join(F.broadcast(weights), "term").groupBy("seg", "lot").agg(F.sum(F.col("weight") * _share(F.col("most"), F.col("least"), average)).alias("bound"))
+
+    def rank(self, terms: Sequence[str], limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
+        """Live texts that hold any of the terms, ranked; ties by key. Without a limit all blocks are read."""
+        terms = list(dict.fromkeys(terms)) or [""]
+        df, n, average = self._known(terms)
+        weights = df.select("term", _weight(n, F.col("df")).alias("weight"))
+        blocks = self._of(terms, "blocks")
+        if limit is None:
+            return self._scores(blocks, weights, average).orderBy(F.desc("score"), self.key)
+        worth = self._worth(blocks, weights, average, limit)
+        return self._scores(blocks.join(worth, ["seg", "lot"], "left_semi"), weights, average).orderBy(F.desc("score"), self.key).limit(limit)
+
+    def _worth(self, blocks: DataFrame, weights: DataFrame, average: float, limit: int) -> DataFrame:
+        """The lots that may hold one of the best `limit` texts."""
+        bounds = self._bounds(blocks, weights, average)
+        first = bounds.orderBy(F.desc("bound"), "seg", "lot").limit(FIRST_LOTS).collect()
+        lots = F.broadcast(self.store.spark.createDataFrame([(r["seg"], r["lot"]) for r in first], "seg int, lot bigint"))
+        best = self._scores(blocks.join(lots, ["seg", "lot"], "left_semi"), weights, average).orderBy(F.desc("score")).limit(limit).collect()
+        least = best[-1]["score"] - SLACK if len(best) == limit else 0.0
+        return bounds.where(F.col("bound") >= least).select("seg", "lot")
+
+    def skipped(self, terms: Sequence[str], limit: int = X.FULLTEXT_LIMIT) -> tuple[int, int]:
+        """Blocks of the terms, and how many of these a ranked question doesn't read."""
+        df, n, average = self._known(terms)
+        weights, blocks = df.select("term", _weight(n, F.col("df")).alias("weight")), self._of(terms, "blocks")
+        worth = self._worth(blocks, weights, average, limit)
+        return blocks.count(), blocks.join(worth, ["seg", "lot"], "left_anti").count()
+
+    def ask(self, question: str, limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
+        """Ranked search for the plain words of a question."""
+        return self.rank(words_of(question), limit)
 
 
 def search(docs: DataFrame, key: str, text: Column, question: str, limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
-    """The same over texts that have no stored index."""
-    return ask(text_index(docs, key, text), question, limit)
+    """The same over texts that have no stored index, in passes over all of them."""
+    terms = words_of(question) or [""]
+    counted = _counted(docs.withColumn("key", F.col(key)), text)
+    total = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
+    posts = _postings(counted.withColumn("terms", F.filter("terms", lambda t: t.isin(*terms))))
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as there are words in the question
+    scored = posts.join(F.broadcast(df), "term").groupBy(F.col("key").alias(key)).agg(F.round(F.sum(_weight(total["n"], F.col("df")) * _share(F.col("tf"), F.col("length"), total["average"] or 1.0)), 6).alias("score"))
+    ranked = scored.orderBy(F.desc("score"), key)
+    return ranked if limit is None else ranked.limit(limit)

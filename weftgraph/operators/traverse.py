@@ -1,7 +1,8 @@
 """One-hop traversals and the questions built on them.
 
 Every edge pattern is an equi join; limits per seed, path or hint are windows
-with a total order, which Spark prunes before it shuffles.
+with a total order, which Spark prunes before it shuffles. Where a substring index of
+the nodes is given (`grams`), nodes are found by it, else by a scan.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
-from weftgraph.operators.filters import active_only, contains_any_ci, contains_ci, in_repos
+from weftgraph.operators.filters import active_only, contains_ci, in_repos
+from weftgraph.operators.substrings import SubstringIndex, holding
 from weftgraph.plans.materialize import Scratch
 
 # Fixed value: the relation of a subject to itself.
@@ -60,9 +62,13 @@ def latest(rows: DataFrame, per: Sequence[str], n: int = X.BLAME_LIMIT) -> DataF
     return first_n(rows, per, [F.desc_nulls_first("committed_at"), F.col("commit_sha")], n)
 
 
-def blame_by_hint(rows: DataFrame, hints: DataFrame, path: str = "filepath", n: int = X.BLAME_LIMIT) -> DataFrame:
-    """The n latest commits to files whose path holds a hint, per hint. hints: hint (the words of one question)."""
-    return latest(rows.join(F.broadcast(hints), contains_ci(F.col(path), F.col("hint"))), ["hint"], n)
+def blame_by_hint(rows: DataFrame, hints: DataFrame, path: str = "filepath", n: int = X.BLAME_LIMIT, grams: SubstringIndex | None = None) -> DataFrame:
+    """The n latest commits to files whose path holds a hint, per hint. hints: hint (the words of one question).
+
+    With `grams` the rows have their file's node as `target`.
+    """
+    held = holding(rows.withColumn("id", F.col("target") if grams else F.lit(None)), [path], hints, "hint", grams, indexed=["path"])
+    return latest(held.drop("id"), ["hint"], n)
 
 
 def top_authors(authored: DataFrame, belongs: DataFrame | None = None, repos: Sequence[str] | None = None, n: int = X.AUTHOR_LIMIT) -> DataFrame:
@@ -77,20 +83,20 @@ def recent_commits(commits: DataFrame, n: int, repos: Sequence[str] | None = Non
     return rows.orderBy(F.desc_nulls_first("timestamp"), "sha").limit(n).select(F.col("sha").alias("name"), F.col("repo").alias("filepath"), F.coalesce("message", "summary_text", "diff_text", F.lit("")).alias("code"), "timestamp")
 
 
-def commits_by_sha(commits: DataFrame, hints: DataFrame) -> DataFrame:
-    """Commits whose sha holds a hint anywhere. hints: hint (the words of one question)."""
-    return commits.join(F.broadcast(hints), contains_ci(F.col("sha"), F.col("hint")))
+def commits_by_sha(commits: DataFrame, hints: DataFrame, grams: SubstringIndex | None = None) -> DataFrame:
+    """Commits whose sha holds a hint anywhere. hints: hint (the words of one question); grams: by sha."""
+    return holding(commits.withColumn("id", F.col("sha")), ["sha"], hints, "hint", grams).drop("id")
 
 
-def commit_meta(commits: DataFrame, authored: DataFrame, hints: DataFrame, n: int = X.META_LIMIT) -> DataFrame:
-    found = commits_by_sha(commits, hints).join(authored.select(F.col("src").alias("author"), F.col("dst").alias("sha")), "sha", "left")
+def commit_meta(commits: DataFrame, authored: DataFrame, hints: DataFrame, n: int = X.META_LIMIT, grams: SubstringIndex | None = None) -> DataFrame:
+    found = commits_by_sha(commits, hints, grams).join(authored.select(F.col("src").alias("author"), F.col("dst").alias("sha")), "sha", "left")
     rows = found.select("hint", F.col("sha").alias("name"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("message", "summary_text", "diff_text", F.lit("")).alias("code"), F.coalesce("author", F.lit("")).alias("author"), F.col("timestamp").alias("committed_at"))
     return first_n(rows, ["hint"], [F.col("name"), F.col("author")], n)
 
 
-def commit_targets(commits: DataFrame, changes: DataFrame, targets: DataFrame, hints: DataFrame, repos: Sequence[str] | None = None, n: int = X.COMMIT_ROWS) -> DataFrame:
+def commit_targets(commits: DataFrame, changes: DataFrame, targets: DataFrame, hints: DataFrame, repos: Sequence[str] | None = None, n: int = X.COMMIT_ROWS, grams: SubstringIndex | None = None) -> DataFrame:
     """Files or functions that commits changed, at most n per hint by path and name. targets: id, name, filepath, code, label."""
-    found = in_repos(commits_by_sha(commits, hints), repos)
+    found = in_repos(commits_by_sha(commits, hints, grams), repos)
     rows = found.join(changes.select(F.col("src").alias("sha"), F.col("dst").alias("id")), "sha").join(targets, "id")
     rows = rows.select(
         "hint", "name", "filepath", F.coalesce(found["repo"], F.lit("")).alias("repo"), F.concat(F.upper("label"), F.lit("_CHANGED_BY_COMMIT")).alias("rel_type"),
@@ -99,7 +105,7 @@ def commit_targets(commits: DataFrame, changes: DataFrame, targets: DataFrame, h
     return first_n(rows, ["hint"], [F.col("filepath"), F.col("name"), F.col("commit_sha")], n)
 
 
-def impact_seeds(nodes: DataFrame, subjects: DataFrame, n: int = X.SEED_LIMIT, fallback: int = X.FALLBACK_LIMIT) -> DataFrame:
+def impact_seeds(nodes: DataFrame, subjects: DataFrame, n: int = X.SEED_LIMIT, fallback: int = X.FALLBACK_LIMIT, grams: SubstringIndex | None = None) -> DataFrame:
     """Nodes whose name, path or full name holds a subject, n per subject; a subject without any gets files by path.
 
     subjects: pos, subject (those of one question). Returns pos, subject, seed, seed_name, seed_path, seed_label,
@@ -108,7 +114,8 @@ def impact_seeds(nodes: DataFrame, subjects: DataFrame, n: int = X.SEED_LIMIT, f
     scratch = Scratch(nodes.sparkSession, "seeds")
     low = subjects.select("pos", F.lower("subject").alias("subject"))
     kinds = nodes.where(F.col("label").isin("Module", "Package", "File", "Function"))
-    found = kinds.join(F.broadcast(low), contains_any_ci([F.col("name"), F.col("path"), F.col("full_name")], F.col("subject"))).select(
+    held = holding(kinds, ["name", "path", "full_name"], low, "subject", grams, n, F.col("label").isin("Module", "Package", "File", "Function"))
+    found = held.select(
         "pos", "subject", F.col("id").alias("seed"), F.coalesce("name", "path", "full_name").alias("seed_name"), F.coalesce("path", "filepath", "full_name", F.lit("")).alias("seed_path"), F.col("label").alias("seed_label"),
     )
     seeds = scratch.put(first_n(found, ["pos"], [F.col("seed")], n), "seeds")
@@ -142,12 +149,12 @@ def impact_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, out:
     return impact_walk(seeds, nodes, edges, repos, only_active).where(F.col("out") == out).drop("out")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False, grams: SubstringIndex | None = None) -> DataFrame:
     """Seeds, their consumers and what they use, each path and name once, in the order of a walk seed by seed.
 
     Returns ord_pos, ord_seed, ord_kind, ord_id for the order, then name, filepath, repo, rel_type, code.
     """
-    seeds = impact_seeds(nodes, subjects)
+    seeds = impact_seeds(nodes, subjects, grams=grams)
     place = seeds.select("seed", "pos")
     own = seeds.select("pos", "seed", F.lit(0).alias("kind"), F.col("seed").alias("id"), F.col("seed_name").alias("name"), F.col("seed_path").alias("filepath"), F.lit("").alias("repo"), F.lit(SUBJECT).alias("rel_type"), F.lit("").alias("code"), F.col("seed_name").alias("raw_name"))
     near = impact_walk(seeds, nodes, edges, repos, only_active).join(F.broadcast(place), "seed").withColumn("kind", F.when(F.col("out"), 2).otherwise(1)).drop("out")
@@ -156,22 +163,31 @@ def impact(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, repos: Seque
     return once.select(F.col("pos").alias("ord_pos"), F.col("seed").alias("ord_seed"), F.col("kind").alias("ord_kind"), F.col("id").alias("ord_id"), "name", "filepath", "repo", "rel_type", "code")
 
 
-def subject_definition(nodes: DataFrame, subject: str, repos: Sequence[str] | None = None) -> DataFrame:
+def _coded(repos: Sequence[str] | None, *labels: str) -> Column:
+    """The condition over a substring index's nodes: those with code, of some labels and repositories."""
+    out = F.col("coded")
+    out = out & F.col("label").isin(*labels) if labels else out
+    return out & F.col("repo").isin(*repos) if repos else out
+
+
+def subject_definition(nodes: DataFrame, subject: str, repos: Sequence[str] | None = None, grams: SubstringIndex | None = None) -> DataFrame:
     """The node with the longest code whose name holds the subject."""
-    rows = in_repos(nodes.where(F.col("label").isin("Function", "File") & F.col("code").isNotNull() & contains_ci(F.coalesce("name", F.lit("")), subject)), repos)
-    best = rows.orderBy(F.length("code").desc(), "id").limit(1)
+    rows = in_repos(nodes.where(F.col("label").isin("Function", "File") & F.col("code").isNotNull()), repos)
+    words = nodes.sparkSession.createDataFrame([(subject,)], "subject string")
+    held = holding(rows, ["name"], words, "subject", grams, 1, _coded(repos, "Function", "File"), [F.desc("size"), F.col("id")])
+    best = held.orderBy(F.length("code").desc(), "id").limit(1)
     return best.select("id", "name", F.coalesce("filepath", "path", F.lit("")).alias("filepath"), F.coalesce("repo", F.lit("")).alias("repo"), "code", F.lit("SUBJECT_DEFINITION").alias("rel_type"))
 
 
-def field_grep(functions: DataFrame, fields: DataFrame, repos: Sequence[str] | None = None, n: int = X.FIELD_LIMIT) -> DataFrame:
+def field_grep(functions: DataFrame, fields: DataFrame, repos: Sequence[str] | None = None, n: int = X.FIELD_LIMIT, grams: SubstringIndex | None = None) -> DataFrame:
     """Functions whose code holds a field, n per field, tagged with it. fields: field (the words of one question)."""
-    rows = in_repos(functions.where("code IS NOT NULL"), repos).join(F.broadcast(fields), contains_ci(F.col("code"), F.col("field")))
+    rows = holding(in_repos(functions.where("code IS NOT NULL"), repos), ["code"], fields, "field", grams, n, _coded(repos, "Function"))
     return first_n(rows, ["field"], [F.col("id")], n).withColumn("rel_type", F.concat(F.lit("REFERENCES_FIELD_"), F.upper("field")))
 
 
-def path_boost(functions: DataFrame, hints: DataFrame, repos: Sequence[str] | None = None, n: int = X.HINT_LIMIT) -> DataFrame:
+def path_boost(functions: DataFrame, hints: DataFrame, repos: Sequence[str] | None = None, n: int = X.HINT_LIMIT, grams: SubstringIndex | None = None) -> DataFrame:
     """Functions with code whose path holds a hint, n per hint. hints: hint (the words of one question)."""
-    rows = in_repos(functions.where("code IS NOT NULL"), repos).join(F.broadcast(hints), contains_ci(F.col("filepath"), F.col("hint")))
+    rows = holding(in_repos(functions.where("code IS NOT NULL"), repos), ["filepath"], hints, "hint", grams, n, _coded(repos, "Function"))
     return first_n(rows, ["hint"], [F.col("id")], n)
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
-from weftgraph.graph import Graph
+from weftgraph.graph import FOUND, Graph
 from weftgraph.plans import ingest, retrieve
+from weftgraph.plans.materialize import Scratch
 from weftgraph.sources import readers
 
 
@@ -20,6 +21,7 @@ class Engine:
     def __init__(self, spark: SparkSession, graph: Graph | None = None, path: str | None = None) -> None:
         self.spark = spark
         self.path = path
+        self._corpus: retrieve.Corpus | None = None
         self.graph = graph or (Graph.load(spark, path) if path and readers.exists(spark, path) else Graph(spark))
 
     def health(self) -> dict:
@@ -39,16 +41,24 @@ class Engine:
         return self.path is None or readers.exists(self.spark, self.path)
 
     def corpus(self) -> retrieve.Corpus:
-        g = self.graph
-        nodes = g.node_view(*(x for x in ("File", "Function", "Module") if x in g.nodes))
-        vectors = g.label("Function").select(F.concat_ws("::", F.lit("Function"), "id").alias("id"), "embedding", "unit")
-        bare = lambda c: F.expr(f"substring({c}, instr({c}, '::') + 2)")
-        repo = g.edge("BELONGS_TO").select(bare("src").alias("sha"), bare("dst").alias("repo"))
-        return retrieve.Corpus(
-            nodes.join(vectors, "id", "left"), g.edge_view("CALLS", "DEPENDS_ON"), g.label("Commit").join(repo, "sha", "left"),
-            g.edge("AUTHORED").select(bare("src").alias("src"), bare("dst").alias("dst")), g.edge("MODIFIED").select(bare("src").alias("src"), "dst"),
-            g.index_texts() if "Commit" in g.nodes else None,
-        )
+        """What questions are asked of, prepared with the first one and kept until the graph changes.
+
+        Nodes and commits (with their repository) are written in order of their keys, so that a question that
+        names some reads the files that hold them.
+        """
+        if self._corpus is None:
+            g, scratch = self.graph, Scratch(self.spark, "corpus")
+            bare = lambda c: F.expr(f"substring({c}, instr({c}, '::') + 2)")
+            repo = g.edge("BELONGS_TO").select(bare("src").alias("sha"), bare("dst").alias("repo"))
+            put = lambda rows, key, name: scratch.put(rows.repartitionByRange(key).sortWithinPartitions(key), name)
+            found = [x for x in FOUND if x in g.nodes] or ["File"]
+            self._corpus = retrieve.Corpus(
+                put(g.node_view(*found), "id", "nodes"), put(g.edge_view("CALLS", "DEPENDS_ON"), "src", "edges"), put(g.label("Commit").join(repo, "sha", "left"), "sha", "commits"),
+                scratch.put(g.edge("AUTHORED").select(bare("src").alias("src"), bare("dst").alias("dst")), "authored"), scratch.put(g.edge("MODIFIED").select(bare("src").alias("src"), "dst"), "changes"),
+                g.index_texts() if "Commit" in g.nodes else None, g.index_vectors() if "Function" in g.nodes else None,
+                g.index_grams() if any(x in g.nodes for x in FOUND) else None, g.index_grams("Commit") if "Commit" in g.nodes else None,
+            )
+        return self._corpus
 
     def retrieve(self, question: str, repos: Sequence[str] | None = None, top_k: int = X.TOP_K) -> str:
         """The context of a question."""
@@ -59,14 +69,17 @@ class Engine:
 
     def bootstrap(self, repo: str, inputs: Sequence[str], **options) -> dict[str, int]:
         """Ingests a repository from folders of JSON lines (tree, contents, commit list, commit details); the run's counters."""
+        self._corpus = None
         return ingest.bootstrap(self.graph, repo, **ingest.load_repos(inputs, self.graph), **options)
 
     def fetch(self, repo: str, fetch: readers.Fetch, most: int = 200, **options) -> dict[str, int]:
         """The same from a hosting service's answers."""
+        self._corpus = None
         return ingest.bootstrap(self.graph, repo, **ingest.fetch_repo(self.spark, repo, fetch, most), most=most, **options)
 
     def save(self, path: str) -> None:
         self.graph.save(path)
+        self._corpus = None  # the indexes are read from the snapshot from now on
 
 
 #: Engines that are kept open at once.

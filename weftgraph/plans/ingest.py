@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from weftgraph import schema as X
 from weftgraph.functions import imports, patches, syntax
 from weftgraph.functions.paths import function_id, is_entry_point, is_noise, is_source, is_utility_dir, parent_of
 from weftgraph.graph import Graph
-from weftgraph.operators import search, traverse, upsert
+from weftgraph.operators import traverse, upsert, vectors
 from weftgraph.plans.materialize import Scratch
 from weftgraph.sources import readers
 
@@ -35,7 +36,7 @@ def _merge(graph: Graph, label: str, batch: DataFrame) -> None:
     columns = {f.name: F.col(f.name) if f.name in batch.columns else F.lit(None) for f in X.NODES[label]}
     typed = batch.select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in X.NODES[label]), F.col("seq"))
     graph.nodes[label] = upsert.upsert_label(label, graph.nodes.get(label), typed)
-    graph.texts.pop(label, None)
+    graph.written.setdefault(label, []).append(typed.select(X.KEYS[label]))
 
 
 def _link(graph: Graph, kind: str, rows: DataFrame) -> None:
@@ -44,11 +45,15 @@ def _link(graph: Graph, kind: str, rows: DataFrame) -> None:
 
 
 def settle(graph: Graph, scratch: Scratch, before: dict[str, DataFrame]) -> None:
-    """Writes the tables that changed since `before`, a copy of nodes and edges by name."""
+    """Writes the tables that changed since `before`, a copy of nodes and edges by name, and brings the indexes up to date."""
     for box in (graph.nodes, graph.edges):
         for name, rows in box.items():
             if before.get(name) is not rows:
                 box[name] = scratch.put(rows, name)
+    for label, keys in graph.written.items():
+        if before.get(label) is not graph.nodes[label]:
+            graph.follow(label, reduce(DataFrame.unionByName, keys), before.get(label))
+    graph.written.clear()
 
 
 def _tables(graph: Graph) -> dict[str, DataFrame]:
@@ -102,7 +107,7 @@ def scan_contents(graph: Graph, sources: DataFrame, contents: DataFrame, embed:
     )
     # Of equal names in a file, the first of the walk counts.
     first = traverse.first_n(functions, ["id"], [F.col("walk_pos")], 1).withColumn("embedding", embed(F.col("code")))
-    first = scratch.put(first.withColumn("unit", search.unit(F.col("embedding"))), "functions")
+    first = scratch.put(first.withColumn("unit", vectors.unit(F.col("embedding"))), "functions")
     _merge(graph, "Function", first)
     fn = F.concat_ws("::", F.lit("Function"), "id")
     _link(graph, "DECLARES", first.select(F.concat_ws("::", F.lit("File"), "filepath", "repo").alias("src"), fn.alias("dst")).unionByName(first.select(F.concat_ws("::", F.lit("Repository"), "repo").alias("src"), fn.alias("dst"))))
@@ -125,7 +130,7 @@ def add_dependencies(graph: Graph, log: DataFrame, embed: Callable[[Column], Col
     """
     names = log.where("op = 'add'").select(F.col("target_module").alias("name")).distinct()
     fresh = upsert.without_known(names, graph.label("Module"), "name")
-    modules = readers.embed_distinct(fresh, "name", embed).withColumns({"unit": search.unit(F.col("embedding")), "seq": F.lit(0)})
+    modules = readers.embed_distinct(fresh, "name", embed).withColumns({"unit": vectors.unit(F.col("embedding")), "seq": F.lit(0)})
     _merge(graph, "Module", modules)
     stored = graph.edges.get("DEPENDS_ON")
     graph.edges["DEPENDS_ON"] = upsert.temporal_edges(log, ("src", "dst"), stored).withColumn("type", F.lit("DEPENDS_ON"))
@@ -198,6 +203,7 @@ def clean_orphans(graph: Graph) -> dict[str, int]:
             continue
         for kind in list(graph.edges):
             graph.edges[kind] = upsert.detach_delete(rows, graph.edges[kind], doomed, "_id")[1]
+        graph.forget(label, rows.where(doomed))
         graph.nodes[label] = rows.where(~doomed).drop("_id")
     return deleted
 

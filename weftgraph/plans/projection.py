@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
-from weftgraph.operators.search import unit
+from weftgraph.operators.vectors import unit
 from weftgraph.sources.tables import table
 
 

@@ -47,8 +47,7 @@ def _document_index(spark, sf):
     """The stored text index of the documents."""
 
     def make(scratch):
-        search.text_index(table(spark, sf, "documents"), "doc_id", F.col("text")).save(f"{scratch.home}/index")
-        return search.TextIndex.load(spark, f"{scratch.home}/index", "doc_id")
+        return search.TextIndex.build(table(spark, sf, "documents"), "doc_id", F.col("text"), f"{scratch.home}/index")
 
     return _stored(spark, sf, "documents-index", make)
 
@@ -98,7 +97,7 @@ def vector_expand(spark, sf):
     return _searched(spark, sf).select("id", F.explode("connected").alias("c")).select("id", "c.name", "c.path", F.md5("c.code").alias("code_md5"))
 
 
-_TERMS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
+_TERMS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda t: t <> '')"
 _BM25 = """posts AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(terms) AS term FROM corpus) WHERE term IN ({0}) GROUP BY ALL),
 n AS (SELECT count(*) AS n, avg(len(terms)) AS average FROM corpus), df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
 ranked AS (SELECT key, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms) / average))), 6) AS score FROM posts JOIN df USING (term) JOIN corpus USING (key), n GROUP BY key)"""
@@ -110,19 +109,19 @@ def _terms(question):
 
 @_query(f"WITH corpus AS (SELECT doc_id AS key, {_TERMS} AS terms FROM documents), {_BM25.format(_terms(SEARCH))} SELECT key AS doc_id, score FROM ranked ORDER BY score DESC, key LIMIT 10")
 def bm25_topk(spark, sf):
-    return search.ask(_document_index(spark, sf), SEARCH)
+    return _document_index(spark, sf).ask(SEARCH)
 
 
 @_query(f"WITH corpus AS (SELECT doc_id AS key, {_TERMS} AS terms FROM documents), {_BM25.format(_terms(SEARCH))} SELECT key AS doc_id, score FROM ranked")
 def bm25_all(spark, sf):
     """Every document that holds a term of the question, with its score."""
-    return search.ask(_document_index(spark, sf), SEARCH, None)
+    return _document_index(spark, sf).ask(SEARCH, None)
 
 
 @_query(f"WITH corpus AS (SELECT doc_id AS key, {_TERMS} AS terms FROM documents) SELECT term, count(DISTINCT key) AS df, count(*) AS n FROM (SELECT key, unnest(terms) AS term FROM corpus) GROUP BY term")
 def fulltext_index(spark, sf):
     """The inverted index, summed up per term."""
-    return _document_index(spark, sf).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    return _document_index(spark, sf).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 @_query(_with(f", corpus AS (SELECT sha AS key, {_TERMS.replace('text', 'message')} AS terms FROM commits), {_BM25.format(_terms('urgent f'))}, top AS (SELECT key FROM ranked ORDER BY score DESC, key LIMIT 3) SELECT left(key, 12) AS hint, path FROM top JOIN modified ON sha = key JOIN file USING (p_partkey)"))
@@ -398,8 +397,8 @@ def corpus(spark, sf):
     edges = g.edge_view("CALLS", "DEPENDS_ON").select("src", "type", "dst", "is_active").unionByName(text_edges(spark, sf))
     parts = {"nodes": nodes, "edges": edges, "commits": commit_table(g), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
     stored = {name: scratch.put(rows, name) for name, rows in parts.items()}
-    search.text_index(stored["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text")).save(f"{scratch.home}/index")
-    return Corpus(**stored, texts=search.TextIndex.load(spark, f"{scratch.home}/index", "sha"))
+    texts = search.TextIndex.build(stored["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"), f"{scratch.home}/index")
+    return Corpus(**stored, texts=texts)
 
 
 QUESTIONS = (

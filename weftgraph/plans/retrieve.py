@@ -16,6 +16,8 @@ from weftgraph import schema as X
 from weftgraph.functions import render, router
 from weftgraph.operators import search, traverse
 from weftgraph.operators.filters import in_repos, with_repo_hint
+from weftgraph.operators.substrings import SubstringIndex
+from weftgraph.operators.vectors import VectorIndex
 from weftgraph.sources.readers import hash_vector
 
 # What is said where nothing is found, and the names of the stages.
@@ -27,10 +29,11 @@ STAGES = ("dependency-impact", "vector-search", "path-hint-boost", "recent-commi
 class Corpus:
     """What a question is asked of.
 
-    nodes: id, label, name, path, full_name, filepath, repo, code, embedding, unit; edges:
-    src, type, dst, is_active; commits: sha, timestamp, message, summary_text,
-    diff_text, repo; authored: login to sha; changes: sha to node id; texts: the
-    stored text index of the commits, if there is one.
+    nodes: id, label, name, path, full_name, filepath, repo, code, and embedding and unit
+    where there is no index of them; edges: src, type, dst, is_active; commits: sha,
+    timestamp, message, summary_text, diff_text, repo; authored: login to sha; changes:
+    sha to node id; then the stored indexes, if there are any: texts of the commits, vectors
+    of the functions, substrings of the nodes and of the commits' shas.
     """
 
     nodes: DataFrame
@@ -39,6 +42,9 @@ class Corpus:
     authored: DataFrame
     changes: DataFrame
     texts: search.TextIndex | None = None
+    vectors: VectorIndex | None = None
+    grams: SubstringIndex | None = None
+    shas: SubstringIndex | None = None
 
 
 def _rows(df: DataFrame, stage: int, order: Sequence[Column]) -> DataFrame:
@@ -59,26 +65,26 @@ def _words(spark: SparkSession, values: Sequence[str], name: str) -> DataFrame:
 
 def impact_stage(c: Corpus, s: Row, repos: Sequence[str] | None) -> DataFrame:
     spark = c.nodes.sparkSession
-    walk = traverse.impact(c.nodes, c.edges, _words(spark, s["subjects"], "subject"), repos)
+    walk = traverse.impact(c.nodes, c.edges, _words(spark, s["subjects"], "subject"), repos, grams=c.grams)
     rows = walk.withColumn("group", F.lit(1))
     primary = next((x for x in s["subjects"] if len(x) > 4), s["subjects"][0])
-    rows = traverse.subject_definition(c.nodes, primary, repos).withColumn("group", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    rows = traverse.subject_definition(c.nodes, primary, repos, c.grams).withColumn("group", F.lit(0)).unionByName(rows, allowMissingColumns=True)
     hints = F.array(*map(F.lit, s["repo_hints"])) if s["repo_hints"] and not repos else F.array().cast("array<string>")
     rows = with_repo_hint(rows, hints)
     if s["field_hints"]:
-        grep = traverse.field_grep(c.nodes.where("label = 'Function'"), _words(spark, s["field_hints"], "field"), repos)
+        grep = traverse.field_grep(c.nodes.where("label = 'Function'"), _words(spark, s["field_hints"], "field"), repos, grams=c.grams)
         grep = grep.withColumns({"code": render.mark_hit_lines(F.col("code"), F.col("field")), "filepath": F.coalesce("filepath", "path", F.lit("")), "repo": F.coalesce("repo", F.lit("")), "group": F.lit(2), "ord_pos": F.col("pos"), "ord_id": F.col("id")})
         rows = rows.unionByName(with_repo_hint(grep, hints).select("name", "filepath", "repo", "rel_type", "code", "group", "ord_pos", "ord_id"), allowMissingColumns=True)
     return _rows(rows, 0, [F.col(x) for x in ("group", "ord_pos", "ord_seed", "ord_kind", "rel_type", "ord_id")])
 
 
 def vector_stage(c: Corpus, vector: Sequence[float], k: int, repos: Sequence[str] | None) -> DataFrame:
-    hits = search.vector_search(c.nodes, c.edges, vector, k, repos)
+    hits = search.vector_search(c.nodes, c.edges, vector, k, repos, index=c.vectors)
     return _rows(hits.withColumn("filepath", F.coalesce("filepath", "path")), 1, [F.desc("score"), F.col("id")])
 
 
 def path_stage(c: Corpus, hints: Sequence[str], repos: Sequence[str] | None) -> DataFrame:
-    boosted = traverse.path_boost(c.nodes.where("label = 'Function'"), _words(c.nodes.sparkSession, hints, "hint"), repos)
+    boosted = traverse.path_boost(c.nodes.where("label = 'Function'"), _words(c.nodes.sparkSession, hints, "hint"), repos, grams=c.grams)
     return _rows(boosted, 2, [F.col("pos"), F.col("id")])
 
 
@@ -88,8 +94,8 @@ def recency_stage(c: Corpus, s: Row, repos: Sequence[str] | None) -> DataFrame:
 
 
 def fulltext_hits(c: Corpus, s: Row) -> DataFrame:
-    index = c.texts or search.text_index(c.commits, "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"))
-    found = search.ask(index, s["search_terms"])
+    text = F.concat_ws(" ", "summary_text", "message", "diff_text")
+    found = c.texts.ask(s["search_terms"]) if c.texts else search.search(c.commits, "sha", text, s["search_terms"])
     return found.join(c.commits.select("sha", F.coalesce("summary_text", "message", "diff_text", F.lit("")).alias("code")), "sha")
 
 
@@ -100,11 +106,11 @@ def fulltext_stage(hits: DataFrame) -> DataFrame:
 def commit_files_stage(c: Corpus, shas: Sequence[str], repos: Sequence[str] | None) -> DataFrame:
     hints = _words(c.nodes.sparkSession, shas, "hint")
     plain = hints.drop("pos")
-    meta = traverse.commit_meta(c.commits, c.authored, plain).withColumns({"filepath": F.col("repo"), "rel_type": F.lit(""), "kind": F.lit(0)})
+    meta = traverse.commit_meta(c.commits, c.authored, plain, grams=c.shas).withColumns({"filepath": F.col("repo"), "rel_type": F.lit(""), "kind": F.lit(0)})
     parts = [meta]
     for kind, label in ((1, "File"), (2, "Function")):
         targets = c.nodes.where(F.col("label") == label).select("id", F.coalesce("name", "path").alias("name"), F.coalesce("filepath", "path").alias("filepath"), "code", "label")
-        parts.append(traverse.commit_targets(c.commits, c.changes, targets, plain, repos).withColumn("kind", F.lit(kind)))
+        parts.append(traverse.commit_targets(c.commits, c.changes, targets, plain, repos, grams=c.shas).withColumn("kind", F.lit(kind)))
     rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True).join(F.broadcast(hints), "hint")
     return _rows(rows, 5, [F.col(x) for x in ("pos", "kind", "filepath", "name", "commit_sha")])
 
@@ -123,7 +129,7 @@ def blame_stage(c: Corpus, s: Row, paths: Sequence[str], repos: Sequence[str] |
         parts = [traverse.latest(_changes_of(c, repos, label).join(named, "filepath"), ["filepath"]).withColumn("kind", F.lit(k)) for k, label in enumerate(("File", "Function"))]
         rows = parts[0].unionByName(parts[1])
     elif hints:
-        rows = traverse.blame_by_hint(_changes_of(c, repos, "File"), _words(spark, hints, "hint")).withColumn("kind", F.lit(0))
+        rows = traverse.blame_by_hint(_changes_of(c, repos, "File"), _words(spark, hints, "hint"), grams=c.grams).withColumn("kind", F.lit(0))
     else:
         authored = c.authored.join(in_repos(c.commits, repos).select(F.col("sha").alias("dst")), "dst", "left_semi") if repos else c.authored
         top = traverse.top_authors(authored)
