@@ -373,7 +373,7 @@ def score_documents(docs: DataFrame, block_tokens: int = FLUSH) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "langmodel")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     blocks = scratch.put(docs.mapInArrow(lambda batches: _blocks(batches, block_tokens), _ddl(BLOCK)), "blocks")
-    whole = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("main", "deleted", "docs_main", "docs_deleted")), F.count_distinct(F.input_file_name()).alias("files")).first()
+    whole = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("main", "deleted", "docs_main", "docs_deleted")), F.count_distinct(F.col("_metadata.file_name")).alias("files")).first()
     buckets = max(8, whole["files"], -(-(whole["main"] + whole["deleted"]) // block_tokens))
     replies = blocks.mapInArrow(_asker(buckets), _ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer, _ddl(REPLY))
     replies = _put_and_clean(scratch, replies, "replies")
