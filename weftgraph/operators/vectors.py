@@ -140,7 +140,7 @@ def _block_product(k: int):
         if not len(vectors) or not len(questions):
             return pd.DataFrame({"question": [], "id": [], "cosine": []})
         vectors = vectors.sort_values("id")
-        score = np.stack(questions["q"].to_list()) @ np.stack(vectors["unit"].to_list()).T
+        score = np.round(np.stack(questions["q"].to_list()) @ np.stack(vectors["unit"].to_list()).T, 9)  # equal vectors score alike in any block
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]
         ids = vectors["id"].to_numpy()
         return pd.DataFrame({"question": np.repeat(questions["question"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "cosine": np.take_along_axis(score, best, 1).ravel()})

@@ -13,11 +13,12 @@ import re
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
-from typing import ClassVar
+from collections.abc import Callable, Iterator, Sequence
+from typing import ClassVar, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _LOCAL_ROOT: dict[str, str] = {}
 
 
@@ -40,6 +41,25 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes below a path and when it was last changed."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(target).getLength(), files.getFileStatus(target).getModificationTime()
+
+
+#: What an application stores once and asks again.
+_STORED: dict[tuple, object] = {}
+
+
+def stored(spark: SparkSession, tables: Sequence[str], name: str, make: Callable[[Scratch], T]) -> T:
+    """What `make` makes of some tables (their paths), made anew when one of them has changed."""
+    key = (spark.sparkContext.applicationId, name, *((t, stamp(spark, t)) for t in tables))
+    if key not in _STORED:
+        _STORED[key] = make(Scratch(spark, name))
+    return _STORED[key]
+
+
 class Scratch:
     """The written tables of one query run, in a folder of their own.
 

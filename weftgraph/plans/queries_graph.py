@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from weftgraph import schema as X
 from weftgraph.functions.render import blame_block
+from weftgraph.graph import FOUND_BY, as_shas
 from weftgraph.operators import filters, traverse
+from weftgraph.operators.substrings import SubstringIndex
+from weftgraph.plans.materialize import stored
 from weftgraph.plans.projection import SQL as GRAPH
 from weftgraph.plans.projection import change_graph, commit_table, dependencies, repositories
 from weftgraph.sources.tables import table
@@ -61,6 +64,26 @@ def blame_by_hint(spark, sf):
     return traverse.blame_by_hint(_blame(spark, sf), spark.createDataFrame([(PATH_HINT,)], "hint string"))
 
 
+def _node_index(spark, sf):
+    """The change graph's files, functions and modules in order of their ids, and the index of their substrings, both stored."""
+
+    def make(scratch):
+        rows = change_graph(spark, sf).node_view("File", "Function", "Module")
+        nodes = scratch.put(rows.repartitionByRange("id").sortWithinPartitions("id"), "nodes")
+        return nodes, SubstringIndex.build(nodes, FOUND_BY, f"{scratch.home}/grams")
+
+    return stored(spark, [f"{sf}/{t}.parquet" for t in ("part", "supplier", "nation", "region")], "node-grams", make)
+
+
+@_query(SQL["blame_by_hint"])
+def blame_by_hint_indexed(spark, sf):
+    """The same with the paths found by the index of substrings."""
+    g = change_graph(spark, sf)
+    files = g.label("File").select(F.col("node_id").alias("target"), F.col("path").alias("filepath"))
+    rows = traverse.authored_changes(g.edge("AUTHORED"), g.label("Commit"), g.edge("MODIFIED")).join(files, "target")
+    return traverse.blame_by_hint(rows, spark.createDataFrame([(PATH_HINT,)], "hint string"), grams=_node_index(spark, sf)[1]).drop("target")
+
+
 @_query(_with(f"SELECT f.name AS func_name, b.author, b.commit_sha, b.commit_msg, b.committed_at, b.filepath FROM (SELECT *, {_LATEST.format('filepath')} AS n FROM blame) b JOIN func f USING (filepath) WHERE n <= 5"))
 def blame_functions(spark, sf):
     """Function-level blame: the functions that the changed files declare."""
@@ -128,6 +151,19 @@ def commit_meta(spark, sf):
     return traverse.commit_meta(commit_table(g), g.edge("AUTHORED"), spark.createDataFrame([(SHA_HINT,)], "hint string"))
 
 
+@_query(SQL["commit_meta"])
+def commit_meta_indexed(spark, sf):
+    """The same with the commits found by the index of their shas."""
+    g = change_graph(spark, sf)
+
+    def make(scratch):
+        rows = scratch.put(commit_table(g).repartitionByRange("sha").sortWithinPartitions("sha"), "commits")
+        return rows, SubstringIndex.build(as_shas(g.label("Commit")), ("sha",), f"{scratch.home}/grams")
+
+    rows, shas = stored(spark, [f"{sf}/{t}.parquet" for t in ("orders", "customer", "nation", "region")], "sha-grams", make)
+    return traverse.commit_meta(rows, g.edge("AUTHORED"), spark.createDataFrame([(SHA_HINT,)], "hint string"), grams=shas)
+
+
 @_query(_with("SELECT path, repo, count(*) AS n_commits FROM modified JOIN file USING (p_partkey) GROUP BY ALL"))
 def most_changed_files(spark, sf):
     """Commits per file."""
@@ -163,6 +199,13 @@ def impact_seeds(spark, sf):
     return traverse.impact_seeds(_impact_graph(spark, sf)[0], _subjects(spark))
 
 
+@_query(SQL["impact_seeds"])
+def impact_seeds_indexed(spark, sf):
+    """The same by the index of substrings."""
+    nodes, grams = _node_index(spark, sf)
+    return traverse.impact_seeds(nodes, _subjects(spark), grams=grams)
+
+
 @_query(_with(f", {_SEEDS}, {_CONSUMERS} SELECT {_HOP.format('type')} FROM consumers"))
 def impact_consumers(spark, sf):
     nodes, edges = _impact_graph(spark, sf)
@@ -214,6 +257,12 @@ def subject_definition_change(spark, sf):
     return traverse.subject_definition(_impact_graph(spark, sf)[0], "Blue")
 
 
+@_query(SQL["subject_definition_change"])
+def subject_definition_indexed(spark, sf):
+    nodes, grams = _node_index(spark, sf)
+    return traverse.subject_definition(nodes, "Blue", grams=grams)
+
+
 # Calls, links, cross-repository impact
 
 

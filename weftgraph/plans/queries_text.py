@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from weftgraph import schema as X
 from weftgraph.functions import imports, patches, render, router, syntax
+from weftgraph.graph import FOUND_BY
 from weftgraph.operators import search, traverse
-from weftgraph.plans.materialize import Scratch
+from weftgraph.operators.substrings import SubstringIndex
+from weftgraph.operators.vectors import VectorIndex, unit
+from weftgraph.plans.materialize import Scratch, stored
 from weftgraph.plans.projection import SQL as GRAPH
 from weftgraph.plans.projection import change_graph, commit_table, files, text_edges, text_nodes
 from weftgraph.sources import readers
@@ -32,24 +35,33 @@ def _query(sql: str | None = None):
     return add
 
 
-#: What an application stores once and asks again, by application, tables and name.
-_STORED: dict[tuple[str, str, str], object] = {}
+def _document_index(spark, sf):
+    """The stored text index of the documents."""
 
+    def make(scratch):
+        return search.TextIndex.build(table(spark, sf, "documents"), "doc_id", F.col("text"), f"{scratch.home}/index")
 
-def _stored(spark, sf, name, make):
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STORED:
-        _STORED[key] = make(Scratch(spark, name))
-    return _STORED[key]
+    return stored(spark, [f"{sf}/documents.parquet"], "documents-index", make)
 
 
-def _document_index(spark, sf):
-    """The stored text index of the documents."""
+def _text_node_index(spark, sf):
+    """The text graph's nodes in order of their ids, and the index of their substrings, both stored."""
 
     def make(scratch):
-        return search.TextIndex.build(table(spark, sf, "documents"), "doc_id", F.col("text"), f"{scratch.home}/index")
+        rows = text_nodes(spark, sf).drop("embedding", "unit", "doc_id").withColumn("full_name", F.lit(None).cast("string"))
+        nodes = scratch.put(rows.repartitionByRange("id").sortWithinPartitions("id"), "nodes")
+        return nodes, SubstringIndex.build(nodes, FOUND_BY, f"{scratch.home}/grams")
 
-    return _stored(spark, sf, "documents-index", make)
+    return stored(spark, [f"{sf}/documents.parquet"], "text-grams", make)
+
+
+def _embedding_index(spark, sf):
+    """The stored index of the embeddings by vec_id."""
+
+    def make(scratch):
+        return VectorIndex.build(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), unit(F.col("embedding")).alias("unit")), f"{scratch.home}/vectors")
+
+    return stored(spark, [f"{sf}/embeddings.parquet"], "vector-index", make)
 
 
 def _with(body: str) -> str:
@@ -70,7 +82,8 @@ _IN = "(" + ", ".join(f"'{r}'" for r in REPOS) + ")"
 
 @_query(_with(f", {_SCORED} SELECT id, round(score, 6) AS score FROM {_TOP.format('')}"))
 def vector_topk(spark, sf):
-    vectors = _stored(spark, sf, "vectors", lambda scratch: scratch.put(text_nodes(spark, sf).select("id", "embedding", "unit"), "vectors"))
+    tables = [f"{sf}/documents.parquet", f"{sf}/embeddings.parquet"]
+    vectors = stored(spark, tables, "vectors", lambda scratch: scratch.put(text_nodes(spark, sf).select("id", "embedding", "unit"), "vectors"))
     return search.top_k(vectors, _question_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
@@ -97,6 +110,29 @@ def vector_expand(spark, sf):
     return _searched(spark, sf).select("id", F.explode("connected").alias("c")).select("id", "c.name", "c.path", F.md5("c.code").alias("code_md5"))
 
 
+_ASKED = "embeddings a JOIN embeddings b ON a.vec_id % 50 = 0"
+_NEAR = f"round({_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')})), 9)"
+
+
+def _nearest(spark, sf, exact):
+    index = _embedding_index(spark, sf)
+    asked = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), unit(F.col("embedding")).alias("unit"))
+    return index.nearest(asked, X.TOP_K, len(index.centroids) if exact else None).select("question", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@_query(f"""SELECT question, rank, id, round((1 + c) / 2, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY question ORDER BY c DESC, id) AS rank FROM (SELECT a.vec_id AS question, b.vec_id AS id, {_NEAR} AS c FROM {_ASKED})) WHERE rank <= 5""")
+def vector_nearest(spark, sf):
+    """The five nearest vectors to each whose id is divisible by 50, with all cells probed."""
+    return _nearest(spark, sf, True)
+
+
+@_query()
+def vector_nearest_index(spark, sf):
+    """The same from as many cells as the index found that it needs."""
+    return _nearest(spark, sf, False)
+
+
 _TERMS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda t: t <> '')"
 _BM25 = """posts AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(terms) AS term FROM corpus) WHERE term IN ({0}) GROUP BY ALL),
 n AS (SELECT count(*) AS n, avg(len(terms)) AS average FROM corpus), df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
@@ -151,6 +187,13 @@ def field_grep(spark, sf):
     return traverse.field_grep(text_nodes(spark, sf), _fields(spark)).select("field", "id", "rel_type")
 
 
+@_query(SQL["field_grep"])
+def field_grep_indexed(spark, sf):
+    """The same by the index of substrings."""
+    nodes, grams = _text_node_index(spark, sf)
+    return traverse.field_grep(nodes, _fields(spark), grams=grams).select("field", "id", "rel_type")
+
+
 @_query(_with("SELECT id, CASE WHEN contains(lower(code), 'license') THEN md5(array_to_string(list_transform(string_split(regexp_replace(code, chr(10) || '$', ''), chr(10)), lambda x: CASE WHEN contains(lower(x), 'license') THEN '>>> ' ELSE '    ' END || x), chr(10))) ELSE md5(code) END AS marked FROM textnode"))
 def mark_hit_lines(spark, sf):
     """Every text with the lines that hold a term marked."""
@@ -159,7 +202,17 @@ def mark_hit_lines(spark, sf):
 
 @_query(_with("SELECT hint, id FROM (SELECT h.hint, t.id, row_number() OVER (PARTITION BY h.hint ORDER BY t.id) AS r FROM textnode t JOIN (VALUES ('src1/'), ('/fr/'), ('nowhere')) h(hint) ON contains(lower(t.filepath), h.hint)) WHERE r <= 8"))
 def path_hint_boost(spark, sf):
-    return traverse.path_boost(text_nodes(spark, sf), spark.createDataFrame([("src1/",), ("/fr/",), ("nowhere",)], "hint string")).select("hint", "id")
+    return traverse.path_boost(text_nodes(spark, sf), _hints(spark)).select("hint", "id")
+
+
+def _hints(spark):
+    return spark.createDataFrame([("src1/",), ("/fr/",), ("nowhere",)], "hint string")
+
+
+@_query(SQL["path_hint_boost"])
+def path_hint_indexed(spark, sf):
+    nodes, grams = _text_node_index(spark, sf)
+    return traverse.path_boost(nodes, _hints(spark), grams=grams).select("hint", "id")
 
 
 # Blocks
@@ -396,9 +449,9 @@ def corpus(spark, sf):
     nodes = g.node_view("File", "Function", "Module").withColumns({"embedding": F.lit(None).cast("array<float>"), "unit": F.lit(None).cast("array<double>")}).unionByName(texts)
     edges = g.edge_view("CALLS", "DEPENDS_ON").select("src", "type", "dst", "is_active").unionByName(text_edges(spark, sf))
     parts = {"nodes": nodes, "edges": edges, "commits": commit_table(g), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
-    stored = {name: scratch.put(rows, name) for name, rows in parts.items()}
-    texts = search.TextIndex.build(stored["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"), f"{scratch.home}/index")
-    return Corpus(**stored, texts=texts)
+    held = {name: scratch.put(rows, name) for name, rows in parts.items()}
+    texts = search.TextIndex.build(held["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"), f"{scratch.home}/index")
+    return Corpus(**held, texts=texts)
 
 
 QUESTIONS = (
