@@ -8,7 +8,7 @@ texts of like length; a block is what one lot has of one term, with the largest
 of the term and the least length of a text, which bound the term's weight for the whole
 block. A ranked question reads the bounds of its terms' blocks first, then the texts of the
 `FIRST_LOTS` most promising lots, and after that only lots whose bound reaches the worst
-score among the best so far. Postings lie in folders by the term's hash. A batch of texts
+score among the best so far; where those are many, from more lots first. Postings lie in folders by the term's hash. A batch of texts
 is a segment with its own blocks and totals, and with what the texts that it replaces had
 held, so that all numbers equal those of an index made anew.
 """
@@ -16,22 +16,27 @@ held, so that all numbers equal those of an index made anew.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
 from weftgraph.operators.filters import in_repos
 from weftgraph.operators.segments import Segments
 from weftgraph.operators.vectors import VectorIndex, dot, unit  # noqa: F401  `unit` belongs to the surface of this module
+from weftgraph.plans.materialize import Scratch
 
 K1, B = 1.2, 0.75
 #: Folders of a stored text index, texts of a lot, lots that a ranked question reads before it knows a bound.
-FOLDERS = 64
+FOLDERS = 32
 LOT_TEXTS = 128
 FIRST_LOTS = 32
+#: Rounds in which a bound is looked for, each over so many times more lots; after them all lots that reach it are joined.
+ROUNDS = 3
+GROWTH = 8
 #: Scores are rounded to six places; a bound may miss by less than this.
 SLACK = 1e-6
 
@@ -114,7 +119,7 @@ def _like_length(length: Column) -> Column:
 
 
 def _folder(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+    return (F.crc32(term) % FOLDERS).cast("int")
 
 
 @dataclass
@@ -123,6 +128,11 @@ class TextIndex:
 
     key: str
     store: Segments
+    _total: tuple[int, Row] | None = None
+
+    def _totals(self) -> DataFrame:
+        """The number of texts and of their words, over all segments."""
+        return self.store.table("totals", self._shapes["totals"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
 
     @property
     def _shapes(self) -> dict[str, str]:
@@ -177,8 +187,7 @@ class TextIndex:
         postings = self.postings()
         out = TextIndex(self.key, Segments(self.store.spark, self.store.key))
         tables = out._tables(postings, postings.select("key", "length").distinct())
-        totals = self.store.table("totals", self._shapes["totals"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
-        out.store.write(folder, tables | {"totals": (totals.coalesce(1), []), "lost": (self.store.spark.createDataFrame([], self._shapes["lost"]), ["folder"])})
+        out.store.write(folder, tables | {"totals": (self._totals().coalesce(1), []), "lost": (self.store.spark.createDataFrame([], self._shapes["lost"]), ["folder"])})
         return out
 
     @classmethod
@@ -187,12 +196,14 @@ class TextIndex:
 
     def _of(self, terms: Sequence[str], name: str) -> DataFrame:
         """The rows of some terms, from their folders only."""
-        folders = self.store.spark.createDataFrame([(t,) for t in terms], "term string").select(_folder(F.col("term")).alias("f")).distinct().collect()
-        return self.store.table(name, self._shapes[name]).where(F.col("folder").isin(*(r["f"] for r in folders)) & F.col("term").isin(*terms))
+        folders = sorted({zlib.crc32(t.encode()) % FOLDERS for t in terms})
+        return self.store.table(name, self._shapes[name]).where(F.col("folder").isin(folders) & F.col("term").isin(*terms))
 
     def _known(self, terms: Sequence[str]) -> tuple[DataFrame, int, float]:
         """df of each term, the number of texts and their average length."""
-        total = self.store.table("totals", self._shapes["totals"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+        if self._total is None or self._total[0] != len(self.store.folders):
+            self._total = len(self.store.folders), self._totals().first()
+        total = self._total[1]
         seen = self._of(terms, "blocks").select("term", "n").unionByName(self._of(terms, "lost").select("term", (-F.col("n")).alias("n")))
         df = seen.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0").collect()  # a row per word of the question
         return self.store.spark.createDataFrame(df, "term string, df bigint"), total["n"], total["length"] / total["n"] if total["n"] and total["length"] else 1.0
@@ -218,12 +229,18 @@ class TextIndex:
         return self._scores(blocks.join(worth, ["seg", "lot"], "left_semi"), weights, average).orderBy(F.desc("score"), self.key).limit(limit)
 
     def _worth(self, blocks: DataFrame, weights: DataFrame, average: float, limit: int) -> DataFrame:
-        """The lots that may hold one of the best `limit` texts."""
-        bounds = self._bounds(blocks, weights, average)
-        first = bounds.orderBy(F.desc("bound"), "seg", "lot").limit(FIRST_LOTS).collect()
-        lots = F.broadcast(self.store.spark.createDataFrame([(r["seg"], r["lot"]) for r in first], "seg int, lot bigint"))
-        best = self._scores(blocks.join(lots, ["seg", "lot"], "left_semi"), weights, average).orderBy(F.desc("score")).limit(limit).collect()
-        least = best[-1]["score"] - SLACK if len(best) == limit else 0.0
+        """The lots that may hold one of the best `limit` texts, found from the most promising ones, more of them each round."""
+        spark = self.store.spark
+        bounds = Scratch(spark, "bounds").put(self._bounds(blocks, weights, average), "bounds")
+        size = FIRST_LOTS
+        for _ in range(ROUNDS):
+            first = bounds.orderBy(F.desc("bound"), "seg", "lot").limit(size).collect()
+            lots = F.broadcast(spark.createDataFrame([(r["seg"], r["lot"]) for r in first], "seg int, lot bigint"))
+            best = self._scores(blocks.join(lots, ["seg", "lot"], "left_semi"), weights, average).orderBy(F.desc("score")).limit(limit).collect()
+            least = best[-1]["score"] - SLACK if len(best) == limit else 0.0
+            if len(first) < size or first[-1]["bound"] < least:
+                break  # no lot but these is worth a look
+            size *= GROWTH
         return bounds.where(F.col("bound") >= least).select("seg", "lot")
 
     def skipped(self, terms: Sequence[str], limit: int = X.FULLTEXT_LIMIT) -> tuple[int, int]:

@@ -31,7 +31,8 @@ from weftgraph.operators.segments import Segments
 from weftgraph.plans.materialize import Scratch
 
 GRAM = 3
-FOLDERS = 64
+#: Folders of grams: a prime, so that all three characters tell.
+FOLDERS = 31
 #: Code points of text that a task cuts at once.
 BLOCK_CHARS = 2_000_000
 #: Rows that a question may name one by one; beyond it, it is joined.
@@ -78,7 +79,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _folder(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(FOLDERS)).cast("int")
+    return F.pmod(gram, F.lit(FOLDERS)).cast("int")
 
 
 @dataclass
@@ -127,8 +128,7 @@ class SubstringIndex:
         asked = [(w, g, k) for w in dict.fromkeys(words) if len(grams_of(w)) for g, k in cover(w)]
         wanted = spark.createDataFrame(asked, "word string, gram bigint, offset int")
         grams = sorted({g for _, g, _ in asked})
-        folders = [r["f"] for r in spark.createDataFrame([(g,) for g in grams], "gram bigint").select(_folder(F.col("gram")).alias("f")).distinct().collect()]
-        rows = self.store.table("grams", _SHAPES["grams"]).where(F.col("folder").isin(folders) & F.col("gram").isin(grams) & F.col("field").isin(*fields))
+        rows = self.store.table("grams", _SHAPES["grams"]).where(F.col("folder").isin(sorted({g % FOLDERS for g in grams})) & F.col("gram").isin(grams) & F.col("field").isin(*fields))
         often = {r["gram"]: r["n"] for r in rows.groupBy("gram").agg(F.count("*").alias("n")).collect()}  # a row per gram of the words
         base = {w: min(((often.get(g, 0), k, g) for v, g, k in asked if v == w)) for w, *_ in asked}
         rare = spark.createDataFrame([(w, g, k, sum(v == w for v, *_ in asked)) for w, (_, k, g) in base.items()], "word string, gram bigint, offset int, grams int")
