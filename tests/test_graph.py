@@ -16,7 +16,7 @@ from weftgraph.plans import ingest, retrieve
 from weftgraph.plans.components import components, stars
 from weftgraph.plans.engine import Engine, engine_at
 from weftgraph.plans.materialize import Scratch
-from weftgraph.sources import readers
+from weftgraph.sources import host, readers
 from weftgraph.streaming import upserts
 
 LOG = "src string, dst string, op string, sha string, seq long"
@@ -282,6 +282,79 @@ def test_bootstrap_from_answers(spark):
     assert {r["sha"] for r in engine.graph.label("Commit").collect()} == {"s000", "last"} and engine.stats()["functions"] == 2
 
 
+def host_answers(log, commits, stamp):
+    """A service whose requests are written to a file, as tasks run in processes of their own."""
+    body = base64.b64encode(SOURCE.encode()).decode()
+    files = [{"filename": "pkg/é x.py", "status": "modified", "patch": "@@ -1 +4,2 @@\n+import newer", "additions": 1, "deletions": 0, "changes": 1}]
+
+    def fetch(key):
+        with open(log, "a") as out:
+            out.write(key + "\n")
+        if "/git/trees/" in key:
+            return 200, json.dumps({"tree": [{"path": p, "type": "blob"} for p in ("pkg/é x.py", "pkg/b#?.go", "broken.py")]}), {}
+        if "/contents/broken" in key:
+            raise RuntimeError("of any kind")
+        if "/contents/" in key:
+            return 200, json.dumps({"content": body}), {}
+        if "/commits?" in key:
+            return 200, json.dumps([{"sha": s} for s in commits]) if "&page=1" in key else "[]", {}
+        sha = key.rsplit("/", 1)[1]
+        return 200, json.dumps({"sha": sha, "commit": {"message": sha, "author": {"name": "Ann", "date": stamp if sha != "old" else "2020-01-01T00:00:00Z"}}, "files": files}), {}
+
+    return fetch
+
+
+def test_a_second_fetch_asks_for_what_is_new(spark, tmp_path):
+    log, stamp = tmp_path / "log", "2024-05-05T00:00:00Z"
+    asked = lambda: sorted(log.read_text().split("\n")[:-1])
+    options = {"most": 100, "as_of": F.to_timestamp(F.lit("2024-05-06 00:00:00"))}
+    engine = Engine(spark)
+    run = engine.fetch("o/r", host_answers(log, ["new", "old"], stamp), **options)
+    assert run["commits_processed"] == 2 and run["files_scanned"] == 2
+    assert asked() == sorted([
+        "repos/o/r/git/trees/HEAD?recursive=1", "repos/o/r/contents/broken.py", "repos/o/r/contents/pkg/%C3%A9%20x.py", "repos/o/r/contents/pkg/b%23%3F.go",
+        "repos/o/r/commits?per_page=100&page=1", "repos/o/r/commits/new", "repos/o/r/commits/old", "repos/o/r/contents/pkg/%C3%A9%20x.py?ref=new",
+    ])
+    # The recent commit changed a function: blame can follow it.
+    assert ("Commit::new", "Function::o/r::pkg/é x.py::f") in {(r["src"], r["dst"]) for r in engine.graph.edge("MODIFIED").collect()}
+    known = {r["name"]: list(r["embedding"]) for r in engine.graph.label("Function").collect()}
+    code = engine.graph.label("Function").where("name = 'f'").first()["code"]
+    assert known["f"] == pytest.approx(readers.hash_vector(f"f\n{code}"))
+    log.unlink()
+    run = engine.fetch("o/r", host_answers(log, ["newest", "new", "old"], stamp), **options)
+    assert run["commits_processed"] == 1
+    assert asked() == sorted(["repos/o/r/git/trees/HEAD?recursive=1", "repos/o/r/contents/broken.py", "repos/o/r/commits?per_page=100&page=1", "repos/o/r/commits/newest", "repos/o/r/contents/pkg/%C3%A9%20x.py?ref=newest"])
+
+
+def test_commit_list_as_a_stream(spark, tmp_path):
+    log = tmp_path / "log"
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def run(commits):
+        name = host.register(spark, host_answers(log, commits, ""), "commit_list_test")
+        rows = spark.readStream.format(name).option("repo", "o/r").load()
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(once=True).start().awaitTermination(120)
+        return sorted(r["sha"] for r in spark.read.parquet(out).collect())
+
+    assert run(["c2", "c1"]) == ["c1", "c2"]
+    assert run(["c4", "c3", "c2", "c1"]) == ["c1", "c2", "c3", "c4"]  # each once
+    stream = host._Stream(host._Host(host_answers(log, [f"c{k}" for k in range(9, 0, -1)], ""), {"repo": "o/r"}))
+    rows, end = stream.read({"sha": "c4"})
+    assert [r[2] for r in rows] == ["c5", "c6", "c7", "c8", "c9"] and end == {"sha": "c9"}
+    assert [r[2] for r in stream.readBetweenOffsets({"sha": "c4"}, {"sha": "c6"})] == ["c5", "c6"]
+
+
+def test_odd_paths_and_cut_connections():
+    fetch = readers.http_fetch("http://127.0.0.1:1", timeout=1)
+    for key in ("a b/c.py", "é.py", "a\nb", "ok"):
+        assert readers.with_retries(fetch, key, lambda s: None) is None
+
+    def broken(key):
+        raise KeyError(key)
+
+    assert readers.with_retries(broken, "k") is None
+
+
 def test_retries():
     waits = []
     script = iter([(429, None, {"Retry-After": "7"}), (503, None, {}), (403, None, {"X-RateLimit-Remaining": "0"}), (500, None), (200, "body", {})])

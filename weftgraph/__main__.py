@@ -4,7 +4,7 @@ WEFT_REPO      owner/name (needed)
 WEFT_GRAPH     folder of the stored graph (needed); a new snapshot is written to WEFT_OUT
 WEFT_OUT       folder of the new snapshot (needed; must not exist)
 WEFT_API       base of the hosting service's REST interface, or
-WEFT_INPUTS    four folders of JSON lines, comma-joined: tree, contents, commit list, commit details
+WEFT_INPUTS    folders of JSON lines, comma-joined: tree, contents, commit list, commit details, and recent commits' files (optional)
 WEFT_TOKEN     token for the service
 WEFT_COMMITS   commits at most (200)
 WEFT_FORCE     true: commits that are stored already are read again

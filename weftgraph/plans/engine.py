@@ -68,14 +68,14 @@ class Engine:
         return retrieve.answer(self.retrieve(question, repos, top_k), question, model)
 
     def bootstrap(self, repo: str, inputs: Sequence[str], **options) -> dict[str, int]:
-        """Ingests a repository from folders of JSON lines (tree, contents, commit list, commit details); the run's counters."""
+        """Ingests a repository from folders of JSON lines (tree, contents, commit list, commit details, and the recent commits' files if there is a fifth); the run's counters."""
         self._corpus = None
         return ingest.bootstrap(self.graph, repo, **ingest.load_repos(inputs, self.graph), **options)
 
     def fetch(self, repo: str, fetch: readers.Fetch, most: int = 200, **options) -> dict[str, int]:
-        """The same from a hosting service's answers."""
+        """The same from a hosting service's answers; what is stored already is not fetched again."""
         self._corpus = None
-        return ingest.bootstrap(self.graph, repo, **ingest.fetch_repo(self.spark, repo, fetch, most), most=most, **options)
+        return ingest.bootstrap(self.graph, repo, **ingest.fetch_repo(self.graph, repo, fetch, most, force=options.get("force", False), as_of=options.get("as_of")), most=most, **options)
 
     def save(self, path: str) -> None:
         self.graph.save(path)

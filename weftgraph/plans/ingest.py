@@ -21,11 +21,9 @@ from weftgraph.functions.paths import function_id, is_entry_point, is_noise, is_
 from weftgraph.graph import Graph
 from weftgraph.operators import traverse, upsert, vectors
 from weftgraph.plans.materialize import Scratch
-from weftgraph.sources import readers
+from weftgraph.sources import host, readers
 
 INITIAL = "initial_scan"
-#: Commits that a page of a listing holds.
-PAGE = 100
 
 
 def _path_id(label: str, path: str = "path") -> Column:
@@ -106,7 +104,7 @@ def scan_contents(graph: Graph, sources: DataFrame, contents: DataFrame, embed:
         function_id(F.col("repo"), F.col("path"), F.col("name")).alias("id"), "name", F.col("path").alias("filepath"), "repo", "code", "walk_pos", F.col("pos").cast("bigint").alias("seq")
     )
     # Of equal names in a file, the first of the walk counts.
-    first = traverse.first_n(functions, ["id"], [F.col("walk_pos")], 1).withColumn("embedding", embed(F.col("code")))
+    first = traverse.first_n(functions, ["id"], [F.col("walk_pos")], 1).withColumn("embedding", embed(F.concat_ws("\n", "name", "code")))
     first = scratch.put(first.withColumn("unit", vectors.unit(F.col("embedding"))), "functions")
     _merge(graph, "Function", first)
     fn = F.concat_ws("::", F.lit("Function"), "id")
@@ -238,18 +236,24 @@ def bootstrap(
 
 
 def load_repos(paths: Sequence[str], graph: Graph) -> dict[str, DataFrame]:
-    """The four inputs of a bootstrap from folders of JSON lines: tree, contents, commits, details."""
+    """The inputs of a bootstrap from folders of JSON lines: tree, contents, commits, details and, if there is a fifth, the recent commits' files."""
     spark = graph.spark
-    tree, contents, listed, details = paths
-    return {"tree": readers.repo_tree(spark, tree), "contents": spark.read.schema(X.CONTENTS).json(contents), "listed": readers.commit_list(spark, listed), "details": readers.commit_details(spark, details)}
+    tree, contents, listed, details, *history = paths
+    out = {"tree": readers.repo_tree(spark, tree), "contents": spark.read.schema(X.CONTENTS).json(contents), "listed": readers.commit_list(spark, listed), "details": readers.commit_details(spark, details)}
+    return out | ({"history": spark.read.schema(X.HISTORY).json(history[0])} if history else {})
 
 
-def fetch_repo(spark: SparkSession, repo: str, fetch: readers.Fetch, most: int = 200, ref: str = "HEAD", partitions: int = 8) -> dict[str, DataFrame]:
-    """The four inputs of a bootstrap from a hosting service's REST answers, each fetched once.
+def fetch_repo(
+    graph: Graph, repo: str, fetch: readers.Fetch, most: int = 200, ref: str = "HEAD", partitions: int = 8, force: bool = False, as_of: Column | None = None,
+) -> dict[str, DataFrame]:
+    """The inputs of a bootstrap from a hosting service's REST answers, each fetched once, and only what the graph doesn't have.
 
-    Keys are paths below the service's base: the tree, the source files' contents, the
-    pages of the commit list and the listed commits. What can't be fetched is left out.
+    Keys are paths below the service's base: the tree, the contents of source files that are
+    not scanned yet, the pages of the commit list, the listed commits that are not stored
+    (all of them with `force`), and of the recent ones the files as they were then. What can't
+    be fetched is left out.
     """
+    spark = graph.spark
     scratch = Scratch(spark, "fetched")
 
     def answers(keys: DataFrame, shape: str, name: str) -> DataFrame:
@@ -257,12 +261,19 @@ def fetch_repo(spark: SparkSession, repo: str, fetch: readers.Fetch, most: int =
         return keys.join(got.where("payload IS NOT NULL"), "key").withColumn("body", F.from_json("payload", shape)).drop("payload")
 
     base = f"repos/{repo}"
+    at = lambda path, *tail: F.concat(F.lit(f"{base}/contents/"), readers.quoted(F.col(path)), *tail)
     root = spark.createDataFrame([(f"{base}/git/trees/{ref}?recursive=1",)], "key string")
     tree = answers(root, "tree array<struct<path: string, type: string>>", "tree").select(F.posexplode("body.tree").alias("pos", "e")).select(F.lit(repo).alias("repo"), "pos", "e.path", "e.type")
-    wanted = tree.where((F.col("type") == "blob") & ~is_noise(F.col("path")) & is_source(F.col("path"))).select("path", F.concat(F.lit(f"{base}/contents/"), "path").alias("key"))
-    contents = answers(wanted, "content string", "contents").select(F.lit(repo).alias("repo"), "path", F.col("body.content").alias("content"))
-    pages = spark.createDataFrame([(n, f"{base}/commits?per_page={PAGE}&page={n + 1}") for n in range(-(-most // PAGE))], "page int, key string")
-    listed = answers(pages, "array<struct<sha: string>>", "pages").select("page", F.posexplode("body").alias("k", "c")).select(F.lit(repo).alias("repo"), (F.col("page") * PAGE + F.col("k")).alias("pos"), "c.sha")
-    listed = scratch.put(listed.where(F.col("pos") < most), "listed")
-    details = scratch.put(readers.fetch_each(listed.select(F.concat(F.lit(f"{base}/commits/"), "sha").alias("key")), "key", fetch, partitions), "details")
-    return {"tree": scratch.put(tree, "files"), "contents": contents, "listed": listed, "details": readers.parse_details(details.where("payload IS NOT NULL"))}
+    tree = scratch.put(tree, "files")
+    wanted = unscanned(graph, tree.where((F.col("type") == "blob") & ~is_noise(F.col("path")) & is_source(F.col("path"))).select("repo", "path"))
+    contents = answers(wanted.select("path", at("path").alias("key")), "content string", "contents").select(F.lit(repo).alias("repo"), "path", F.col("body.content").alias("content"))
+    listed = scratch.put(spark.read.format(host.register(spark, fetch)).option("repo", repo).option("most", most).load(), "listed")
+    new = upsert.without_known(listed, graph.label("Commit"), "sha", force)
+    got = scratch.put(readers.fetch_each(new.select(F.concat(F.lit(f"{base}/commits/"), "sha").alias("key")), "key", fetch, partitions), "details")
+    details = scratch.put(readers.parse_details(got.where("payload IS NOT NULL")), "commits")
+    recent = details.where(patches.within_window(F.col("timestamp"), as_of if as_of is not None else F.current_timestamp()))
+    # Only files that have functions to be read.
+    files = patches.compact_files(recent).select("sha", F.col("filename").alias("path")).where(F.col("path").rlike(r"\.(py|go)$"))
+    then = answers(files.select("sha", "path", at("path", F.lit("?ref="), F.col("sha")).alias("key")), "content string", "history")
+    history = then.select(F.lit(repo).alias("repo"), "sha", "path", F.col("body.content").alias("content"))
+    return {"tree": tree, "contents": contents, "listed": listed, "details": details, "history": history}

@@ -52,6 +52,7 @@ RETRIEVED = T.StructType(
 # Shapes of what the ingest reads.
 TREE = _table(repo=S, pos=I, path=S, type=S)
 CONTENTS = _table(repo=S, path=S, content=S)
+HISTORY = _table(repo=S, sha=S, path=S, content=S)
 COMMIT_LIST = _table(repo=S, pos=I, sha=S)
 COMMIT_FILES = T.ArrayType(_table(filename=S, path=S, status=S, patch=S, additions=I, deletions=I, changes=I))
 COMMIT_DETAIL = T.StructType(

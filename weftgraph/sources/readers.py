@@ -1,8 +1,9 @@
 """Inputs of the ingest as DataFrames.
 
 Anything a hosting service returns is read from files that Spark can reach: JSON
-for listings and commit payloads, base64 for contents. Live fetching is a Python
-data source whose partitions retry on their own.
+for listings and commit payloads, base64 for contents. Live fetching is map-side: each
+task asks for its keys and tries again on its own, and nothing that goes wrong with one
+key ends the job (`host` has the commit list as a data source).
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from weftgraph.functions.patches import author_of
 RETRY_STATUS = (429, 500, 502, 503, 504)
 TRIES = 5
 RATE_LIMIT_PAUSE = 60.0
+#: Commits that a page of a listing holds.
+PAGE = 100
 #: Length of the offline vectors.
 VECTOR_SIZE = 64
 
@@ -90,15 +93,20 @@ def http_fetch(base: str, token: str | None = None, accept: str = "application/j
     headers = {"Accept": accept} | ({"Authorization": f"Bearer {token}"} if token else {})
 
     def fetch(key: str) -> tuple:
-        from urllib.error import HTTPError, URLError
+        from http.client import HTTPException, InvalidURL
+        from urllib.error import HTTPError
+        from urllib.parse import quote
         from urllib.request import Request, urlopen
 
         try:
-            with urlopen(Request(f"{base.rstrip('/')}/{key}", headers=headers), timeout=timeout) as answer:  # noqa: S310  the base is the caller's
+            url = f"{base.rstrip('/')}/{quote(key, safe='/?&=%:@+,;~')}"
+            with urlopen(Request(url, headers=headers), timeout=timeout) as answer:  # noqa: S310  the base is the caller's
                 return answer.status, answer.read().decode("utf-8", "replace"), dict(answer.headers)
         except HTTPError as e:
             return e.code, None, dict(e.headers or {})
-        except URLError as e:
+        except (InvalidURL, UnicodeError):
+            return 0, None, {}  # no such key can be asked for
+        except (OSError, HTTPException) as e:  # a connection that broke, was cut short or never came about
             raise TimeoutError(str(e)) from e
 
     return fetch
@@ -117,12 +125,14 @@ def pause_of(status: int, headers: dict, turn: int) -> float | None:
 
 
 def with_retries(fetch: Fetch, key: str, wait: Callable[[float], None] = time.sleep) -> str | None:
-    """What `fetch` gives for a key; tried again after a pause on busy, limited and failing answers and on time-outs."""
+    """What `fetch` gives for a key; tried again after a pause on busy, limited and failing answers and on time-outs. Null if it fails otherwise."""
     for turn in range(TRIES):
         try:
             status, body, *rest = fetch(key)
         except TimeoutError:
             status, body, rest = 503, None, []
+        except Exception:  # noqa: BLE001  one key's failure is no one else's
+            return None
         if status == 200:
             return body
         pause = pause_of(status, rest[0] if rest else {}, turn)
@@ -133,6 +143,11 @@ def with_retries(fetch: Fetch, key: str, wait: Callable[[float], None] = time.sl
     return None
 
 
+def quoted(path: Column) -> Column:
+    """A path as it stands in an address, its slashes kept."""
+    return F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+
+
 def fetch_each(keys: DataFrame, column: str, fetch: Fetch, partitions: int = 8) -> DataFrame:
     """`column` and `payload` for each key, fetched by `partitions` tasks at once; null where fetching failed."""
 
