@@ -201,7 +201,9 @@ def test_bootstrap(spark, tmp_path):
     assert {r["sha"] for r in g.label("Commit").collect()} == {"new", "old"} and {r["login"] for r in g.label("User").collect()} == {"Ann"}
     status = g.label("BootstrapStatus").first()
     assert (status["status"], status["commits_processed"], status["files_scanned"]) == ("completed", 2, 1) and status["updated_at"] and "2 commits" in status["detail"]
-    assert run == {"commits_processed": 2, "source_files": 2, "files_scanned": 1}
+    edges = sum(g.edge(k).count() for k in g.edges)
+    nodes = sum(g.label(k).count() for k in g.nodes)
+    assert run == {"commits_processed": 2, "source_files": 2, "files_scanned": 1, "nodes_created": nodes, "relationships_created": edges}
     vectors = {r["name"]: r for r in g.label("Module").collect()}
     assert vectors.keys() == {"json", "lib", "newer"}
     assert all(r["embedding"] == pytest.approx(readers.hash_vector(n)) and sum(x * x for x in r["unit"]) == pytest.approx(1) for n, r in vectors.items())
@@ -219,7 +221,7 @@ def test_bootstrap(spark, tmp_path):
     assert "split(" not in plan and "explode" not in plan  # no text is cut into words for a question
     again.graph.nodes["File"] = again.graph.label("File").unionByName(spark.createDataFrame([("lost", None, None, None)], X.NODES["File"]))
     counts = again.bootstrap("o/r", inputs_of(tmp_path))
-    assert counts == {"deleted_files": 1, "deleted_directorys": 0, "deleted_functions": 0, "commits_processed": 0, "source_files": 2, "files_scanned": 0}
+    assert counts == {"deleted_files": 1, "deleted_directorys": 0, "deleted_functions": 0, "commits_processed": 0, "source_files": 2, "files_scanned": 0, "nodes_created": 0, "relationships_created": 0}
     assert again.stats() == stats  # nothing new: the same graph
     assert "Function : f" in again.retrieve("what does f return", top_k=2)
     assert again.chat("what does f return", model=lambda p: "one")["answer"] == "one"
@@ -278,7 +280,7 @@ def answers():
 def test_bootstrap_from_answers(spark):
     engine = Engine(spark)
     run = engine.fetch("o/r", answers(), most=150)
-    assert run == {"commits_processed": 2, "source_files": 2, "files_scanned": 1}
+    assert (run["commits_processed"], run["source_files"], run["files_scanned"]) == (2, 2, 1)
     assert {r["sha"] for r in engine.graph.label("Commit").collect()} == {"s000", "last"} and engine.stats()["functions"] == 2
 
 

@@ -264,3 +264,65 @@ def test_indexes_follow_the_graph(spark):
     assert g.index_vectors().top_k([1.0, 0.0], 1).first()["score"] == 1.0  # a function keeps its first vector
     assert {r["id"] for r in g.index_grams().matches(["def g"], ["code"]).collect()} == {"Function::r::a.py::g"}
     assert g.index_grams().matches(["other"], ["code"]).count() == 0 and g.index_grams("Commit").matches(["ccc"], ["sha"]).count() == 1
+
+
+# Many patterns, keyed state
+
+
+def test_automaton_equals_the_nested_loop(spark, monkeypatch):
+    from weftgraph.functions import patterns
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abc/") for _ in range(rng.randrange(n)))
+    names = [word(5) for _ in range(60)]
+    automaton = patterns.Automaton(names)
+    for _ in range(200):
+        text = word(15)
+        assert automaton.found(text) == {p for p in names if p in text}
+    monkeypatch.setattr(patterns, "PART", 7)
+    modules = [word(12).upper() for _ in range(40)]
+    deps = spark.createDataFrame([(f"f{k}", m) for k, m in enumerate(modules)] + [("f0", None)], "src string, dst string")
+    helpers = [f"o{k}/{w}" for k, w in enumerate(names[:20])] + [None]
+    got = {(r["src"], r["dst"]) for r in traverse.cross_repo_links_of_all(deps, spark.createDataFrame([(h,) for h in helpers], "full_name string")).collect()}
+    loop = {(f"f{k}", h) for k, m in enumerate(modules) for h in helpers if h and h.rsplit("/", 1)[-1] in m.lower()}
+    assert got == loop
+
+
+def test_keyed_state_equals_the_fold_of_the_whole_log(spark, tmp_path):
+    from weftgraph.operators import upsert
+    from weftgraph.streaming import temporal, upserts
+
+    rng = random.Random(9)
+    log = [(f"s{rng.randrange(6)}", f"d{rng.randrange(3)}", rng.choice(["add", "remove"]), f"c{n}", n) for n in range(120)] + [("s9", "d9", "remove", "c", 500), (None, "d", "add", "c", 501)]
+    shape = "src string, dst string, op string, sha string, seq long"
+    want = sorted(map(tuple, upsert.temporal_edges(spark.createDataFrame(log[:-1], shape)).collect()))
+    rng.shuffle(log)  # late writes
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        given, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+        for part in (log[:70], log[70:] + log[:5]):  # some writes come twice
+            spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(given)
+            rows = spark.readStream.schema(shape).parquet(given)
+            upserts.run_to_end(lambda: temporal.changes(rows, out, checkpoint))  # noqa: B023  a restart from the checkpoint
+    finally:
+        spark.conf.unset(key)
+    assert sorted(map(tuple, temporal.current(spark, out).collect())) == want
+
+
+def test_keyed_state_by_any_order_and_split():
+    from weftgraph.streaming import temporal
+
+    rng = random.Random(10)
+    for _ in range(200):
+        log = [(n, rng.choice(["add", "remove"]), f"c{n}") for n in range(rng.randrange(1, 8))]
+        replayed = None
+        for _, op, sha in log:
+            if op == "add":
+                replayed = (sha, None, True) if replayed is None else (replayed[0], replayed[1], True)
+            elif replayed:
+                replayed = (replayed[0], sha, False)
+        mixed = log + rng.sample(log, 1)
+        rng.shuffle(mixed)
+        cut = rng.randrange(len(mixed) + 1)
+        assert temporal.edge_of(temporal.folded(temporal.folded(None, iter(mixed[:cut])), iter(mixed[cut:]))) == replayed

@@ -46,6 +46,16 @@ class Graph:
     grams: dict[str, SubstringIndex] = field(default_factory=dict)
     #: Keys that were written since the indexes were brought up to date, by label.
     written: dict[str, list[DataFrame]] = field(default_factory=dict)
+    #: Rows of the tables that were counted as they were written.
+    sizes: dict[str, int] = field(default_factory=dict)
+
+    def size(self, name: str, rows: DataFrame | None) -> int:
+        """Rows of a table: as its write counted them, else from its files, once."""
+        if rows is None:
+            return 0
+        if name not in self.sizes:
+            self.sizes[name] = rows.count()
+        return self.sizes[name]
 
     def label(self, name: str) -> DataFrame:
         return self.nodes.get(name) if name in self.nodes else self.spark.createDataFrame([], X.NODES[name])

@@ -8,11 +8,13 @@ the nodes is given (`grams`), nodes are found by it, else by a scan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
+from weftgraph.functions import patterns
 from weftgraph.operators.filters import active_only, contains_ci, in_repos
 from weftgraph.operators.substrings import SubstringIndex, holding
 from weftgraph.plans.materialize import Scratch
@@ -219,6 +221,24 @@ def cross_repo_links(dependencies: DataFrame, helper: str) -> DataFrame:
     return dependencies.where(contains_ci(F.col("dst"), own)).select("src", F.lit("USES_REPO").alias("type"), F.lit(helper).alias("dst")).distinct()
 
 
+def cross_repo_links_of_all(dependencies: DataFrame, helpers: DataFrame) -> DataFrame:
+    """The same for all helper repositories at once, in one pass over the modules for each `patterns.PART` names. helpers: full_name."""
+    named = helpers.where("full_name IS NOT NULL").select("full_name", F.lower(F.substring_index("full_name", "/", -1)).alias("pattern")).distinct()
+    scratch = Scratch(dependencies.sparkSession, "links")
+    names = scratch.put(named.select("pattern").distinct().orderBy("pattern"), "names").orderBy("pattern")
+    modules = dependencies.select("dst").distinct()
+    found, part = [], []
+    for r in names.toLocalIterator():  # of the automaton's patterns, a part at a time is on the driver
+        part.append(r["pattern"])
+        if len(part) == patterns.PART:
+            found.append(patterns.holds_any(modules, "dst", part))
+            part = []
+    if part or not found:
+        found.append(patterns.holds_any(modules, "dst", part))
+    links = reduce(DataFrame.unionByName, found).join(named, "pattern").select("dst", "full_name")
+    return dependencies.join(links, "dst").select("src", F.lit("USES_REPO").alias("type"), F.col("full_name").alias("dst")).distinct()
+
+
 def cross_repo_impact(sha: str, helper: str, changes: DataFrame, uses: DataFrame, calls: DataFrame, functions: DataFrame, correlated: bool = False) -> DataFrame:
     """Files that use a helper repository beside functions that call what a commit changed.
 

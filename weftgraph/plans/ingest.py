@@ -42,16 +42,23 @@ def _link(graph: Graph, kind: str, rows: DataFrame) -> None:
     graph.edges[kind] = upsert.merge_edges(graph.edges.get(kind), rows.select("src", F.lit(kind).alias("type"), "dst"))
 
 
-def settle(graph: Graph, scratch: Scratch, before: dict[str, DataFrame]) -> None:
-    """Writes the tables that changed since `before`, a copy of nodes and edges by name, and brings the indexes up to date."""
-    for box in (graph.nodes, graph.edges):
+def settle(graph: Graph, scratch: Scratch, before: dict[str, DataFrame]) -> dict[str, int]:
+    """Writes the tables that changed since `before`, a copy of nodes and edges by name, and brings the indexes up to date.
+
+    Returns the nodes and relationships that the writes created, which the writes count themselves.
+    """
+    made = {"nodes_created": 0, "relationships_created": 0}
+    for box, what in ((graph.nodes, "nodes_created"), (graph.edges, "relationships_created")):
         for name, rows in box.items():
             if before.get(name) is not rows:
-                box[name] = scratch.put(rows, name)
+                known = graph.size(name, before.get(name))
+                box[name], graph.sizes[name] = scratch.counted(rows, name)
+                made[what] += max(0, graph.sizes[name] - known)
     for label, keys in graph.written.items():
         if before.get(label) is not graph.nodes[label]:
             graph.follow(label, reduce(DataFrame.unionByName, keys), before.get(label))
     graph.written.clear()
+    return made
 
 
 def _tables(graph: Graph) -> dict[str, DataFrame]:
@@ -196,13 +203,15 @@ def clean_orphans(graph: Graph) -> dict[str, int]:
     for label in ("File", "Directory", "Function"):
         rows = graph.label(label).withColumn("_id", F.concat_ws("::", F.lit(label), *X.KEYS[label]))
         doomed = F.col("repo").isNull()
-        deleted[label] = rows.where(doomed).count()
+        deleted[label] = rows.where(doomed).count()  # from a narrow scan, to leave the tables as they are where there are none
         if not deleted[label]:
             continue
         for kind in list(graph.edges):
             graph.edges[kind] = upsert.detach_delete(rows, graph.edges[kind], doomed, "_id")[1]
+            graph.sizes.pop(kind, None)
         graph.forget(label, rows.where(doomed))
         graph.nodes[label] = rows.where(~doomed).drop("_id")
+        graph.sizes[label] = graph.size(label, rows) - deleted[label]
     return deleted
 
 
@@ -215,22 +224,21 @@ def bootstrap(
     scratch = Scratch(graph.spark, "graph")
     run = {f"deleted_{k.lower()}s": n for k, n in clean_orphans(graph).items()} if graph.nodes else {}
 
-    def phase(status: str, detail: str, work: Callable[[], DataFrame] | None = None) -> DataFrame | None:
+    def phase(status: str, detail: str, work: Callable[[], DataFrame] | None = None, counter: str = "") -> DataFrame | None:
         before = _tables(graph)
-        out = work() if work else None
-        out = None if out is None else scratch.put(out, "phase")
-        run.setdefault("commits_processed", 0)
-        set_status(graph, repo, status, detail.format(n=0 if out is None else out.count()), run["commits_processed"], run.get("files_scanned", 0), stamp())
-        settle(graph, scratch, before)
+        out, n = scratch.counted(work(), "phase") if work else (None, 0)
+        if counter:
+            run[counter] = n
+        set_status(graph, repo, status, detail.format(n=n), run["commits_processed"], run["files_scanned"], stamp())
+        for name, made in settle(graph, scratch, before).items():
+            run[name] += made
         return out
 
+    run |= dict.fromkeys(("commits_processed", "source_files", "files_scanned", "nodes_created", "relationships_created"), 0)
     phase("in_progress", "reading the file tree")
-    sources = phase("in_progress", "{n} source files in the tree", lambda: scan_tree(graph, tree.where(F.col("repo") == repo)))
-    run["source_files"] = sources.count()
-    read = phase("in_progress", "{n} files scanned", lambda: scan_contents(graph, unscanned(graph, sources), contents, embed))
-    run["files_scanned"] = read.count()
-    commits = phase("in_progress", "{n} commits read", lambda: ingest_commits(graph, repo, listed, details, embed=embed, **options))
-    run["commits_processed"] = commits.count()
+    sources = phase("in_progress", "{n} source files in the tree", lambda: scan_tree(graph, tree.where(F.col("repo") == repo)), "source_files")
+    phase("in_progress", "{n} files scanned", lambda: scan_contents(graph, unscanned(graph, sources), contents, embed), "files_scanned")
+    phase("in_progress", "{n} commits read", lambda: ingest_commits(graph, repo, listed, details, embed=embed, **options), "commits_processed")
     phase("completed", f"{run['files_scanned']} files scanned, {run['commits_processed']} commits ingested")
     return run
 

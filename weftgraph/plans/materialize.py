@@ -16,7 +16,8 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import ClassVar, TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 _LOCAL_ROOT: dict[str, str] = {}
@@ -87,6 +88,12 @@ class Scratch:
         out._weft_path = path
         return out
 
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The same with the number of rows, which the write itself observes."""
+        seen = Observation()
+        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             delete(self.spark, df._weft_path)

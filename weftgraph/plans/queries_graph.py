@@ -290,6 +290,13 @@ def cross_repo_link(spark, sf):
     return traverse.cross_repo_links(dependencies(spark, sf), HELPER)
 
 
+@_query(_with("SELECT DISTINCT src, 'USES_REPO' AS type, 'helpers/' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0') AS dst FROM deps JOIN supplier ON s_suppkey < 100 AND contains(lower(deps.dst), lpad(CAST(s_suppkey AS VARCHAR), 2, '0'))"))
+def cross_repo_links_all(spark, sf):
+    """The files' helper repositories, of all helpers at once; helpers are named by the first suppliers' numbers."""
+    helpers = table(spark, sf, "supplier").where("s_suppkey < 100").select(F.concat(F.lit("helpers/"), F.lpad(F.col("s_suppkey").cast("string"), 2, "0")).alias("full_name"))
+    return traverse.cross_repo_links_of_all(dependencies(spark, sf), helpers)
+
+
 def _cross(spark, sf, correlated):
     g = change_graph(spark, sf)
     uses = traverse.cross_repo_links(dependencies(spark, sf), HELPER).join(g.label("File").select(F.col("node_id").alias("src"), "path"), "src").select(F.col("path").alias("src"), "type", "dst")
