@@ -244,3 +244,53 @@ def test_a_long_conversation_ends_sound_and_passes_as_a_stream(spark):
     price = {"K": 0, "R": 3, "D": 4, "I": 3}
     cut = iter(not t.endswith(".") for *_, t in rows)
     assert got["cost"] == sum(price[r["edit"]] + (3 if r["edit"] != "I" and next(cut) and r["edit"] in "KR" else 0) for r in turns)
+
+
+# Mended this round: 5, 7, 10
+
+
+def test_a_page_column_is_not_carried_twice(spark):
+    from weftgraph.llm import tiff
+
+    media = tiff.store(docs(spark, [(1, "abc")])).withColumn("page", F.lit(7)).withColumn("other", F.lit("x"))
+    with pytest.raises(ValueError, match="page"):
+        tiff.explode_pages(media, "doc_id", "media", ("page",))
+    with pytest.raises(ValueError, match="twice"):
+        tiff.explode_pages(media, "doc_id", "media", ("doc_id",))
+    assert tiff.explode_pages(media, "doc_id", "media", ("other",)).first()["other"] == "x"
+
+
+def test_training_texts_do_not_depend_on_the_order_of_rows(spark):
+    from weftgraph.llm import toxicity
+
+    rng = random.Random(11)
+    rows = [(k % 60, " ".join(rng.choice(["you", "idiot", "nice", "weather", "go", "home", "now"]) for _ in range(12))) for k in range(180)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(60)], "doc_id long, toxic int")
+    seen = set()
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        given = docs(spark, rows).repartition(parts)
+        picked = toxicity.training_rows(given, labels)
+        seen.add(tuple(sorted(map(tuple, picked.select("doc_id", "toxic", "text").collect()))))
+    assert len(seen) == 1 and len({r[0] for r in next(iter(seen))}) == len(next(iter(seen)))
+
+
+def test_a_document_with_very_many_items_is_tiled_in_parts(spark, monkeypatch):
+    """One document against thousands of items that share a passage: bounded parts, the leaks of the broadcast way."""
+    from weftgraph.llm import decontaminate
+
+    rng = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(12))
+    items = [(k, f"{passage} q{k}" if k % 3 else f"{passage} " + " ".join(f"z{rng.randrange(99)}" for _ in range(14))) for k in range(3000)]
+    rows = [(1, f"before {passage} after q7 {passage}"), (2, "clean text of its own with no passage"), (3, f"{passage} q11"), (None, passage)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    given = docs(spark, rows)
+    leaks = lambda: sorted(((r["doc_id"], r["item_id"], r["matched_tokens"]) for r in decontaminate.find_leaks(spark, given, benchmark).collect()), key=str)
+    kept = lambda: sorted(r["doc_id"] for r in decontaminate.drop_leaks(spark, given, benchmark).collect())
+    want = leaks(), kept()
+    assert len(want[0]) >= 6000 and want[1] == [2]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)
+    parts = decontaminate.joined_candidates(given, benchmark, part_bytes=20_000)
+    sizes = [sum(len(i["text"]) for i in r["items"]) for r in parts.collect()]
+    assert len(sizes) > 12 and max(sizes) < 40_000
+    assert (leaks(), kept()) == want
