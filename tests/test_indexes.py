@@ -326,3 +326,29 @@ def test_keyed_state_by_any_order_and_split():
         rng.shuffle(mixed)
         cut = rng.randrange(len(mixed) + 1)
         assert temporal.edge_of(temporal.folded(temporal.folded(None, iter(mixed[:cut])), iter(mixed[cut:]))) == replayed
+
+
+def test_adjacency_is_read_by_bucket_and_joined_without_a_shuffle(spark):
+    from weftgraph.plans.adjacency import Adjacency
+
+    nodes = spark.createDataFrame([(f"n{k}", "Function") for k in range(50)], "id string, label string")
+    edges = spark.createDataFrame([(f"n{k}", "CALLS" if k % 2 else "USES", f"n{k * 7 % 50}") for k in range(50)] + [("n1", "CALLS", "gone")], "src string, type string, dst string")
+    near = Adjacency.build(nodes, edges, 8)
+    assert {tuple(r) for r in near.edges_of(["n7"], False).select("src", "dst").collect()} == {(f"n{k}", "n7") for k in range(50) if k * 7 % 50 == 7}
+    shown = {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false", "spark.sql.maxMetadataStringLength": "10000"}
+    for name, value in shown.items():
+        spark.conf.set(name, value)
+    try:
+        plan = near.edges_of(["n1"], True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in shown:
+            spark.conf.unset(name)
+    assert "SelectedBucketsCount: 1 out of 8" in plan
+    for out in (True, False):
+        rows = near.hop(["CALLS"], out)
+        assert rows.count() == sum(k % 2 for k in range(50)) + (1 if out else 0)
+        key, wanted = ("src", "n1") if out else ("dst", "n7")
+        assert {r["other"] for r in rows.where(f"id = '{wanted}'").collect()} == {(r[2] if out else r[0]) for r in map(tuple, edges.where("type = 'CALLS'").collect()) if r[0 if key == "src" else 2] == wanted}
+        counted = rows.groupBy("id", "type").agg(F.count("*").alias("n"))
+        counted.collect()
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()

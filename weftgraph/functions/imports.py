@@ -85,11 +85,16 @@ def _go_rows(keys: list[str]):
     return run
 
 
+def go_targets_of(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for Go: the lines of each text are read in order. texts: keys, lines."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+    return texts.select(*keys, "lines").mapInPandas(_go_rows(keys), f"{kinds}, target_module string, ord long")
+
+
 def go_imports(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for Go: each text's lines are read in order by one task."""
+    """The same of single lines, put together in their order: keys, pos, line."""
     texts = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l")).select(*keys, F.transform("l", lambda x: x["line"]).alias("lines"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*keys).schema)
-    return texts.mapInPandas(_go_rows(keys), f"{kinds}, target_module string, ord long")
+    return go_targets_of(texts, keys)
 
 
 def imports(lines: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
@@ -99,6 +104,13 @@ def imports(lines: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     return generic_imports(lines.where(kind.isNull()), keys).unionByName(go)
 
 
+def source_imports(files: DataFrame, keys: list[str], path: str = "path", text: str = "text") -> DataFrame:
+    """Dependencies of whole texts, whose lines stay where the text is. files: keys with the path, text."""
+    kind = file_kind(F.col(path))
+    go = go_targets_of(files.where(kind.isNotNull()).select(*keys, F.split(text, "\n").alias("lines")), keys)
+    return generic_imports(source_lines(files.where(kind.isNull()), keys, text), keys).unionByName(go)
+
+
 def source_lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, pos, line of whole texts."""
     return files.select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "line"))

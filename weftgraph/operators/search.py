@@ -27,6 +27,7 @@ from weftgraph import schema as X
 from weftgraph.operators.filters import in_repos
 from weftgraph.operators.segments import Segments
 from weftgraph.operators.vectors import VectorIndex, dot, unit  # noqa: F401  `unit` belongs to the surface of this module
+from weftgraph.plans.adjacency import Adjacency
 from weftgraph.plans.materialize import Scratch
 
 K1, B = 1.2, 0.75
@@ -51,11 +52,14 @@ def top_k(nodes: DataFrame, vector: Sequence[float], k: int = X.TOP_K, key: str
     return nodes.where(F.size("embedding") > 0).withColumn("score", (1 + dot(F.col("unit"), query)) / 2).drop("unit").orderBy(F.desc_nulls_last("score"), key).limit(k)
 
 
-def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame, repos: Sequence[str] | None = None, most: int = X.CONNECTED_MOST) -> DataFrame:
+def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, repos: Sequence[str] | None = None, most: int = X.CONNECTED_MOST) -> DataFrame:
     """Adds `connected`: at most `most` distinct called or used nodes with code, in the order of name, path and code.
 
-    They are cut to `most` within each task before anything is collected.
+    They are cut to `most` within each task before anything is collected. Of stored adjacency
+    only the hits' buckets are read.
     """
+    if isinstance(edges, Adjacency):
+        edges = edges.edges_of([r["id"] for r in hits.select("id").collect()], True)  # top_k rows
     ends = in_repos(nodes.where(F.col("label").isin("Function", "File") & F.col("code").isNotNull()), repos)
     near = (
         hits.select(F.col("id").alias("src")).join(edges.where(F.col("type").isin("CALLS", "DEPENDS_ON")).select("src", "dst"), "src")
@@ -68,7 +72,7 @@ def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame, repos: Sequence[
 
 
 def vector_search(
-    nodes: DataFrame, edges: DataFrame, vector: Sequence[float], k: int = X.TOP_K, repos: Sequence[str] | None = None, prefilter: bool = False, index: VectorIndex | None = None,
+    nodes: DataFrame, edges: DataFrame | Adjacency, vector: Sequence[float], k: int = X.TOP_K, repos: Sequence[str] | None = None, prefilter: bool = False, index: VectorIndex | None = None,
 ) -> DataFrame:
     """The k nearest functions, then the repository filter, then their neighbours; best first.
 

@@ -17,6 +17,7 @@ from weftgraph import schema as X
 from weftgraph.functions import patterns
 from weftgraph.operators.filters import active_only, contains_ci, in_repos
 from weftgraph.operators.substrings import SubstringIndex, holding
+from weftgraph.plans.adjacency import Adjacency
 from weftgraph.plans.materialize import Scratch
 
 # Fixed value: the relation of a subject to itself.
@@ -131,8 +132,14 @@ def impact_seeds(nodes: DataFrame, subjects: DataFrame, n: int = X.SEED_LIMIT, f
     return scratch.put(seeds.unionByName(first_n(files, ["pos"], [F.col("seed")], fallback)), "all")
 
 
-def impact_walk(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
-    """Both kinds of neighbours of all seeds, in one pass over the edges; `out` tells what the seeds use."""
+def impact_walk(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
+    """Both kinds of neighbours of all seeds, in one pass over the edges; `out` tells what the seeds use.
+
+    Of stored adjacency only the seeds' buckets are read.
+    """
+    if isinstance(edges, Adjacency):
+        ids = [r["seed"] for r in seeds.select("seed").distinct().collect()]  # a question has few subjects, and each some tens of seeds at most
+        edges = edges.edges_of(ids, True).unionByName(edges.edges_of(ids, False)).distinct()
     ends = in_repos(nodes.where(F.col("label").isin("File", "Function", "Module")), repos)
     types = sorted({*X.CONSUMER_TYPES, *X.OUTBOUND_TYPES})
     inward = F.when(F.col("type").isin(*X.CONSUMER_TYPES), F.struct(F.col("dst").alias("seed"), F.col("src").alias("id"), F.lit(False).alias("out")))
@@ -146,12 +153,12 @@ def impact_walk(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, repos: Seq
     return kept.select("seed", "id", F.coalesce(F.nullif("name", F.lit("")), F.lit("<unknown>")).alias("name"), F.coalesce("filepath", "path", F.lit("")).alias("filepath"), F.coalesce("repo", F.lit("")).alias("repo"), kind.alias("rel_type"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("name", F.lit("None")).alias("raw_name"), "out")
 
 
-def impact_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, out: bool, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
+def impact_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, out: bool, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
     """Consumers of the seeds, or (out) what they use: a limited number per seed, by type and id."""
     return impact_walk(seeds, nodes, edges, repos, only_active).where(F.col("out") == out).drop("out")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False, grams: SubstringIndex | None = None) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame | Adjacency, subjects: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False, grams: SubstringIndex | None = None) -> DataFrame:
     """Seeds, their consumers and what they use, each path and name once, in the order of a walk seed by seed.
 
     Returns ord_pos, ord_seed, ord_kind, ord_id for the order, then name, filepath, repo, rel_type, code.

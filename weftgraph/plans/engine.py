@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph import schema as X
 from weftgraph.graph import FOUND, Graph
 from weftgraph.plans import ingest, retrieve
+from weftgraph.plans.adjacency import BUCKETS, Adjacency
 from weftgraph.plans.materialize import Scratch
 from weftgraph.sources import readers
 
@@ -18,8 +19,9 @@ from weftgraph.sources import readers
 class Engine:
     """A graph and the calls that a service makes of it."""
 
-    def __init__(self, spark: SparkSession, graph: Graph | None = None, path: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, graph: Graph | None = None, path: str | None = None, buckets: int = BUCKETS) -> None:
         self.spark = spark
+        self.buckets = buckets
         self.path = path
         self._corpus: retrieve.Corpus | None = None
         self.graph = graph or (Graph.load(spark, path) if path and readers.exists(spark, path) else Graph(spark))
@@ -43,8 +45,8 @@ class Engine:
     def corpus(self) -> retrieve.Corpus:
         """What questions are asked of, prepared with the first one and kept until the graph changes.
 
-        Nodes and commits (with their repository) are written in order of their keys, so that a question that
-        names some reads the files that hold them.
+        Nodes and edges are bucketed by their keys, commits (with their repository) stand in the order of theirs, so that a
+        question that names some reads the files that hold them.
         """
         if self._corpus is None:
             g, scratch = self.graph, Scratch(self.spark, "corpus")
@@ -52,8 +54,9 @@ class Engine:
             repo = g.edge("BELONGS_TO").select(bare("src").alias("sha"), bare("dst").alias("repo"))
             put = lambda rows, key, name: scratch.put(rows.repartitionByRange(key).sortWithinPartitions(key), name)
             found = [x for x in FOUND if x in g.nodes] or ["File"]
+            near = Adjacency.build(g.node_view(*found), g.edge_view("CALLS", "DEPENDS_ON"), self.buckets)
             self._corpus = retrieve.Corpus(
-                put(g.node_view(*found), "id", "nodes"), put(g.edge_view("CALLS", "DEPENDS_ON"), "src", "edges"), put(g.label("Commit").join(repo, "sha", "left"), "sha", "commits"),
+                near.nodes, near, put(g.label("Commit").join(repo, "sha", "left"), "sha", "commits"),
                 scratch.put(g.edge("AUTHORED").select(bare("src").alias("src"), bare("dst").alias("dst")), "authored"), scratch.put(g.edge("MODIFIED").select(bare("src").alias("src"), "dst"), "changes"),
                 g.index_texts() if "Commit" in g.nodes else None, g.index_vectors() if "Function" in g.nodes else None,
                 g.index_grams() if any(x in g.nodes for x in FOUND) else None, g.index_grams("Commit") if "Commit" in g.nodes else None,

@@ -47,15 +47,17 @@ def settle(graph: Graph, scratch: Scratch, before: dict[str, DataFrame]) -> dict
 
     Returns the nodes and relationships that the writes created, which the writes count themselves.
     """
-    made = {"nodes_created": 0, "relationships_created": 0}
+    made, grown = {"nodes_created": 0, "relationships_created": 0}, set()
     for box, what in ((graph.nodes, "nodes_created"), (graph.edges, "relationships_created")):
         for name, rows in box.items():
             if before.get(name) is not rows:
                 known = graph.size(name, before.get(name))
                 box[name], graph.sizes[name] = scratch.counted(rows, name)
                 made[what] += max(0, graph.sizes[name] - known)
+                grown |= {name} if graph.sizes[name] > known else set()
     for label, keys in graph.written.items():
-        if before.get(label) is not graph.nodes[label]:
+        # What the indexes read of other labels than commits never changes once it is there.
+        if label in grown or (label == "Commit" and not reduce(DataFrame.unionByName, keys).isEmpty()):
             graph.follow(label, reduce(DataFrame.unionByName, keys), before.get(label))
     graph.written.clear()
     return made
@@ -119,7 +121,7 @@ def scan_contents(graph: Graph, sources: DataFrame, contents: DataFrame, embed:
     calls = parsed.where("kind = 'call'").select("repo", F.concat_ws("::", F.lit("Function"), "repo", "path", "name").alias("caller_id"), "callee", F.col("pos").alias("caller_pos"))
     known = graph.label("Function").join(sources.select("repo", F.col("path").alias("filepath"), F.col("pos").alias("scan_pos")), ["repo", "filepath"], "left")
     _link(graph, "CALLS", traverse.resolve_calls(calls, known.select("repo", fn.alias("id"), "name", "scan_pos"), order_dependent))
-    found = imports.imports(imports.source_lines(texts, ["repo", "path"]), ["repo", "path"])
+    found = imports.source_imports(texts, ["repo", "path"])
     log = found.select(_path_id("File").alias("src"), F.concat_ws("::", F.lit("Module"), "target_module").alias("dst"), F.lit("add").alias("op"), F.lit(INITIAL).alias("sha"), F.lit(0).cast("bigint").alias("seq"), "target_module")
     add_dependencies(graph, scratch.put(log, "log"), embed)
     read = texts.select("repo", "path")

@@ -9,6 +9,7 @@ from weftgraph.functions.render import blame_block
 from weftgraph.graph import FOUND_BY, as_shas
 from weftgraph.operators import filters, traverse
 from weftgraph.operators.substrings import SubstringIndex
+from weftgraph.plans.adjacency import Adjacency
 from weftgraph.plans.materialize import stored
 from weftgraph.plans.projection import SQL as GRAPH
 from weftgraph.plans.projection import change_graph, commit_table, dependencies, repositories
@@ -212,6 +213,25 @@ def impact_consumers(spark, sf):
     return traverse.impact_neighbours(traverse.impact_seeds(nodes, _subjects(spark)), nodes, edges, False).drop("raw_name")
 
 
+def _adjacency(spark, sf):
+    """The change graph's nodes and edges, bucketed and stored."""
+    tables = [f"{sf}/{t}.parquet" for t in ("part", "supplier", "nation", "region", "lineitem", "orders", "customer")]
+    return stored(spark, tables, "adjacency", lambda scratch: Adjacency.build(*_impact_graph(spark, sf), buckets=16))
+
+
+@_query(SQL["impact_consumers"])
+def impact_consumers_bucketed(spark, sf):
+    """The same from the seeds' buckets alone."""
+    near = _adjacency(spark, sf)
+    return traverse.impact_neighbours(traverse.impact_seeds(near.nodes, _subjects(spark)), near.nodes, near, False).drop("raw_name")
+
+
+@_query(_with("SELECT n.id, e.type, count(*) AS n FROM node n JOIN edge e ON e.dst = n.id GROUP BY ALL"))
+def consumers_per_node(spark, sf):
+    """How many edges of each type reach a node: a join of bucketed tables, without a shuffle."""
+    return _adjacency(spark, sf).hop(("CALLS", "DEPENDS_ON"), out=False).groupBy("id", "type").agg(F.count("*").alias("n"))
+
+
 @_query(_with(f""", {_SEEDS}, {_OUTBOUND} SELECT {_HOP.format("'OUTBOUND_' || type")} FROM outbound"""))
 def impact_outbound(spark, sf):
     nodes, edges = _impact_graph(spark, sf)

@@ -18,6 +18,7 @@ from weftgraph.operators import search, traverse
 from weftgraph.operators.filters import in_repos, with_repo_hint
 from weftgraph.operators.substrings import SubstringIndex
 from weftgraph.operators.vectors import VectorIndex
+from weftgraph.plans.adjacency import Adjacency
 from weftgraph.sources.readers import hash_vector
 
 # What is said where nothing is found, and the names of the stages.
@@ -30,14 +31,14 @@ class Corpus:
     """What a question is asked of.
 
     nodes: id, label, name, path, full_name, filepath, repo, code, and embedding and unit
-    where there is no index of them; edges: src, type, dst, is_active; commits: sha,
+    where there is no index of them; edges: src, type, dst, is_active, or stored adjacency; commits: sha,
     timestamp, message, summary_text, diff_text, repo; authored: login to sha; changes:
     sha to node id; then the stored indexes, if there are any: texts of the commits, vectors
     of the functions, substrings of the nodes and of the commits' shas.
     """
 
     nodes: DataFrame
-    edges: DataFrame
+    edges: DataFrame | Adjacency
     commits: DataFrame
     authored: DataFrame
     changes: DataFrame
