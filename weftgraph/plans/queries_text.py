@@ -44,6 +44,16 @@ def _document_index(spark, sf):
     return stored(spark, [f"{sf}/documents.parquet"], "documents-index", make)
 
 
+def _unit_vectors(spark, sf):
+    """The text graph's vectors scaled to length 1, stored."""
+    tables = [f"{sf}/documents.parquet", f"{sf}/embeddings.parquet"]
+    return stored(spark, tables, "vectors", lambda scratch: scratch.put(text_nodes(spark, sf).select("id", "embedding", "unit"), "vectors"))
+
+
+#: What queries store once, by the query that asks it.
+PREPARED = {"bm25_topk": _document_index, "vector_topk": _unit_vectors}
+
+
 def _text_node_index(spark, sf):
     """The text graph's nodes in order of their ids, and the index of their substrings, both stored."""
 
@@ -82,9 +92,7 @@ _IN = "(" + ", ".join(f"'{r}'" for r in REPOS) + ")"
 
 @_query(_with(f", {_SCORED} SELECT id, round(score, 6) AS score FROM {_TOP.format('')}"))
 def vector_topk(spark, sf):
-    tables = [f"{sf}/documents.parquet", f"{sf}/embeddings.parquet"]
-    vectors = stored(spark, tables, "vectors", lambda scratch: scratch.put(text_nodes(spark, sf).select("id", "embedding", "unit"), "vectors"))
-    return search.top_k(vectors, _question_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
+    return search.top_k(_unit_vectors(spark, sf), _question_vector(spark, sf)).select("id", F.round("score", 6).alias("score"))
 
 
 def _searched(spark, sf, repos=None, prefilter=False):
