@@ -49,7 +49,7 @@ from weftgraph.sources.tables import table
 ORDERS = 3
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 #: Tokens of a block, and tokens a bucket gets on average.
-FLUSH = 2_000_000
+FLUSH = 1_600_000
 BATCH_BYTES = 2_000_000
 KEY_BITS = 60
 BINS = 32
