@@ -451,15 +451,17 @@ def corpus(spark, sf):
     """The change graph's commits and files beside the text graph's functions, stored once as questions find them."""
     from weftgraph.plans.retrieve import Corpus
 
-    scratch = Scratch(spark, "corpus")
-    g = change_graph(spark, sf)
-    texts = text_nodes(spark, sf).withColumn("full_name", F.lit(None).cast("string")).drop("doc_id")
-    nodes = g.node_view("File", "Function", "Module").withColumns({"embedding": F.lit(None).cast("array<float>"), "unit": F.lit(None).cast("array<double>")}).unionByName(texts)
-    edges = g.edge_view("CALLS", "DEPENDS_ON").select("src", "type", "dst", "is_active").unionByName(text_edges(spark, sf))
-    parts = {"nodes": nodes, "edges": edges, "commits": commit_table(g), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
-    held = {name: scratch.put(rows, name) for name, rows in parts.items()}
-    texts = search.TextIndex.build(held["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"), f"{scratch.home}/index")
-    return Corpus(**held, texts=texts)
+    def make(scratch):
+        g = change_graph(spark, sf)
+        texts = text_nodes(spark, sf).withColumn("full_name", F.lit(None).cast("string")).drop("doc_id")
+        nodes = g.node_view("File", "Function", "Module").withColumns({"embedding": F.lit(None).cast("array<float>"), "unit": F.lit(None).cast("array<double>")}).unionByName(texts)
+        edges = g.edge_view("CALLS", "DEPENDS_ON").select("src", "type", "dst", "is_active").unionByName(text_edges(spark, sf))
+        parts = {"nodes": nodes, "edges": edges, "commits": commit_table(g), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
+        held = {name: scratch.put(rows, name) for name, rows in parts.items()}
+        return Corpus(**held, texts=search.TextIndex.build(held["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"), f"{scratch.home}/index"))
+
+    tables = ("part", "supplier", "nation", "region", "lineitem", "orders", "customer", "documents", "embeddings")
+    return stored(spark, [f"{sf}/{t}.parquet" for t in tables], "corpus", make)
 
 
 QUESTIONS = (
