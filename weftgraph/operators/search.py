@@ -32,7 +32,7 @@ from weftgraph.plans.materialize import Scratch
 
 K1, B = 1.2, 0.75
 #: Folders of a stored text index, texts of a lot, lots that a ranked question reads before it knows a bound.
-FOLDERS = 32
+FOLDERS = 8
 LOT_TEXTS = 128
 FIRST_LOTS = 32
 #: Rounds in which a bound is looked for, each over so many times more lots; after them all lots that reach it are joined.

@@ -32,7 +32,7 @@ from weftgraph.plans.materialize import Scratch
 
 GRAM = 3
 #: Folders of grams: a prime, so that all three characters tell.
-FOLDERS = 31
+FOLDERS = 7
 #: Code points of text that a task cuts at once.
 BLOCK_CHARS = 2_000_000
 #: Rows that a question may name one by one; beyond it, it is joined.

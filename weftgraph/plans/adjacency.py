@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftgraph.plans.materialize import Scratch
 
 #: Buckets of a table unless it says otherwise: for large graphs, as many as keep a bucket within an executor's memory.
-BUCKETS = 64
+BUCKETS = 8
 
 
 @dataclass
