@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from weftgraph.operators.search import TextIndex
 from weftgraph.operators.segments import exists
 from weftgraph.operators.substrings import SubstringIndex
 from weftgraph.operators.vectors import VectorIndex
-from weftgraph.plans.materialize import Scratch
+from weftgraph.plans.materialize import Scratch, together
 
 VIEW = ("id", "label", "name", "path", "full_name", "filepath", "repo", "code")
 #: Labels that questions look for by substrings, and the fields of theirs that are indexed.
@@ -147,18 +147,15 @@ class Graph:
 
     def save(self, path: str) -> None:
         """Writes a snapshot: a table per label and edge type, and the indexes, each as one segment. The path must be new."""
+        indexes = [(self.grams, "Node", self.index_grams, f"{path}/grams/Node")] if any(x in self.nodes for x in FOUND) else []
         if "Commit" in self.nodes:
-            self.texts["Commit"] = self.index_texts().save(f"{path}/texts/Commit")
-            self.grams["Commit"] = self.index_grams("Commit").save(f"{path}/grams/Commit")
-        for label in ("Function", "Module"):
-            if label in self.nodes:
-                self.vectors[label] = self.index_vectors(label).save(f"{path}/vectors/{label}")
-        if any(x in self.nodes for x in FOUND):
-            self.grams["Node"] = self.index_grams().save(f"{path}/grams/Node")
-        for name, rows in self.nodes.items():
-            rows.write.parquet(f"{path}/nodes/{name}")
-        for kind, rows in self.edges.items():
-            rows.write.parquet(f"{path}/edges/{kind}")
+            indexes += [(self.texts, "Commit", self.index_texts, f"{path}/texts/Commit"), (self.grams, "Commit", partial(self.index_grams, "Commit"), f"{path}/grams/Commit")]
+        indexes += [(self.vectors, x, partial(self.index_vectors, x), f"{path}/vectors/{x}") for x in ("Function", "Module") if x in self.nodes]
+        # Each job has an index or a table of its own.
+        tables = [partial(rows.write.parquet, f"{path}/{group}/{name}") for group, box in (("nodes", self.nodes), ("edges", self.edges)) for name, rows in box.items()]
+        saved = together(self.spark, [lambda get=get, to=to: get().save(to) for _, _, get, to in indexes] + tables)
+        for (box, name, _, _), index in zip(indexes, saved, strict=False):
+            box[name] = index
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, labels: tuple[str, ...] = tuple(X.NODES), kinds: tuple[str, ...] = X.EDGE_TYPES) -> Graph:

@@ -12,7 +12,7 @@ from weftgraph import schema as X
 from weftgraph.graph import FOUND, Graph
 from weftgraph.plans import ingest, retrieve
 from weftgraph.plans.adjacency import BUCKETS, Adjacency
-from weftgraph.plans.materialize import Scratch
+from weftgraph.plans.materialize import Scratch, together
 from weftgraph.sources import readers
 
 
@@ -53,14 +53,21 @@ class Engine:
             bare = lambda c: F.expr(f"substring({c}, instr({c}, '::') + 2)")
             repo = g.edge("BELONGS_TO").select(bare("src").alias("sha"), bare("dst").alias("repo"))
             put = lambda rows, key, name: scratch.put(rows.repartitionByRange(key).sortWithinPartitions(key), name)
-            found = [x for x in FOUND if x in g.nodes] or ["File"]
-            near = Adjacency.build(g.node_view(*found), g.edge_view("CALLS", "DEPENDS_ON"), self.buckets)
-            self._corpus = retrieve.Corpus(
-                near.nodes, near, put(g.label("Commit").join(repo, "sha", "left"), "sha", "commits"),
-                scratch.put(g.edge("AUTHORED").select(bare("src").alias("src"), bare("dst").alias("dst")), "authored"), scratch.put(g.edge("MODIFIED").select(bare("src").alias("src"), "dst"), "changes"),
-                g.index_texts() if "Commit" in g.nodes else None, g.index_vectors() if "Function" in g.nodes else None,
-                g.index_grams() if any(x in g.nodes for x in FOUND) else None, g.index_grams("Commit") if "Commit" in g.nodes else None,
-            )
+            found = [x for x in FOUND if x in g.nodes]
+            near, *rest = together(
+                self.spark,
+                [
+                    lambda: Adjacency.build(g.node_view(*(found or ["File"])), g.edge_view("CALLS", "DEPENDS_ON"), self.buckets),
+                    lambda: put(g.label("Commit").join(repo, "sha", "left"), "sha", "commits"),
+                    lambda: scratch.put(g.edge("AUTHORED").select(bare("src").alias("src"), bare("dst").alias("dst")), "authored"),
+                    lambda: scratch.put(g.edge("MODIFIED").select(bare("src").alias("src"), "dst"), "changes"),
+                    lambda: g.index_texts() if "Commit" in g.nodes else None,
+                    lambda: g.index_vectors() if "Function" in g.nodes else None,
+                    lambda: g.index_grams() if found else None,
+                    lambda: g.index_grams("Commit") if "Commit" in g.nodes else None,
+                ],
+            )
+            self._corpus = retrieve.Corpus(near.nodes, near, *rest)
         return self._corpus
 
     def retrieve(self, question: str, repos: Sequence[str] | None = None, top_k: int = X.TOP_K) -> str:

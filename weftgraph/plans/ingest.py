@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from weftgraph.functions import imports, patches, syntax
 from weftgraph.functions.paths import function_id, is_entry_point, is_noise, is_source, is_utility_dir, parent_of
 from weftgraph.graph import Graph
 from weftgraph.operators import traverse, upsert, vectors
-from weftgraph.plans.materialize import Scratch
+from weftgraph.plans.materialize import Scratch, together
 from weftgraph.sources import host, readers
 
 INITIAL = "initial_scan"
@@ -48,13 +48,13 @@ def settle(graph: Graph, scratch: Scratch, before: dict[str, DataFrame]) -> dict
     Returns the nodes and relationships that the writes created, which the writes count themselves.
     """
     made, grown = {"nodes_created": 0, "relationships_created": 0}, set()
-    for box, what in ((graph.nodes, "nodes_created"), (graph.edges, "relationships_created")):
-        for name, rows in box.items():
-            if before.get(name) is not rows:
-                known = graph.size(name, before.get(name))
-                box[name], graph.sizes[name] = scratch.counted(rows, name)
-                made[what] += max(0, graph.sizes[name] - known)
-                grown |= {name} if graph.sizes[name] > known else set()
+    changed = [(box, what, name) for box, what in ((graph.nodes, "nodes_created"), (graph.edges, "relationships_created")) for name, rows in box.items() if before.get(name) is not rows]
+    known = together(graph.spark, [partial(graph.size, name, before.get(name)) for _, _, name in changed])
+    tables = together(graph.spark, [partial(scratch.counted, box[name], name) for box, _, name in changed])
+    for (box, what, name), old, (rows, size) in zip(changed, known, tables, strict=True):
+        box[name], graph.sizes[name] = rows, size
+        made[what] += max(0, size - old)
+        grown |= {name} if size > old else set()
     for label, keys in graph.written.items():
         # What the indexes read of other labels than commits never changes once it is there.
         if label in grown or (label == "Commit" and not reduce(DataFrame.unionByName, keys).isEmpty()):

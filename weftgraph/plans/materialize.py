@@ -14,8 +14,10 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import ClassVar, TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,18 @@ def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
     return files.getContentSummary(target).getLength(), files.getFileStatus(target).getModificationTime()
 
 
+#: Writes that are under way at once: a small table's is mostly waiting, and a large one's last tasks leave executors idle.
+AT_ONCE = 8
+
+
+def together(spark: SparkSession, jobs: Sequence[Callable[[], T]]) -> list[T]:
+    """The results of jobs that don't depend on each other, run beside each other; the first error is raised once all have ended."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 #: What an application stores once and asks again.
 _STORED: dict[tuple, object] = {}
 
@@ -76,13 +90,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.home = f"{scratch_root(spark)}/weft/{label}-{uuid.uuid4().hex}"
-        self._made = 0
+        self._numbers = itertools.count(1)
         self._owner, self._serial = threading.get_ident(), next(self._serials)
         self._open.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        self._made += 1
-        path = f"{self.home}/{self._made:03d}-{name}"
+        path = f"{self.home}/{next(self._numbers):03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weft_path = path
