@@ -215,6 +215,23 @@ def test_text_batches_equal_a_rebuild_and_cut_new_texts_only(spark, home):
     assert spark.read.parquet(f"{folder}/terms").count() == 50  # what the batch had cut into words
 
 
+def test_a_table_of_questions_equals_one_by_one(spark, home, monkeypatch):
+    monkeypatch.setattr(search, "LOT_TEXTS", 8)
+    monkeypatch.setattr(search, "FIRST_LOTS", 4)
+    rows = many_texts(random.Random(8), 600) + [(f"r{k}", "rare the") for k in range(20)]
+    index = search.TextIndex.build(texts(spark, rows[:500]), "sha", F.col("t"), home())
+    index.add(texts(spark, rows[500:]), F.col("t"), home())
+    index.add(texts(spark, [("s00003", "the w40 w40"), ("s00004", None)]), F.col("t"), home(), replaced=texts(spark, rows[3:5]))
+    asked = {1: "the w40", 2: "rare the The", 3: "où est l'été naïve 漢字", 4: "nowhere", 5: "", 6: "w1 w2 w3 w59", 7: None}
+    given = spark.createDataFrame([*asked.items(), (None, "the"), (2, "rare")], "sha bigint, text string").withColumnRenamed("sha", "key")
+    got = index.ask_each(given, "key", F.col("text")).orderBy("key", "rank").collect()
+    for key, question in asked.items():
+        assert [(r["sha"], r["score"]) for r in got if r["key"] == key] == ranked(index, question or "")
+    assert {r["key"] for r in got} == {1, 2, 3, 6} and [r["rank"] for r in got if r["key"] == 1] == list(range(1, 11))
+    empty = search.TextIndex.build(texts(spark, []), "sha", F.col("t"), home())
+    assert empty.ask_each(given, "key", F.col("text")).count() == 0 and index.ask_each(given.limit(0), "key", F.col("text")).count() == 0
+
+
 # Segments and the graph
 
 

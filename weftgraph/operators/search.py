@@ -203,14 +203,18 @@ class TextIndex:
         folders = sorted({zlib.crc32(t.encode()) % FOLDERS for t in terms})
         return self.store.table(name, self._shapes[name]).where(F.col("folder").isin(folders) & F.col("term").isin(*terms))
 
-    def _known(self, terms: Sequence[str]) -> tuple[DataFrame, int, float]:
-        """df of each term, the number of texts and their average length."""
+    def _size(self) -> tuple[int, float]:
+        """The number of texts and their average length."""
         if self._total is None or self._total[0] != len(self.store.folders):
             self._total = len(self.store.folders), self._totals().first()
         total = self._total[1]
+        return total["n"], total["length"] / total["n"] if total["n"] and total["length"] else 1.0
+
+    def _known(self, terms: Sequence[str]) -> tuple[DataFrame, int, float]:
+        """df of each term, the number of texts and their average length."""
         seen = self._of(terms, "blocks").select("term", "n").unionByName(self._of(terms, "lost").select("term", (-F.col("n")).alias("n")))
         df = seen.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0").collect()  # a row per word of the question
-        return self.store.spark.createDataFrame(df, "term string, df bigint"), total["n"], total["length"] / total["n"] if total["n"] and total["length"] else 1.0
+        return self.store.spark.createDataFrame(df, "term string, df bigint"), *self._size()
 
     def _scores(self, blocks: DataFrame, weights: DataFrame, average: float) -> DataFrame:
         """key and score of the texts of blocks. weights: term and its weight."""
@@ -258,6 +262,40 @@ class TextIndex:
         """Ranked search for the plain words of a question."""
         return self.rank(words_of(question), limit)
 
+    def ask_each(self, questions: DataFrame, question: str, text: Column, limit: int = X.FULLTEXT_LIMIT) -> DataFrame:
+        """The same for every row of a table: the best texts of each question, with their score and rank.
+
+        The steps and their number are the same for any number of questions: the bounds of all (question,
+        lot), the scores of each question's `FIRST_LOTS` best lots, and then only the lots that can
+        reach the worst of its best. Blocks meet the questions' words in equi joins, bounds without their texts.
+        Questions without a known word have no rows; rows with a null key are left out, rows of one key are one
+        question; of repeated words one counts.
+        """
+        scratch, (n, average) = Scratch(self.store.spark, "questions"), self._size()
+        asked = questions.where(F.col(question).isNotNull()).select(F.col(question).alias("question"), F.explode(terms_of(text)).alias("term")).distinct()
+        asked = scratch.put(asked, "asked").withColumn("folder", _folder(F.col("term")))
+        blocks, lost = (self.store.table(name, self._shapes[name]) for name in ("blocks", "lost"))
+        words = asked.select("folder", "term").distinct()
+        seen = blocks.select("folder", "term", "n").unionByName(lost.select("folder", "term", (-F.col("n")).alias("n"))).join(words, ["folder", "term"], "left_semi")
+        df = seen.groupBy("folder", "term").agg(F.sum("n").alias("df")).where("df > 0")
+        weights = scratch.put(asked.join(df, ["folder", "term"]).select("question", "folder", "term", _weight(n, F.col("df")).alias("weight")), "weights")
+        bound = F.sum(F.col("weight") * _share(F.col("most"), F.col("least"), average)).alias("bound")
+        bounds = scratch.put(blocks.select("seg", "folder", "term", "lot", "most", "least").join(weights, ["folder", "term"]).groupBy("question", "seg", "lot").agg(bound), "bounds")
+
+        def best(lots: DataFrame) -> DataFrame:
+            wanted = lots.select("question", "seg", "lot").join(weights, "question")
+            rows = self.store.live(blocks.join(wanted, ["seg", "folder", "term", "lot"]).select("question", "seg", "weight", F.inline("texts")))
+            scores = rows.groupBy("question", "key").agg(F.round(F.sum(F.col("weight") * _share(F.col("tf"), F.col("length"), average)), 6).alias("score"))
+            rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "key"))
+            return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+        place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("bound"), "seg", "lot"))
+        first = best(bounds.withColumn("_n", place).where(F.col("_n") <= FIRST_LOTS))
+        # A question with fewer than `limit` texts so far has no bound yet: all its lots are read.
+        least = first.groupBy("question").agg(F.when(F.count("*") == limit, F.min("score") - SLACK).alias("least"))
+        worth = bounds.join(least, "question", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+        return best(scratch.put(worth, "worth")).select(F.col("question").alias(question), F.col("key").alias(self.key), "score", "rank")
+
 
 def search(docs: DataFrame, key: str, text: Column, question: str, limit: int | None = X.FULLTEXT_LIMIT) -> DataFrame:
     """The same over texts that have no stored index, in passes over all of them."""

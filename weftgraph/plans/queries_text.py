@@ -162,6 +162,16 @@ def bm25_all(spark, sf):
     return _document_index(spark, sf).ask(SEARCH, None)
 
 
+@_query(f"""WITH corpus AS (SELECT doc_id AS key, {_TERMS} AS terms FROM documents), asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+posts AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(terms) AS term FROM corpus) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+n AS (SELECT count(*) AS n, avg(len(terms)) AS average FROM corpus), df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+ranked AS (SELECT item_id, key, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms) / average))), 6) AS score FROM asked JOIN posts USING (term) JOIN df USING (term) JOIN corpus USING (key), n GROUP BY item_id, key)
+SELECT * FROM (SELECT item_id, key AS doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM ranked) WHERE rank <= 10""")
+def bm25_questions(spark, sf):
+    """Every benchmark item as a question: the ten documents that answer it best."""
+    return _document_index(spark, sf).ask_each(table(spark, sf, "benchmark"), "item_id", F.col("text"))
+
+
 @_query(f"WITH corpus AS (SELECT doc_id AS key, {_TERMS} AS terms FROM documents) SELECT term, count(DISTINCT key) AS df, count(*) AS n FROM (SELECT key, unnest(terms) AS term FROM corpus) GROUP BY term")
 def fulltext_index(spark, sf):
     """The inverted index, summed up per term."""
