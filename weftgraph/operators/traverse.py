@@ -205,12 +205,21 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, order_dependent: bool
 
     calls: repo, caller_id, callee, caller_pos; functions: repo, id, name, scan_pos.
     `order_dependent` keeps only callees that were scanned before.
+
+    There are as many edges as pairs of equal names, so both sides are made distinct and the pairs
+    are not moved again; only those of ids that stand under several names can repeat.
     """
-    named = functions.select("repo", F.col("id").alias("dst"), F.col("name").alias("callee"), "scan_pos")
-    rows = calls.join(named, ["repo", "callee"])
-    if order_dependent:
-        rows = rows.where("scan_pos <= caller_pos")
-    return rows.select(F.col("caller_id").alias("src"), F.lit("CALLS").alias("type"), "dst").distinct()
+    once = calls.groupBy("repo", "callee", F.col("caller_id").alias("src")).agg(F.max("caller_pos").alias("caller_pos"))
+    named = functions.groupBy("repo", F.col("name").alias("callee"), F.col("id").alias("dst")).agg(F.min("scan_pos").alias("scan_pos"))
+    named = named.withColumn("names", F.count("*").over(Window.partitionBy("dst")))
+
+    def edges(callees: DataFrame) -> DataFrame:
+        rows = once.join(callees, ["repo", "callee"])
+        if order_dependent:
+            rows = rows.where("scan_pos <= caller_pos")
+        return rows.select("src", F.lit("CALLS").alias("type"), "dst")
+
+    return edges(named.where("names = 1")).unionByName(edges(named.where("names > 1")).distinct())
 
 
 def hunk_overlap(functions: DataFrame, hunks: DataFrame) -> DataFrame:
