@@ -23,7 +23,7 @@ def _functions(spark, n):
     return spark.range(n).select(F.lit("r").alias("repo"), F.concat(F.lit("f"), "id").alias("id"), (F.col("id") % 2).cast("string").alias("name"), F.col("id").alias("pos"))
 
 
-@pytest.mark.parametrize("ordered", [False])
+@pytest.mark.parametrize("ordered", [False, True])
 def test_pairs_of_equal_names_are_not_moved(spark, ordered):
     f = _functions(spark, 400)
     calls, named = f.select("repo", F.col("id").alias("caller_id"), F.col("name").alias("callee"), F.col("pos").alias("caller_pos")), f.select("repo", "id", "name", F.col("pos").alias("scan_pos"))
@@ -33,7 +33,7 @@ def test_pairs_of_equal_names_are_not_moved(spark, ordered):
     assert moved(spark, edges)[0] < 10_000  # of 80,000 or 40,200 pairs none
 
 
-@pytest.mark.parametrize("ordered", [False])
+@pytest.mark.parametrize("ordered", [False, True])
 def test_functions_of_several_names_give_an_edge_once(spark, ordered):
     f = [("r", "a", "x", 1), ("r", "a", "y", 2), ("r", "a", "x", 5), ("q", "a", "x", 1), ("r", "b", "x", 9), ("r", "n", None, 0), ("r", "late", "y", None)]
     c = [("r", "c", "x", 5), ("r", "c", "y", 5), ("r", "c", "x", 3), ("q", "c", "x", 5), ("r", "d", None, 5), ("r", "e", "x", None)]
