@@ -1,9 +1,14 @@
 """What queries move between tasks: rows and bytes of their shuffles, which stand on disk until they end."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import traverse
+from weftgraph.plans import queries_text
+
+SF = "/root/testdata/sf0.001"
 
 
 def moved(spark, rows):
@@ -40,3 +45,9 @@ def test_functions_of_several_names_give_an_edge_once(spark, ordered):
     edges = traverse.resolve_calls(spark.createDataFrame(c, "repo string, caller_id string, callee string, caller_pos int"), spark.createDataFrame(f, "repo string, id string, name string, scan_pos int"), ordered)
     want = {(s, "CALLS", d) for r, s, n, p in c for q, d, m, o in f if r == q and n == m and n is not None and (not ordered or (o is not None and p is not None and o <= p))}
     assert sorted(map(tuple, edges.collect())) == sorted(want)
+
+
+def test_made_patches_move_as_numbers(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    records, size = moved(spark, queries_text.patch_temporal(spark, SF))
+    assert records <= lines and size < 1.5 * Path(f"{SF}/lineitem.parquet").stat().st_size

@@ -7,7 +7,7 @@ and modules have blocks that span lines; their lines are walked in order.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -116,12 +116,15 @@ def source_lines(files: DataFrame, keys: list[str], text: str = "text") -> DataF
     return files.select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
-def patch_imports(signed: DataFrame) -> DataFrame:
-    """Dependencies that a patch adds (sign +) and removes (-). signed: sha, path, sign, pos, line."""
-    return imports(signed, ["sha", "path", "sign"])
+def patch_imports(signed: DataFrame, keys: Sequence[str] = ("sha", "path")) -> DataFrame:
+    """Dependencies that a patch adds (sign +) and removes (-). signed: keys with the path, sign, pos, line.
 
+    Patches that are already dealt by some of the keys are not dealt again.
+    """
+    return imports(signed, [*keys, "sign"])
 
-def additive_patch_imports(patches: DataFrame) -> DataFrame:
-    """Dependencies on the new side of a patch: added and context lines. patches: sha, path, patch."""
-    lines = patches.select("sha", "path", F.posexplode(F.split("patch", "\n")).alias("pos", "raw")).where(F.substring("raw", 1, 1).isin("+", " "))
-    return imports(lines.select("sha", "path", "pos", F.ltrim(F.expr("substring(raw, 2)")).alias("line")), ["sha", "path"])
+
+def additive_patch_imports(patches: DataFrame, keys: Sequence[str] = ("sha", "path")) -> DataFrame:
+    """Dependencies on the new side of a patch: added and context lines. patches: keys with the path, patch."""
+    lines = patches.select(*keys, F.posexplode(F.split("patch", "\n")).alias("pos", "raw")).where(F.substring("raw", 1, 1).isin("+", " "))
+    return imports(lines.select(*keys, "pos", F.ltrim(F.expr("substring(raw, 2)")).alias("line")), [*keys])

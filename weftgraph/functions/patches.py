@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,9 +113,9 @@ def hunks(patches: DataFrame) -> DataFrame:
     )
 
 
-def signed_lines(patches: DataFrame) -> DataFrame:
-    """Added and removed lines of patches: sha, path, sign (+ or -), pos, line without its sign."""
-    lines = patches.select("sha", "path", F.posexplode(F.split("patch", "\n")).alias("pos", "raw"))
+def signed_lines(patches: DataFrame, keys: Sequence[str] = ("sha", "path")) -> DataFrame:
+    """Added and removed lines of patches: keys, sign (+ or -), pos, line without its sign. patches: keys, patch."""
+    lines = patches.select(*keys, F.posexplode(F.split("patch", "\n")).alias("pos", "raw"))
     added = F.col("raw").startswith("+") & ~F.col("raw").startswith("+++")
     removed = F.col("raw").startswith("-") & ~F.col("raw").startswith("---")
-    return lines.where(added | removed).select("sha", "path", F.substring("raw", 1, 1).alias("sign"), "pos", F.expr("substring(raw, 2)").alias("line"))
+    return lines.where(added | removed).select(*keys, F.substring("raw", 1, 1).alias("sign"), "pos", F.expr("substring(raw, 2)").alias("line"))

@@ -383,12 +383,25 @@ def go_imports(spark, sf):
     return imports.imports(imports.source_lines(made, ["path"]), ["path"])
 
 
+_PATCH = ("l_orderkey", "l_partkey", "path")
+
+
+def _patches(spark, sf, text):
+    """A made patch per order line. The lines are dealt by their keys before any text is made, and what a patch names is
+    made distinct where they lie, so that only numbers move."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").repartition("l_orderkey", "l_partkey")
+    return lines.select("l_orderkey", "l_partkey", F.concat(F.lit("pkg/"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("patch"))
+
+
+def _by_sha(rows):
+    return rows.withColumn("sha", F.md5(F.col("l_orderkey").cast("string")))
+
+
 @_query("""SELECT DISTINCT md5(CAST(l_orderkey AS VARCHAR)) AS sha, 'pkg/' || l_partkey || '.py' AS path, unnest(['+', '-']) AS sign, unnest(['json' || l_suppkey, 'sys' || l_linenumber]) AS target_module FROM lineitem""")
 def patch_temporal(spark, sf):
     """Dependencies that made patches add and remove."""
     text = F.concat(F.lit("--- a\n+++ b\n@@ -1,3 +1,3 @@\n import os\n-import sys"), F.col("l_linenumber").cast("string"), F.lit("\n+import json"), F.col("l_suppkey").cast("string"))
-    rows = table(spark, sf, "lineitem").select(F.md5(F.col("l_orderkey").cast("string")).alias("sha"), F.concat(F.lit("pkg/"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("patch")).distinct()
-    return imports.patch_imports(patches.signed_lines(rows)).drop("ord").distinct()
+    return _by_sha(imports.patch_imports(patches.signed_lines(_patches(spark, sf, text), _PATCH), _PATCH)).select("sha", "path", "sign", "target_module")
 
 
 @_query("SELECT DISTINCT md5(CAST(l_orderkey AS VARCHAR)) AS sha, 'pkg/' || l_partkey || '.py' AS path, unnest(['os', 'json' || l_suppkey]) AS target_module FROM lineitem")
