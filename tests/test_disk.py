@@ -51,3 +51,9 @@ def test_made_patches_move_as_numbers(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     records, size = moved(spark, queries_text.patch_temporal(spark, SF))
     assert records <= lines and size < 1.5 * Path(f"{SF}/lineitem.parquet").stat().st_size
+
+
+def test_made_patches_move_as_numbers_additive(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    records, size = moved(spark, queries_text.patch_additive(spark, SF))
+    assert records <= lines and size < 1.5 * Path(f"{SF}/lineitem.parquet").stat().st_size

@@ -408,8 +408,7 @@ def patch_temporal(spark, sf):
 def patch_additive(spark, sf):
     """Dependencies on the new side of made patches, context lines included."""
     text = F.concat(F.lit("@@ -1,3 +1,3 @@\n import os\n-import sys\n+import json"), F.col("l_suppkey").cast("string"))
-    rows = table(spark, sf, "lineitem").select(F.md5(F.col("l_orderkey").cast("string")).alias("sha"), F.concat(F.lit("pkg/"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("patch")).distinct()
-    return imports.additive_patch_imports(rows).drop("ord").distinct()
+    return _by_sha(imports.additive_patch_imports(_patches(spark, sf, text), _PATCH)).select("sha", "path", "target_module")
 
 
 _PY = "import os\n\ndef outer_{0}(x):\n    def inner():\n        return g(x)\n    return inner()\n\nclass C:\n    async def m_{0}(self):\n        self.h()\n        return outer_{0}(1)\n"
