@@ -5,14 +5,14 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import traverse
+from weftgraph.operators import search, traverse
 from weftgraph.plans import queries_text
 
 SF = "/root/testdata/sf0.001"
 
 
 def moved(spark, rows):
-    """Records and bytes that running a query writes to shuffles."""
+    """Records and bytes that running a query, or a function, writes to shuffles."""
     store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
 
     def stages():
@@ -20,7 +20,7 @@ def moved(spark, rows):
         return {found.apply(k).stageId(): (found.apply(k).shuffleWriteRecords(), found.apply(k).shuffleWriteBytes()) for k in range(found.size())}
 
     before = stages()
-    rows.write.format("noop").mode("overwrite").save()
+    rows() if callable(rows) else rows.write.format("noop").mode("overwrite").save()
     return tuple(map(sum, zip(*(v for k, v in stages().items() if k not in before), strict=True)))
 
 
@@ -57,3 +57,20 @@ def test_made_patches_move_as_numbers_additive(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     records, size = moved(spark, queries_text.patch_additive(spark, SF))
     assert records <= lines and size < 1.5 * Path(f"{SF}/lineitem.parquet").stat().st_size
+
+
+def test_an_index_of_texts_moves_each_text_once(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n, folder = docs.count(), f"file://{tmp_path}/index"
+    made = []
+    records, _ = moved(spark, lambda: made.append(search.TextIndex.build(docs, "doc_id", F.col("text"), folder)))
+    assert records < n + 200  # the texts, and counts by length
+    want = docs.select("doc_id", F.size(search.terms_of(F.col("text"))).alias("n")).where("n > 0").collect()
+    got = made[0].postings().groupBy("key").agg(F.sum("tf").alias("n"), F.max("length").alias("length")).collect()
+    assert sorted((r["doc_id"], r["n"], r["n"]) for r in want) == sorted(map(tuple, got))
+
+
+def test_a_search_without_words_finds_nothing(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "k int, t string")
+    assert search.search(rows, "k", F.col("t"), "?!").count() == 0
+    assert [r["k"] for r in search.search(rows, "k", F.col("t"), "b").collect()] == [1]

@@ -6,7 +6,8 @@ scaled to length 1, so a score is one product, and a top-k keeps k rows per task
 The text index holds the postings in blocks. Texts are dealt into lots of about `LOT_TEXTS`
 texts of like length; a block is what one lot has of one term, with the largest count
 of the term and the least length of a text, which bound the term's weight for the whole
-block. A ranked question reads the bounds of its terms' blocks first, then the texts of the
+block. When an index is made, whole texts are dealt to tasks by lot, so that nothing but their words
+moves, once, and each task counts and writes the blocks of its lots. A ranked question reads the bounds of its terms' blocks first, then the texts of the
 `FIRST_LOTS` most promising lots, and after that only lots whose bound reaches the worst
 score among the best so far; where those are many, from more lots first. Postings lie in folders by the term's hash. A batch of texts
 is a segment with its own blocks and totals, and with what the texts that it replaces had
@@ -15,9 +16,10 @@ held, so that all numbers equal those of an index made anew.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -35,6 +37,10 @@ K1, B = 1.2, 0.75
 FOLDERS = 8
 LOT_TEXTS = 128
 FIRST_LOTS = 32
+#: Words of the texts that one task puts into blocks, which come to some 200 MB of its memory.
+TASK_WORDS = 2_000_000
+#: Words of questions in lots that may be broadcast to the blocks; beyond it blocks are shuffled to them.
+BROADCAST_WANTED = 200_000
 #: Rounds in which a bound is looked for, each over so many times more lots; after them all lots that reach it are joined.
 ROUNDS = 3
 GROWTH = 8
@@ -100,13 +106,15 @@ def words_of(question: str) -> list[str]:
 
 
 def _counted(docs: DataFrame, text: Column) -> DataFrame:
-    """key, length and terms of each text."""
-    return docs.select("key", terms_of(F.coalesce(text, F.lit(""))).alias("terms")).withColumn("length", F.size("terms").cast("bigint"))
+    """key, length and terms of each text, as one text with spaces between them, which takes half of an array's room."""
+    terms = docs.select("key", terms_of(F.coalesce(text, F.lit(""))).alias("terms"))
+    return terms.select("key", F.size("terms").cast("bigint").alias("length"), F.array_join("terms", " ").alias("terms"))
 
 
-def _postings(counted: DataFrame) -> DataFrame:
-    """term, key, tf and length; counted per text within its task before anything moves."""
-    return counted.select("key", "length", F.explode("terms").alias("term")).groupBy("term", "key", "length").agg(F.count("*").alias("tf"))
+def _postings(counted: DataFrame, *by: str) -> DataFrame:
+    """term, key, tf and length; counted per text within its task before anything moves. by: what the texts are dealt by."""
+    each = counted.select("key", "length", *by, F.explode(F.split("terms", " ")).alias("term")).where("term <> ''")
+    return each.groupBy(*by, "term", "key", "length").agg(F.count("*").alias("tf"))
 
 
 def _share(tf: Column, length: Column, average: float) -> Column:
@@ -158,10 +166,10 @@ class TextIndex:
         counted = _counted(given, text)
         counted.write.option("compression", "zstd").parquet(f"{folder}/terms")  # a text is cut into words once
         counted = self.store.spark.read.schema(counted.schema).parquet(f"{folder}/terms")
-        tables = self._tables(_postings(counted), counted.select("key", "length"))
+        tables = self._tables(counted, counted.select("key", "length"), lambda dealt: _postings(dealt, "lot"))
         if replaced is not None:
             old = _counted(replaced.withColumn("key", F.col(self.key)), text)
-            lost = old.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+            lost = old.select(F.explode(F.array_distinct(F.split("terms", " "))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
             size = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).select((-F.col("n")).alias("n"), (-F.col("length")).alias("length"))
             tables["lost"] = (lost.withColumn("folder", _folder(F.col("term"))).repartition("folder"), ["folder"])
             tables["totals"] = (tables["totals"][0].unionByName(size), [])
@@ -169,16 +177,20 @@ class TextIndex:
             tables["lost"] = (self.store.spark.createDataFrame([], self._shapes["lost"]), ["folder"])
         self.store.write(folder, tables, None if replaced is None else replaced.select(F.col(self.key).alias("key")))
 
-    def _tables(self, postings: DataFrame, texts: DataFrame) -> dict[str, tuple[DataFrame, Sequence[str]]]:
-        """Postings in blocks. texts: key and length of every text."""
-        classes = texts.groupBy(_like_length(F.col("length")).alias("class")).agg(F.ceil(F.count("*") / LOT_TEXTS).alias("lots"))
+    def _tables(self, rows: DataFrame, texts: DataFrame, postings: Callable[[DataFrame], DataFrame]) -> dict[str, tuple[DataFrame, Sequence[str]]]:
+        """Postings in blocks. rows: key, length and what `postings` makes (lot, term, key, tf, length) of, once they are dealt by lot; texts: key and length of every text."""
         # As many classes as a length has doublings, twice.
-        placed = postings.withColumn("class", _like_length(F.col("length"))).join(F.broadcast(classes), "class").withColumn("lot", F.shiftleft("class", 40) + F.pmod(F.xxhash64("key"), "lots"))
+        classes = texts.groupBy(_like_length(F.col("length")).alias("class")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).collect()
+        n, words = sum(r["n"] for r in classes), sum(r["length"] for r in classes)
+        spark = self.store.spark
+        lots = spark.createDataFrame([(r["class"], math.ceil(r["n"] / LOT_TEXTS)) for r in classes], "class bigint, lots bigint")
+        placed = rows.withColumn("class", _like_length(F.col("length"))).join(F.broadcast(lots), "class").withColumn("lot", F.shiftleft("class", 40) + F.pmod(F.xxhash64("key"), "lots")).drop("class", "lots")
         held = F.struct("key", F.col("tf").cast("bigint").alias("tf"), "length")
-        blocks = placed.groupBy("term", "lot").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.array_sort(F.collect_list(held)).alias("texts"))
-        # A frequent term's blocks go to several files; rows stand by term, so that a reader skips what it doesn't ask.
-        dealt = blocks.withColumn("folder", _folder(F.col("term"))).repartition("folder", F.pmod(F.xxhash64("lot"), F.lit(8))).sortWithinPartitions("folder", "term", "lot")
-        totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+        counted = postings(placed.repartition(max(1, math.ceil(words / TASK_WORDS)), "lot"))
+        blocks = counted.groupBy("lot", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.array_sort(F.collect_list(held)).alias("texts"))
+        # Each task has a file in each folder, where rows stand by term, so that a reader skips what it doesn't ask.
+        dealt = blocks.select("term", "lot", "n", "most", "least", "texts", _folder(F.col("term")).alias("folder")).sortWithinPartitions("folder", "term", "lot")
+        totals = spark.createDataFrame([(n, words)], "n bigint, length bigint")
         return {"blocks": (dealt, ["folder"]), "totals": (totals.coalesce(1), [])}
 
     def postings(self) -> DataFrame:
@@ -190,7 +202,7 @@ class TextIndex:
         """A copy in a new folder, all segments in one; nothing is cut into words again."""
         postings = self.postings()
         out = TextIndex(self.key, Segments(self.store.spark, self.store.key))
-        tables = out._tables(postings, postings.select("key", "length").distinct())
+        tables = out._tables(postings, postings.select("key", "length").distinct(), lambda dealt: dealt)
         out.store.write(folder, tables | {"totals": (self._totals().coalesce(1), []), "lost": (self.store.spark.createDataFrame([], self._shapes["lost"]), ["folder"])})
         return out
 
@@ -284,13 +296,15 @@ class TextIndex:
 
         def best(lots: DataFrame) -> DataFrame:
             wanted = lots.select("question", "seg", "lot").join(weights, "question")
+            if wanted.limit(BROADCAST_WANTED + 1).count() <= BROADCAST_WANTED:
+                wanted = F.broadcast(wanted)
             rows = self.store.live(blocks.join(wanted, ["seg", "folder", "term", "lot"]).select("question", "seg", "weight", F.inline("texts")))
             scores = rows.groupBy("question", "key").agg(F.round(F.sum(F.col("weight") * _share(F.col("tf"), F.col("length"), average)), 6).alias("score"))
             rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "key"))
             return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
 
         place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("bound"), "seg", "lot"))
-        first = best(bounds.withColumn("_n", place).where(F.col("_n") <= FIRST_LOTS))
+        first = best(scratch.put(bounds.withColumn("_n", place).where(F.col("_n") <= FIRST_LOTS), "first"))
         # A question with fewer than `limit` texts so far has no bound yet: all its lots are read.
         least = first.groupBy("question").agg(F.when(F.count("*") == limit, F.min("score") - SLACK).alias("least"))
         worth = bounds.join(least, "question", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
@@ -302,7 +316,7 @@ def search(docs: DataFrame, key: str, text: Column, question: str, limit: int |
     terms = words_of(question) or [""]
     counted = _counted(docs.withColumn("key", F.col(key)), text)
     total = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
-    posts = _postings(counted.withColumn("terms", F.filter("terms", lambda t: t.isin(*terms))))
+    posts = _postings(counted.withColumn("terms", F.array_join(F.filter(F.split("terms", " "), lambda t: t.isin(*terms)), " ")))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as there are words in the question
     scored = posts.join(F.broadcast(df), "term").groupBy(F.col("key").alias(key)).agg(F.round(F.sum(_weight(total["n"], F.col("df")) * _share(F.col("tf"), F.col("length"), total["average"] or 1.0)), 6).alias("score"))
     ranked = scored.orderBy(F.desc("score"), key)
