@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import search, traverse
+from weftgraph.operators import search, substrings, traverse
 from weftgraph.plans import queries_text
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,11 @@ def test_a_search_without_words_finds_nothing(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "k int, t string")
     assert search.search(rows, "k", F.col("t"), "?!").count() == 0
     assert [r["k"] for r in search.search(rows, "k", F.col("t"), "b").collect()] == [1]
+
+
+def test_an_index_of_substrings_moves_texts_and_no_grams(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"n{k}", "Function", "r", f"some text {k} of words") for k in range(300)], "id string, label string, repo string, code string")
+    made = []
+    records, _ = moved(spark, lambda: made.append(substrings.SubstringIndex.build(nodes, ("code",), f"file://{tmp_path}/grams")))
+    assert records <= 300 + 50  # of some 6,000 grams none
+    assert sorted(r["id"] for r in made[0].matches(["text 17 "], ["code"]).collect()) == ["n17"]

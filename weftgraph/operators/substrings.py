@@ -18,6 +18,7 @@ are compared as Spark lower-cases them; keys are unique; a null key is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ GRAM = 3
 FOLDERS = 7
 #: Code points of text that a task cuts at once.
 BLOCK_CHARS = 2_000_000
+#: Code points of the texts whose grams one task sorts and writes, some 350 MB of its memory at most.
+TASK_CHARS = 3_000_000
 #: Rows that a question may name one by one; beyond it, it is joined.
 MOST_NAMED = 1000
 
@@ -99,9 +102,12 @@ class SubstringIndex:
         """A segment in a new folder; older rows of the same keys are hidden."""
         nodes = nodes.where("id IS NOT NULL")
         given = nodes.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lower(f).alias("text")) for f in fields))).alias("f")).select("id", "f.field", "f.text").where(F.length("text") >= GRAM)
-        grams = given.mapInArrow(_cut, "gram bigint, field string, id string, at array<int>").withColumn("folder", _folder(F.col("gram")))
+        # Texts are dealt before they are cut, as their grams take many times their room.
+        chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+        dealt = given.repartition(max(1, math.ceil(chars / TASK_CHARS)), "id")
+        grams = dealt.mapInArrow(_cut, "gram bigint, field string, id string, at array<int>").withColumn("folder", _folder(F.col("gram"))).sortWithinPartitions("folder", "gram", "id")
         keys = nodes.select("id", "label", "repo", F.col("code").isNotNull().alias("coded"), F.length("code").cast("bigint").alias("size"))
-        self.store.write(folder, {"grams": (_dealt(grams), ["folder"]), "keys": (keys, [])}, None if new else nodes.select(F.col("id").alias("key")))
+        self.store.write(folder, {"grams": (grams, ["folder"]), "keys": (keys, [])}, None if new else nodes.select(F.col("id").alias("key")))
 
     def remove(self, ids: DataFrame, folder: str) -> None:
         """A segment that only hides rows. ids: id."""
