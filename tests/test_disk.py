@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import search, substrings, traverse
 from weftgraph.plans import queries_text
+from weftgraph.plans.adjacency import Adjacency
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +90,12 @@ def test_blame_of_functions_moves_as_much_as_blame_of_files(spark):
 
     files, functions = (moved(spark, q(spark, SF))[0] for q in (queries_graph.blame_latest5, queries_graph.blame_functions))
     assert functions < files + 2000  # besides, 200 functions and the latest five commits of as many files
+
+
+def test_adjacency_makes_its_edges_once(spark):
+    edges = spark.range(20_000).select((F.col("id") % 50).cast("string").alias("src"), F.lit("CALLS").alias("type"), (F.col("id") % 70).cast("string").alias("dst")).distinct()
+    nodes = spark.range(70).select(F.col("id").cast("string").alias("id"))
+    alone, made = moved(spark, edges)[0], []
+    records, _ = moved(spark, lambda: made.append(Adjacency.build(nodes, edges, buckets=2)))
+    assert records <= alone + 70 + 2 * 350  # one distinct, the nodes, and the 350 edges in both directions
+    assert made[0].into.count() == made[0].out.count() == 350

@@ -41,7 +41,8 @@ class Adjacency:
             dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{home}/{name}").option("compression", "zstd").format("parquet").saveAsTable(known)
             return spark.table(known)
 
-        return cls(table(nodes, "id", "nodes"), table(edges, "src", "out"), table(edges, "dst", "into"))
+        out = table(edges, "src", "out")  # the other direction is dealt from this, so that edges are made once
+        return cls(table(nodes, "id", "nodes"), out, table(out, "dst", "into"))
 
     def edges_of(self, ids: Sequence[str], out: bool) -> DataFrame:
         """The edges that leave (out) or reach some nodes, from their buckets alone."""
