@@ -99,3 +99,18 @@ def test_adjacency_makes_its_edges_once(spark):
     records, _ = moved(spark, lambda: made.append(Adjacency.build(nodes, edges, buckets=2)))
     assert records <= alone + 70 + 2 * 350  # one distinct, the nodes, and the 350 edges in both directions
     assert made[0].into.count() == made[0].out.count() == 350
+
+
+def test_an_index_of_shas_holds_no_key_for_each_gram(spark, tmp_path):
+    commits = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("id"), F.lit("Commit").alias("label"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("code")).withColumn("sha", F.col("id"))
+    index = substrings.SubstringIndex.build(commits, ("sha",), f"file://{tmp_path}/grams")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 150 * 20_000  # of 30 keys of 16 bytes at least, two
+    word = commits.first()["id"][5:15]
+    assert sorted(r["id"] for r in index.matches([word], ["sha"]).collect()) == sorted(r["id"] for r in commits.where(F.col("sha").contains(word)).collect())
+
+
+def test_substrings_don_t_reach_over_two_texts(spark, tmp_path):
+    rows = [(f"n{k}", "Function", None, code) for k, code in enumerate(["xabc", "defx", "abcdef", "abc", "def", "ab", "cdef", "abcabcdefdef"])]
+    index = substrings.SubstringIndex.build(spark.createDataFrame(rows, "id string, label string, repo string, code string").coalesce(1), ("code",), f"file://{tmp_path}/grams")
+    for word in ("abcdef", "abc", "cdef", "abcd", "defx", "fab"):
+        assert sorted(r["id"] for r in index.matches([word], ["code"]).collect()) == sorted(i for i, *_, code in rows if word in code)

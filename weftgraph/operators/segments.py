@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Segments after which an index should be folded into one.
 MOST_SEGMENTS = 8
+#: How Parquet stores an index: ascending numbers, of which it has many, as their differences.
+STORED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#at.list.element": "false"}
 
 
 @dataclass
@@ -31,7 +33,7 @@ class Segments:
     def write(self, folder: str, tables: dict[str, tuple[DataFrame, Sequence[str]]], gone: DataFrame | None = None) -> None:
         """A new segment: each table with the columns that name its folders; gone: key."""
         for name, (rows, by) in tables.items():
-            rows.write.option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}")
+            rows.write.options(**STORED).partitionBy(*by).parquet(f"{folder}/{name}")
         if gone is not None:
             gone.select("key").distinct().write.parquet(f"{folder}/gone")
         self.folders.append(folder)

@@ -1,11 +1,12 @@
 """An index for case-insensitive substrings: positional runs of three characters.
 
-For each gram of a field's lower-cased text the index has the key and the places where
-the gram stands, in folders by the gram. A word of three characters or more is covered
-by grams at steps of three and one at its end; a field holds the word exactly where all
-of them stand at their distances, so a match needs no look at the text. Of a word's grams
-the rarest is read first, and the others are met by equi joins on key, field and place,
-that is, only keys that have the rarest gram stay. What filters and orders need of a node
+Lower-cased texts of one field are put one after another in blocks of about `BLOCK_CHARS`
+code points, each after a gap. For each gram and block the index has the places where the
+gram stands, ascending, in folders by the gram; a folder of its own has the blocks' texts:
+their keys and where they begin. A word of three characters or more is covered
+by grams at steps of three and one at its end; it stands exactly where all
+of them stand at their distances, which none do over a gap, so a match needs no look at the text.
+Only places and a row per block move when a word is looked for. What filters and orders need of a node
 (label, repository, whether it has code and how much) stands in a narrow table of its own.
 
 A batch is a segment that hides older rows of its keys. Words of fewer than three
@@ -34,14 +35,19 @@ from weftgraph.plans.materialize import Scratch
 GRAM = 3
 #: Folders of grams: a prime, so that all three characters tell.
 FOLDERS = 7
-#: Code points of text that a task cuts at once.
+#: Folder of the blocks' texts.
+NAMED = FOLDERS
+#: Code points of a block, unless one text alone has more.
 BLOCK_CHARS = 2_000_000
 #: Code points of the texts whose grams one task sorts and writes, some 350 MB of its memory at most.
 TASK_CHARS = 3_000_000
+#: Blocks with hits that are broadcast to the blocks' texts; beyond it, both are shuffled.
+FEW_BLOCKS = 1000
 #: Rows that a question may name one by one; beyond it, it is joined.
 MOST_NAMED = 1000
 
-_SHAPES = {"grams": "gram bigint, field string, id string, at array<int>, folder int", "keys": "id string, label string, repo string, coded boolean, size bigint"}
+_CUT = "gram bigint, field string, block string, at array<int>, ids array<string>"
+_SHAPES = {"grams": "gram bigint, field string, block string, at array<int>, ids array<string>, folder int", "keys": "id string, label string, repo string, coded boolean, size bigint"}
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -56,33 +62,70 @@ def cover(word: str) -> list[tuple[int, int]]:
     return [(int(grams[k]), k) for k in sorted({*range(0, len(grams), GRAM), len(grams) - 1})]
 
 
+_ARROW = pa.schema([("gram", pa.int64()), ("field", pa.string()), ("block", pa.string()), ("at", pa.list_(pa.int32())), ("ids", pa.list_(pa.string()))])
+
+
+def _rows(field: str, ids: list[str], starts: np.ndarray, grams: np.ndarray, counts: np.ndarray, places: np.ndarray) -> list[pa.RecordBatch]:
+    """A block's grams, and the row of its texts, by whose first key it is known: keys are unique."""
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(places.astype(np.int32)))
+    named = [pa.array([None], pa.int64()), pa.array([field]), pa.array([ids[0]]), pa.array([starts.tolist()], _ARROW.field("at").type), pa.array([ids], _ARROW.field("ids").type)]
+    own = [pa.array(grams), pa.array([field] * len(grams), pa.string()), pa.array([ids[0]] * len(grams), pa.string()), lists, pa.nulls(len(grams), _ARROW.field("ids").type)]
+    return [pa.RecordBatch.from_arrays(x, schema=_ARROW) for x in (own, named)]
+
+
+def _block(field: str, ids: list[str], texts: list[str]) -> list[pa.RecordBatch]:
+    own = [grams_of(text) for text in texts]
+    starts = np.concatenate([[0], np.cumsum([len(x) + GRAM for x in own])])[:-1].astype(np.int64)  # a text's places and one for the gap
+    places = np.concatenate([np.arange(first, first + len(x)) for first, x in zip(starts, own, strict=True)])
+    grams = np.concatenate(own)
+    order = np.argsort(grams, kind="stable")
+    keys, first = np.unique(grams[order], return_index=True)
+    return _rows(field, ids, starts, keys, np.diff(np.append(first, len(grams))), places[order])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, field, text to gram, field, id, at."""
+    """id, field, text to the rows of blocks."""
+    held: dict[str, tuple[list[str], list[str]]] = {}
+    size: dict[str, int] = {}
+    for batch in batches:
+        for key, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if field in held and size[field] + len(text) > BLOCK_CHARS:
+                yield from _block(field, *held.pop(field))
+            ids, texts = held.setdefault(field, ([], []))
+            size[field] = len(text) + (size[field] if ids else 0)
+            ids.append(key)
+            texts.append(text)
+    for field, (ids, texts) in held.items():
+        yield from _block(field, ids, texts)
+
+
+def _kept(rows: pa.Table, live: pa.Table) -> pa.Table:
+    """A block without the texts that are hidden. live: id."""
+    given, stay = rows.select(_ARROW.names).cast(_ARROW).combine_chunks(), set(live["id"].to_pylist())
+    named = given.filter(given["gram"].is_null()).to_pylist()[0]
+    keep, starts = np.array([x in stay for x in named["ids"]]), np.array(named["at"])
+    if not keep.any():
+        return _ARROW.empty_table()
+    own = given.filter(given["gram"].is_valid())
+    lists = own["at"].combine_chunks()
+    places, counts = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    left = keep[np.searchsorted(starts, places, "right") - 1]
+    counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[left], minlength=len(counts))
+    ids = [x for x, k in zip(named["ids"], keep, strict=True) if k]
+    return pa.Table.from_batches(_rows(named["field"], ids, starts[keep], own["gram"].to_numpy()[counts > 0], counts[counts > 0], places[left]))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seg, word, found, at, ids of a block to seg, word and id of the texts in which places were found."""
     for batch in batches:
-        ids, fields, texts = (c.to_pylist() for c in batch.columns)
-        start = 0
-        while start < len(texts):
-            end, held = start, 0
-            while end < len(texts) and (end == start or held + len(texts[end]) <= BLOCK_CHARS):
-                held += len(texts[end])
-                end += 1
-            grams, places, counts = [], [], []
-            for text in texts[start:end]:
-                own = grams_of(text)
-                order = np.argsort(own, kind="stable")
-                keys, first = np.unique(own[order], return_index=True)
-                grams.append(keys)
-                places.append(order.astype(np.int32))
-                counts.append(np.diff(np.append(first, len(own))))
-            take = np.repeat(np.arange(start, end), [len(k) for k in grams])
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            at = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array([fields[k] for k in take], pa.string()), pa.array([ids[k] for k in take], pa.string()), at], ["gram", "field", "id", "at"])
-            start = end
+        for row in range(batch.num_rows):
+            seg, word, found, at, ids = (c[row] for c in batch.columns)
+            which = np.unique(np.searchsorted(at.values.to_numpy(), found.values.to_numpy(), "right") - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([seg.as_py()] * len(which), pa.int32()), pa.array([word.as_py()] * len(which), pa.string()), ids.values.take(pa.array(which)).cast(pa.string())], ["seg", "word", "id"])
 
 
 def _folder(gram: Column) -> Column:
-    return F.pmod(gram, F.lit(FOLDERS)).cast("int")
+    return F.coalesce(F.pmod(gram, F.lit(FOLDERS)).cast("int"), F.lit(NAMED))
 
 
 @dataclass
@@ -105,7 +148,7 @@ class SubstringIndex:
         # Texts are dealt before they are cut, as their grams take many times their room.
         chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
         dealt = given.repartition(max(1, math.ceil(chars / TASK_CHARS)), "id")
-        grams = dealt.mapInArrow(_cut, "gram bigint, field string, id string, at array<int>").withColumn("folder", _folder(F.col("gram"))).sortWithinPartitions("folder", "gram", "id")
+        grams = _sorted(dealt.mapInArrow(_cut, _CUT))
         keys = nodes.select("id", "label", "repo", F.col("code").isNotNull().alias("coded"), F.length("code").cast("bigint").alias("size"))
         self.store.write(folder, {"grams": (grams, ["folder"]), "keys": (keys, [])}, None if new else nodes.select(F.col("id").alias("key")))
 
@@ -117,8 +160,14 @@ class SubstringIndex:
     def save(self, folder: str) -> SubstringIndex:
         """A copy in a new folder, all segments in one; no text is read."""
         out = SubstringIndex(Segments(self.store.spark, "string"))
-        live = {name: self.store.live(self.store.table(name, shape), "id").drop("seg") for name, shape in _SHAPES.items()}
-        out.store.write(folder, {"grams": (_dealt(live["grams"]), ["folder"]), "keys": (live["keys"], [])})
+        rows = self.store.table("grams", _SHAPES["grams"])
+        if any(self.store.hiding):  # places of hidden texts are dropped, block by block
+            by = ["seg", "field", "block"]
+            live = self.store.live(rows.where(F.col("folder") == NAMED).select(*by, F.explode("ids").alias("id")), "id").toDF("_seg", "_field", "_block", "id")
+            rows = rows.drop("folder").groupBy(*by).cogroup(live.groupBy("_seg", "_field", "_block")).applyInArrow(_kept, _CUT)
+        # A frequent gram's rows go to several files of its folder.
+        dealt = rows.select("gram", "field", "block", "at", "ids").repartition(_folder(F.col("gram")), F.pmod(F.xxhash64("block"), F.lit(8)))
+        out.store.write(folder, {"grams": (_sorted(dealt), ["folder"]), "keys": (self.known(), [])})
         return out
 
     @classmethod
@@ -132,18 +181,18 @@ class SubstringIndex:
         """
         spark = self.store.spark
         asked = [(w, g, k) for w in dict.fromkeys(words) if len(grams_of(w)) for g, k in cover(w)]
-        wanted = spark.createDataFrame(asked, "word string, gram bigint, offset int")
+        wanted = spark.createDataFrame([(w, g, k, sum(v == w for v, *_ in asked)) for w, g, k in asked], "word string, gram bigint, offset int, grams int")
         grams = sorted({g for _, g, _ in asked})
-        rows = self.store.table("grams", _SHAPES["grams"]).where(F.col("folder").isin(sorted({g % FOLDERS for g in grams})) & F.col("gram").isin(grams) & F.col("field").isin(*fields))
-        often = {r["gram"]: r["n"] for r in rows.groupBy("gram").agg(F.count("*").alias("n")).collect()}  # a row per gram of the words
-        base = {w: min(((often.get(g, 0), k, g) for v, g, k in asked if v == w)) for w, *_ in asked}
-        rare = spark.createDataFrame([(w, g, k, sum(v == w for v, *_ in asked)) for w, (_, k, g) in base.items()], "word string, gram bigint, offset int, grams int")
-        rest = spark.createDataFrame([(w, g, k) for w, g, k in asked if base[w][1:] != (k, g)], wanted.schema)
-        starts = F.explode(F.transform("at", lambda p: p - F.col("offset"))).alias("start")
-        found = self.store.live(rows, "id").join(F.broadcast(rare), "gram").select("word", "field", "id", "grams", starts)
-        others = self.store.live(rows, "id").join(F.broadcast(rest), "gram").join(found.select("word", "field", "id").distinct(), ["word", "field", "id"], "left_semi").select("word", "field", "id", "gram", "offset", starts)
-        met = found.join(others, ["word", "field", "id", "start"], "left").groupBy("word", "field", "id", "start", "grams").agg(F.count("offset").alias("n"))
-        return met.where("n = grams - 1").select("word", "id").distinct()
+        rows, of = self.store.table("grams", _SHAPES["grams"]), F.col("field").isin(*fields)
+        held = rows.where(F.col("folder").isin(sorted({g % FOLDERS for g in grams})) & F.col("gram").isin(grams) & of).join(F.broadcast(wanted), "gram")
+        # A row per block and word, with the places at which each of the word's grams lets it start.
+        starts = F.collect_list(F.transform("at", lambda p: p - F.col("offset"))).alias("starts")
+        blocks = held.groupBy("seg", "field", "block", "word", "grams").agg(starts).where(F.size("starts") == F.col("grams"))
+        all_ = F.aggregate(F.slice("starts", 2, F.size("starts")), F.element_at("starts", 1), F.array_intersect)
+        met, n = Scratch(spark, "met").counted(blocks.select("seg", "field", "block", "word", F.sort_array(all_).alias("found")).where(F.size("found") > 0), "met")
+        named = rows.where((F.col("folder") == NAMED) & of).select("seg", "field", "block", "at", "ids")
+        hits = named.join(F.broadcast(met) if n <= FEW_BLOCKS else met, ["seg", "field", "block"])
+        return self.store.live(hits.select("seg", "word", "found", "at", "ids").mapInArrow(_named, "seg int, word string, id string"), "id").select("word", "id").distinct()
 
     def known(self) -> DataFrame:
         """id, label, repo, coded, size of the live nodes."""
@@ -156,9 +205,8 @@ class SubstringIndex:
         return [(r["word"], r["id"]) for r in rows.withColumn("_n", rank).where(F.col("_n") <= n).select("word", "id").collect()]
 
 
-def _dealt(grams: DataFrame) -> DataFrame:
-    """A frequent gram's rows go to several files of its folder."""
-    return grams.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("folder", "gram", "id")
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("folder", _folder(F.col("gram"))).sortWithinPartitions("folder", "gram", "block")
 
 
 def holding(

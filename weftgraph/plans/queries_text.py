@@ -12,7 +12,7 @@ from weftgraph.operators.substrings import SubstringIndex
 from weftgraph.operators.vectors import VectorIndex, unit
 from weftgraph.plans.materialize import Scratch, stored
 from weftgraph.plans.projection import SQL as GRAPH
-from weftgraph.plans.projection import change_graph, commit_table, files, text_edges, text_nodes
+from weftgraph.plans.projection import bare_text_nodes, change_graph, commit_table, files, text_edges, text_nodes
 from weftgraph.sources import readers
 from weftgraph.sources.tables import table
 
@@ -58,8 +58,8 @@ def _text_node_index(spark, sf):
     """The text graph's nodes in order of their ids, and the index of their substrings, both stored."""
 
     def make(scratch):
-        rows = text_nodes(spark, sf).drop("embedding", "unit", "doc_id").withColumn("full_name", F.lit(None).cast("string"))
-        nodes = scratch.put(rows.repartitionByRange("id").sortWithinPartitions("id"), "nodes")
+        # Each file stands in the order of the ids, so that a reader skips the pages that it doesn't ask; texts are not moved for it.
+        nodes = scratch.put(bare_text_nodes(spark, sf).withColumn("full_name", F.lit(None).cast("string")).sortWithinPartitions("id"), "nodes")
         return nodes, SubstringIndex.build(nodes, FOUND_BY, f"{scratch.home}/grams")
 
     return stored(spark, [f"{sf}/documents.parquet"], "text-grams", make)
