@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weftgraph import schema as X
 from weftgraph.functions import patterns
 from weftgraph.operators.filters import active_only, contains_ci, in_repos
-from weftgraph.operators.substrings import SubstringIndex, holding
+from weftgraph.operators.substrings import MOST_NAMED, SubstringIndex, holding
 from weftgraph.plans.adjacency import Adjacency
 from weftgraph.plans.materialize import Scratch
 
@@ -92,7 +92,11 @@ def commits_by_sha(commits: DataFrame, hints: DataFrame, grams: SubstringIndex |
 
 
 def commit_meta(commits: DataFrame, authored: DataFrame, hints: DataFrame, n: int = X.META_LIMIT, grams: SubstringIndex | None = None) -> DataFrame:
-    found = commits_by_sha(commits, hints, grams).join(authored.select(F.col("src").alias("author"), F.col("dst").alias("sha")), "sha", "left")
+    found = commits_by_sha(commits, hints, grams)
+    if grams is not None:  # of the authors only those of the commits that the index named
+        few = found.select("sha").distinct().limit(MOST_NAMED + 1).collect()
+        authored = authored.where(F.col("dst").isin([r["sha"] for r in few])) if len(few) <= MOST_NAMED else authored
+    found = found.join(authored.select(F.col("src").alias("author"), F.col("dst").alias("sha")), "sha", "left")
     rows = found.select("hint", F.col("sha").alias("name"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("message", "summary_text", "diff_text", F.lit("")).alias("code"), F.coalesce("author", F.lit("")).alias("author"), F.col("timestamp").alias("committed_at"))
     return first_n(rows, ["hint"], [F.col("name"), F.col("author")], n)
 
