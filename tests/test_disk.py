@@ -114,3 +114,17 @@ def test_substrings_don_t_reach_over_two_texts(spark, tmp_path):
     index = substrings.SubstringIndex.build(spark.createDataFrame(rows, "id string, label string, repo string, code string").coalesce(1), ("code",), f"file://{tmp_path}/grams")
     for word in ("abcdef", "abc", "cdef", "abcd", "defx", "fab"):
         assert sorted(r["id"] for r in index.matches([word], ["code"]).collect()) == sorted(i for i, *_, code in rows if word in code)
+
+
+def test_the_adjacency_of_the_change_graph_moves_numbers(spark):
+    from weftgraph.plans import projection, queries_graph
+
+    nodes, edges = queries_graph._impact_graph(spark, SF)
+    _, size = moved(spark, lambda: Adjacency.build(nodes, edges, 4))
+    made = []
+    _, small = moved(spark, lambda: made.append(Adjacency.of_numbers(projection.numbered_nodes(spark, SF), projection.numbered_edges(spark, SF, 4), 4)))
+    assert small < size / 3
+    ids = [r["id"] for r in nodes.orderBy(F.md5("id")).limit(30).collect()] + ["nowhere"]
+    for out in (True, False):
+        want = edges.where(F.col("src" if out else "dst").isin(ids)).select("src", "type", "dst", "is_active").collect()
+        assert sorted(map(str, made[0].edges_of(ids, out).select("src", "type", "dst", "is_active").collect())) == sorted(map(str, want))

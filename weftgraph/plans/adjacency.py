@@ -4,6 +4,9 @@ All three tables have the same number of buckets, so a join of edges with the no
 their near end, or of edges with edges end to end, needs no shuffle, and the edges of a few
 named nodes are read from the buckets of those alone. They are tables of the session's
 catalogue over files in the shared folder.
+
+Where nodes have numbers (`of_numbers`), edges are dealt and stored by these, and only the
+edges that a question reads get the ids of their ends.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.segments import STORED
 from weftgraph.plans.materialize import Scratch
 
 #: Buckets of a table unless it says otherwise: for large graphs, as many as keep a bucket within an executor's memory.
@@ -28,6 +32,24 @@ class Adjacency:
     nodes: DataFrame
     out: DataFrame
     into: DataFrame
+    numbered: bool = False
+
+    @classmethod
+    def of_numbers(cls, nodes: DataFrame, edges: Sequence[DataFrame], buckets: int = BUCKETS) -> Adjacency:
+        """nodes: nr, id and properties; edges: parts of src and dst, which are numbers, and equal properties.
+
+        Parts that are dealt by src into as many partitions as there are buckets are not moved again for `out`.
+        """
+        spark, home = nodes.sparkSession, Scratch(nodes.sparkSession, "adjacency").home
+
+        def table(parts: Sequence[DataFrame], key: str, name: str) -> DataFrame:
+            known = f"weft_{name}_{uuid.uuid4().hex}"
+            for rows in parts:
+                rows.write.mode("append").bucketBy(buckets, key).sortBy(key).option("path", f"{home}/{name}").options(**STORED).format("parquet").saveAsTable(known)
+            return spark.table(known)
+
+        out = table(edges, "src", "out")
+        return cls(table([nodes.repartition(buckets, "nr")], "nr", "nodes"), out, table([out.repartition(buckets, "dst")], "dst", "into"), True)
 
     @classmethod
     def build(cls, nodes: DataFrame, edges: DataFrame, buckets: int = BUCKETS) -> Adjacency:
@@ -46,10 +68,20 @@ class Adjacency:
 
     def edges_of(self, ids: Sequence[str], out: bool) -> DataFrame:
         """The edges that leave (out) or reach some nodes, from their buckets alone."""
+        if self.numbered:
+            near, far = ("src", "dst") if out else ("dst", "src")
+            own = self.nodes.where(F.col("id").isin(list(ids))).select("nr", "id").distinct().collect()  # of the nodes named
+            named = self.nodes.sparkSession.createDataFrame(own, "nr bigint, id string")
+            edges = (self.out if out else self.into).where(F.col(near).isin([r["nr"] for r in own]))
+            edges = edges.join(F.broadcast(named.withColumnsRenamed({"nr": near, "id": "_near"})), near).join(self.nodes.select(F.col("nr").alias(far), F.col("id").alias("_far")).distinct(), far)
+            return edges.withColumns({near: F.col("_near"), far: F.col("_far")}).drop("_near", "_far")
         return (self.out if out else self.into).where(F.col("src" if out else "dst").isin(list(ids)))
 
     def hop(self, types: Sequence[str], out: bool = True) -> DataFrame:
-        """Each node with its edges of some types: the node's properties, type and `other`, the node at the far end. No shuffle."""
+        """Each node with its edges of some types: the node's properties, type and `other`, the node at the far end (its number, where nodes have numbers). No shuffle."""
         near, far = ("src", "dst") if out else ("dst", "src")
+        if self.numbered:
+            edges = (self.out if out else self.into).where(F.col("type").isin(*types)).select(F.col(near).alias("nr"), "type", F.col(far).alias("other"))
+            return self.nodes.join(edges.hint("merge"), "nr").drop("nr")
         edges = (self.out if out else self.into).where(F.col("type").isin(*types)).select(F.col(near).alias("id"), "type", F.col(far).alias("other"))
         return self.nodes.join(edges.hint("merge"), "id")
