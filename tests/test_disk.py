@@ -128,3 +128,18 @@ def test_the_adjacency_of_the_change_graph_moves_numbers(spark):
     for out in (True, False):
         want = edges.where(F.col("src" if out else "dst").isin(ids)).select("src", "type", "dst", "is_active").collect()
         assert sorted(map(str, made[0].edges_of(ids, out).select("src", "type", "dst", "is_active").collect())) == sorted(map(str, want))
+
+
+def test_what_a_hint_names_meets_changes_without_moving_them(spark):
+    shas = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("sha"), "id")
+    commits = shas.select("sha", *(F.lit("m").alias(c) for c in ("timestamp", "message", "summary_text", "diff_text", "repo")))
+    changes = shas.select(F.col("sha").alias("src"), F.concat(F.lit("f"), F.col("id") % 5000).alias("dst"))
+    targets = spark.range(5000).select(F.concat(F.lit("f"), "id").alias("id"), *(F.concat(F.lit(c), "id").alias(c) for c in ("name", "filepath", "code")), F.lit("File").alias("label"))
+    hints = spark.createDataFrame([(shas.where("id = 77").first()["sha"][:12],)], "hint string")
+    rows = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20KB")
+    try:
+        records, _ = moved(spark, lambda: rows.extend(traverse.commit_targets(commits, changes, targets, hints).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r["name"] for r in rows] == ["name77"] and records < 1000

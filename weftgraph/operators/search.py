@@ -58,6 +58,16 @@ def top_k(nodes: DataFrame, vector: Sequence[float], k: int = X.TOP_K, key: str
     return nodes.where(F.size("embedding") > 0).withColumn("score", (1 + dot(F.col("unit"), query)) / 2).drop("unit").orderBy(F.desc_nulls_last("score"), key).limit(k)
 
 
+@dataclass
+class Vectors:
+    """Vectors in a table of their own (id, embedding, unit), scanned for each question: exact, as a scan of nodes that hold them."""
+
+    rows: DataFrame
+
+    def top_k(self, vector: Sequence[float], k: int = X.TOP_K) -> DataFrame:
+        return top_k(self.rows, vector, k).select("id", "score")
+
+
 def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, repos: Sequence[str] | None = None, most: int = X.CONNECTED_MOST) -> DataFrame:
     """Adds `connected`: at most `most` distinct called or used nodes with code, in the order of name, path and code.
 
@@ -65,10 +75,11 @@ def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, repo
     only the hits' buckets are read.
     """
     if isinstance(edges, Adjacency):
-        edges = edges.edges_of([r["id"] for r in hits.select("id").collect()], True)  # top_k rows
+        # Of top_k rows; written, as Spark then knows that they are few, and doesn't move nodes to them.
+        edges = Scratch(nodes.sparkSession, "near").put(edges.edges_of([r["id"] for r in hits.select("id").collect()], True), "edges")
     ends = in_repos(nodes.where(F.col("label").isin("Function", "File") & F.col("code").isNotNull()), repos)
     near = (
-        hits.select(F.col("id").alias("src")).join(edges.where(F.col("type").isin("CALLS", "DEPENDS_ON")).select("src", "dst"), "src")
+        edges.where(F.col("type").isin("CALLS", "DEPENDS_ON")).select("src", "dst").join(hits.select(F.col("id").alias("src")), "src", "left_semi")
         .join(ends.select(F.col("id").alias("dst"), "name", F.coalesce("filepath", "path").alias("path"), "code"), "dst")
         .withColumn("_n", F.dense_rank().over(Window.partitionBy("src").orderBy("name", "path", "code"))).where(F.col("_n") <= most)
         .select("src", "name", "path", "code").distinct()
@@ -78,7 +89,7 @@ def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, repo
 
 
 def vector_search(
-    nodes: DataFrame, edges: DataFrame | Adjacency, vector: Sequence[float], k: int = X.TOP_K, repos: Sequence[str] | None = None, prefilter: bool = False, index: VectorIndex | None = None,
+    nodes: DataFrame, edges: DataFrame | Adjacency, vector: Sequence[float], k: int = X.TOP_K, repos: Sequence[str] | None = None, prefilter: bool = False, index: VectorIndex | Vectors | None = None,
 ) -> DataFrame:
     """The k nearest functions, then the repository filter, then their neighbours; best first.
 

@@ -92,10 +92,9 @@ def commits_by_sha(commits: DataFrame, hints: DataFrame, grams: SubstringIndex |
 
 
 def commit_meta(commits: DataFrame, authored: DataFrame, hints: DataFrame, n: int = X.META_LIMIT, grams: SubstringIndex | None = None) -> DataFrame:
-    found = commits_by_sha(commits, hints, grams)
-    if grams is not None:  # of the authors only those of the commits that the index named
-        few = found.select("sha").distinct().limit(MOST_NAMED + 1).collect()
-        authored = authored.where(F.col("dst").isin([r["sha"] for r in few])) if len(few) <= MOST_NAMED else authored
+    found = Scratch(commits.sparkSession, "shas").put(commits_by_sha(commits, hints, grams), "found")
+    few = found.select("sha").distinct().limit(MOST_NAMED + 1).collect()
+    authored = authored.where(F.col("dst").isin([r["sha"] for r in few])) if len(few) <= MOST_NAMED else authored
     found = found.join(authored.select(F.col("src").alias("author"), F.col("dst").alias("sha")), "sha", "left")
     rows = found.select("hint", F.col("sha").alias("name"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("message", "summary_text", "diff_text", F.lit("")).alias("code"), F.coalesce("author", F.lit("")).alias("author"), F.col("timestamp").alias("committed_at"))
     return first_n(rows, ["hint"], [F.col("name"), F.col("author")], n)
@@ -103,8 +102,11 @@ def commit_meta(commits: DataFrame, authored: DataFrame, hints: DataFrame, n: in
 
 def commit_targets(commits: DataFrame, changes: DataFrame, targets: DataFrame, hints: DataFrame, repos: Sequence[str] | None = None, n: int = X.COMMIT_ROWS, grams: SubstringIndex | None = None) -> DataFrame:
     """Files or functions that commits changed, at most n per hint by path and name. targets: id, name, filepath, code, label."""
-    found = in_repos(commits_by_sha(commits, hints, grams), repos)
-    rows = found.join(changes.select(F.col("src").alias("sha"), F.col("dst").alias("id")), "sha").join(targets, "id")
+    # What a hint names is written at each step: where it is little, Spark broadcasts it and moves no changes and targets.
+    scratch = Scratch(commits.sparkSession, "shas")
+    found = scratch.put(in_repos(commits_by_sha(commits, hints, grams), repos), "found")
+    found = scratch.put(found.join(changes.select(F.col("src").alias("sha"), F.col("dst").alias("id")), "sha"), "changes")
+    rows = found.join(targets, "id")
     rows = rows.select(
         "hint", "name", "filepath", F.coalesce(found["repo"], F.lit("")).alias("repo"), F.concat(F.upper("label"), F.lit("_CHANGED_BY_COMMIT")).alias("rel_type"),
         F.coalesce("code", F.lit("")).alias("code"), F.col("sha").alias("commit_sha"), F.coalesce("message", "summary_text", F.lit("")).alias("commit_msg"),
@@ -143,7 +145,8 @@ def impact_walk(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency
     """
     if isinstance(edges, Adjacency):
         ids = [r["seed"] for r in seeds.select("seed").distinct().collect()]  # a question has few subjects, and each some tens of seeds at most
-        edges = edges.edges_of(ids, True).unionByName(edges.edges_of(ids, False)).distinct()
+        # Written, as Spark then knows that they are few, and doesn't move nodes to them.
+        edges = Scratch(nodes.sparkSession, "near").put(edges.edges_of(ids, True).unionByName(edges.edges_of(ids, False)).distinct(), "edges")
     ends = in_repos(nodes.where(F.col("label").isin("File", "Function", "Module")), repos)
     types = sorted({*X.CONSUMER_TYPES, *X.OUTBOUND_TYPES})
     inward = F.when(F.col("type").isin(*X.CONSUMER_TYPES), F.struct(F.col("dst").alias("seed"), F.col("src").alias("id"), F.lit(False).alias("out")))

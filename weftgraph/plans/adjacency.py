@@ -23,6 +23,8 @@ from weftgraph.plans.materialize import Scratch
 
 #: Buckets of a table unless it says otherwise: for large graphs, as many as keep a bucket within an executor's memory.
 BUCKETS = 8
+#: Order lines of the change graph whose edges make a bucket.
+BUCKET_LINES = 1_000_000
 
 
 @dataclass

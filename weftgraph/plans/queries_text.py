@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from weftgraph import schema as X
@@ -10,9 +12,10 @@ from weftgraph.graph import FOUND_BY
 from weftgraph.operators import search, traverse
 from weftgraph.operators.substrings import SubstringIndex
 from weftgraph.operators.vectors import VectorIndex, unit
+from weftgraph.plans.adjacency import BUCKET_LINES, Adjacency
 from weftgraph.plans.materialize import Scratch, stored
 from weftgraph.plans.projection import SQL as GRAPH
-from weftgraph.plans.projection import bare_text_nodes, change_graph, commit_table, files, text_edges, text_nodes
+from weftgraph.plans.projection import bare_text_nodes, change_graph, commit_table, commits_in_repos, files, numbered_edges, numbered_nodes, numbered_texts, text_edges, text_nodes
 from weftgraph.sources import readers
 from weftgraph.sources.tables import table
 
@@ -475,12 +478,15 @@ def corpus(spark, sf):
 
     def make(scratch):
         g = change_graph(spark, sf)
-        texts = text_nodes(spark, sf).withColumn("full_name", F.lit(None).cast("string")).drop("doc_id")
-        nodes = g.node_view("File", "Function", "Module").withColumns({"embedding": F.lit(None).cast("array<float>"), "unit": F.lit(None).cast("array<double>")}).unionByName(texts)
-        edges = g.edge_view("CALLS", "DEPENDS_ON").select("src", "type", "dst", "is_active").unionByName(text_edges(spark, sf))
-        parts = {"nodes": nodes, "edges": edges, "commits": commit_table(g), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
+        # Vectors stand in a table of their own, so that texts are not moved to meet them.
+        nodes = g.node_view("File", "Function", "Module").unionByName(bare_text_nodes(spark, sf).withColumn("full_name", F.lit(None).cast("string")))
+        parts = {"nodes": nodes, "commits": commits_in_repos(spark, sf), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
         held = {name: scratch.put(rows, name) for name, rows in parts.items()}
-        return Corpus(**held, texts=search.TextIndex.build(held["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"), f"{scratch.home}/index"))
+        buckets = max(16, math.ceil(table(spark, sf, "lineitem").count() / BUCKET_LINES))
+        texts, calls = numbered_texts(spark, sf, buckets)
+        edges = Adjacency.of_numbers(numbered_nodes(spark, sf).select("nr", "id").unionByName(texts), [*numbered_edges(spark, sf, buckets), calls], buckets)
+        index = search.TextIndex.build(held["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"), f"{scratch.home}/index")
+        return Corpus(**held, edges=edges, texts=index, vectors=search.Vectors(_unit_vectors(spark, sf)))
 
     tables = ("part", "supplier", "nation", "region", "lineitem", "orders", "customer", "documents", "embeddings")
     return stored(spark, [f"{sf}/{t}.parquet" for t in tables], "corpus", make)

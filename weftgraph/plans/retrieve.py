@@ -16,9 +16,10 @@ from weftgraph import schema as X
 from weftgraph.functions import render, router
 from weftgraph.operators import search, traverse
 from weftgraph.operators.filters import in_repos, with_repo_hint
-from weftgraph.operators.substrings import SubstringIndex
+from weftgraph.operators.substrings import SubstringIndex, holding
 from weftgraph.operators.vectors import VectorIndex
 from weftgraph.plans.adjacency import Adjacency
+from weftgraph.plans.materialize import Scratch
 from weftgraph.sources.readers import hash_vector
 
 # What is said where nothing is found, and the names of the stages.
@@ -43,7 +44,7 @@ class Corpus:
     authored: DataFrame
     changes: DataFrame
     texts: search.TextIndex | None = None
-    vectors: VectorIndex | None = None
+    vectors: VectorIndex | search.Vectors | None = None
     grams: SubstringIndex | None = None
     shas: SubstringIndex | None = None
 
@@ -116,9 +117,19 @@ def commit_files_stage(c: Corpus, shas: Sequence[str], repos: Sequence[str] | No
     return _rows(rows, 5, [F.col(x) for x in ("pos", "kind", "filepath", "name", "commit_sha")])
 
 
-def _changes_of(c: Corpus, repos: Sequence[str] | None, label: str) -> DataFrame:
-    targets = c.nodes.where(F.col("label") == label).select(F.col("id").alias("target"), F.coalesce("filepath", "path").alias("filepath"), (F.col("name") if label == "Function" else F.lit("")).alias("func_name"))
-    return traverse.authored_changes(c.authored, in_repos(c.commits, repos), c.changes).join(targets, "target")
+def _targets(c: Corpus, label: str) -> DataFrame:
+    return c.nodes.where(F.col("label") == label).select(F.col("id").alias("target"), F.coalesce("filepath", "path").alias("filepath"), (F.col("name") if label == "Function" else F.lit("")).alias("func_name"))
+
+
+def _changes_of(c: Corpus, repos: Sequence[str] | None, targets: DataFrame) -> DataFrame:
+    """Changes of the targets that a question names: written at each step, so that where they are few all others stay where they are."""
+    scratch = Scratch(c.nodes.sparkSession, "blame")
+    named = scratch.put(targets, "targets")
+    changes = scratch.put(c.changes.join(named.select(F.col("target").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "changes")
+    shas = changes.select("src").distinct()
+    commits = in_repos(c.commits, repos).join(shas.withColumnRenamed("src", "sha"), "sha", "left_semi")
+    authored = c.authored.join(shas.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    return traverse.authored_changes(authored, commits, changes).join(named, "target")
 
 
 def blame_stage(c: Corpus, s: Row, paths: Sequence[str], repos: Sequence[str] | None) -> DataFrame:
@@ -127,10 +138,11 @@ def blame_stage(c: Corpus, s: Row, paths: Sequence[str], repos: Sequence[str] |
     hints = [*s["func_hints"], *s["file_hints"]]
     if paths:
         named = F.broadcast(_words(spark, paths, "filepath"))
-        parts = [traverse.latest(_changes_of(c, repos, label).join(named, "filepath"), ["filepath"]).withColumn("kind", F.lit(k)) for k, label in enumerate(("File", "Function"))]
+        parts = [traverse.latest(_changes_of(c, repos, _targets(c, label).join(named, "filepath")), ["filepath"]).withColumn("kind", F.lit(k)) for k, label in enumerate(("File", "Function"))]
         rows = parts[0].unionByName(parts[1])
     elif hints:
-        rows = traverse.blame_by_hint(_changes_of(c, repos, "File"), _words(spark, hints, "hint"), grams=c.grams).withColumn("kind", F.lit(0))
+        held = holding(_targets(c, "File").withColumn("id", F.col("target")), ["filepath"], _words(spark, hints, "hint"), "hint", c.grams, indexed=["path"]).drop("id")
+        rows = traverse.latest(_changes_of(c, repos, held), ["hint"]).withColumn("kind", F.lit(0))
     else:
         authored = c.authored.join(in_repos(c.commits, repos).select(F.col("sha").alias("dst")), "dst", "left_semi") if repos else c.authored
         top = traverse.top_authors(authored)
