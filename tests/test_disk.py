@@ -48,6 +48,15 @@ def test_functions_of_several_names_give_an_edge_once(spark, ordered):
     assert sorted(map(tuple, edges.collect())) == sorted(want)
 
 
+def test_functions_that_call_their_own_name_move_once(spark):
+    f = _functions(spark, 400).withColumn("repo", F.concat(F.lit("r"), F.col("pos") % 3)).withColumn("id", F.concat(F.md5("id"), F.md5("name")))
+    calls, named = f.select("repo", F.col("id").alias("caller_id"), F.col("name").alias("callee"), F.col("pos").alias("caller_pos")), f.select("repo", "id", "name", F.col("pos").alias("scan_pos"))
+    edges = traverse.resolve_calls(calls, named, True)
+    records, size = moved(spark, edges)
+    assert records <= 400 and size < 1.5 * 400 * 64  # once for both sides, where they are the same rows
+    assert moved(spark, lambda: traverse.resolve_calls(calls, named, True))[0] <= 400  # and hashes of ids
+
+
 def test_made_patches_move_as_numbers(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     records, size = moved(spark, queries_text.patch_temporal(spark, SF))

@@ -214,19 +214,25 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, order_dependent: bool
     `order_dependent` keeps only callees that were scanned before.
 
     There are as many edges as pairs of equal names, so both sides are made distinct and the pairs
-    are not moved again; only those of ids that stand under several names can repeat.
+    are not moved again; only those of ids that stand under several names can repeat. Both sides are
+    dealt by repository and name and made distinct where they then lie, so that a row moves once.
     """
-    once = calls.groupBy("repo", "callee", F.col("caller_id").alias("src")).agg(F.max("caller_pos").alias("caller_pos"))
-    named = functions.groupBy("repo", F.col("name").alias("callee"), F.col("id").alias("dst")).agg(F.min("scan_pos").alias("scan_pos"))
-    named = named.withColumn("names", F.count("*").over(Window.partitionBy("dst")))
-
-    def edges(callees: DataFrame) -> DataFrame:
-        rows = once.join(callees, ["repo", "callee"])
+    # By hashes, of 96 bits for a name. Ids of one hash are taken for one, which costs no edge.
+    names = functions.where("repo IS NOT NULL AND name IS NOT NULL").select(F.xxhash64("id").alias("_id"), F.xxhash64("repo", "name").alias("a"), F.hash("repo", "name").alias("b")).repartition("_id").distinct()
+    # Written, as Spark then knows that they are few.
+    several = Scratch(functions.sparkSession, "names").put(names.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "several")
+    dealt = calls.select("repo", F.col("callee").alias("name"), F.col("caller_id").alias("id"), F.col("caller_pos").alias("pos")).repartition("repo", "name")
+    once = dealt.groupBy("repo", "name", F.col("id").alias("src")).agg(F.max("pos").alias("caller_pos"))
+    dealt = functions.select("repo", "name", "id", F.col("scan_pos").alias("pos")).repartition("repo", "name")
+    named = dealt.groupBy("repo", "name", F.col("id").alias("dst")).agg(F.min("pos").alias("scan_pos")).withColumn("_id", F.xxhash64("dst"))
+
+    def edges(how: str) -> DataFrame:
+        rows = once.join(named.join(several, "_id", how), ["repo", "name"])
         if order_dependent:
             rows = rows.where("scan_pos <= caller_pos")
         return rows.select("src", F.lit("CALLS").alias("type"), "dst")
 
-    return edges(named.where("names = 1")).unionByName(edges(named.where("names > 1")).distinct())
+    return edges("left_anti").unionByName(edges("left_semi").distinct())
 
 
 def hunk_overlap(functions: DataFrame, hunks: DataFrame) -> DataFrame:
