@@ -80,6 +80,26 @@ def test_an_index_of_texts_moves_each_text_once(spark, tmp_path):
     assert sorted((r["doc_id"], r["n"], r["n"]) for r in want) == sorted(map(tuple, got))
 
 
+def test_an_index_of_texts_moves_and_keeps_no_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "LOT_TEXTS", 4)
+    monkeypatch.setattr(search, "TASK_WORDS", 60)
+    words = [f"w{k % 37}" for k in range(400)]
+    rows = [(k, None if k == 5 else " ".join(words[k : k + k % 23])) for k in range(300)] + [(300, " ".join(words)), (301, "?!")]
+    docs, made = spark.createDataFrame(rows, "k bigint, t string").repartition(3), []
+    plain = docs.cache()
+    plain.count()
+    records, _ = moved(spark, lambda: made.append(search.TextIndex.build(plain, "k", F.col("t"), f"file://{tmp_path}/index")))
+    assert records < 20 and spark.read.parquet(f"{tmp_path}/index/terms").columns == ["key", "length"]
+    want = [(w, k, t.split().count(w), len(t.split())) for k, t in rows if t and t != "?!" for w in set(t.split())]
+    assert sorted(map(tuple, made[0].postings().select("term", "key", "tf", "length").collect())) == sorted(want)
+    blocks = spark.read.parquet(f"{tmp_path}/index/blocks").collect()
+    for b in blocks:
+        assert (b["n"], b["most"], b["least"]) == (len(b["texts"]), max(t["tf"] for t in b["texts"]), min(t["length"] for t in b["texts"])) and b["n"] <= 4
+        assert [t["key"] for t in b["texts"]] == sorted(t["key"] for t in b["texts"]) and max(t["length"] for t in b["texts"]) + 1 < 2 * (b["least"] + 1)
+    assert len({(b["lot"], b["term"]) for b in blocks}) == len(blocks)
+    plain.unpersist()
+
+
 def test_a_search_without_words_finds_nothing(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "k int, t string")
     assert search.search(rows, "k", F.col("t"), "?!").count() == 0

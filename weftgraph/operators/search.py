@@ -6,8 +6,8 @@ scaled to length 1, so a score is one product, and a top-k keeps k rows per task
 The text index holds the postings in blocks. Texts are dealt into lots of about `LOT_TEXTS`
 texts of like length; a block is what one lot has of one term, with the largest count
 of the term and the least length of a text, which bound the term's weight for the whole
-block. When an index is made, whole texts are dealt to tasks by lot, so that nothing but their words
-moves, once, and each task counts and writes the blocks of its lots. A ranked question reads the bounds of its terms' blocks first, then the texts of the
+block. When an index is made, each task makes lots of the texts that it reads, counts them and writes
+their blocks, so that no text moves. A ranked question reads the bounds of its terms' blocks first, then the texts of the
 `FIRST_LOTS` most promising lots, and after that only lots whose bound reaches the worst
 score among the best so far; where those are many, from more lots first. Postings lie in folders by the term's hash. A batch of texts
 is a segment with its own blocks and totals, and with what the texts that it replaces had
@@ -19,11 +19,16 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftgraph import schema as X
 from weftgraph.operators.filters import in_repos
@@ -37,7 +42,7 @@ K1, B = 1.2, 0.75
 FOLDERS = 8
 LOT_TEXTS = 128
 FIRST_LOTS = 32
-#: Words of the texts that one task puts into blocks, which come to some 200 MB of its memory.
+#: Words of the texts that one task puts into blocks at a time, which come to some 200 MB of its memory.
 TASK_WORDS = 2_000_000
 #: Words of questions in lots that may be broadcast to the blocks; beyond it blocks are shuffled to them.
 BROADCAST_WANTED = 200_000
@@ -128,6 +133,59 @@ def _postings(counted: DataFrame, *by: str) -> DataFrame:
     return each.groupBy(*by, "term", "key", "length").agg(F.count("*").alias("tf"))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Texts together, as many as come to `most` words, or one text."""
+    held, words = [], 0
+    for batch in batches:
+        lengths, start = batch["length"].to_numpy(zero_copy_only=False), 0
+        for end in range(1, len(lengths) + 1):
+            words += int(lengths[end - 1])
+            if words >= most:
+                yield pa.Table.from_batches([*held, batch.slice(start, end - start)])
+                held, words, start = [], 0, end
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lots(texts: pa.Table, lot_texts: int, first: int) -> pa.Table:
+    """The same in order of lot and key, with the number of their lot, from `first` on: texts of like length, `lot_texts` at most."""
+    kind = np.floor(2 * np.log2(texts["length"].to_numpy() + 1)).astype(np.int64)
+    order = np.argsort(kind, kind="stable")
+    places = np.arange(len(kind)) - np.searchsorted(kind[order], kind[order])  # within its class
+    starts = places % lot_texts == 0
+    lots = np.empty(len(kind), np.int64)
+    lots[order] = first + np.cumsum(starts) - 1
+    return texts.append_column("lot", pa.array(lots)).sort_by([("lot", "ascending"), ("key", "ascending")])
+
+
+def _made_blocks(lot_texts: int, most: int, shape: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks (term, lot, n, most, least, texts) of batches of key, length and terms, within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = TaskContext.get().partitionId() << 36  # no two tasks share a lot
+        for part in _parts(batches, most):
+            texts = _lots(part.filter(pc.greater(part["length"], 0)), lot_texts, lot)
+            if not len(texts):
+                continue
+            lots, lengths = texts["lot"].to_numpy(), texts["length"].to_numpy()
+            lot = int(lots[-1]) + 1
+            words = pc.list_flatten(pc.split_pattern(texts["terms"], " ")).combine_chunks().dictionary_encode()
+            # A number for each word of a text, in order of word, lot and key.
+            at, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), lengths), return_counts=True)
+            term, place = np.divmod(at, len(texts))
+            starts = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(lots[place]) != 0)])
+            ends = pa.array(np.r_[starts, len(at)].astype(np.int32))
+            held = pa.StructArray.from_arrays([texts["key"].combine_chunks().take(pa.array(place)), pa.array(tf.astype(np.int64)), pa.array(lengths[place])], ["key", "tf", "length"])
+            columns = [
+                words.dictionary.take(pa.array(term[starts])), pa.array(lots[place[starts]]), pa.array(np.diff(np.r_[starts, len(at)])), pa.array(np.maximum.reduceat(tf, starts).astype(np.int64)),
+                pa.array(np.minimum.reduceat(lengths[place], starts)), pa.ListArray.from_arrays(ends, held),
+            ]
+            yield from pa.Table.from_arrays(columns, ["term", "lot", "n", "most", "least", "texts"]).cast(shape).to_batches(10_000)
+
+    return run
+
+
 def _share(tf: Column, length: Column, average: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
 
@@ -175,9 +233,15 @@ class TextIndex:
         """A segment of texts in a new folder. replaced: the rows that these replace, as they were indexed."""
         given = docs.withColumn("key", F.col(self.key)).where("key IS NOT NULL")
         counted = _counted(given, text)
-        counted.write.option("compression", "zstd").parquet(f"{folder}/terms")  # a text is cut into words once
-        counted = self.store.spark.read.schema(counted.schema).parquet(f"{folder}/terms")
-        tables = self._tables(counted, counted.select("key", "length"), lambda dealt: _postings(dealt, "lot"))
+        # The words are not kept: as a table they would take more room than the index.
+        counted.select("key", "length").write.option("compression", "zstd").parquet(f"{folder}/terms")
+        lengths = self.store.spark.read.schema(counted.select("key", "length").schema).parquet(f"{folder}/terms")
+        shape = ", ".join(x for x in self._shapes["blocks"].split(", ") if x != "folder int")
+        as_arrow = to_arrow_schema(self.store.spark.createDataFrame([], shape).schema)
+        made = counted.mapInArrow(_made_blocks(LOT_TEXTS, TASK_WORDS, as_arrow), shape)
+        blocks = made.withColumn("folder", _folder(F.col("term"))).sortWithinPartitions("folder", "term", "lot")
+        total = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+        tables = {"blocks": (blocks, ["folder"]), "totals": (total, [])}
         if replaced is not None:
             old = _counted(replaced.withColumn("key", F.col(self.key)), text)
             lost = old.select(F.explode(F.array_distinct(F.split("terms", " "))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
