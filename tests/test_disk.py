@@ -172,3 +172,41 @@ def test_what_a_hint_names_meets_changes_without_moving_them(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r["name"] for r in rows] == ["name77"] and records < 1000
+
+
+def test_what_a_question_names_is_made_of_the_lines_that_name_it(spark):
+    from weftgraph.plans import projection, queries_graph, queries_text
+
+    corpus = queries_text.corpus(spark, SF)
+    nodes, edges = queries_graph._impact_graph(spark, SF)
+    edges = edges.select("src", "type", "dst", "is_active").unionByName(projection.text_edges(spark, SF)).cache()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.concat(F.lit("doc_"), "doc_id").alias("id"))
+    ids = [r["id"] for kind in ("File::%", "Function::%", "Module::%") for r in nodes.where(F.col("id").like(kind)).orderBy(F.md5("id")).limit(8).collect()]
+    ids += [r["id"] for r in docs.orderBy(F.md5("id")).limit(8).collect()] + ["doc_0", "doc_1", "nowhere"]
+    for out in (True, False):
+        want = edges.where(F.col("src" if out else "dst").isin(ids)).collect()
+        got = corpus.edges.edges_of(ids, out).select("src", "type", "dst", "is_active").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len({r["type"] for r in want}) == 2
+    edges.unpersist()
+
+    g = projection.change_graph(spark, SF)
+    changes = g.edge("MODIFIED").select("src", "dst").collect()
+    assert sorted(corpus.changes.of_nodes(nodes.where(F.col("id").isin(ids)).select("id")).collect()) == sorted(r for r in changes if r["dst"] in ids)
+    shas = sorted({r["src"] for r in changes})[:9]
+    assert sorted(corpus.changes.of_commits(spark.createDataFrame([(s,) for s in [*shas, shas[0], "nowhere"]], "sha string")).collect()) == sorted(r for r in changes if r["src"] in shas)
+    assert sorted(map(str, corpus.authored.collect())) == sorted(map(str, g.edge("AUTHORED").select("src", "dst").collect()))
+    columns = ["sha", "timestamp", "summary_text", "diff_text", "message", "url", "repo"]
+    assert sorted(map(str, corpus.commits.select(columns).collect())) == sorted(map(str, projection.commits_in_repos(spark, SF).select(columns).collect()))
+    text = F.concat_ws(" ", "summary_text", "message", "diff_text")
+    for limit in (10, None):
+        assert corpus.texts.ask("urgent f", limit).collect() == search.search(corpus.commits, "sha", text, "urgent f", limit).collect()
+
+
+def test_the_corpus_moves_no_lines_and_keeps_no_texts(spark, tmp_path):
+    from weftgraph.plans import queries_text
+
+    for name in ("part", "supplier", "nation", "region", "lineitem", "orders", "customer", "documents", "embeddings"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    orders, customers, vectors, docs = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "customer", "embeddings", "documents"))
+    records, _ = moved(spark, lambda: queries_text.corpus(spark, str(tmp_path)))
+    assert records <= orders + customers + vectors + docs + 100

@@ -34,7 +34,7 @@ from weftgraph import schema as X
 from weftgraph.operators.filters import in_repos
 from weftgraph.operators.segments import Segments
 from weftgraph.operators.vectors import VectorIndex, dot, unit  # noqa: F401  `unit` belongs to the surface of this module
-from weftgraph.plans.adjacency import Adjacency
+from weftgraph.plans.adjacency import Adjacency, Edges
 from weftgraph.plans.materialize import Scratch
 
 K1, B = 1.2, 0.75
@@ -73,13 +73,13 @@ class Vectors:
         return top_k(self.rows, vector, k).select("id", "score")
 
 
-def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, repos: Sequence[str] | None = None, most: int = X.CONNECTED_MOST) -> DataFrame:
+def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency | Edges, repos: Sequence[str] | None = None, most: int = X.CONNECTED_MOST) -> DataFrame:
     """Adds `connected`: at most `most` distinct called or used nodes with code, in the order of name, path and code.
 
     They are cut to `most` within each task before anything is collected. Of stored adjacency
     only the hits' buckets are read.
     """
-    if isinstance(edges, Adjacency):
+    if isinstance(edges, Adjacency | Edges):
         # Of top_k rows; written, as Spark then knows that they are few, and doesn't move nodes to them.
         edges = Scratch(nodes.sparkSession, "near").put(edges.edges_of([r["id"] for r in hits.select("id").collect()], True), "edges")
     ends = in_repos(nodes.where(F.col("label").isin("Function", "File") & F.col("code").isNotNull()), repos)
@@ -94,7 +94,7 @@ def expand(hits: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, repo
 
 
 def vector_search(
-    nodes: DataFrame, edges: DataFrame | Adjacency, vector: Sequence[float], k: int = X.TOP_K, repos: Sequence[str] | None = None, prefilter: bool = False, index: VectorIndex | Vectors | None = None,
+    nodes: DataFrame, edges: DataFrame | Adjacency | Edges, vector: Sequence[float], k: int = X.TOP_K, repos: Sequence[str] | None = None, prefilter: bool = False, index: VectorIndex | Vectors | None = None,
 ) -> DataFrame:
     """The k nearest functions, then the repository filter, then their neighbours; best first.
 
@@ -205,10 +205,14 @@ def _folder(term: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """Blocks of postings (term, lot, n, most, least, texts), and the totals of each segment. `key` names the texts' key."""
+    """Blocks of postings (term, lot, n, most, least, texts), and the totals of each segment. `key` names the texts' key.
+
+    named: SQL of `key` that makes the key that questions rank by and return, where a shorter one is stored.
+    """
 
     key: str
     store: Segments
+    named: str = "key"
     _total: tuple[int, Row] | None = None
 
     def _totals(self) -> DataFrame:
@@ -223,9 +227,9 @@ class TextIndex:
         }
 
     @classmethod
-    def build(cls, docs: DataFrame, key: str, text: Column, folder: str) -> TextIndex:
+    def build(cls, docs: DataFrame, key: str, text: Column, folder: str, named: str = "key") -> TextIndex:
         """An index of all texts in a new folder; texts with a null key are left out."""
-        out = cls(key, Segments(docs.sparkSession, docs.schema[key].dataType.simpleString()))
+        out = cls(key, Segments(docs.sparkSession, docs.schema[key].dataType.simpleString()), named)
         out.add(docs, text, folder)
         return out
 
@@ -276,7 +280,7 @@ class TextIndex:
     def save(self, folder: str) -> TextIndex:
         """A copy in a new folder, all segments in one; nothing is cut into words again."""
         postings = self.postings()
-        out = TextIndex(self.key, Segments(self.store.spark, self.store.key))
+        out = TextIndex(self.key, Segments(self.store.spark, self.store.key), self.named)
         tables = out._tables(postings, postings.select("key", "length").distinct(), lambda dealt: dealt)
         out.store.write(folder, tables | {"totals": (self._totals().coalesce(1), []), "lost": (self.store.spark.createDataFrame([], self._shapes["lost"]), ["folder"])})
         return out
@@ -306,7 +310,8 @@ class TextIndex:
     def _scores(self, blocks: DataFrame, weights: DataFrame, average: float) -> DataFrame:
         """key and score of the texts of blocks. weights: term and its weight."""
         rows = self.store.live(blocks.select("seg", "term", F.inline("texts"))).join(F.broadcast(weights), "term")
-        return rows.groupBy(F.col("key").alias(self.key)).agg(F.round(F.sum(F.col("weight") * _share(F.col("tf"), F.col("length"), average)), 6).alias("score"))
+        scores = rows.groupBy("key").agg(F.round(F.sum(F.col("weight") * _share(F.col("tf"), F.col("length"), average)), 6).alias("score"))
+        return scores.select(F.expr(self.named).alias(self.key), "score")
 
     def _bounds(self, blocks: DataFrame, weights: DataFrame, average: float) -> DataFrame:
         """The most that a text of each lot can score."""
@@ -374,7 +379,7 @@ class TextIndex:
             if wanted.limit(BROADCAST_WANTED + 1).count() <= BROADCAST_WANTED:
                 wanted = F.broadcast(wanted)
             rows = self.store.live(blocks.join(wanted, ["seg", "folder", "term", "lot"]).select("question", "seg", "weight", F.inline("texts")))
-            scores = rows.groupBy("question", "key").agg(F.round(F.sum(F.col("weight") * _share(F.col("tf"), F.col("length"), average)), 6).alias("score"))
+            scores = rows.groupBy("question", "key").agg(F.round(F.sum(F.col("weight") * _share(F.col("tf"), F.col("length"), average)), 6).alias("score")).withColumn("key", F.expr(self.named))
             rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "key"))
             return scores.withColumn("rank", rank).where(F.col("rank") <= limit)
 

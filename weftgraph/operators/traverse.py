@@ -17,7 +17,7 @@ from weftgraph import schema as X
 from weftgraph.functions import patterns
 from weftgraph.operators.filters import active_only, contains_ci, in_repos
 from weftgraph.operators.substrings import MOST_NAMED, SubstringIndex, holding
-from weftgraph.plans.adjacency import Adjacency
+from weftgraph.plans.adjacency import Adjacency, Changes, Edges
 from weftgraph.plans.materialize import Scratch
 
 # Fixed value: the relation of a subject to itself.
@@ -100,11 +100,12 @@ def commit_meta(commits: DataFrame, authored: DataFrame, hints: DataFrame, n: in
     return first_n(rows, ["hint"], [F.col("name"), F.col("author")], n)
 
 
-def commit_targets(commits: DataFrame, changes: DataFrame, targets: DataFrame, hints: DataFrame, repos: Sequence[str] | None = None, n: int = X.COMMIT_ROWS, grams: SubstringIndex | None = None) -> DataFrame:
+def commit_targets(commits: DataFrame, changes: DataFrame | Changes, targets: DataFrame, hints: DataFrame, repos: Sequence[str] | None = None, n: int = X.COMMIT_ROWS, grams: SubstringIndex | None = None) -> DataFrame:
     """Files or functions that commits changed, at most n per hint by path and name. targets: id, name, filepath, code, label."""
     # What a hint names is written at each step: where it is little, Spark broadcasts it and moves no changes and targets.
     scratch = Scratch(commits.sparkSession, "shas")
     found = scratch.put(in_repos(commits_by_sha(commits, hints, grams), repos), "found")
+    changes = changes.of_commits(found) if isinstance(changes, Changes) else changes
     found = scratch.put(found.join(changes.select(F.col("src").alias("sha"), F.col("dst").alias("id")), "sha"), "changes")
     rows = found.join(targets, "id")
     rows = rows.select(
@@ -138,12 +139,12 @@ def impact_seeds(nodes: DataFrame, subjects: DataFrame, n: int = X.SEED_LIMIT, f
     return scratch.put(seeds.unionByName(first_n(files, ["pos"], [F.col("seed")], fallback)), "all")
 
 
-def impact_walk(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
+def impact_walk(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency | Edges, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
     """Both kinds of neighbours of all seeds, in one pass over the edges; `out` tells what the seeds use.
 
     Of stored adjacency only the seeds' buckets are read.
     """
-    if isinstance(edges, Adjacency):
+    if isinstance(edges, Adjacency | Edges):
         ids = [r["seed"] for r in seeds.select("seed").distinct().collect()]  # a question has few subjects, and each some tens of seeds at most
         # Written, as Spark then knows that they are few, and doesn't move nodes to them.
         edges = Scratch(nodes.sparkSession, "near").put(edges.edges_of(ids, True).unionByName(edges.edges_of(ids, False)).distinct(), "edges")
@@ -160,12 +161,12 @@ def impact_walk(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency
     return kept.select("seed", "id", F.coalesce(F.nullif("name", F.lit("")), F.lit("<unknown>")).alias("name"), F.coalesce("filepath", "path", F.lit("")).alias("filepath"), F.coalesce("repo", F.lit("")).alias("repo"), kind.alias("rel_type"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("name", F.lit("None")).alias("raw_name"), "out")
 
 
-def impact_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, out: bool, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
+def impact_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency | Edges, out: bool, repos: Sequence[str] | None = None, only_active: bool = False) -> DataFrame:
     """Consumers of the seeds, or (out) what they use: a limited number per seed, by type and id."""
     return impact_walk(seeds, nodes, edges, repos, only_active).where(F.col("out") == out).drop("out")
 
 
-def impact(nodes: DataFrame, edges: DataFrame | Adjacency, subjects: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False, grams: SubstringIndex | None = None) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame | Adjacency | Edges, subjects: DataFrame, repos: Sequence[str] | None = None, only_active: bool = False, grams: SubstringIndex | None = None) -> DataFrame:
     """Seeds, their consumers and what they use, each path and name once, in the order of a walk seed by seed.
 
     Returns ord_pos, ord_seed, ord_kind, ord_id for the order, then name, filepath, repo, rel_type, code.

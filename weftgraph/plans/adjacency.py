@@ -6,16 +6,17 @@ named nodes are read from the buckets of those alone. They are tables of the ses
 catalogue over files in the shared folder.
 
 Where nodes have numbers (`of_numbers`), edges are dealt and stored by these, and only the
-edges that a question reads get the ids of their ends.
+edges that a question reads get the ids of their ends. A question that names few nodes of tables of numbers
+needs no stored edges: `Edges` and `Changes` make those of the named nodes from the tables.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators.segments import STORED
@@ -87,3 +88,51 @@ class Adjacency:
             return self.nodes.join(edges.hint("merge"), "nr").drop("nr")
         edges = (self.out if out else self.into).where(F.col("type").isin(*types)).select(F.col(near).alias("id"), "type", F.col(far).alias("other"))
         return self.nodes.join(edges.hint("merge"), "id")
+
+
+@dataclass
+class Edges:
+    """Edges that are made where a question names their nodes, so that none are stored.
+
+    nodes: nr and id; near: the edges (src, type, dst and properties, by number) that leave (True) or reach some numbers.
+    Edges whose far end is no node are left out.
+    """
+
+    nodes: DataFrame
+    near: Callable[[Sequence[int], bool], DataFrame]
+
+    def edges_of(self, ids: Sequence[str], out: bool) -> DataFrame:
+        """The edges that leave (out) or reach some nodes."""
+        spark, (near, far) = self.nodes.sparkSession, ("src", "dst") if out else ("dst", "src")
+        own = self.nodes.where(F.col("id").isin(list(ids))).select("nr", "id").distinct().collect()  # of the nodes named
+        named = spark.createDataFrame(own, "nr bigint, id string")
+        # Written, as Spark then knows that they are few, and doesn't move nodes to them.
+        edges = Scratch(spark, "near").put(self.near([r["nr"] for r in own], out), "edges")
+        edges = edges.join(F.broadcast(named.withColumnsRenamed({"nr": near, "id": "_near"})), near).join(self.nodes.select(F.col("nr").alias(far), F.col("id").alias("_far")), far)
+        return edges.withColumns({near: F.col("_near"), far: F.col("_far")}).drop("_near", "_far").distinct()
+
+
+@dataclass
+class Changes:
+    """Changes that get the shas of their commits and the ids of their nodes where a question names either.
+
+    nodes: nr and id; lines: commit and nr, by number, which may repeat; sha: that of a commit's number.
+    Rows are src (sha) and dst (id). What is found is written at each step, so that Spark broadcasts it where it is little.
+    """
+
+    nodes: DataFrame
+    lines: DataFrame
+    sha: Callable[[Column], Column]
+
+    def of_commits(self, commits: DataFrame) -> DataFrame:
+        """The changes of some commits. commits: sha."""
+        scratch = Scratch(self.nodes.sparkSession, "changes")
+        asked = scratch.put(commits.select("sha").distinct(), "shas")
+        lines = self.lines.where("commit IS NOT NULL").withColumn("sha", self.sha(F.col("commit"))).join(asked, "sha").select(F.col("sha").alias("src"), "nr").distinct()
+        return scratch.put(lines, "lines").join(self.nodes, "nr").select("src", F.col("id").alias("dst")).distinct()
+
+    def of_nodes(self, ids: DataFrame) -> DataFrame:
+        """The changes of some nodes. ids: id."""
+        scratch = Scratch(self.nodes.sparkSession, "changes")
+        asked = scratch.put(self.nodes.join(ids.select("id").distinct(), "id").select("nr", F.col("id").alias("dst")).distinct(), "nodes")
+        return self.lines.join(asked, "nr").select("commit", "dst").distinct().select(self.sha(F.col("commit")).alias("src"), "dst")

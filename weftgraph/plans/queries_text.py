@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import functools
 
 from pyspark.sql import functions as F
 
@@ -12,10 +12,10 @@ from weftgraph.graph import FOUND_BY
 from weftgraph.operators import search, traverse
 from weftgraph.operators.substrings import SubstringIndex
 from weftgraph.operators.vectors import VectorIndex, unit
-from weftgraph.plans.adjacency import BUCKET_LINES, Adjacency
+from weftgraph.plans.adjacency import Changes, Edges
 from weftgraph.plans.materialize import Scratch, stored
 from weftgraph.plans.projection import SQL as GRAPH
-from weftgraph.plans.projection import bare_text_nodes, change_graph, commit_table, commits_in_repos, files, numbered_edges, numbered_nodes, numbered_texts, text_edges, text_nodes
+from weftgraph.plans.projection import as_commits, bare_text_nodes, change_graph, commit_table, edges_near, files, numbered_commits, numbered_nodes, text_edges, text_nodes
 from weftgraph.sources import readers
 from weftgraph.sources.tables import table
 
@@ -473,20 +473,24 @@ def embeddings_offline(spark, sf):
 
 
 def corpus(spark, sf):
-    """The change graph's commits and files beside the text graph's functions, stored once as questions find them."""
+    """The change graph's commits and files beside the text graph's functions. What no table has as questions find it is
+    stored once, by number; nodes are read and edges made where a question names them."""
     from weftgraph.plans.retrieve import Corpus
 
     def make(scratch):
         g = change_graph(spark, sf)
-        # Vectors stand in a table of their own, so that texts are not moved to meet them.
         nodes = g.node_view("File", "Function", "Module").unionByName(bare_text_nodes(spark, sf).withColumn("full_name", F.lit(None).cast("string")))
-        parts = {"nodes": nodes, "commits": commits_in_repos(spark, sf), "authored": g.edge("AUTHORED").select("src", "dst"), "changes": g.edge("MODIFIED").select("src", "dst")}
-        held = {name: scratch.put(rows, name) for name, rows in parts.items()}
-        buckets = max(16, math.ceil(table(spark, sf, "lineitem").count() / BUCKET_LINES))
-        texts, calls = numbered_texts(spark, sf, buckets)
-        edges = Adjacency.of_numbers(numbered_nodes(spark, sf).select("nr", "id").unionByName(texts), [*numbered_edges(spark, sf, buckets), calls], buckets)
-        index = search.TextIndex.build(held["commits"], "sha", F.concat_ws(" ", "summary_text", "message", "diff_text"), f"{scratch.home}/index")
-        return Corpus(**held, edges=edges, texts=index, vectors=search.Vectors(_unit_vectors(spark, sf)))
+        numbered = scratch.put(numbered_commits(spark, sf), "commits")
+        commits, authored = as_commits(numbered)
+        ids = table(spark, sf, "documents").select("doc_id").where("doc_id IS NOT NULL")
+        numbers = numbered_nodes(spark, sf).select("nr", "id").unionByName(ids.select((4 * F.col("doc_id") + 3).alias("nr"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id")))
+        edges = Edges(numbers, functools.partial(edges_near, spark, sf))
+        files_ = files(spark, sf).select(F.col("p_partkey").alias("nr"), F.concat_ws("::", F.lit("File"), "path", "repo").alias("id"))
+        changes = Changes(files_, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("nr")), lambda c: F.md5(c.cast("string")))
+        index = search.TextIndex.build(numbered.select(F.col("nr").alias("sha"), "message"), "sha", F.col("message"), f"{scratch.home}/index", "md5(cast(key as string))")
+        known = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(ids, "doc_id")
+        vectors = scratch.put(known, "vectors").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), "embedding", unit(F.col("embedding")).alias("unit"))
+        return Corpus(nodes, edges, commits, authored, changes, texts=index, vectors=search.Vectors(vectors))
 
     tables = ("part", "supplier", "nation", "region", "lineitem", "orders", "customer", "documents", "embeddings")
     return stored(spark, [f"{sf}/{t}.parquet" for t in tables], "corpus", make)

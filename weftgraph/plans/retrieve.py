@@ -18,7 +18,7 @@ from weftgraph.operators import search, traverse
 from weftgraph.operators.filters import in_repos, with_repo_hint
 from weftgraph.operators.substrings import SubstringIndex, holding
 from weftgraph.operators.vectors import VectorIndex
-from weftgraph.plans.adjacency import Adjacency
+from weftgraph.plans.adjacency import Adjacency, Changes, Edges
 from weftgraph.plans.materialize import Scratch
 from weftgraph.sources.readers import hash_vector
 
@@ -32,17 +32,17 @@ class Corpus:
     """What a question is asked of.
 
     nodes: id, label, name, path, full_name, filepath, repo, code, and embedding and unit
-    where there is no index of them; edges: src, type, dst, is_active, or stored adjacency; commits: sha,
+    where there is no index of them; edges: src, type, dst, is_active, or stored adjacency, or made where asked; commits: sha,
     timestamp, message, summary_text, diff_text, repo; authored: login to sha; changes:
-    sha to node id; then the stored indexes, if there are any: texts of the commits, vectors
+    sha to node id, or made where asked; then the stored indexes, if there are any: texts of the commits, vectors
     of the functions, substrings of the nodes and of the commits' shas.
     """
 
     nodes: DataFrame
-    edges: DataFrame | Adjacency
+    edges: DataFrame | Adjacency | Edges
     commits: DataFrame
     authored: DataFrame
-    changes: DataFrame
+    changes: DataFrame | Changes
     texts: search.TextIndex | None = None
     vectors: VectorIndex | search.Vectors | None = None
     grams: SubstringIndex | None = None
@@ -125,7 +125,8 @@ def _changes_of(c: Corpus, repos: Sequence[str] | None, targets: DataFrame) -> D
     """Changes of the targets that a question names: written at each step, so that where they are few all others stay where they are."""
     scratch = Scratch(c.nodes.sparkSession, "blame")
     named = scratch.put(targets, "targets")
-    changes = scratch.put(c.changes.join(named.select(F.col("target").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "changes")
+    asked = c.changes.of_nodes(named.select(F.col("target").alias("id"))) if isinstance(c.changes, Changes) else c.changes
+    changes = scratch.put(asked.join(named.select(F.col("target").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "changes")
     shas = changes.select("src").distinct()
     commits = in_repos(c.commits, repos).join(shas.withColumnRenamed("src", "sha"), "sha", "left_semi")
     authored = c.authored.join(shas.withColumnRenamed("src", "dst"), "dst", "left_semi")
